@@ -27,6 +27,7 @@ SKETCH_BITS = 20  # buckets of the token counts that order tokens; any number gi
 SLICES = 16
 BLOCK = 512  # members of a tree; larger groups become several trees, traversed in pairs
 FANOUT = 8
+LISTED = 256  # a document in more trees than this may return a pair from several of them
 
 
 def need(total: np.ndarray) -> np.ndarray:
@@ -101,8 +102,8 @@ def _levels(made: DataFrame) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """The bitmap of a set; its width, a power of two, is twice the size at least."""
-    width = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    """The bitmap of a set; its width, a power of two, is eight times the size at least, so that few tokens share a bit."""
+    width = max(64, 1 << int(8 * len(s) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -217,8 +218,20 @@ def traverse(x, y, limit: int = 1 << 16):
             stack.append((a, b - 1, np.repeat(i, FANOUT)[ok], child[ok]))
 
 
-def group_pairs(side, rep, cluster, n, sigs):
-    """Candidate pairs between the members of side 0 and side 1 (or within side 0 if there is no other), by dual traversal."""
+def group_pairs(side, rep, cluster, n, sigs, token=None, lists=None):
+    """Candidate pairs between the members of side 0 and side 1 (or within side 0 if there is no other), by dual traversal.
+
+    lists has the tokens of each member's trees, or None: a pair that meets in several trees is returned by that of the smallest token.
+    """
+    known: dict[int, frozenset | None] = {}
+
+    def first(i: int, j: int) -> bool:
+        for x in (i, j):
+            if x not in known:
+                known[x] = None if lists[x] is None else frozenset(lists[x])
+        p, q = known[i], known[j]
+        return p is None or q is None or min(p & q) == token
+
     width = np.array([len(s) for s in sigs])
     trees = {}
     for s in (0, 1):
@@ -234,6 +247,9 @@ def group_pairs(side, rep, cluster, n, sigs):
             if s != 0 or s2 != other or max(w, w2) > 4 * min(w, w2):
                 continue
             for i, j in traverse(x, y):
+                if lists is not None:
+                    own = np.fromiter(map(first, at[i].tolist(), at2[j].tolist()), bool, len(i))
+                    i, j = i[own], j[own]
                 a, b = rep[at[i]], rep[at2[j]]
                 found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b])
     return np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
@@ -245,7 +261,7 @@ def _tree_pairs(batches):
     def done(rows):
         t = pa.Table.from_batches(rows)
         col = lambda c: t.column(c).to_numpy()
-        pairs = group_pairs(col("side"), col("rep"), col("cluster"), col("n"), t.column("sig").to_pylist())
+        pairs = group_pairs(col("side"), col("rep"), col("cluster"), col("n"), t.column("sig").to_pylist(), int(col("token")[0]), t.column("tokens").to_pylist())
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
 
     rows, key = [], None
@@ -351,12 +367,15 @@ def similar_documents(docs: DataFrame, k: int = 5, scratch: Scratch | None = Non
     placed = members.join(near, members.rep == near.node, "left").select("token", "rep", "size", F.coalesce("component", "rep").alias("cluster"))
     placed = scratch.save(placed, "placed")
     mixed = placed.groupBy("token").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x <> y").select("token")
-    rest = placed.join(mixed, "token", "left_semi").join(nodes.select(F.col("doc_id").alias("rep"), "n", "sig"), "rep")
+    placed = placed.join(mixed, "token", "left_semi")
+    lists = placed.groupBy("rep").agg(F.count("*").alias("many"), F.collect_list("token").alias("tokens"))  # no longer than a prefix
+    placed = placed.join(lists.select("rep", F.when(F.col("many") <= LISTED, F.col("tokens")).alias("tokens")), "rep")
+    rest = placed.join(nodes.select(F.col("doc_id").alias("rep"), "n", "sig"), "rep")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     rest = rest.withColumn("blocks", blocks).withColumn("own", own)
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("token", F.least("own", "other").alias("s1"), F.greatest("own", "other").alias("s2"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "rep", "cluster", "n", "sig")
+    rest = rest.select("token", F.least("own", "other").alias("s1"), F.greatest("own", "other").alias("s2"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "rep", "cluster", "n", "sig", "tokens")
     pairs = rest.repartition("token", "s1", "s2").sortWithinPartitions("token", "s1", "s2").mapInArrow(_tree_pairs, "a long, b long").distinct()
     more = _verified(pairs, nodes, docs, k, scratch, "tree")
     found = components(links.union(more), scratch, "all")
