@@ -113,7 +113,6 @@ def load_mapping(path: str) -> list[dict]:
 _NOTE = "status string, name string, description string, type string, meta_type string, topics array<string>, topics_shape string, severity string, tools array<string>, command_pattern string, verify array<struct<kind:string,value:string,repoRoot:string>>, front string, json string"
 
 
-@F.pandas_udf(_NOTE)
 def _front(front: pd.Series) -> pd.DataFrame:
     """YAML has no parser in Spark: Arrow batches of frontmatter become columns."""
 
@@ -151,7 +150,7 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
 def parse_notes(rows: DataFrame) -> DataFrame:
     """rows (path, mtime, source, file) as notes; the first fault is the reason, in the order delimiter, YAML, object, name, type."""
     has = F.col("source").rlike(_FRONT)
-    rows = rows.withColumn("fm", _front(F.when(has, F.regexp_extract("source", _FRONT, 1))))
+    rows = rows.withColumn("fm", F.pandas_udf(_front, _NOTE)(F.when(has, F.regexp_extract("source", _FRONT, 1))))
     kind = F.coalesce(F.nullif(F.col("fm.type"), F.lit("")), F.col("fm.meta_type"))
     empty = lambda c: F.coalesce(c, F.lit("")) == ""
     reason = (
