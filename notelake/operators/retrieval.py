@@ -169,14 +169,14 @@ def recency_modifier(age_days: Column, w: Weights) -> Column:
     return w.recency * F.pow(F.lit(0.5), F.greatest(F.lit(0.0), F.coalesce(age_days, F.lit(0.0))) / w.half_life_days)
 
 
-def blend(queries: DataFrame, notes: DataFrame, semantic: DataFrame, floor: float, max_hits: int = 5, weights: Weights | None = None, tools: DataFrame | None = None) -> DataFrame:
+def blend(queries: DataFrame, notes: DataFrame, semantic: DataFrame, floor: float, max_hits: int = 5, weights: Weights | None = None, tools: DataFrame | None = None, vocabulary: dict = C.VOCABULARY) -> DataFrame:
     """semantic (qid, id, sim01) above the floor, joined with topics, plus recency and type; notes has (id, topics, type, age_days, load_ord).
 
     Queries without a similar note get the topic resolver's hits, all scoring 1. Tool hits come first, whatever they score.
     """
     w = weights or Weights()
     sem = semantic.where(F.col("sim01") >= floor).select("qid", "id", "sim01")
-    topic = topic_gate(queries, notes).select("qid", "id", F.col("reason").alias("topic_reason"))
+    topic = topic_gate(queries, notes, vocabulary).select("qid", "id", F.col("reason").alias("topic_reason"))
     speaking = sem.select("qid").distinct()
     both = sem.join(topic.join(speaking, "qid", "left_semi"), ["qid", "id"], "full_outer").join(notes.select("id", "type", "age_days", "load_ord"), "id")
     score = F.coalesce("sim01", F.lit(0.0)) + F.when(F.col("topic_reason").isNotNull(), w.topic_boost).otherwise(0.0) + type_modifier(F.col("type"), w.type_weight) + recency_modifier(F.col("age_days"), w)

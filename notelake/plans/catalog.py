@@ -34,7 +34,7 @@ _VOCABULARY = {"common": [(r"\bthe\b", True), (r"\band\b", True)], "german": [(r
 
 def _sql_topics(c: str) -> str:
     parts = [f"CASE WHEN {' OR '.join(f"regexp_matches({c}, '(?i){p}')" for p, _ in ps)} THEN '{t}' END" for t, ps in _VOCABULARY.items()]
-    return f"list_filter([{', '.join(parts)}], x -> x IS NOT NULL)"
+    return f"list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)"
 
 
 def _notes(spark, sf_dir) -> DataFrame:
@@ -73,7 +73,7 @@ def blend_resolve(spark, sf_dir):
     queries = _queries(spark, sf_dir)
     vectors = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     similar = retrieval.topk(queries, vectors, 5)
-    found = retrieval.blend(queries, _notes(spark, sf_dir), similar, 0.6)
+    found = retrieval.blend(queries, _notes(spark, sf_dir), similar, 0.6, vocabulary=_VOCABULARY)
     return found.select("qid", "id", "gate", F.round("score", 6).alias("score"), "rank")
 
 
@@ -187,7 +187,7 @@ def queries():
     return {f.__name__: f for f in _NAMES}
 
 
-_V = "SELECT vec_id AS id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings"
+_V = "SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings"
 _KNN = f"""v AS ({_V}), q AS (SELECT v.id AS qid, e, text AS prompt FROM v JOIN documents d ON d.doc_id = v.id WHERE v.id % {_EVERY} = 0),
     k AS (SELECT * FROM (SELECT qid, id, prompt, greatest(0, (1 + list_cosine_similarity(q.e, v.e)) / 2) AS s,
           row_number() OVER (PARTITION BY qid ORDER BY greatest(0, (1 + list_cosine_similarity(q.e, v.e)) / 2) DESC, id) AS rank FROM q, v) WHERE rank <= 5)"""
@@ -195,7 +195,7 @@ _AMBIGUITY = r"""greatest(0.0, least(1.0, 0.5 + CASE WHEN regexp_matches(text, '
     + CASE WHEN regexp_matches(text, '(?i)\b(function|class|method|file|test|spec|module|config|component|route|endpoint|schema|migration|commit|branch|PR|hook|gate)\b') THEN -0.2 ELSE 0 END
     + CASE WHEN regexp_matches(text, '(?i)\b(fix|add|remove|rename|refactor|update|delete|implement|write|create|bump|upgrade|migrate|extract|inline|move)\b') THEN -0.1 ELSE 0 END
     + CASE WHEN regexp_matches(text, '(?i)\b(check|schau|look|see|mal|irgendwie|kannst\s+du|can\s+you|überprüf)') THEN 0.3 ELSE 0 END
-    + CASE WHEN len(list_filter(regexp_split_to_array(text, '\s+'), w -> w <> '')) < 5 THEN 0.2 ELSE 0 END))"""
+    + CASE WHEN len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) < 5 THEN 0.2 ELSE 0 END))"""
 _LINES = """lines AS (SELECT doc_id AS source, i - 1 AS line_no, regexp_replace(regexp_replace(l[i], '^\\s+', ''), '\\s+$', '') AS text FROM
     (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
     kept AS (SELECT *, least(1.0, 0.3 + {imp}) AS importance, {kind} AS type FROM lines WHERE length(text) >= 10 AND NOT starts_with(text, '#') AND NOT starts_with(text, '---'))""".format(
@@ -235,13 +235,13 @@ def oracle_sql():
         "confidence_resolve": f"""WITH {_KNN}, t AS (SELECT qid, greatest(0, 0.85 - 0.35 * {_AMBIGUITY}) AS th FROM (SELECT qid, trim(prompt) AS text FROM q))
             SELECT qid, id, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT k.qid, id, s, row_number() OVER (PARTITION BY k.qid ORDER BY s DESC, id) AS rank FROM k JOIN t ON t.qid = k.qid WHERE s >= th) WHERE rank <= 3""",
         "evaluation": f"""WITH {_KNN}, g AS (SELECT q.qid, CASE WHEN q.qid % 7 = 3 THEN [] ELSE [q.qid, q.qid + 1] END AS ex, coalesce(list(k.id ORDER BY k.rank) FILTER (k.s >= 0.6), []) AS got FROM q LEFT JOIN k ON k.qid = q.qid GROUP BY q.qid),
-            m AS (SELECT *, len(ex) = 0 AS neg, len(list_intersect(got, ex)) AS rel, list_min(list_filter(list_transform(ex, e -> list_position(got, e)), p -> p > 0)) AS first FROM g)
+            m AS (SELECT *, len(ex) = 0 AS neg, len(list_intersect(got, ex)) AS rel, list_min(list_filter(list_transform(ex, lambda e: list_position(got, e)), lambda p: p > 0)) AS first FROM g)
             SELECT round(coalesce(avg(CASE WHEN len(got) > 0 THEN rel / len(got) ELSE 0 END) FILTER (NOT neg), 0), 6) AS precision, round(coalesce(avg(rel / len(ex)) FILTER (NOT neg), 0), 6) AS recall,
                 round(coalesce(avg(coalesce(1.0 / first, 0)) FILTER (NOT neg), 0), 6) AS mrr, round(CASE WHEN count(*) FILTER (neg) > 0 THEN count(*) FILTER (neg AND len(got) = 0) / count(*) FILTER (neg) END, 6) AS negative_rate,
                 count(*) FILTER (NOT neg) AS positives, count(*) FILTER (neg) AS negatives, count(*) FILTER (neg AND len(got) = 0) AS negatives_passed, count(*) FILTER (len(got) > 0) AS semantic_prompts FROM m""",
-        "ambiguity": f"SELECT conv_id, turn, round(a, 6) AS ambiguity, round(greatest(0, 0.85 - a * 0.35), 6) AS threshold FROM (SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 1.0 ELSE {_AMBIGUITY} END AS a FROM (SELECT conv_id, turn, trim(text) AS text FROM conversations))",
+        "ambiguity": f"SELECT conv_id, turn, round(CAST(a AS DOUBLE), 6) AS ambiguity, round(CAST(greatest(0, 0.85 - a * 0.35) AS DOUBLE), 6) AS threshold FROM (SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 1.0 ELSE {_AMBIGUITY} END AS a FROM (SELECT conv_id, turn, trim(text) AS text FROM conversations))",
         "digest_by_type": f"WITH {_LINES} SELECT type, count(*) AS n, round(avg(importance), 6) AS mean_importance FROM kept GROUP BY type",
-        "digest_top": f"WITH {_LINES} SELECT source, CAST(line_no AS INTEGER) AS line_no, round(importance, 6) AS importance, type FROM kept ORDER BY round(importance, 9) DESC, source, line_no LIMIT 50",
+        "digest_top": f"WITH {_LINES} SELECT source, CAST(line_no AS INTEGER) AS line_no, round(CAST(importance AS DOUBLE), 6) AS importance, type FROM kept ORDER BY round(importance, 9) DESC, source, line_no LIMIT 50",
         "pull_plan": f"""WITH {_MERGE} SELECT path, sha256(coalesce(c, '<none>')) AS content, status, conflict,
             CASE WHEN c IS NOT DISTINCT FROM l AND NOT conflict THEN 'none' WHEN conflict THEN 'conflict' WHEN c IS NULL THEN 'deleted' WHEN status = 'merged' THEN 'merged' ELSE 'applied' END AS action FROM o""",
         "push_summary": f"""WITH {_MERGE} SELECT status, action, count(*) AS n FROM (SELECT status, CASE WHEN c IS NOT DISTINCT FROM r THEN 'none' WHEN c IS NULL THEN 'deleted' ELSE 'written' END AS action FROM o WHERE lp IS NOT NULL OR bp IS NOT NULL) GROUP BY status, action""",
@@ -251,7 +251,7 @@ def oracle_sql():
             SELECT key, min(ts) AS start, max(ts) AS last, count(*) AS failures FROM e WHERE NOT ok GROUP BY key, g""",
         "next_ticks": "SELECT event_id, date_trunc('hour', ts) + to_minutes(CASE WHEN minute(ts) < 5 THEN 5 WHEN minute(ts) < 25 THEN 25 WHEN minute(ts) < 45 THEN 45 ELSE 65 END) AS next FROM events",
         "conflicts": r"""WITH n AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(left(CASE turn WHEN 0 THEN 'ALWAYS ' ELSE 'NEVER ' END || split_part(text, chr(10), 1), 200)), '[^a-z0-9\s'']', ' ', 'g'), '\s+'),
-                w -> length(w) >= 4 AND NOT w IN ('always', 'never'))) AS t FROM conversations WHERE turn < 2)
+                lambda w: length(w) >= 4 AND NOT w IN ('always', 'never'))) AS t FROM conversations WHERE turn < 2)
             SELECT a.conv_id * 100 AS a, b.conv_id * 100 + 1 AS b, 't' || a.conv_id AS topic, round(len(list_intersect(a.t, b.t)) / greatest(1, len(list_distinct(a.t || b.t))), 6) AS overlap,
                 CASE WHEN len(list_intersect(a.t, b.t)) / greatest(1, len(list_distinct(a.t || b.t))) >= 0.15 THEN 'high' ELSE 'info' END AS severity FROM n a JOIN n b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1""",
         "index_changes": """WITH h AS (SELECT vec_id AS id, vec_id % 7 AS m FROM embeddings WHERE vec_id % 5 <> 0), n AS (SELECT vec_id AS id, CASE WHEN vec_id % 9 = 0 THEN -1 ELSE vec_id % 7 END AS m FROM embeddings WHERE vec_id % 6 <> 0)
