@@ -75,10 +75,10 @@ ORACLE_SQL = {
     """,
     "op1_embedding_near_dedup": """
         WITH RECURSIVE v AS (
-            SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e, CAST(embedding AS VARCHAR) AS same FROM embeddings
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, CAST(embedding AS VARCHAR) AS same FROM embeddings
         ), u AS (
             SELECT vec_id, label, e FROM v
-            WHERE e IS NOT NULL AND label IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0
+            WHERE e IS NOT NULL AND label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
         ), l AS (
             SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
             WHERE list_cosine_similarity(a.e, b.e) >= 0.93
