@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+BUCKETS = 16_384
 SIZES = (3, 4)
 ROUNDS = 800
 STEP = 4.0
@@ -78,8 +78,8 @@ def fit(spark: SparkSession, allowed=ALLOWED, blocked=BLOCKED, rounds: int = ROU
     n = len(allowed) + len(blocked)
     if not n:
         return [0.0] * (BUCKETS + 1)
-    rows = [(i, u, 1.0 if i >= len(allowed) else 0.0) for i, u in enumerate([*allowed, *blocked])]
-    urls = spark.createDataFrame(rows, "i int, url string, y double").coalesce(1)
+    urls = spark.range(0, 1, 1, 1).select(F.posexplode(F.lit([*allowed, *blocked])).alias("i", "url"))
+    urls = urls.withColumn("y", (F.col("i") >= len(allowed)).cast("double"))
     g = urls.withColumn("g", grams(F.col("url"))).withColumn("norm", F.sqrt(F.greatest(F.lit(1), F.size("g"))))
     x = g.select("i", "norm", F.explode("g").alias("b")).groupBy("i", "b", "norm").count().select("i", "b", (F.col("count") / F.col("norm")).alias("x"))
     gram = x.alias("p").join(x.alias("q"), "b").groupBy(F.col("p.i").alias("i"), F.col("q.i").alias("j")).agg(F.sum(F.col("p.x") * F.col("q.x")).alias("k"))
