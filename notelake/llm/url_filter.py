@@ -6,17 +6,15 @@ from zero weights, every step's weights are a combination of the labelled urls'
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 16_384
 SIZES = (3, 4)
-ROUNDS = 800
-STEP = 4.0
+NORM = 16.0  # of a url's features: counts weighted by how rare a bucket is in the table
+ROUNDS = 400
+STEP = 2.0
 RIDGE = 0.0001
-PRIOR = 0.3  # share of urls to be blocked, where the labelled table has about half: the bias is corrected by it
 
 #: Fixed values of the query's contract.
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -80,8 +78,9 @@ def fit(spark: SparkSession, allowed=ALLOWED, blocked=BLOCKED, rounds: int = ROU
         return [0.0] * (BUCKETS + 1)
     urls = spark.range(0, 1, 1, 1).select(F.posexplode(F.lit([*allowed, *blocked])).alias("i", "url"))
     urls = urls.withColumn("y", (F.col("i") >= len(allowed)).cast("double"))
-    g = urls.withColumn("g", grams(F.col("url"))).withColumn("norm", F.sqrt(F.greatest(F.lit(1), F.size("g"))))
-    x = g.select("i", "norm", F.explode("g").alias("b")).groupBy("i", "b", "norm").count().select("i", "b", (F.col("count") / F.col("norm")).alias("x"))
+    x = urls.select("i", F.explode(grams(F.col("url"))).alias("b")).groupBy("i", "b").count()
+    rare = x.groupBy("b").agg(F.log(n / F.count("*")).alias("idf"))  # what most urls have tells nothing
+    x = x.join(rare, "b").select("i", "b", "idf", (F.col("count") * F.col("idf") / NORM).alias("x"))
     gram = x.alias("p").join(x.alias("q"), "b").groupBy(F.col("p.i").alias("i"), F.col("q.i").alias("j")).agg(F.sum(F.col("p.x") * F.col("q.x")).alias("k"))
     gram = gram.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "k"))).alias("ks"))
     rows_of = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: 1 + F.coalesce(F.try_element_at("ks", j), F.lit(0.0)))
@@ -92,12 +91,10 @@ def fit(spark: SparkSession, allowed=ALLOWED, blocked=BLOCKED, rounds: int = ROU
             transform(rows, (r, i) -> alpha[i] * (1 - {STEP * RIDGE}) + {STEP} / {n} * (r.y - 1 / (1 + exp(-aggregate(zip_with(r.k, alpha, (p, q) -> p * q), cast(0 as double), (s, v) -> s + v))))))
     """
     alpha = one.select(F.posexplode(F.expr(step)).alias("i", "alpha"))
-    weights = x.join(alpha, "i").groupBy("b").agg(F.sum(F.col("x") * F.col("alpha")).alias("w")).union(alpha.agg(F.lit(BUCKETS).cast("bigint"), F.sum("alpha")))
+    weights = x.join(alpha, "i").groupBy("b").agg(F.sum(F.col("x") * F.col("idf") * F.col("alpha")).alias("w")).union(alpha.agg(F.lit(BUCKETS).cast("bigint"), F.sum("alpha")))
     out = [0.0] * (BUCKETS + 1)
     for r in weights.collect():
         out[r["b"]] = r["w"]
-    if allowed and blocked:
-        out[BUCKETS] += math.log(PRIOR / (1 - PRIOR)) - math.log(len(blocked) / len(allowed))
     return out
 
 
@@ -105,7 +102,7 @@ def score(text: Column, weights: list[float]) -> Column:
     """The probability that a url, host and path joined, is to be blocked."""
     table = F.lit(weights[:-1])
     g = grams(text)
-    z = F.aggregate(g, F.lit(0.0), lambda s, b: s + F.get(table, b.cast("int"))) / F.sqrt(F.greatest(F.lit(1), F.size(g))) + F.lit(weights[-1])
+    z = F.aggregate(g, F.lit(0.0), lambda s, b: s + F.get(table, b.cast("int"))) / NORM + F.lit(weights[-1])
     return 1 / (1 + F.exp(-z))
 
 
