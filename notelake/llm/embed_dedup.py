@@ -37,7 +37,9 @@ def codes(x: np.ndarray, tables: int, directions: int, width: float, seed: int =
     return (mixed ^ (mixed >> np.uint64(31))).view(np.int64)
 
 
-def _bucketed(tables, directions, width):
+def _coded(tables, directions, width):
+    """(label, rep, vid, many, vector, codes): each vector once, with its bucket number in every table."""
+
     def run(batches):
         for batch in batches:
             vectors = batch.column("embedding").to_pylist()
@@ -45,18 +47,25 @@ def _bucketed(tables, directions, width):
             for i, v in enumerate(vectors):
                 by_size.setdefault(len(v), []).append(i)
             for at in by_size.values():
-                x = normalised([vectors[i] for i in at])
-                c = codes(x, tables, directions, width)
-                for lo in range(0, len(at), 512):
-                    part = at[lo : lo + 512]
-                    n = len(part)
-                    raw = [np.asarray(vectors[i], np.float64).tobytes() for i in part]
-                    all_codes = [r.tobytes() for r in c[lo : lo + n]]
-                    rep = np.array(batch.column("rep").take(pa.array(part)).to_pylist(), np.int64)
-                    many = np.array(batch.column("many").take(pa.array(part)).to_pylist(), np.int64)
-                    label = batch.column("label").take(pa.array(part))
-                    for t in range(tables):
-                        yield pa.RecordBatch.from_arrays([label, pa.array(np.full(n, t, np.int32)), pa.array(np.ascontiguousarray(c[lo : lo + n, t])), pa.array(rep), pa.array(many), pa.array(raw, pa.binary()), pa.array(all_codes, pa.binary())], names=["label", "t", "code", "rep", "many", "vector", "codes"])
+                c = codes(normalised([vectors[i] for i in at]), tables, directions, width)
+                raw = pa.array([np.asarray(vectors[i], np.float64).tobytes() for i in at], pa.binary())
+                label, rep, vid, many = (batch.column(x).take(pa.array(at)) for x in ("label", "rep", "vid", "many"))
+                yield pa.RecordBatch.from_arrays([label, rep, vid, many, raw, pa.array([r.tobytes() for r in c], pa.binary())], names=["label", "rep", "vid", "many", "vector", "codes"])
+
+    return run
+
+
+def _dealt(tables):
+    """(label, t, code, rep, vid) of each vector and table: what is dealt out to find shared buckets, without the vectors."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.int64)
+            each = pa.array(np.repeat(np.arange(batch.num_rows), tables))
+            t = pa.array(np.tile(np.arange(tables, dtype=np.int32), batch.num_rows))
+            yield pa.RecordBatch.from_arrays([batch.column("label").take(each), t, pa.array(c), batch.column("rep").take(each), batch.column("vid").take(each)], names=["label", "t", "code", "rep", "vid"])
 
     return run
 
@@ -150,13 +159,15 @@ def similar_vectors(
     rows = scratch.save(rows, "rows")
     groups = rows.where("valid").groupBy("same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many"))
     groups = scratch.save(groups, "groups")
-    one = rows.where("valid").join(groups, "same").where("vec_id = rep").dropDuplicates(["same"]).select("rep", "many", "label", "embedding")
-    kind = "label long, t int, code long, rep long, many long, vector binary, codes binary"
-    dealt = one.mapInArrow(_bucketed(tables, directions, width), kind)
-    dealt = scratch.save(dealt, "buckets")
+    one = rows.where("valid").join(groups, "same").where("vec_id = rep").dropDuplicates(["same"]).select("rep", F.xxhash64("same").alias("vid"), "many", "label", "embedding")
+    coded = one.mapInArrow(_coded(tables, directions, width), "label long, rep long, vid long, many long, vector binary, codes binary")
+    coded = scratch.save(coded, "coded")
     keys = ["label", "t", "code"]
+    dealt = coded.select("label", "rep", "vid", "codes").mapInArrow(_dealt(tables), "label long, t int, code long, rep long, vid long")
+    dealt = scratch.save(dealt, "buckets")
     size = dealt.groupBy(*keys).agg(F.count("*").alias("size")).where("size > 1")
-    held = dealt.join(size, keys)
+    # Only vectors that share a bucket are dealt out with it.
+    held = dealt.join(size, keys).join(coded.select("rep", "vid", "many", "vector", "codes"), ["rep", "vid"])
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     held = held.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -164,7 +175,7 @@ def similar_vectors(
     group = [*keys, "s1", "s2"]
     found = held.repartition(*group).sortWithinPartitions(*group).mapInArrow(_compared(threshold), "a long, b long, n long, edge boolean")
     found = scratch.save(found, "found")
-    scratch.drop("buckets")
+    scratch.drop("buckets", "coded")
     counts = found.where("not edge").groupBy("a").agg(F.sum("n").alias("links"))
     near = components(found.where("edge").select("a", "b"), scratch)
     by_class = groups.join(counts, groups.rep == counts.a, "left").join(near, groups.rep == near.node, "left")
