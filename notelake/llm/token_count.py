@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed value: an unknown character scores this much less than the worst piece
-REMEMBERED = 200_000  # counts of words that a worker keeps; it forgets them all when there are more
+REMEMBERED = 200_000  # counts of words that a worker keeps; it forgets them all when there would be more; one text's own come on top
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -66,17 +66,14 @@ class Counter:
         words = text.replace(MARK, " ").split(" ")
         if not words[0]:
             del words[0]
-        total, known = 0, self.known
-        for w in words:
-            n = known.get(w)
-            if n is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                n = self.word(MARK + w)
-                if len(w) < 64:
-                    known[w] = n
-            total += n
-        return total
+        found = list(map(self.known.get, words))
+        if None not in found:
+            return sum(found)
+        new = {w: self.word(MARK + w) for w in {w for w, n in zip(words, found) if n is None}}
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+        self.known.update((w, n) for w, n in new.items() if len(w) < 64)
+        return sum(new[w] if n is None else n for w, n in zip(words, found))
 
 
 def count_tokens(docs: DataFrame, vocabulary_file: str, text: str = "text", key: str = "doc_id") -> DataFrame:
