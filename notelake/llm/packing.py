@@ -158,33 +158,20 @@ def linear_groups(counts: np.ndarray, small: int, groups: int) -> list[tuple[int
     return out
 
 
-def _fullest(sizes: np.ndarray, room: int) -> list[int]:
-    """Up to three of the ascending distinct sizes, each used any number of times, that fill most of the room."""
-    best, pick = 0, []
-    fit = sizes[: np.searchsorted(sizes, room, "right")]
-    if not len(fit):
-        return []
-    best, pick = int(fit[-1]), [int(fit[-1])]
-    if best == room:
-        return pick
-
-    def pair(room):
-        j = np.searchsorted(fit, room - fit, "right") - 1
-        total = np.where(j >= 0, fit + fit[j], 0)
-        i = int(total.argmax())
-        return int(total[i]), [int(fit[i]), int(fit[j[i]])]
-
-    two, picked = pair(room)
-    if two > best:
-        best, pick = two, picked
-    for x in fit[::-1] if best < room else []:
-        if room - x < 2 * fit[0]:
-            continue
-        two, picked = pair(int(room - x))
-        if two + x > best and two:
-            best, pick = two + int(x), [int(x), *picked]
-            if best == room:
-                break
+def _fullest(left: list[tuple[int, int]], room: int) -> list[int]:
+    """The pieces, as many as fit, that fill most of the room; left: ascending (size, how many there are). Ties go to the larger sizes."""
+    mask = (1 << room + 1) - 1
+    reach = [1]  # bit n: some of the sizes so far sum up to n
+    for size, n in left:
+        sums = reach[-1]
+        for _ in range(min(n, room // size)):
+            sums |= sums << size & mask
+        reach.append(sums)
+    total, pick = reach[-1].bit_length() - 1, []
+    for (size, n), before in zip(left[::-1], reach[-2::-1]):
+        many = next(k for k in range(min(n, total // size), -1, -1) if before >> total - k * size & 1)
+        pick += [size] * many
+        total -= many * size
     return pick
 
 
@@ -197,16 +184,10 @@ def make_plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS
     left = {size: sum(n for _, n in members) for size, members in by_size.items()}
     sizes = sorted(left)
     while sizes:
-        config = [sizes[-1]]
         left[sizes[-1]] -= 1
-        usable = np.array([s for s in sizes if left[s]], np.int64)
-        config += _fullest(usable, capacity - config[0])
+        config = [sizes[-1], *_fullest([(s, left[s]) for s in sizes if left[s]], capacity - sizes[-1])]
         left[sizes[-1]] += 1
         uses = {s: config.count(s) for s in config}
-        while any(uses[s] > left[s] for s in uses):  # more of one size than there are
-            config.remove(s := next(s for s in uses if uses[s] > left[s]))
-            uses[s] -= 1
-        uses = {s: config.count(s) for s in config}
         many = min(left[s] // u for s, u in uses.items())
         for s, u in uses.items():
             left[s] -= u * many

@@ -291,6 +291,17 @@ def test_plans(seed):
     assert {k: v for k, v in plan.next.items()} == {i: int(n) for i, n in enumerate(counts) if n}
 
 
+@pytest.mark.parametrize("length", [257, 300, 341, 400, 500])
+def test_plans_of_many_pieces(length):
+    counts = np.zeros(2049, np.int64)
+    counts[length] = 6000
+    assert packing.make_plan(counts).sequences == -(-6000 // (2048 // length))
+    counts[257:401] = 100
+    plan = packing.make_plan(counts)
+    assert plan.sequences <= 1.03 * (counts * np.arange(2049)).sum() / 2048 + 3
+    assert plan.next == {i: int(n) for i, n in enumerate(counts) if n}
+
+
 def test_shingles():
     rows = ["", None, "a b", "A  b", "a b c d e f", " \n"]
     got = [s.tolist() for s in shingle_sets(rows)]
