@@ -1,7 +1,8 @@
 """Personal data in texts, in DataFrame operations alone: base patterns, and identifiers that the patterns don't know, found by bootstrapping.
 
-Base matches are the seeds. What stands before a seed (two words) is a lexical pattern; what else stands after a pattern and looks like an
-identifier (a token with a digit or an @) is an instance. On the graph of patterns and instances scores are passed to and fro: a pattern's
+Base matches are the seeds, each whole. The two words before a seed, whatever they are, are a lexical pattern; what else stands after a pattern
+and looks like an identifier is an instance: a run of tokens with a digit or an @, blanks between them, that ends at a line's end, after
+,;:.!? and at a base match. On the graph of patterns and instances scores are passed to and fro: a pattern's
 score is its instances' mean score, an instance's what its patterns together say; seeds keep theirs. Patterns with enough support, a high score, and after which
 identifiers stand most of the time, name the kind of their unseen instances.
 """
@@ -56,7 +57,10 @@ def _luhn(digits: Column) -> Column:
 
 
 def found(texts: DataFrame) -> DataFrame:
-    """(key..., kind, value, start, end, left) of the base matches that hold, and of tokens; texts: (doc_id, h, text)."""
+    """(key..., kind, value, start, end, pattern, glue) of the base matches that hold, and of tokens; texts: (doc_id, h, text).
+
+    Tokens have the pattern before them, and glue: whether they go on with the token before.
+    """
     hits = texts.select("doc_id", "h", F.concat(*(_pieces(F.col("text"), k) for k in _FIND)).alias("all"))
     hits = hits.where(F.size("all") > 0).dropDuplicates(["doc_id", "h"])  # repeated rows have the same matches
     rows = hits.select("doc_id", "h", F.posexplode("all").alias("n", "r")).select("doc_id", "h", "n", "r.*")
@@ -69,7 +73,15 @@ def found(texts: DataFrame) -> DataFrame:
         F.when(F.col("kind") == "ip", F.col("value").rlike(_IP)).when(F.col("kind") == "card", n.between(16, 19) & _luhn(F.when(n.between(16, 19), digits).otherwise("0")))
         .when(F.col("kind") == "phone", n.between(8, 15)).otherwise(F.lit(True))
     )
-    return rows.where(holds).select("doc_id", "h", "kind", "value", "start", "end", "left")
+    o = Window.partitionBy("doc_id", "h", "kind").orderBy("n")
+    last = lambda c, n=1: F.lag(c, n).over(o)
+    near = lambda gap, value: F.coalesce(F.when(gap <= LEFT, value), F.lit(""))
+    before = F.concat(near(last("gap"), last("value", 2)), last("left"))  # the two words may be tokens themselves
+    before = F.concat(near(F.col("gap"), F.concat(before, last("value"))), "left")
+    glue = (F.col("gap") <= LEFT) & F.col("left").rlike(r"^[^\S\r\n]+$") & ~F.coalesce(last("value"), F.lit(",")).rlike("[,;:.!?]$")
+    token = F.col("kind") == "token"
+    rows = rows.withColumn("before", before).withColumn("glue", glue)
+    return rows.where(holds).select("doc_id", "h", "kind", "value", "start", "end", F.when(token, _pattern(F.col("before"))).alias("pattern"), (token & F.col("glue")).alias("glue"))
 
 
 def _pattern(left: Column) -> Column:
@@ -81,19 +93,26 @@ def _pattern(left: Column) -> Column:
 
 def learnt(rows: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, h, kind, start, end): identifiers that confident patterns name and no base match touches."""
-    token = rows.where("kind = 'token'").select("doc_id", "h", "value", F.col("start").alias("t0"), F.col("end").alias("t1"), _pattern(F.col("left")).alias("pattern"))
-    base = rows.where("kind <> 'token'").select(F.col("doc_id").alias("d"), F.col("h").alias("hh"), "kind", "start", "end")
+    token = rows.where("kind = 'token'").select("doc_id", "h", "value", F.col("start").alias("t0"), F.col("end").alias("t1"), "pattern", "glue")
+    base = rows.where("kind <> 'token'").select(F.col("doc_id").alias("d"), F.col("h").alias("hh"), "kind", F.col("value").alias("match"), "start", "end")
     # Both sides are dealt to the cells of the text that they reach into, so that a text's rows don't all meet.
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / CELL), F.floor((F.col(hi) - 1) / CELL)))
     token, base = token.withColumn("cell", cells("t0", "t1")), base.withColumn("c", cells("start", "end"))
     meets = (token.doc_id.eqNullSafe(base.d)) & (token.h == base.hh) & (token.cell == base.c) & (token.t0 < base.end) & (base.start < token.t1)
-    named = token.join(base, meets, "left")
-    named = named.groupBy("doc_id", "h", "t0", "t1", "value", "pattern").agg(F.min(F.struct("start", "kind")).alias("b"))
-    # A seed is the token in which its match begins.
-    named = named.select("doc_id", "h", "t0", "t1", "pattern", "value", F.col("b.kind").alias("kind"), (F.col("b.start") >= F.col("t0")).alias("first"))
-    named = scratch.save(named.where("pattern is not null and (kind is null or first)"), "named")
+    met = scratch.save(token.join(base, meets, "left").drop("cell", "c", "d", "hh", "end"), "met")
+    tokens = met.groupBy("doc_id", "h", "t0", "t1", "value", "pattern", "glue").agg((F.count("start") == 0).alias("free"))
+    w = Window.partitionBy("doc_id", "h").orderBy("t0")
+    runs = tokens.withColumn("new", ~(F.col("glue") & F.coalesce(F.lag("free").over(w), F.lit(False))))
+    runs = runs.withColumn("run", F.count_if("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("free")
+    parts = F.array_sort(F.collect_list(F.struct("t0", "value")))
+    value = F.array_join(F.transform(parts, lambda x: x["value"]), " ")
+    runs = runs.groupBy("doc_id", "h", "run").agg(F.min_by("pattern", "t0").alias("pattern"), value.alias("value"), F.min("t0").alias("t0"), F.max("t1").alias("t1"))
+    named = scratch.save(runs.where("pattern is not null"), "named")
     trimmed = F.regexp_replace(F.lower("value"), r"^[^\w+@]+|[^\w@]+$", "")
-    edges = named.select("pattern", trimmed.alias("instance"), "kind").where("length(instance) >= 5")
+    # A seed's pattern stands before the token in which its match begins.
+    seen = met.where("pattern is not null and start >= t0").select("pattern", F.regexp_replace("match", r"\s+", " ").alias("value"), "kind")
+    edges = seen.unionByName(named.select("pattern", "value", F.lit(None).cast("string").alias("kind")))
+    edges = edges.select("pattern", trimmed.alias("instance"), "kind").where("length(instance) >= 5")
     seeded = edges.where("kind is not null").groupBy("pattern").agg(F.countDistinct("instance").alias("seeds")).where(F.col("seeds") >= 1)
     edges = scratch.save(edges.distinct(), "edges")
     seeds = edges.where("kind is not null").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
@@ -115,13 +134,13 @@ def learnt(rows: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
         w = F.split(F.regexp_replace(F.lower("text"), "[0-9]", "0"), r"\s+")
         pairs = texts.select(w.alias("w")).where(F.size("w") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat(F.get("w", i - 1), F.lit(" "), F.get("w", i)))).alias("pattern"))
         total = pairs.join(wanted, "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
-        followed = named.join(wanted, "pattern").groupBy("pattern").agg(F.count("*").alias("followed"))
+        followed = met.select("doc_id", "h", "t0", "pattern").distinct().join(wanted, "pattern").groupBy("pattern").agg(F.count("*").alias("followed"))
         sure = total.join(followed, "pattern").where(F.col("followed") >= SPECIFIC * F.col("total")).select("pattern")
         sure = scratch.save(patterns.join(sure, "pattern").select("pattern", "kind", "weight"), "sure")
     else:
         sure = patterns.select("pattern", "kind", "weight")
     best = F.row_number().over(Window.partitionBy("doc_id", "h", "t0").orderBy(F.desc("weight"), "kind"))
-    new = named.where("kind is null").drop("kind").where(F.length(trimmed) >= 5).join(sure, "pattern").withColumn("best", best).where("best = 1")
+    new = named.where(F.length(trimmed) >= 5).join(sure, "pattern").withColumn("best", best).where("best = 1")
     lead = F.length(F.regexp_extract("value", r"^[^\w+@]+", 0))
     tail = F.length(F.regexp_extract("value", r"[^\w@]+$", 0))
     return new.select("doc_id", "h", "kind", (F.col("t0") + lead).alias("start"), (F.col("t1") - tail).alias("end")).where("end > start")

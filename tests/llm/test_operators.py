@@ -177,6 +177,21 @@ def test_personal_data(spark):
     assert hidden[22] == "é😀 [EMAIL]" and hidden[1] is None and hidden[6] == LONG and hidden[20] == "hello reach me at [EMAIL] thanks"
 
 
+def learnt_spans(spark, rows):
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs(spark, rows)).collect()}
+    return {i: [s.split(":")[0] + ":" + t[int(s.split(":")[1]) : int(s.split(":")[2])] for s in got[i].split(",") if s] for i, t in rows}
+
+
+def test_identifiers_of_several_tokens(spark):
+    rows = [(i, f"you can call me on +1 (743) 555-38{i}, or not") for i in range(20, 26)]
+    rows += [(30, "he will call me on 0743 555 3824 tomorrow"), (31, "call me on 0743 555 3825\n77 of them")]
+    rows += [(40, "addresses of all: " + " and ".join(f"user{i}@a{i}.org" for i in range(10, 18)) + " and user#19(at)a19")]
+    got = learnt_spans(spark, rows)
+    assert got[20] == ["phone:+1 (743) 555-3820"]
+    assert got[30] == ["phone:0743 555 3824"] and got[31] == ["phone:0743 555 3825"]
+    assert got[40][-1] == "email:user#19(at)a19" and len(got[40]) == 9
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
