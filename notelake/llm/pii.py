@@ -3,7 +3,8 @@
 Base matches are the seeds, each whole. The two words before a seed, whatever they are, are a lexical pattern; what else stands after a pattern
 and looks like an identifier is an instance: a run of tokens with a digit or an @, blanks between them, that ends at a line's end, after
 ,;:.!? and at a base match. On the graph of patterns and instances scores are passed to and fro: a pattern's
-score is its instances' mean score, an instance's what its patterns together say; seeds keep theirs. Patterns with enough support, a high score, and after which
+score is its instances' mean score, an instance's what its patterns together say; seeds keep theirs. No link is left out, so instances found in one round bring in
+patterns in the next. Patterns with enough support, a high score, and after which
 identifiers stand most of the time, name the kind of their unseen instances.
 """
 
@@ -113,11 +114,9 @@ def learnt(rows: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     seen = met.where("pattern is not null and start >= t0").select("pattern", F.regexp_replace("match", r"\s+", " ").alias("value"), "kind")
     edges = seen.unionByName(named.select("pattern", "value", F.lit(None).cast("string").alias("kind")))
     edges = edges.select("pattern", trimmed.alias("instance"), "kind").where("length(instance) >= 5")
-    seeded = edges.where("kind is not null").groupBy("pattern").agg(F.countDistinct("instance").alias("seeds")).where(F.col("seeds") >= 1)
     edges = scratch.save(edges.distinct(), "edges")
     seeds = edges.where("kind is not null").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
-    links = edges.select("pattern", "instance").distinct()
-    links = scratch.save(links.join(seeded.where(F.col("seeds") >= 2).select("pattern"), "pattern", "left_semi"), "links")
+    links = scratch.save(edges.select("pattern", "instance").distinct(), "links")
     scores, patterns = scratch.save(seeds, "scores0"), None
     sizes = links.groupBy("pattern").agg(F.count("*").alias("size"))
     for k in range(1, ROUNDS + 1):

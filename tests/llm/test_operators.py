@@ -192,6 +192,14 @@ def test_identifiers_of_several_tokens(spark):
     assert got[40][-1] == "email:user#19(at)a19" and len(got[40]) == 9
 
 
+def test_bootstrapping_widens(spark):
+    rows = [(i, f"please write to user{i}@a{i}.org soon") for i in range(20)]
+    rows += [(30 + i, f"please write to id#{i}xyz soon, the handle is id#{i}xyz again") for i in range(5)]
+    rows += [(40, "the handle is id#77abc too")]  # 'handle is' stands before no base match
+    got = learnt_spans(spark, rows)
+    assert got[30] == ["email:id#0xyz"] * 2 and got[40] == ["email:id#77abc"]
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
