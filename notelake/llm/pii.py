@@ -93,7 +93,7 @@ def _pattern(left: Column) -> Column:
 
 
 def learnt(rows: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, h, kind, start, end): identifiers that confident patterns name and no base match touches."""
+    """(doc_id, h, kind, start, end): identifiers that confident patterns name and no base match touches; texts are all of the corpus."""
     token = rows.where("kind = 'token'").select("doc_id", "h", "value", F.col("start").alias("t0"), F.col("end").alias("t1"), "pattern", "glue")
     base = rows.where("kind <> 'token'").select(F.col("doc_id").alias("d"), F.col("h").alias("hh"), "kind", F.col("value").alias("match"), "start", "end")
     # Both sides are dealt to the cells of the text that they reach into, so that a text's rows don't all meet.
@@ -131,8 +131,8 @@ def learnt(rows: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     wanted = F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted
     if n:  # how often the corpus has these patterns at all
         w = F.split(F.regexp_replace(F.lower("text"), "[0-9]", "0"), r"\s+")
-        pairs = texts.select(w.alias("w")).where(F.size("w") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat(F.get("w", i - 1), F.lit(" "), F.get("w", i)))).alias("pattern"))
-        total = pairs.join(wanted, "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
+        pairs = texts.select("doc_id", "h", w.alias("w")).where(F.size("w") > 1).select("doc_id", "h", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat(F.get("w", i - 1), F.lit(" "), F.get("w", i)))).alias("at", "pattern"))
+        total = pairs.join(wanted, "pattern").dropDuplicates(["doc_id", "h", "at"]).groupBy("pattern").agg(F.count("*").alias("total"))  # repeated rows count once, as in followed
         followed = met.select("doc_id", "h", "t0", "pattern").distinct().join(wanted, "pattern").groupBy("pattern").agg(F.count("*").alias("followed"))
         sure = total.join(followed, "pattern").where(F.col("followed") >= SPECIFIC * F.col("total")).select("pattern")
         sure = scratch.save(patterns.join(sure, "pattern").select("pattern", "kind", "weight"), "sure")
@@ -151,7 +151,7 @@ def spans(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     texts = docs.select("doc_id", "h", "text").where(F.col("text").rlike("[0-9@]"))
     rows = scratch.save(found(texts).distinct(), "found")
     base = rows.where("kind <> 'token'").select("doc_id", "h", "kind", "start", "end", F.lit(True).alias("base"))
-    more = learnt(rows, texts, scratch).withColumn("base", F.lit(False))
+    more = learnt(rows, docs.select("doc_id", "h", "text"), scratch).withColumn("base", F.lit(False))
     return scratch.save(base.unionByName(more.select(*base.columns)), "spans"), docs
 
 

@@ -200,6 +200,15 @@ def test_bootstrapping_widens(spark):
     assert got[30] == ["email:id#0xyz"] * 2 and got[40] == ["email:id#77abc"]
 
 
+def test_patterns_are_counted_in_all_texts(spark):
+    rows = [(i, f"please write to user{i}@a{i}.org soon") for i in range(5)] + [(6, "please write to id#77abc soon")]
+    assert learnt_spans(spark, rows)[6] == ["email:id#77abc"]
+    same = rows + [(7, "please write to them soon")] * 9  # one text
+    assert learnt_spans(spark, same)[6] == ["email:id#77abc"]
+    clean = rows + [(10 + i, f"please write to {w} soon") for i, w in enumerate("them us me all none many others friends".split())]
+    assert learnt_spans(spark, clean)[6] == []
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
