@@ -10,6 +10,7 @@ The wrapper's slots say where a host's pages hold running text; the text of thos
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -24,7 +25,8 @@ from .url_filter import parse
 
 BROADCAST_HOSTS = 20_000  # wrappers of up to so many hosts are broadcast; beyond it they are joined
 HELD_HOSTS = 2_000  # wrappers that a task holds before it passes them on
-DEPTH = 24  # of a path; deeper elements count for their ancestor
+DEPTH = 24  # of a path in the wrapper; deeper elements count for their ancestor there
+SHARE = 0.9  # of a host's pages that a place stands on, with one text on all of them, to be template
 _TEXT = "#"
 
 _WORDS = lambda s: frozenset(s.split())
@@ -33,6 +35,7 @@ VOID = _WORDS("area base col embed hr img input link meta param source track wbr
 RAW = _WORDS("script style noscript template iframe svg math object canvas audio video select textarea title head")
 FURNITURE = _WORDS("nav footer aside form button fieldset menu dialog figcaption_")
 MAIN = _WORDS("article main")
+_AROUND = MAIN | {"header"}
 HEADINGS = _WORDS("h1 h2 h3 h4 h5 h6")
 CLOSES_P = _WORDS("address article aside blockquote details dialog div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul")
 SAME = {"li": _WORDS("li"), "dt": _WORDS("dt dd"), "dd": _WORDS("dt dd"), "tr": _WORDS("tr td th"), "td": _WORDS("td th"), "th": _WORDS("td th"), "option": _WORDS("option")}
@@ -79,13 +82,14 @@ class Page:
     """A page's blocks of text with their places, and the content of each place."""
 
     def __init__(self, page: str | None):
-        self.blocks: list[tuple[str, str, bool]] = []  # place, text, whether furniture
+        self.blocks: list[tuple[str, str, bool, frozenset[str], str]] = []  # place, text, whether furniture, which of _AROUND it is in, innermost tag
         self.content: dict[str, list[list[str]]] = {}  # what each element of a place holds, in order
         self.links: dict[str, int] = {}
-        stack: list[tuple[str, bool, str, list[str]]] = []
+        stack: list[tuple[str, bool, str, list[str], frozenset[str]]] = []
 
         def push(tag: str, noise: bool, place: str) -> None:
-            stack.append((tag, noise, place, []))
+            around = stack[-1][4] if stack else frozenset()
+            stack.append((tag, noise, place, [], around | {tag} if tag in _AROUND else around))
             self.content.setdefault(place, []).append(stack[-1][3])
 
         push("", False, "")
@@ -97,7 +101,8 @@ class Page:
             held.clear()
             if text:
                 stack[-1][3].append(_TEXT)
-                self.blocks.append((stack[-1][2], text, stack[-1][1]))
+                tag, noise, place, _, around = stack[-1]
+                self.blocks.append((place, text, noise, around, tag))
 
         for kind, value, noise in tokens(page or ""):
             if kind == _TEXT:
@@ -221,9 +226,10 @@ class Wrapper:
             for items in held:
                 found = squares([((x,), 1, 1) for x in items])
                 new.places[place] = align(new.places[place], found) if place in new.places else found
-        for place, text, _ in page.blocks:
-            n, chars, links, one = new.slots.get(place, (1, 0, 0, text[:80]))
-            new.slots[place] = (1, chars + len(text), links, one if one == text[:80] else None)
+        for place, text, *_ in page.blocks:
+            digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+            n, chars, links, one = new.slots.get(place, (1, 0, 0, digest))
+            new.slots[place] = (1, chars + len(text), links, one if one == digest else None)
         for place, n in page.links.items():
             if place in new.slots:
                 s = new.slots[place]
@@ -262,7 +268,7 @@ class Wrapper:
         places outside furniture, the deepest that holds most of the characters not in links. One that is furniture holds none."""
         total: dict[str, int] = {}
         for place, (n, chars, links, one) in self.slots.items():
-            if "!" in place or (one is not None and self.pages >= 8 and n == self.pages):  # the same on every page: part of the template
+            if "!" in place or (one is not None and n > 1 and n >= SHARE * self.pages):  # the same on the host's pages: part of the template
                 continue
             parts = place.split("/")
             for k in range(1, len(parts) + 1):
@@ -279,13 +285,13 @@ class Wrapper:
 
 def extract(page: str | None, roots: list[str]) -> str:
     """The main text: blocks in article or main elements, else in the wrapper's content place, else all; furniture never."""
-    blocks = [(p, t) for p, t, noise in Page(page).blocks if not noise]
-    in_main = [(p, t) for p, t in blocks if any(x in MAIN for x in p.split("/"))]
+    blocks = [(p, t, around, tag) for p, t, noise, around, tag in Page(page).blocks if not noise]
+    in_main = [x for x in blocks if x[2] & MAIN]
     if in_main:
-        article = [(p, t) for p, t in in_main if "article" in p.split("/")]
-        return "\n".join(t for p, t in article or in_main if "header" not in p.split("/") or p.rpartition("/")[2] in HEADINGS)
-    under = [t for p, t in blocks if any(p == r or p.startswith(f"{r}/") for r in roots)]
-    return "\n".join(under or [t for _, t in blocks])
+        article = [x for x in in_main if "article" in x[2]]
+        return "\n".join(t for _, t, around, tag in article or in_main if "header" not in around or tag in HEADINGS)
+    under = [t for p, t, _, _ in blocks if any(p == r or p.startswith(f"{r}/") for r in roots)]
+    return "\n".join(under or [t for _, t, _, _ in blocks])
 
 
 def _partial(batches):

@@ -233,6 +233,19 @@ def test_html(spark):
     assert got[12] == "Head 2\nbody text number 2 is quite long"
 
 
+def test_html_whole_texts_shares_and_depth():
+    w, lead = html_extract.Wrapper(), "The same long lead of every page that this host has got, word by word, and more of it; "
+    few, pages = html_extract.Wrapper(), [f"<body><section><p>{lead * 3}{i}</section><div><i>x{i}</i></div>" for i in range(9)]
+    for page in pages:
+        w.add(html_extract.Page(page))
+    assert html_extract.extract(pages[3], w.content()) == f"{lead * 3}3"
+    for page in pages[:3]:  # fewer than eight pages have a template too
+        few.add(html_extract.Page(f"<body><ul><li>{lead * 9}</ul>{page}"))
+    assert not any("ul" in p for p in few.content())
+    deep = "<div>" * 40 + "<article><header>by me<h1>T</h1></header><p>one</article><div><p>other"
+    assert html_extract.extract(deep, []) == "T\none"
+
+
 def test_wrapper_grammar():
     w = html_extract.Wrapper()
     for body in ("<ul><li>a</li></ul>", "<h2>t</h2><ul><li>a</li><li>b</li></ul>", "<ul><li>c</li></ul><dl><dt>x<dd>y<dt>z<dd>w</dl>"):
