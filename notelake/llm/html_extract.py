@@ -5,7 +5,8 @@ text slot, or a group of them, that occurs once, optionally or repeatedly. A pag
 folded into the wrapper one by one by alignment: what only one side has becomes optional, what occurs again in a row becomes a repeated
 group, texts become slots. Wrappers of parts of a host's pages align in the same way, so hosts of any size are folded in parallel.
 
-The wrapper's slots say where a host's pages hold running text; the text of those places, without places that are furniture, is the result.
+A text that is the same whenever pages are aligned is part of the template, one that differs becomes a slot. The text of the slots, without
+places that are furniture, is the result; article and main elements, or else the place with most running text, then narrow it down.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ class Page:
     """A page's blocks of text with their places, and the content of each place."""
 
     def __init__(self, page: str | None):
-        self.blocks: list[tuple[str, str, bool, frozenset[str], str]] = []  # place, text, whether furniture, which of _AROUND it is in, innermost tag
+        self.blocks: list[tuple[str, str, bool, frozenset[str], str, str]] = []  # place, text, whether furniture, which of _AROUND it is in, innermost tag, hash
         self.content: dict[str, list[list[str]]] = {}  # what each element of a place holds, in order
         self.links: dict[str, int] = {}
         stack: list[tuple[str, bool, str, list[str], frozenset[str]]] = []
@@ -100,9 +101,10 @@ class Page:
             text = " ".join(entities.unescape("".join(held)).split()) if held else ""
             held.clear()
             if text:
-                stack[-1][3].append(_TEXT)
-                tag, noise, place, _, around = stack[-1]
-                self.blocks.append((place, text, noise, around, tag))
+                digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+                tag, noise, place, items, around = stack[-1]
+                items.append(_TEXT + digest)
+                self.blocks.append((place, text, noise, around, tag, digest))
 
         for kind, value, noise in tokens(page or ""):
             if kind == _TEXT:
@@ -161,6 +163,16 @@ class Page:
 # ---------------------------------------------------------------- wrappers: place -> [(group, least, most)]; most 2 stands for any number
 
 
+def _kind(group: tuple[str, ...]) -> tuple[str, ...]:
+    """A group without its texts' hashes: texts align whatever they are."""
+    return tuple(_TEXT if x[0] == _TEXT else x for x in group)
+
+
+def _both(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[str, ...]:
+    """Of two groups of one kind: a text that both have stays, texts that differ become a slot."""
+    return a if a == b else tuple(x if x == y else _TEXT for x, y in zip(a, b))
+
+
 def squares(items: list[tuple]) -> list[tuple]:
     """Neighbouring equal groups of up to three items become one repeated group."""
     out: list[tuple] = []
@@ -169,20 +181,20 @@ def squares(items: list[tuple]) -> list[tuple]:
         folded = True
         while folded:
             folded = False
-            if len(out) > 1 and out[-1][0] == out[-2][0]:
+            if len(out) > 1 and _kind(out[-1][0]) == _kind(out[-2][0]):
                 a, b = out[-2:]
-                out[-2:] = [(a[0], min(1, max(a[1], b[1])), 2)]
+                out[-2:] = [(_both(a[0], b[0]), min(1, max(a[1], b[1])), 2)]
                 folded = True
             for n in (2, 3):
                 tail = out[-n:]
                 if len(out) > n and len(tail) == n and all(len(g) == 1 and lo == 1 and hi == 1 for g, lo, hi in tail):
                     group = tuple(g[0] for g, _, _ in tail)
                     before = out[-n - 1]
-                    if before[0] == group:
-                        out[-n - 1 :] = [(group, before[1], 2)]
+                    if _kind(before[0]) == _kind(group):
+                        out[-n - 1 :] = [(_both(before[0], group), before[1], 2)]
                         folded = True
-                    elif len(out) >= 2 * n and tuple(g for g, lo, hi in out[-2 * n : -n]) == tuple((x,) for x in group) and len(set(group)) > 1:
-                        out[-2 * n :] = [(group, 1, 2)]
+                    elif len(out) >= 2 * n and [_kind(g) for g, lo, hi in out[-2 * n : -n]] == [_kind((x,)) for x in group] and len(set(_kind(group))) > 1:
+                        out[-2 * n :] = [(_both(tuple(g[0] for g, _, _ in out[-2 * n : -n]), group), 1, 2)]
                         folded = True
                     if folded:
                         break
@@ -191,18 +203,19 @@ def squares(items: list[tuple]) -> list[tuple]:
 
 def align(a: list[tuple], b: list[tuple]) -> list[tuple]:
     """The expression of both: groups that both have stay, with the wider range; groups of one side become optional."""
-    if [x[0] for x in a] == [x[0] for x in b]:
-        return [(g, min(lo, lo2), max(hi, hi2)) for (g, lo, hi), (_, lo2, hi2) in zip(a, b)]
+    ka, kb = [_kind(x[0]) for x in a], [_kind(x[0]) for x in b]
+    if ka == kb:
+        return [(_both(g, g2), min(lo, lo2), max(hi, hi2)) for (g, lo, hi), (g2, lo2, hi2) in zip(a, b)]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
+            best[i][j] = best[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(best[i + 1][j], best[i][j + 1])
     i = j = 0
     out = []
     while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append((a[i][0], min(a[i][1], b[j][1]), max(a[i][2], b[j][2])))
+        if i < n and j < m and ka[i] == kb[j]:
+            out.append((_both(a[i][0], b[j][0]), min(a[i][1], b[j][1]), max(a[i][2], b[j][2])))
             i, j = i + 1, j + 1
         elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
             out.append((a[i][0], 0, a[i][2]))
@@ -226,8 +239,7 @@ class Wrapper:
             for items in held:
                 found = squares([((x,), 1, 1) for x in items])
                 new.places[place] = align(new.places[place], found) if place in new.places else found
-        for place, text, *_ in page.blocks:
-            digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+        for place, text, *_, digest in page.blocks:
             n, chars, links, one = new.slots.get(place, (1, 0, 0, digest))
             new.slots[place] = (1, chars + len(text), links, one if one == digest else None)
         for place, n in page.links.items():
@@ -259,7 +271,7 @@ class Wrapper:
         """The wrapper as a regular expression over tags and text slots."""
         out = []
         for group, lo, hi in self.places.get(place, []):
-            inner = "".join("#" if x == _TEXT else f"<{x}>{self.expression(f'{place}/{x}')}</{x}>" for x in group)
+            inner = "".join("#" if x[0] == _TEXT else f"<{x}>{self.expression(f'{place}/{x}')}</{x}>" for x in group)
             out.append(f"({inner}){ {(0, 1): '?', (0, 2): '*', (1, 2): '+'}[min(lo, 1), min(hi, 2)] }" if (lo, hi) != (1, 1) else inner)
         return "".join(out)
 
@@ -283,15 +295,26 @@ class Wrapper:
         return [best]
 
 
-def extract(page: str | None, roots: list[str]) -> str:
-    """The main text: blocks in article or main elements, else in the wrapper's content place, else all; furniture never."""
-    blocks = [(p, t, around, tag) for p, t, noise, around, tag in Page(page).blocks if not noise]
-    in_main = [x for x in blocks if x[2] & MAIN]
+    def template(self) -> list[tuple[str, str]]:
+        """(place, hash) of the texts that never became slots, in expressions that need them, at places that the host's pages have."""
+        held = [p for p, s in self.slots.items() if s[0] > 1 and s[0] >= SHARE * self.pages]
+        return [(p, x[1:]) for p in held for group, least, _ in self.places[p] if least for x in group if x[0] == _TEXT and x != _TEXT]
+
+
+def extract(page: str | None, roots: list[str], template: frozenset[tuple[str, str]] = frozenset()) -> str:
+    """The main text: what the host's slots hold, without the template's texts, of the blocks in article or main elements, else in the
+    wrapper's content place, else of all; furniture never. Where the template has all of these, the host's pages tell nothing, and all stay."""
+    chosen = _chosen(page, roots)
+    return "\n".join([x[1] for x in chosen if (x[0], x[5]) not in template] or [x[1] for x in chosen])
+
+
+def _chosen(page: str | None, roots: list[str]) -> list[tuple]:
+    blocks = [x for x in Page(page).blocks if not x[2]]
+    in_main = [x for x in blocks if x[3] & MAIN]
     if in_main:
-        article = [x for x in in_main if "article" in x[2]]
-        return "\n".join(t for _, t, around, tag in article or in_main if "header" not in around or tag in HEADINGS)
-    under = [t for p, t, _, _ in blocks if any(p == r or p.startswith(f"{r}/") for r in roots)]
-    return "\n".join(under or [t for _, t, _, _ in blocks])
+        article = [x for x in in_main if "article" in x[3]]
+        return [x for x in article or in_main if "header" not in x[3] or x[4] in HEADINGS]
+    return [x for x in blocks if any(x[0] == r or x[0].startswith(f"{r}/") for r in roots)] or blocks
 
 
 def _partial(batches):
@@ -316,7 +339,8 @@ def _merge(frame: pd.DataFrame) -> pd.DataFrame:
 
 def _roots(batches):
     for batch in batches:
-        roots = [json.dumps(Wrapper.of(t).content()) for t in batch.column("wrapper").to_pylist()]
+        held = map(Wrapper.of, batch.column("wrapper").to_pylist())
+        roots = [json.dumps([w.content(), w.template()]) for w in held]
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(roots, pa.string())], names=["host", "roots"])
 
 
@@ -342,13 +366,14 @@ def main_text(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     rows = pages.withColumn("host", parse(F.col("url"))[0]).join(side, "host", "left").select("page_id", "url", "html", "roots")
 
     def run(batches):
-        known: dict[str, list[str]] = {}
+        known: dict[str, tuple] = {}
         for batch in batches:
             texts = []
             for page, r in zip(batch.column("html").to_pylist(), batch.column("roots").to_pylist()):
                 if r not in known:
-                    known[r] = json.loads(r or "[]")
-                texts.append(extract(page, known[r]))
+                    places, template = json.loads(r or "[[], []]")
+                    known[r] = places, frozenset(map(tuple, template))
+                texts.append(extract(page, *known[r]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

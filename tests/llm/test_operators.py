@@ -246,6 +246,15 @@ def test_html_whole_texts_shares_and_depth():
     assert html_extract.extract(deep, []) == "T\none"
 
 
+def test_html_template_texts(spark):
+    page = "<body><article><h1>Head {0}</h1><section>Try our fine tea</section><p>one {0}<p>two {0}{1}</article>"
+    rows = [(i, "http://a.com/x", page.format(i, "<blockquote>Quoted</blockquote>" * (i < 2))) for i in range(4)] + [(9, "http://b.com/x", page.format(9, ""))]
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Head 3\none 3\ntwo 3"  # an advert that no tag or class names
+    assert got[1] == "Head 1\none 1\ntwo 1\nQuoted"  # on some pages only
+    assert got[9] == "Head 9\nTry our fine tea\none 9\ntwo 9"  # one page has no template
+
+
 def test_wrapper_grammar():
     w = html_extract.Wrapper()
     for body in ("<ul><li>a</li></ul>", "<h2>t</h2><ul><li>a</li><li>b</li></ul>", "<ul><li>c</li></ul><dl><dt>x<dd>y<dt>z<dd>w</dl>"):
