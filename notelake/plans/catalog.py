@@ -159,6 +159,13 @@ def conflicts(spark, sf_dir):
     return hygiene.conflicts(notes).select("a", "b", "topic", F.round("overlap", 6).alias("overlap"), "severity")
 
 
+def conflicts_all_turns(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations")
+    lead = F.when(F.col("turn") % 2 == 0, "ALWAYS ").otherwise("NEVER ")
+    notes = c.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"), F.lit("feedback").alias("type"), F.concat(lead, "text").alias("body"), F.array(F.concat(F.lit("t"), F.col("conv_id").cast("string"))).alias("topics"))
+    return hygiene.conflicts(notes).select("a", "b", "topic", F.round("overlap", 6).alias("overlap"), "severity")
+
+
 def index_changes(spark, sf_dir):
     e = _t(spark, sf_dir, "embeddings")
     held = e.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 7).alias("mtime"))
@@ -179,7 +186,7 @@ def iso_dates(spark, sf_dir):
 
 _NAMES = [
     exact_duplicates, near_duplicates, topics, knn, blend_resolve, confidence_resolve, evaluation, ambiguity, polarity, digest_by_type, digest_top, pull_plan,
-    push_summary, sessions, failure_streaks, next_ticks, tag_proposals, conflicts, index_changes, cache_eviction, iso_dates,
+    push_summary, sessions, failure_streaks, next_ticks, tag_proposals, conflicts, conflicts_all_turns, index_changes, cache_eviction, iso_dates,
 ]
 
 
@@ -254,6 +261,11 @@ def oracle_sql():
                 lambda w: length(w) >= 4 AND NOT w IN ('always', 'never'))) AS t FROM conversations WHERE turn < 2)
             SELECT a.conv_id * 100 AS a, b.conv_id * 100 + 1 AS b, 't' || a.conv_id AS topic, round(len(list_intersect(a.t, b.t)) / greatest(1, len(list_distinct(a.t || b.t))), 6) AS overlap,
                 CASE WHEN len(list_intersect(a.t, b.t)) / greatest(1, len(list_distinct(a.t || b.t))) >= 0.15 THEN 'high' ELSE 'info' END AS severity FROM n a JOIN n b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1""",
+        "conflicts_all_turns": r"""WITH n AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(left(CASE turn % 2 WHEN 0 THEN 'ALWAYS ' ELSE 'NEVER ' END || split_part(text, chr(10), 1), 200)), '[^a-z0-9\s'']', ' ', 'g'), '\s+'),
+                lambda w: length(w) >= 4 AND NOT w IN ('always', 'never'))) AS t FROM conversations),
+            p AS (SELECT CAST(a.conv_id * 1000000 + least(a.turn, b.turn) AS BIGINT) AS a, CAST(a.conv_id * 1000000 + greatest(a.turn, b.turn) AS BIGINT) AS b, 't' || a.conv_id AS topic,
+                len(list_intersect(a.t, b.t)) / greatest(1, len(list_distinct(a.t || b.t))) AS overlap FROM n a JOIN n b ON a.conv_id = b.conv_id AND a.turn % 2 = 0 AND b.turn % 2 <> 0)
+            SELECT a, b, topic, round(overlap, 6) AS overlap, CASE WHEN overlap >= 0.15 THEN 'high' ELSE 'info' END AS severity FROM p""",
         "index_changes": """WITH h AS (SELECT vec_id AS id, vec_id % 7 AS m FROM embeddings WHERE vec_id % 5 <> 0), n AS (SELECT vec_id AS id, CASE WHEN vec_id % 9 = 0 THEN -1 ELSE vec_id % 7 END AS m FROM embeddings WHERE vec_id % 6 <> 0)
             SELECT id, 'embed' AS change FROM n WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.id = n.id AND h.m = n.m) UNION ALL SELECT id, 'remove' FROM h WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.id = h.id)""",
         "cache_eviction": "SELECT user_id, max(ts) AS accessed_at FROM events GROUP BY user_id ORDER BY accessed_at DESC, user_id LIMIT 10",

@@ -24,3 +24,10 @@ def test_query(spark, name):
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall()
     norm = lambda rs: sorted(repr([round(v, 5) if isinstance(v, float) else v for v in r]) for r in rs)
     assert norm(rows) == norm(want)
+
+
+def test_conflicts_read_every_turn(spark):
+    turns = spark.read.parquet(f"{DIR}/conversations.parquet").select("conv_id", "turn").collect()
+    want = {(c, t, u) for c, t in turns for d, u in turns if c == d and t < u and (t + u) % 2}
+    got = {(r["a"] // 1_000_000, r["a"] % 1_000_000, r["b"] % 1_000_000) for r in catalog.queries()["conflicts_all_turns"](spark, DIR).collect()}
+    assert got == want and any(u > 1 for _, _, u in got)
