@@ -3,28 +3,62 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from notelake.llm import decontam, packing, pii, quality, sigtree
 from notelake.llm.common import Scratch, table
 from notelake.llm.queries import tokenizer
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with _key, and (_key, id, h) of the texts whose id is null or has other texts too: those have a key of their own, below all
+    ids; all else has its id. Rows of one id and one text are one document and share a key."""
+    scratch = Scratch(docs.sparkSession, "keys")
+    docs = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_h", F.xxhash64("text"))
+    texts = docs.select("_id", "_h").distinct()
+    odd = texts.join(texts.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1 or _id is null").select(F.col("_id").alias("i")), F.col("_id").eqNullSafe(F.col("i")), "left_semi")
+    odd = scratch.save(odd.select(F.col("_id").alias("id"), F.col("_h").alias("h")), "odd")
+    if odd.isEmpty():
+        return docs.withColumn("_key", F.col("_id")).drop("_id", "_h"), odd.select(F.lit(0).cast("long").alias("_key"), "id", "h")
+    least = min(0, docs.agg(F.min("_id")).first()[0] or 0)
+    odd = scratch.save(odd.select((F.lit(least) - 1 - F.monotonically_increasing_id()).alias("_key"), "id", "h"), "keys")
+    docs = docs.join(odd.select(F.col("_key").alias("own"), "id", "h"), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_h") == F.col("h")), "left")
+    return docs.withColumn("_key", F.coalesce("own", "_id")).drop("_id", "_h", "own", "id", "h"), odd
+
+
+def by_key(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("_key").alias("doc_id"), "text")
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on those that have a label, doesn't reject."""
-    scores = quality.score_documents(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(scores, "doc_id", "left_semi").select(*docs.columns)
+    """Documents that the classifier, fitted on those that have a label, doesn't reject. A label of an id holds for each of its texts.
+
+    Every row is judged by its own text, those of null and reused ids too.
+    """
+    rows, odd = keyed(docs)
+    labels = table(spark, sf_dir, "labels")
+    labels = labels.join(odd.select("id", "_key"), labels.doc_id.cast("long") == F.col("id"), "left").withColumn("doc_id", F.coalesce("_key", F.col("doc_id").cast("long")))
+    good = quality.score_documents(by_key(rows), labels).where("predicted = 1").select(F.col("doc_id").alias("_key")).distinct()
+    return rows.join(good, "_key", "left_semi").select(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
-    kept = sigtree.similar_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group of near copies: the one with the smallest doc_id; one without an id only if none has one.
+
+    Texts that share an id are documents of their own.
+    """
+    rows, odd = keyed(docs)
+    found = sigtree.similar_documents(by_key(rows)).select(F.col("doc_id").alias("_key"), "component_id").distinct().join(odd, "_key", "left")
+    id = F.when(F.col("h").isNull(), F.col("_key")).otherwise(F.col("id"))
+    kept = found.groupBy("component_id").agg(F.min_by("_key", F.struct(id.isNull(), id, "h")).alias("_key")).select("_key")
+    return rows.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark doesn't contaminate."""
-    bad = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that the benchmark doesn't contaminate, each row by its own text."""
+    rows, _ = keyed(docs)
+    bad = decontam.contamination(by_key(rows), table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_key")).distinct()
+    return rows.join(bad, "_key", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

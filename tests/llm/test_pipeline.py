@@ -33,3 +33,22 @@ def test_stages(spark):
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_null_and_reused_ids(spark):
+    from notelake.llm.common import table
+
+    docs = table(spark, DIR, "documents").select("doc_id", "text")
+    good = [r["text"] for r in corpus_pipeline.quality_classifier(spark, docs, DIR).collect()]
+    clean = "a clean text of some words that nothing else here resembles in any way at all".split()
+    item = next(r["text"] for r in table(spark, DIR, "benchmark").collect() if len(r["text"].split()) > 20)
+    text = lambda w: " ".join(f"{w}{x}" for x in clean)
+    rows = [(None, good[0]), (None, good[1])] + [(r["doc_id"], r["text"]) for r in docs.collect()]
+    kept = corpus_pipeline.quality_classifier(spark, spark.createDataFrame(rows, docs.schema), DIR).collect()
+    assert {r["text"] for r in kept if r["doc_id"] is None} == set(good[:2])
+    rows = [(None, text("a")), (7, text("b")), (7, text("c")), (3, text("d")), (None, text("d")), (5, text("e")), (5, text("e")), (5, text("a"))]
+    kept = corpus_pipeline.ngram_jaccard_join(spark, spark.createDataFrame(rows, docs.schema), DIR).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(7, text("b")), (7, text("c")), (3, text("d")), (5, text("e")), (5, text("a"))])
+    rows = [(None, item), (None, text("a")), (7, item), (7, text("b"))]
+    kept = corpus_pipeline.decontamination(spark, spark.createDataFrame(rows, docs.schema), DIR).collect()
+    assert {(r["doc_id"], r["text"]) for r in kept} == {(None, text("a")), (7, text("b"))}
