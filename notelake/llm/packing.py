@@ -42,25 +42,26 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 def encoder(path: str):
-    """text -> list of ids, as the tokenizer file gives them with add_special_tokens=False; special tokens' strings are ordinary text.
+    """text -> list of ids, as the tokenizers library gives them for the file with add_special_tokens=False.
 
-    The file's vocabulary is run by tiktoken, which gives the same ids several times as fast; what that can't take (a run too long
-    for its pattern engine) goes to the tokenizers library.
+    The file's vocabulary is run by tiktoken, which gives the same ids several times as fast. Texts that hold the string of an added
+    token, and what tiktoken can't take (a run too long for its pattern engine), go to the tokenizers library.
     """
     import tiktoken
     from tokenizers import Tokenizer
 
     fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=byte_level_ranks(path), special_tokens={})
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
+    added = [t.content for t in slow.get_added_tokens_decoder().values()]
 
     def encode(text: str) -> list[int]:
-        try:
-            return fast.encode_ordinary(text)
-        except (ValueError, BaseException) as e:  # the engine's panics aren't Exceptions
-            if isinstance(e, (KeyboardInterrupt, SystemExit)):
-                raise
-            return slow.encode(text, add_special_tokens=False).ids
+        if not any(t in text for t in added):
+            try:
+                return fast.encode_ordinary(text)
+            except BaseException as e:  # the engine's panics aren't Exceptions
+                if isinstance(e, (KeyboardInterrupt, SystemExit, GeneratorExit, MemoryError)):
+                    raise
+        return slow.encode(text, add_special_tokens=False).ids
 
     return encode
 

@@ -238,12 +238,12 @@ def test_html_whole_texts_shares_and_depth():
     few, pages = html_extract.Wrapper(), [f"<body><section><p>{lead * 3}{i}</section><div><i>x{i}</i></div>" for i in range(9)]
     for page in pages:
         w.add(html_extract.Page(page))
-    assert html_extract.extract(pages[3], w.content()) == f"{lead * 3}3"
+    assert html_extract.extract(pages[3], w) == f"{lead * 3}3"
     for page in pages[:3]:  # fewer than eight pages have a template too
         few.add(html_extract.Page(f"<body><ul><li>{lead * 9}</ul>{page}"))
     assert not any("ul" in p for p in few.content())
     deep = "<div>" * 40 + "<article><header>by me<h1>T</h1></header><p>one</article><div><p>other"
-    assert html_extract.extract(deep, []) == "T\none"
+    assert html_extract.extract(deep) == "T\none"
 
 
 def test_html_template_texts(spark):
@@ -255,6 +255,56 @@ def test_html_template_texts(spark):
     assert got[9] == "Head 9\nTry our fine tea\none 9\ntwo 9"  # one page has no template
 
 
+def words(n, seed):
+    rng = np.random.default_rng(seed)
+    return " ".join(f"w{i}" for i in rng.integers(0, 1000, n))
+
+
+def wrapper(pages):
+    w = html_extract.Wrapper()
+    for page in pages:
+        w.add(html_extract.Page(page))
+    return html_extract.Wrapper.of(w.text())
+
+
+def test_html_without_articles():
+    """Nothing but the wrapper tells menu, advert, text and footer apart: they are all div."""
+    heads = [words(4, i) for i in range(8)]
+    paras = [[words(40, 100 * i + j) for j in range(3 + i % 3)] for i in range(8)]
+    menu = lambda i: "<div><ul>" + "".join(f"<li><a href=x>{words(2, 50 * i + j)}</a>" for j in range(4)) + "</ul></div>"
+    pages = [f"<body>{menu(i)}{f'<div>{words(9, 900 + i)}</div>' * (i % 2)}<div><h1>{h}</h1>{''.join(f'<p>{x}</p>' for x in p)}</div><div>All rights</div>" for i, (h, p) in enumerate(zip(heads, paras))]
+    w = wrapper(pages)
+    for h, p, page in zip(heads, paras, pages):
+        assert html_extract.extract(page, w) == "\n".join([h, *p])
+    a, b = wrapper(pages[:3]), wrapper(pages[3:])  # parts of a host's pages are folded apart
+    a.join(b.root, b.pages)
+    assert all(html_extract.extract(page, a) == "\n".join([h, *p]) for h, p, page in zip(heads, paras, pages))
+
+
+def test_html_cards_in_main():
+    cards = lambda i: "".join(f"<article><h3><a href=y>{words(3, 70 * i + j)}</a></h3><p>{words(8, 80 * i + j)}</p></article>" for j in range(1 + i % 3))
+    text = [[words(3, i), words(60, 300 + i), words(50, 600 + i)] for i in range(5)]
+    pages = [f"<body><main><h1>{a}</h1><p>{b}</p><p>{c}</p>{cards(i)}</main></body>" for i, (a, b, c) in enumerate(text)]
+    assert [html_extract.extract(page, wrapper(pages)) for page in pages] == ["\n".join(t) for t in text]
+    assert html_extract.extract("<main><p>real body text</p><article><p>card teaser</p></article></main>") == "real body text"
+
+
+def test_html_names_are_hints():
+    page = "<article><div class='entry-header'><h1>Head</h1><span>by me</span></div><p class='share-price'>price is up</p><p>body</p><div class='share-links'>x</div></article><article><h3>x</h3><ul><li>teaser</ul></article>"
+    assert html_extract.extract(page) == "Head\nprice is up\nbody"
+    table = [f"<table><tr><td><a href=a>menu</a><td><h1>{words(3, i)}</h1><p>{words(50, 10 + i)}</table>" for i in range(3)]
+    assert html_extract.extract(table[1], wrapper(table)) == f"{words(3, 1)}\n{words(50, 11)}"
+
+
+def test_html_long_and_mixed_pages():
+    rng = np.random.default_rng(4)
+    forms = ["<p>%s", "<h2>%s</h2>", "<ul><li>%s</ul>", "<blockquote>%s</blockquote>", "<div><p>%s</div>"]
+    pages = ["<body><article>" + "".join(forms[k] % f"t{i}" for i, k in enumerate(rng.integers(0, 5, 20_000))) for _ in range(2)]
+    w = wrapper(pages)
+    assert len(w.text()) < 5_000 and html_extract.extract(pages[0], w).split("\n") == [f"t{i}" for i in range(20_000)]
+    assert html_extract.extract("<div>" * 5_000 + "<article><p>x</p></article>") == "x"
+
+
 def test_wrapper_grammar():
     w = html_extract.Wrapper()
     for body in ("<ul><li>a</li></ul>", "<h2>t</h2><ul><li>a</li><li>b</li></ul>", "<ul><li>c</li></ul><dl><dt>x<dd>y<dt>z<dd>w</dl>"):
@@ -313,8 +363,7 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
-    rows = [r for r in ODD if r[0]][:-1] + [(50 + i, "many words " * (40 * i + 1)) for i in range(60)] + [(200, "<|endoftext|>")]
+    rows = [r for r in ODD if r[0]][:-1] + [(50 + i, "many words " * (40 * i + 1)) for i in range(60)] + [(200, "<|endoftext|>"), (201, "a <|endoftext|> b"), (202, "<|endoftext|")]
     got = packing.pack(docs(spark, rows), tokenizer("byte_bpe_50k.json")).collect()
     import zlib
 
