@@ -134,6 +134,23 @@ def test_url_model(spark):
     assert sum(r["s"] for r in got if r["y"]) > 1.5 * sum(r["s"] for r in got if not r["y"])
 
 
+def test_url_model_on_held_out_sites(spark):
+    """Every seventh labelled url is left out in turn of two; what names share tells, and unknown names are allowed."""
+    right = []
+    for k in (1, 4):
+        part = lambda us, out: [u for i, u in enumerate(us) if (i % 7 == k) == out]
+        model = url_filter.fit(spark, part(url_filter.ALLOWED, False), part(url_filter.BLOCKED, False))
+        rows = [(u, 0) for u in part(url_filter.ALLOWED, True)] + [(u, 1) for u in part(url_filter.BLOCKED, True)]
+        got = spark.createDataFrame(rows, "u string, y int").select("y", url_filter.score(F.col("u"), model).alias("s")).collect()
+        right += [(r["s"] >= 0.5) == bool(r["y"]) for r in got]
+    assert len(right) > 50 and np.mean(right) > 0.8
+    rng = np.random.default_rng(8)
+    names = ["".join(rng.choice(list("bcdfgklmnprstv"), 1)[0] + rng.choice(list("aeiou"), 1)[0] for _ in range(4)) for _ in range(40)]
+    rows = [(n, f"{n}.example.org/en/7") for n in names]
+    got = spark.createDataFrame(rows, "n string, u string").select(url_filter.score(F.col("u"), url_filter.fit(spark)).alias("s")).collect()
+    assert sum(r["s"] < 0.5 for r in got) >= 38
+
+
 def test_quality(spark):
     rng = np.random.default_rng(2)
     good = [" ".join(rng.choice(["the", "river", "runs", "to", "sea."], 40)) for _ in range(120)]
