@@ -2,9 +2,9 @@
 
 Base matches are the seeds, each whole. The two words before a seed, whatever they are, are a lexical pattern; what else stands after a pattern
 and looks like an identifier is an instance: a run of tokens with a digit or an @, blanks between them, that ends at a line's end, after
-,;:.!? and at a base match. On the graph of patterns and instances scores are passed to and fro: a pattern's
-score is its instances' mean score, an instance's what its patterns together say; seeds keep theirs. No link is left out, so instances found in one round bring in
-patterns in the next. Patterns with enough support, a high score, and after which
+,;:.!? and at a base match. On the graph of patterns and instances scores are passed to and fro: a pattern's score is its instances' mean
+score, an instance's what its patterns together say; seeds keep theirs. No link is left out, so instances found in one round bring in
+patterns in the next. Scores only ever rise, so this ends, at a fixed point. Patterns with enough support, a high score, and after which
 identifiers stand most of the time, name the kind of their unseen instances.
 """
 
@@ -16,12 +16,10 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 KINDS = ["email", "ip", "card", "phone"]
-ROUNDS = 3
 SUPPORT = 3  # least sum of the scores of a pattern's distinct instances
 CONFIDENCE = 0.6  # least score of a pattern, and of a new instance
 SPECIFIC = 0.5  # least share of a pattern's occurrences that identifiers follow
 CELL = 256  # characters
-LEFT = 64  # characters before a match that its pattern is taken from
 BROADCAST_ROWS = 100_000
 
 #: Fixed values of the query's contract, written so that no search goes over a run of characters twice: possessive, and begun where a run begins.
@@ -37,16 +35,27 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _IP = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
 
 
+_PIECE = "struct<kind:string,value:string,gap:int,left:string,whole:boolean,blank:boolean>"
+
+
+def _before(gap: Column) -> tuple[Column, Column, Column]:
+    """Of the text before a token: its last two words; whether that is all of it; whether it is nothing but blanks."""
+    tail = F.reverse(F.regexp_extract(F.reverse(gap), r"^\s*+(?:\S++(?:\s++\S++)?+)?+\s*+", 0))
+    return F.regexp_replace(tail, r"\s+", " "), F.length(tail) == F.length(gap), gap.rlike(r"^[^\S\r\n]++$")
+
+
 def _pieces(text: Column, kind: str) -> Column:
-    """Matches of one kind with the length of the gap before each, and the end of that gap."""
-    pattern = F.lit(_FIND[kind])
+    """Matches of one kind with the length of the gap before each, and what that gap ends in."""
     gaps = F.split(text, _FIND[kind], -1)
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    left = (lambda g: F.right(g, F.lit(LEFT))) if kind == "token" else (lambda g: F.lit(""))
-    rows = F.zip_with(matches, gaps, lambda m, g: F.when(m.isNotNull(), F.struct(F.lit(kind).alias("kind"), m.alias("value"), F.length(g).alias("gap"), left(g).alias("left"))))
+    matches = F.regexp_extract_all(text, F.lit(_FIND[kind]), F.lit(0))
+
+    def piece(m: Column, g: Column) -> Column:
+        left, whole, blank = _before(g) if kind == "token" else (F.lit(""), F.lit(False), F.lit(False))
+        return F.when(m.isNotNull(), F.struct(F.lit(kind).alias("kind"), m.alias("value"), F.length(g).alias("gap"), left.alias("left"), whole.alias("whole"), blank.alias("blank")))
+
+    rows = F.zip_with(matches, gaps, piece)
     has = text.contains(_HINT[kind]) if kind in _HINT else text.rlike("[0-9@]" if kind == "token" else "[0-9][^@]*[0-9]")
-    empty = F.array().cast("array<struct<kind:string,value:string,gap:int,left:string>>")
-    return F.when(has, F.filter(rows, lambda r: r.isNotNull())).otherwise(empty)
+    return F.when(has, F.filter(rows, lambda r: r.isNotNull())).otherwise(F.array().cast(f"array<{_PIECE}>"))
 
 
 def _luhn(digits: Column) -> Column:
@@ -75,11 +84,12 @@ def found(texts: DataFrame) -> DataFrame:
         .when(F.col("kind") == "phone", n.between(8, 15)).otherwise(F.lit(True))
     )
     o = Window.partitionBy("doc_id", "h", "kind").orderBy("n")
-    last = lambda c, n=1: F.lag(c, n).over(o)
-    near = lambda gap, value: F.coalesce(F.when(gap <= LEFT, value), F.lit(""))
-    before = F.concat(near(last("gap"), last("value", 2)), last("left"))  # the two words may be tokens themselves
-    before = F.concat(near(F.col("gap"), F.concat(before, last("value"))), "left")
-    glue = (F.col("gap") <= LEFT) & F.col("left").rlike(r"^[^\S\r\n]+$") & ~F.coalesce(last("value"), F.lit(",")).rlike("[,;:.!?]$")
+    last = lambda c, by=1: F.lag(c, by).over(o)
+    none = lambda c: F.coalesce(c, F.lit(""))
+    # The two words may be tokens themselves, if fewer than two words stand since the last ones.
+    earlier = F.concat(F.when(last("whole"), none(last("value", 2))).otherwise(F.lit("")), none(last("left")), none(last("value")))
+    before = F.concat(F.when(F.col("whole"), earlier).otherwise(F.lit("")), "left")
+    glue = F.col("blank") & ~F.coalesce(last("value"), F.lit(",")).rlike("[,;:.!?]$")
     token = F.col("kind") == "token"
     rows = rows.withColumn("before", before).withColumn("glue", glue)
     return rows.where(holds).select("doc_id", "h", "kind", "value", "start", "end", F.when(token, _pattern(F.col("before"))).alias("pattern"), (token & F.col("glue")).alias("glue"))
@@ -119,13 +129,17 @@ def learnt(rows: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     links = scratch.save(edges.select("pattern", "instance").distinct(), "links")
     scores, patterns = scratch.save(seeds, "scores0"), None
     sizes = links.groupBy("pattern").agg(F.count("*").alias("size"))
-    for k in range(1, ROUNDS + 1):
+    state, now, k = None, (), 0
+    while state != now:  # until no score changes
+        state, k = now, k + 1
         patterns = links.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("support")).join(sizes, "pattern")
         patterns = patterns.withColumn("weight", F.col("support") / F.col("size")).where((F.col("support") >= SUPPORT) & (F.col("weight") >= CONFIDENCE))
         patterns = scratch.save(patterns, f"patterns{k}")
         told = links.join(patterns, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("weight")))))).alias("score"))
         new = told.join(seeds.select("instance").distinct(), "instance", "left_anti")
         scores = scratch.save(seeds.unionByName(new), f"scores{k}")
+        now = tuple(scores.agg(F.count("*"), F.sum(F.round(F.col("score") * 1_000_000).cast("long"))).first())
+        scratch.drop(f"scores{k - 1}", f"patterns{k - 1}")
     n = patterns.count()
     wanted = patterns.select("pattern").distinct()
     wanted = F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted
@@ -156,7 +170,7 @@ def spans(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
 
 
 def personal_data(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) per row of docs; counts are of the base spans.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) per row of docs; counts by kind are of the base spans.
 
     Null is the empty text; texts without spans have counts of 0, the hash of the empty string and an empty list. Repeated rows give a
     row each; a null doc_id is kept. Texts are taken whole. An empty table gives no rows. Other columns aren't read. Spans of
@@ -168,11 +182,12 @@ def personal_data(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     item = F.struct(order.alias("k"), "start", "end", F.concat_ws(":", "kind", "start", "end").alias("s"))
     joined = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: x["s"]), ",")
     counts = [F.count_if((F.col("kind") == k) & F.col("base")).alias(f"n_{k}") for k in KINDS]
-    per = marked.groupBy("doc_id", "h").agg(*counts, joined(F.collect_list(F.when(F.col("base"), item))).alias("b"), joined(F.collect_list(item)).alias("all"))
-    per = per.select(F.col("doc_id").alias("d"), F.col("h").alias("hh"), *(f"n_{k}" for k in KINDS), "b", "all")
+    per = marked.groupBy("doc_id", "h").agg(*counts, joined(F.collect_list(F.when(F.col("base"), item))).alias("b"), joined(F.collect_list(item)).alias("all"), F.count("*").alias("n_spans"))
+    per = per.select(F.col("doc_id").alias("d"), F.col("h").alias("hh"), *(f"n_{k}" for k in KINDS), "b", "all", "n_spans")
     out = docs.select("doc_id", "h").join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh")), "left")
     zero = [F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return out.select("doc_id", *zero, F.sha2(F.coalesce("b", F.lit("")), 256).alias("base_sha256"), F.coalesce("all", F.lit("")).alias("spans"))
+    whole = [F.coalesce("all", F.lit("")).alias("spans"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans")]
+    return out.select("doc_id", *zero, F.sha2(F.coalesce("b", F.lit("")), 256).alias("base_sha256"), *whole)
 
 
 def redact(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -188,17 +203,19 @@ def redact(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     rows = rows.withColumn("g", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.groupBy("doc_id", "h", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", F.negate("end"), "kind")).alias("kind"))
     per = rows.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("cuts"))
-    per = per.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("cuts").alias("_cuts"))
-    joined = docs.join(per, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_h")), "left")
-    cuts, text = F.col("_cuts"), F.col("text")
+    per = per.select(F.struct("doc_id", "h", "cuts").alias("per"))
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # no other column's name can clash
+    of = lambda c: F.col("row").getField(c)
+    joined = row.join(per, of("doc_id").cast("long").eqNullSafe(F.col("per.doc_id")) & (F.xxhash64(F.coalesce(of("text"), F.lit(""))) == F.col("per.h")), "left")
+    cuts, text = F.col("per.cuts"), of("text")
     at = F.sequence(F.lit(0), F.size(cuts) - 1)
     part = lambda i: F.concat(F.substring(text, _end(cuts, i) + 1, F.get(cuts, i)["start"] - _end(cuts, i)), F.lit("["), F.upper(F.get(cuts, i)["kind"]), F.lit("]"))
     tail = F.substring(text, F.element_at(cuts, -1)["end"] + 1, F.length(text))
     new = F.when(cuts.isNull(), text).otherwise(F.concat(F.array_join(F.transform(at, lambda i: part(i.cast("int"))), ""), tail))
-    kept = {c: F.col(c) for c in docs.columns}
+    kept = {c: of(c) for c in docs.columns} | {"text": new}
     if "n_chars" in kept:
-        kept["n_chars"] = F.when(cuts.isNull(), F.col("n_chars")).otherwise(F.length(new).cast(docs.schema["n_chars"].dataType)).alias("n_chars")
-    return joined.select(*(new.alias("text") if c == "text" else e for c, e in kept.items()))
+        kept["n_chars"] = F.when(cuts.isNull(), of("n_chars")).otherwise(F.length(new).cast(docs.schema["n_chars"].dataType))
+    return joined.select(*(e.alias(c) for c, e in kept.items()))
 
 
 def _end(cuts: Column, i: Column) -> Column:

@@ -209,6 +209,47 @@ def test_identifiers_of_several_tokens(spark):
     assert got[40][-1] == "email:user#19(at)a19" and len(got[40]) == 9
 
 
+def test_learnt_spans_of_a_planted_corpus(spark):
+    """Identifiers that no base pattern knows stand where base ones do, among numbers that tell nothing: what is named, and rightly."""
+    rng = np.random.default_rng(11)
+    pick = lambda *xs: xs[rng.integers(len(xs))]
+    known = {
+        "email": lambda: f"user{rng.integers(999)}@mail{rng.integers(99)}.example.org", "phone": lambda: f"+1 ({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)}",
+        "ip": lambda: ".".join(map(str, rng.integers(1, 255, 4))),
+    }
+    hidden = {"email": lambda: f"bob{rng.integers(999)}(at)host{rng.integers(9)}", "phone": lambda: f"0743 555 {rng.integers(1000, 9999)}", "ip": lambda: f"fe80::{rng.integers(999)}:{rng.integers(99)}"}
+    cues = {"email": ["write to", "reach us at"], "phone": ["call me on", "our phone number"], "ip": ["host address is", "logged in from"]}
+    rows, planted = [], {}
+    for i in range(600):
+        kind = pick(*cues)
+        lead, tail = f"{words(6, 5000 + i)} {pick(*cues[kind])} ", f" {words(4, 9000 + i)} and {pick('in about', 'page number', 'a total of')} {rng.integers(3000)} {words(3, 7000 + i)}"
+        value = (hidden if i % 5 == 0 else known)[kind]()
+        if i % 5 == 0:
+            planted[i] = f"{kind}:{value}"
+        rows.append((i, re.sub(r"w(\d)", lambda m: "w" + "abcdefghij"[int(m[1])], lead.replace("0", "o")) + value + tail))
+    got = learnt_spans(spark, [(i, re.sub(r"(?<=\bw)\S+", lambda m: m[0].translate(str.maketrans("0123456789", "abcdefghij")), t)) for i, t in rows])
+    named = {(i, s) for i, spans in got.items() for s in spans}
+    base = {(i, s) for i, s in named if i not in planted}
+    right = {(i, s) for i, s in planted.items()} & named
+    assert len(base) >= 480 and len(right) >= 0.9 * len(planted)
+    assert len(right) >= 0.95 * sum(1 for i, _ in named if i in planted)
+
+
+def test_contexts_are_whole_words(spark):
+    long = "x" * 300
+    rows = [(i, f"your {long} is user{i}@a{i}.org") for i in range(4)] + [(9, f"your {long} is bob(at)host7"), (10, f"your {long[1:]} is bob(at)host8")]
+    got = learnt_spans(spark, rows)
+    assert got[9] == ["email:bob(at)host7"] and got[10] == []
+    rows = [(i, f"id 55 code user{i}@a{i}.org") for i in range(4)] + [(9, "id 55 code bob(at)host7")]  # a token is a word of the pattern
+    assert learnt_spans(spark, rows)[9] == ["email:bob(at)host7"]
+
+
+def test_redact_keeps_clashing_columns(spark):
+    rows = [(1, "a@b.c x", 7, "h", "cuts", 9)]
+    got = pii.redact(spark.createDataFrame(rows, "doc_id long, text string, _d int, h string, cuts string, n_chars int")).collect()
+    assert [tuple(r) for r in got] == [(1, "[EMAIL] x", 7, "h", "cuts", 9)]
+
+
 def test_bootstrapping_widens(spark):
     rows = [(i, f"please write to user{i}@a{i}.org soon") for i in range(20)]
     rows += [(30 + i, f"please write to id#{i}xyz soon, the handle is id#{i}xyz again") for i in range(5)]
