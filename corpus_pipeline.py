@@ -33,13 +33,9 @@ def by_key(docs: DataFrame) -> DataFrame:
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on those that have a label, doesn't reject. A label of an id holds for each of its texts.
 
-    Every row is judged by its own text, those of null and reused ids too.
+    Every row is judged by its own text, those of null and reused ids too; a null text has the features of no text.
     """
-    rows, odd = keyed(docs)
-    labels = table(spark, sf_dir, "labels")
-    labels = labels.join(odd.select("id", "_key"), labels.doc_id.cast("long") == F.col("id"), "left").withColumn("doc_id", F.coalesce("_key", F.col("doc_id").cast("long")))
-    good = quality.score_documents(by_key(rows), labels).where("predicted = 1").select(F.col("doc_id").alias("_key")).distinct()
-    return rows.join(good, "_key", "left_semi").select(*docs.columns)
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,14 +51,14 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark doesn't contaminate, each row by its own text."""
-    rows, _ = keyed(docs)
-    bad = decontam.contamination(by_key(rows), table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_key")).distinct()
-    return rows.join(bad, "_key", "left_anti").select(*docs.columns)
+    """Documents that the benchmark doesn't contaminate, each row by its own text; null and empty texts stay."""
+    bad = decontam.judged(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", "h").distinct()
+    bad = bad.withColumnsRenamed({"doc_id": "_bad_id", "h": "_bad_h"})
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_h")), "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their personal data replaced by its kind."""
+    """Documents with their personal data replaced by its kind; rows of null and reused ids by their own texts, null texts as they are."""
     return pii.redact(docs)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -9,20 +10,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_SHARED = "/tmp/checkpoints/notelake"
+LOCAL_SHARED = "/tmp/checkpoints/notelake"  # of local sessions alone, as in tests
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local default where that is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, which has one machine, may leave it unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (found or LOCAL_SHARED).rstrip("/")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 class Scratch:
-    """Tables of one run of an operator, as Parquet in the shared folder. They cut lineage and outlive executors."""
+    """Tables of one run of an operator, as Parquet in the shared folder. They cut lineage and outlive executors.
+
+    An operator drops what its result doesn't read; what it reads stays until clean(), which whoever has written the result calls.
+    """
+
+    roots: list[str] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/notelake-{name}-{uuid.uuid4().hex}"
+        Scratch.roots.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -33,10 +48,14 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, self.path(name))
+
+    @classmethod
+    def clean(cls, spark: SparkSession) -> None:
+        """Delete all tables of this process's operators; results that aren't written yet can't be read after it."""
+        while cls.roots:
+            _delete(spark, cls.roots.pop())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,8 +21,10 @@ WIDTH = 1.2  # of a quantisation step; vectors with cosine 0.93 are 0.374 apart,
 BLOCK = 1024
 
 
-def normalised(vectors: list) -> np.ndarray | None:
+def normalised(vectors: list) -> np.ndarray:
+    """Vectors of length 1; the largest component goes first, so that no square over- or underflows."""
     x = np.array(vectors, np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 

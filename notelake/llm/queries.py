@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, embed_dedup, html_extract, packing, pii, quality, sigtree, token_count, url_filter, warc
 from .common import table
@@ -54,11 +55,17 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigtree.similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def term_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences of two frequent words at most three words apart, per document: the index's other kind of match."""
+    near = decontam.proximity(table(spark, sf_dir, "documents"), "the", "of", 3)
+    return near.groupBy("doc_id").agg(F.count("*").alias("n_near"), F.min(F.least("pos_first", "pos_second")).cast("long").alias("first_at"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_url_filter, op3_quality_classifier, op4_personal_data, op5_token_counts, op6_html_extraction,
-        op7_decontamination, op8_warc, op9_best_fit_packing, op10_ngram_jaccard_join,
+        op7_decontamination, op8_warc, op9_best_fit_packing, op10_ngram_jaccard_join, term_proximity,
     )
 }
 
@@ -73,6 +80,12 @@ ORACLE_SQL = {
                CASE WHEN f.first <> page_id THEN f.first END AS refers_to
         FROM p LEFT JOIN f USING (payload_digest)
     """,
+    "term_proximity": r"""
+        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+        t AS (SELECT doc_id, w[i + 1] AS word, i AS pos FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM w) WHERE w[i + 1] IN ('the', 'of'))
+        SELECT a.doc_id, count(*) AS n_near, CAST(min(least(a.pos, b.pos)) AS BIGINT) AS first_at
+        FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.word = 'the' AND b.word = 'of' AND abs(a.pos - b.pos) BETWEEN 1 AND 3 GROUP BY a.doc_id
+    """,
     "op1_embedding_near_dedup": """
         WITH RECURSIVE v AS (
             SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, CAST(embedding AS VARCHAR) AS same FROM embeddings

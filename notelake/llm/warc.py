@@ -17,19 +17,30 @@ from .common import Scratch
 
 CHUNK = 1 << 16
 LEAST = 100  # payloads of fewer bytes are never revisits
+SALTED, SALTS = 10_000, 1_000  # a payload's pages are dealt to a task each so many, to so many at most
+HEAVY = 100_000  # payloads that so many pages share are few; beyond this number they are joined, not broadcast
 KIND = "archive int, record long, chunk int, data binary, digest string"
 _NAMES = ["archive", "record", "chunk", "data", "digest"]
 _TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.string()]
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, payload_bytes, payload_digest, refers_to): refers_to is null for responses."""
+    """(page_id, url, html, payload_bytes, payload_digest, refers_to): refers_to is null for responses.
+
+    Digests are grouped without their payloads, with a partial count in each task; then only revisits, as pairs of page and digest, meet the
+    pages again, by both, so that a payload that very many pages share doesn't bring them all to one task.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    digest, size = F.sha2("html", 256), F.octet_length("html").cast("long")
-    firsts = rows.select(digest.alias("payload_digest"), size.alias("n"), "page_id").where(F.col("n") >= LEAST)
-    firsts = firsts.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("many")).where("many > 1").drop("many")
-    rows = rows.withColumn("payload_bytes", size).withColumn("payload_digest", digest).join(firsts, "payload_digest", "left")
-    return rows.withColumn("refers_to", F.when(F.col("page_id") != F.col("first"), F.col("first"))).drop("first")
+    rows = rows.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha2("html", 256))
+    narrow = rows.where(F.col("payload_bytes") >= LEAST).select("payload_digest", "page_id")
+    firsts = narrow.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("many")).where("many > 1")
+    salts = F.ceil(F.col("many") / SALTED).cast("int")
+    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.least(salts, F.lit(SALTS)) - 1))).select("payload_digest", "first", "salt", F.least(salts, F.lit(SALTS)).alias("salts"))
+    heavy = firsts.where("salts > 1").select("payload_digest", "salts").distinct().withColumnsRenamed({"payload_digest": "d", "salts": "of"})
+    dealt = narrow.join(F.broadcast(heavy) if heavy.count() <= HEAVY else heavy, F.col("payload_digest") == F.col("d"), "left")
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.coalesce("of", F.lit(1))).cast("int"))
+    again = dealt.join(firsts.drop("salts"), ["payload_digest", "salt"]).where("page_id <> first").select("page_id", "payload_digest", "first").distinct()
+    return rows.join(again, ["page_id", "payload_digest"], "left").withColumnRenamed("first", "refers_to")
 
 
 def _uri(url: str) -> str:

@@ -104,6 +104,7 @@ def test_vectors(spark):
     near = np.concatenate([base, base + rng.standard_normal((40, 16)) * 0.05, base[:5], base[:3] * 2])
     rows = [(i, [float(v) for v in x], i % 40 % 3) for i, x in enumerate(near)]
     rows += [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [None] * 16, 1), (904, rows[0][1], None), (905, [float("inf")] + [1.0] * 15, 1), (906, [], 1), (907, [1.0, 2.0], 1)]
+    rows += [(910 + i, [v * by for v in rows[0][1]], 9) for i, by in enumerate((1e200, 1e-200, 1e-310))] + [(915, [0.0] * 15 + [1e-310], 9)]
     got = {r["vec_id"]: r for r in embed_dedup.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     unit = near / np.linalg.norm(near, axis=1, keepdims=True)
     label = np.array([r[2] for r in rows[: len(near)]])
@@ -113,6 +114,7 @@ def test_vectors(spark):
     assert link.sum() * 0.9 <= found <= link.sum()
     assert all(got[i]["n_links"] <= link[i].sum() for i in range(len(near)))
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 908))
+    assert [got[i]["component_id"] for i in (910, 911, 912, 915)] == [910, 910, 910, 915]
 
 
 def test_urls(spark):
@@ -391,15 +393,39 @@ def test_decontamination(spark):
                     its |= own
         sha = hashlib.sha256(",".join(sorted(map(str, its))).encode()).hexdigest()
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (len(w), len(hit), len(its), sha, bool(hit) and 20 * len(hit) >= len(w))
-    near = decontam.proximity(docs(spark, [(1, "a x b x x x a b")]), "a", "b", 2).collect()
+    same = decontam.contamination(docs(spark, [(None, item), (7, item), (7, "clean words"), (None, "clean")]), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_hit"], r["contaminated"]) for r in same) == [(0, 0, False), (0, 20, True), (7, 0, False), (7, 20, True)]
+    near = decontam.proximity(docs(spark, [(1, "a x b x x x a b"), (1, "a x b x x x a b")]), "a", "b", 2).collect()
     assert {(r["pos_first"], r["pos_second"]) for r in near} == {(0, 2), (6, 7)}
 
 
-def test_warc(spark, tmp_path):
+def test_decontamination_by_shuffle(spark, monkeypatch):
+    """Beyond the bound for broadcasts, postings and windows are joined by shuffle, with the same rows."""
+    items = spark.createDataFrame([(1, " ".join(f"t{i}" for i in range(20))), (2, "rare phrase")], "item_id long, text string")
+    rows = docs(spark, [(1, "x " + " ".join(f"t{i}" for i in range(3, 18))), (2, "a rare phrase, a rare phrase"), (3, None)])
+    want = sorted(map(tuple, decontam.contamination(rows, items).collect()))
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, decontam.contamination(rows, items).collect())) == want and want[0][2] == 15 and want[1][2] == 4
+
+
+def test_scratch_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from notelake.llm.common import shared_dir
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_dir(far)
+    far.conf.get = lambda key, default: "hdfs://shared/"
+    assert shared_dir(far) == "hdfs://shared"
+
+
+def test_warc(spark, tmp_path, monkeypatch):
     big, small = "é" * 300_000, "s" * 99
     rows = [(3, "http://a/ b", big), (1, None, big), (2, "u", small), (4, "u", small), (5, "u", None), (6, "u", "x" * 100), (7, "u", "x" * 100), (7, "u", "x" * 100), (8, "u", "a\r\n\r\nb" * 30)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     scratch = Scratch(spark, "t")
+    monkeypatch.setattr(warc, "SALTED", 1)  # every shared payload is dealt out
     chunks = warc.write_archives(warc.plan_records(pages), scratch)
     assert chunks.agg(F.max(F.length("data"))).first()[0] < 2 * warc.CHUNK
 
