@@ -19,6 +19,7 @@ TABLES = 24
 DIRECTIONS = 8  # of one table
 WIDTH = 1.2  # of a quantisation step; vectors with cosine 0.93 are 0.374 apart, unrelated ones about 1.41
 BLOCK = 1024
+SMALL = 64  # vectors in a bucket that is compared along with others
 
 
 def normalised(vectors: list) -> np.ndarray:
@@ -117,26 +118,68 @@ def _forest(n: int, pairs: np.ndarray) -> np.ndarray:
     return np.stack([far, root[far]], 1)
 
 
+def _compare_small(rows: pa.Table, group: np.ndarray, threshold: float) -> pa.RecordBatch:
+    """Counts of links and a spanning forest of many small buckets at once: rows k places apart in the sorted table, for each k."""
+    t, rep, many = (rows.column(c).to_numpy() for c in ("t", "rep", "many"))
+    raw = rows.column("vector").to_pylist()
+    code = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.int64).reshape(len(rep), -1)
+    sizes, table = np.array(list(map(len, raw))), np.arange(code.shape[1])
+    links, pairs = np.zeros(len(rep), np.int64), [np.empty((0, 2), np.int64)]
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        x, g = normalised(np.frombuffer(b"".join([raw[i] for i in at])).reshape(len(at), -1)), group[at]
+        for k in range(1, len(at)):
+            i = np.flatnonzero(g[k:] == g[:-k])
+            if not len(i):
+                break
+            i = i[np.einsum("ij,ij->i", x[i], x[i + k]) >= threshold]
+            i, j = at[i], at[i + k]
+            new = ~((code[i] == code[j]) & (table < t[i][:, None])).any(1)  # a pair counts in the first table where it meets
+            i, j = i[new], j[new]
+            np.add.at(links, i, many[j])
+            np.add.at(links, j, many[i])
+            pairs.append(np.stack([i, j], 1))
+    nodes, at = np.unique(rep, return_inverse=True)
+    total = np.bincount(at, links, len(nodes)).astype(np.int64)
+    forest = _forest(len(nodes), at[np.concatenate(pairs)])
+    some = np.flatnonzero(total)
+    a, b = np.concatenate([nodes[some], nodes[forest[:, 0]]]), np.concatenate([np.full(len(some), -1), nodes[forest[:, 1]]])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.concatenate([total[some], np.zeros(len(forest), np.int64)]), pa.int64()), pa.array(np.arange(len(a)) >= len(some))], names=["a", "b", "n", "edge"])
+
+
 def _compared(threshold):
+    """Over rows sorted by bucket: small buckets together, large ones as a matrix product each."""
+
+    def whole(rows: pa.Table, cuts: np.ndarray):
+        sizes = np.diff(cuts)
+        small = sizes <= SMALL
+        if small.any():
+            group = np.repeat(np.arange(len(sizes)), sizes)
+            keep = np.flatnonzero(small[group])
+            yield _compare_small(rows.take(pa.array(keep)), group[keep], threshold)
+        for lo, hi in zip(cuts[:-1][~small].tolist(), cuts[1:][~small].tolist()):
+            yield _compare(rows.slice(lo, hi - lo), threshold)
+
+    def cuts_of(rows: pa.Table) -> np.ndarray:
+        change = np.zeros(rows.num_rows, bool)
+        for c in ("label", "t", "code", "s1", "s2"):
+            k = rows.column(c).to_numpy()
+            change[1:] |= k[1:] != k[:-1]
+        return np.array([0, *np.flatnonzero(change), rows.num_rows])
+
     def run(batches):
-        rows, key = [], None
+        held: list = []  # the last bucket may go on in the next batch
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "t", "code", "s1", "s2")]
-            change = np.zeros(batch.num_rows, bool)
-            for k in keys:
-                change[1:] |= k[1:] != k[:-1]
-            cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-            for lo, hi in zip(cuts, cuts[1:]):
-                now = tuple(k[lo] for k in keys)
-                if rows and now != key:
-                    yield _compare(pa.Table.from_batches(rows), threshold)
-                    rows = []
-                key = now
-                rows.append(batch.slice(lo, hi - lo))
-        if rows:
-            yield _compare(pa.Table.from_batches(rows), threshold)
+            rows = pa.Table.from_batches([*held, batch])
+            cuts = cuts_of(rows)
+            if len(cuts) > 2:
+                yield from whole(rows.slice(0, cuts[-2]), cuts[:-1])
+            held = rows.slice(cuts[-2]).to_batches()
+        if held:
+            rows = pa.Table.from_batches(held)
+            yield from whole(rows, np.array([0, rows.num_rows]))
 
     return run
 
