@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.llm import decontam, packing, pii, quality, sigtree
-from notelake.llm.common import Scratch, table
+from notelake.llm.common import Scratch, small, table
 from notelake.llm.queries import tokenizer
 
+COPIES = 2_000_000  # keys, a number each, up to this number are broadcast to drop copies; beyond it they are joined
+
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs with _key, and (_key, id, h) of the texts whose id is null or has other texts too: those have a key of their own, below all
@@ -44,17 +46,22 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Texts that share an id are documents of their own.
     """
     rows, odd = keyed(docs)
-    found = sigtree.similar_documents(by_key(rows)).select(F.col("doc_id").alias("_key"), "component_id").distinct().join(odd, "_key", "left")
+    scratch = Scratch(spark, "copies")
+    found = sigtree.similar_documents(by_key(rows)).select(F.col("doc_id").alias("_key"), "component_id")
+    found = scratch.save(found.groupBy("_key").agg(F.min("component_id").alias("component_id"), F.count("*").alias("many")).join(odd, "_key", "left"), "found")
     id = F.when(F.col("h").isNull(), F.col("_key")).otherwise(F.col("id"))
-    kept = found.groupBy("component_id").agg(F.min_by("_key", F.struct(id.isNull(), id, "h")).alias("_key")).select("_key")
-    return rows.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    kept = found.groupBy("component_id").agg(F.min_by("_key", F.struct(id.isNull(), id, "h")).alias("_key"))
+    gone = scratch.save(found.join(kept.select("_key"), "_key", "left_anti").select("_key"), "gone")
+    again = scratch.save(found.where("many > 1").join(gone, "_key", "left_anti").select("_key"), "again")  # rows that repeat an id and a text
+    gone, again = small(gone, COPIES), small(again, COPIES)  # so that the texts that stay aren't shuffled
+    rows = rows.join(gone, "_key", "left_anti")
+    once = rows.join(again, "_key", "left_anti")
+    return once.unionByName(rows.join(again, "_key", "left_semi").dropDuplicates(["_key"])).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark doesn't contaminate, each row by its own text; null and empty texts stay."""
-    bad = decontam.judged(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", "h").distinct()
-    bad = bad.withColumnsRenamed({"doc_id": "_bad_id", "h": "_bad_h"})
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_h")), "left_anti")
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

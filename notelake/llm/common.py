@@ -58,6 +58,11 @@ class Scratch:
             _delete(spark, cls.roots.pop())
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """A narrow table, broadcast if it has at most so many rows, counted; beyond it, left to a shuffle. Give it a written table."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,10 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small
 
 SPAN = 13
 BROADCAST_ROWS = 200_000  # test windows or terms up to this number are broadcast; beyond it Spark chooses
+BAD = 1_000_000  # contaminated texts (two numbers each) up to this number are broadcast to drop them; beyond it they are joined
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: what separates words.
@@ -100,6 +101,14 @@ def judged(docs: DataFrame, items: DataFrame, span: int = SPAN, scratch: Scratch
     )
 
 
+def clean(docs: DataFrame, items: DataFrame, span: int = SPAN, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, whose own text isn't contaminated."""
+    scratch = scratch or Scratch(docs.sparkSession, "clean")
+    bad = judged(docs, items, span, scratch).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("h").alias("_bad_h")).distinct()
+    bad = small(scratch.save(bad, "bad"), BAD)
+    return docs.join(bad, docs.doc_id.cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs.text) == F.col("_bad_h")), "left_anti")
+
+
 def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) per row of docs, each judged by its own text.
 

@@ -203,10 +203,17 @@ def redact(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     rows = rows.withColumn("g", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.groupBy("doc_id", "h", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", F.negate("end"), "kind")).alias("kind"))
     per = rows.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("cuts"))
-    per = per.select(F.struct("doc_id", "h", "cuts").alias("per"))
+    per = scratch.save(per.select(F.struct("doc_id", "h", "cuts").alias("per")), "cuts")
+    scratch.drop("spans")
+    n = per.agg(F.coalesce(F.sum(F.size("per.cuts") + 1), F.lit(0))).first()[0]
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # no other column's name can clash
     of = lambda c: F.col("row").getField(c)
-    joined = row.join(per, of("doc_id").cast("long").eqNullSafe(F.col("per.doc_id")) & (F.xxhash64(F.coalesce(of("text"), F.lit(""))) == F.col("per.h")), "left")
+    met = of("doc_id").cast("long").eqNullSafe(F.col("per.doc_id")) & (F.xxhash64(F.coalesce(of("text"), F.lit(""))) == F.col("per.h"))
+    if n <= BROADCAST_ROWS:
+        joined = row.join(F.broadcast(per), met, "left")
+    else:  # texts without a digit or an @ have no spans and stay where they are
+        some = F.coalesce(of("text").rlike("[0-9@]"), F.lit(False))
+        joined = row.where(some).join(per, met, "left").unionByName(row.where(~some).withColumn("per", F.lit(None).cast(per.schema["per"].dataType)))
     cuts, text = F.col("per.cuts"), of("text")
     at = F.sequence(F.lit(0), F.size(cuts) - 1)
     part = lambda i: F.concat(F.substring(text, _end(cuts, i) + 1, F.get(cuts, i)["start"] - _end(cuts, i)), F.lit("["), F.upper(F.get(cuts, i)["kind"]), F.lit("]"))

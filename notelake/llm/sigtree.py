@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, shingle_sets
+from .common import Scratch, components, shingle_sets, small
 
 SKETCH_BITS = 20  # buckets of the token counts that order tokens; any number gives the same links
 SLICES = 16
@@ -106,8 +106,8 @@ def _levels(made: DataFrame) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """The bitmap of a set; its width, a power of two, is eight times the size at least, so that few tokens share a bit."""
-    width = max(64, 1 << int(8 * len(s) - 1).bit_length())
+    """The bitmap of a set; its width, a power of two, is three times the size at least, so that not many tokens share a bit."""
+    width = max(64, 1 << int(3 * len(s) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -222,10 +222,10 @@ def traverse(x, y, limit: int = 1 << 16):
             stack.append((a, b - 1, np.repeat(i, FANOUT)[ok], child[ok]))
 
 
-def group_pairs(side, rep, cluster, n, sigs, token=None, lists=None):
+def group_pairs(side, rep, cluster, n, sigs, tree=None, lists=None):
     """Candidate pairs between the members of side 0 and side 1 (or within side 0 if there is no other), by dual traversal.
 
-    lists has the tokens of each member's trees, or None: a pair that meets in several trees is returned by that of the smallest token.
+    lists has the numbers of each member's trees, or None: a pair that meets in several trees is returned by that of the smallest number.
     """
     known: dict[int, frozenset | None] = {}
 
@@ -234,7 +234,7 @@ def group_pairs(side, rep, cluster, n, sigs, token=None, lists=None):
             if x not in known:
                 known[x] = None if lists[x] is None else frozenset(lists[x])
         p, q = known[i], known[j]
-        return p is None or q is None or min(p & q) == token
+        return p is None or q is None or min(p & q) == tree
 
     width = np.array([len(s) for s in sigs])
     trees = {}
@@ -260,19 +260,19 @@ def group_pairs(side, rep, cluster, n, sigs, token=None, lists=None):
 
 
 def _tree_pairs(batches):
-    """Over rows sorted by (token, s1, s2): the candidate pairs of each group. A group has 2 * BLOCK rows or so."""
+    """Over rows sorted by (tree, s1, s2): the candidate pairs of each group. A group has 2 * BLOCK rows or so."""
 
     def done(rows):
         t = pa.Table.from_batches(rows)
         col = lambda c: t.column(c).to_numpy()
-        pairs = group_pairs(col("side"), col("rep"), col("cluster"), col("n"), t.column("sig").to_pylist(), int(col("token")[0]), t.column("tokens").to_pylist())
+        pairs = group_pairs(col("side"), col("rep"), col("cluster"), col("n"), t.column("sig").to_pylist(), int(col("tree")[0]), t.column("trees").to_pylist())
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
 
     rows, key = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "s1", "s2")], 1)
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "s1", "s2")], 1)
         cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
         for lo, hi in zip(cuts, cuts[1:]):
             if rows and tuple(keys[lo]) != key:
@@ -321,9 +321,13 @@ def _links(k):
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, scratch: Scratch, tag: str) -> DataFrame:
     """Of pairs (a, b), those that link: by size, then by bitmap, then exactly. Every b gets its text; the texts of a are dealt
     out to salted groups of a's partners, so that one document with many partners doesn't meet them all in one task."""
-    side = lambda s: nodes.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
-    wide = pairs.join(side("a"), "a").join(side("b"), "b").where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
-    near = scratch.save(wide.mapInArrow(_bounded, "a long, b long"), f"{tag}_bounded")
+    n_of = lambda s: nodes.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"))
+    sized = pairs.join(n_of("a"), "a").join(n_of("b"), "b").where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
+    sized = scratch.save(sized, f"{tag}_sized")
+    ids = scratch.save(sized.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{tag}_met")
+    sigs = nodes.select("doc_id", "sig").join(small(ids, WANTED), "doc_id", "left_semi")
+    sig_of = lambda s: sigs.select(F.col("doc_id").alias(s), F.col("sig").alias(f"sig_{s}"))
+    near = scratch.save(sized.join(sig_of("a"), "a").join(sig_of("b"), "b").mapInArrow(_bounded, "a long, b long"), f"{tag}_bounded")
     salted = near.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)))
     ids = scratch.save(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{tag}_ids")
     texts = docs.select("doc_id", "text")
@@ -332,7 +336,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, scrat
     first = salted.select("a", "salt").distinct().join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     second = salted.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     links = scratch.save(second.join(first, ["a", "salt"]).mapInArrow(_links(k), "a long, b long"), f"{tag}_links")
-    scratch.drop(f"{tag}_bounded", f"{tag}_ids", f"{tag}_texts")
+    scratch.drop(f"{tag}_sized", f"{tag}_met", f"{tag}_bounded", f"{tag}_ids", f"{tag}_texts")
     return links
 
 
@@ -375,22 +379,30 @@ def similar_documents(docs: DataFrame, k: int = 5, scratch: Scratch | None = Non
     near = components(links, scratch, "near")
     placed = members.join(near, members.rep == near.node, "left").select("token", "rep", "size", F.coalesce("component", "rep").alias("cluster"))
     placed = scratch.save(placed, "placed")
-    mixed = placed.groupBy("token").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x <> y").select("token")
-    placed = placed.join(mixed, "token", "left_semi")
-    lists = placed.groupBy("rep").agg(F.count("*").alias("many"), F.collect_list("token").alias("tokens"))  # no longer than a prefix
-    placed = placed.join(lists.select("rep", F.when(F.col("many") <= LISTED, F.col("tokens")).alias("tokens")), "rep")
-    rest = placed.join(nodes.select(F.col("doc_id").alias("rep"), "n", "sig"), "rep")
+    # Trees whose members are in several components get short numbers, as each row carries those of its document's trees.
+    mixed = placed.groupBy("token").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x <> y")
+    mixed = scratch.save(mixed.select("token", F.monotonically_increasing_id().alias("id")), "mixed")
+    part, place = F.shiftright("id", 33), F.col("id").bitwiseAND(2**33 - 1)
+    most = mixed.agg(F.coalesce(F.max(part), F.lit(0)).alias("parts"), F.coalesce(F.max(place), F.lit(0)).alias("places")).first()
+    stride = most["places"] + 1
+    number = part * stride + place
+    number = number.cast("int") if (most["parts"] + 1) * stride < 2**31 else number
+    placed = placed.join(mixed.select("token", number.alias("tree")), "token").drop("token")
+    lists = placed.groupBy("rep").agg(F.count("*").alias("many"), F.collect_list("tree").alias("trees"))  # no longer than a prefix
+    lists = lists.select("rep", F.when(F.col("many") <= LISTED, F.col("trees")).alias("trees"))
+    held = scratch.save(lists.join(nodes.select(F.col("doc_id").alias("rep"), "n", "sig"), "rep"), "held")
+    rest = placed.join(held, "rep")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     rest = rest.withColumn("blocks", blocks).withColumn("own", own)
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("token", F.least("own", "other").alias("s1"), F.greatest("own", "other").alias("s2"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "rep", "cluster", "n", "sig", "tokens")
-    pairs = rest.repartition("token", "s1", "s2").sortWithinPartitions("token", "s1", "s2").mapInArrow(_tree_pairs, "a long, b long").distinct()
+    rest = rest.select("tree", F.least("own", "other").alias("s1"), F.greatest("own", "other").alias("s2"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "rep", "cluster", "n", "sig", "trees")
+    pairs = rest.repartition("tree", "s1", "s2").sortWithinPartitions("tree", "s1", "s2").mapInArrow(_tree_pairs, "a long, b long").distinct()
     more = _verified(pairs, nodes, docs, k, scratch, "tree")
     found = components(links.union(more), scratch, "all")
     by_doc = rows.join(classes, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), "set_id")
     out = by_doc.join(found, by_doc.set_id == found.node, "left")
     out = out.select("doc_id", "n_shingles", "set_id", F.coalesce("component", "set_id", "doc_id").alias("component_id"))
-    scratch.drop("shared", "members", "placed", "nodes")
+    scratch.drop("shared", "members", "placed", "nodes", "mixed", "held", "star_links", "tree_links")
     return out
 
