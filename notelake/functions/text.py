@@ -10,48 +10,102 @@ from pyspark.sql import functions as F
 
 #: White space as the corpus format defines it, and an ASCII word boundary.
 WS = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+WS_CHARS = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+_BEGIN, _END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 MAX_PATTERN = 200
 
 
+def _boundary(pattern: str, at: int) -> str:
+    r"""What \b at a place of a pattern stands for: half of the test is enough where a word's character must stand beside it."""
+    before, after = pattern[:at], pattern[at + 2 :]
+    if re.match(r"[A-Za-z0-9_]", after):
+        return _BEGIN
+    if re.search(r"(?<!\\)[A-Za-z0-9_]{2}\??$|^[A-Za-z0-9_]$|(?<!\\)[A-Za-z0-9_]{2}\((?:\?:)?[A-Za-z0-9_|]+\)\??$|[\s+)]\(?[A-Za-z0-9_]{2,}$", before):
+        return _END
+    return BOUNDARY
+
+
 def java(pattern: str, ignore_case: bool = False) -> str:
     """A pattern with an ASCII word boundary and Unicode white space, for Spark's engine."""
-    out = re.sub(r"\[([^\]]*)\\s([^\]]*)\]", lambda m: f"[{m[1]}{WS[1:-1]}{m[2]}]", pattern)
-    out = re.sub(r"(?<!\\)\\s", lambda m: WS, re.sub(r"(?<!\\)\\b", lambda m: BOUNDARY, out))
-    return ("(?i)" if ignore_case else "") + out
+    out = re.sub(r"(?<!\\)\\b", lambda m: _boundary(pattern, m.start()), pattern)
+    out = re.sub(r"\[([^\]]*)\\s([^\]]*)\]", lambda m: f"[{m[1]}{WS[1:-1]}{m[2]}]", out)
+    return ("(?i)" if ignore_case else "") + re.sub(r"(?<!\\)\\s", lambda m: WS, out)
+
+
+def stem(pattern: str) -> str:
+    """Letters and digits that any match of a pattern holds, or '': what it begins with, but for the last one if that is optional."""
+    found = re.match(r"(?:\\b)?([A-Za-z0-9 ]+)(.?)", pattern)
+    if not found or "|" in re.sub(r"\([^)]*\)", "", pattern):
+        return ""
+    return (found[1][:-1] if found[2] in ("?", "*", "{") else found[1]).lower()
+
+
+def _candidate(text: Column, pattern: str) -> Column | None:
+    """A cheap test that every text with a match passes: a search for the stem, before the pattern is tried."""
+    return F.lower(text).contains(stem(pattern)) if stem(pattern) else None
+
+
+def matches(text: Column, pattern: str, ignore_case: bool) -> Column:
+    cheap, test = _candidate(text, pattern), text.rlike(java(pattern, ignore_case))
+    return test if cheap is None else cheap & test
+
+
+def match_count(text: Column, pattern: str, ignore_case: bool) -> Column:
+    cheap, count = _candidate(text, pattern), F.regexp_count(text, F.lit(java(pattern, ignore_case)))
+    return F.coalesce(count if cheap is None else F.when(cheap, count), F.lit(0))
 
 
 def any_match(text: Column, patterns: list[tuple[str, bool]]) -> Column:
     """Whether any (pattern, ignore_case) is found in the text; false for null."""
-    return F.coalesce(reduce(lambda a, b: a | b, [text.rlike(java(p, i)) for p, i in patterns], F.lit(False)), F.lit(False))
+    return F.coalesce(reduce(lambda a, b: a | b, [matches(text, p, i) for p, i in patterns], F.lit(False)), F.lit(False))
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def collapse(text: Column) -> Column:
     return F.regexp_replace(text, f"{WS}+", " ")
 
 
+#: The hash of an empty text.
+EMPTY_HASH = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def body_hash(text: Column) -> Column:
+    """sha256 of the text, white space collapsed to blanks, trimmed, in lower case; EMPTY_HASH for an empty one."""
+    return F.sha2(F.lower(F.trim(collapse(text))), 256)
+
+
 def normal_hash(text: Column) -> Column:
-    """sha256 of the trimmed, collapsed, lower-cased text; null for an empty one."""
-    clean = F.lower(trim(collapse(text)))
-    return F.when(clean != "", F.sha2(clean, 256))
+    """body_hash, null for an empty text."""
+    return F.nullif(body_hash(text), F.lit(EMPTY_HASH))
 
 
 def utf16_length(text: Column) -> Column:
-    return F.length(text) + F.regexp_count(text, F.lit("[\\x{10000}-\\x{10FFFF}]"))
+    """Length in UTF-16 units; only a text with characters of several bytes can have pairs of them."""
+    return F.when(F.octet_length(text) == F.length(text), F.length(text)).otherwise(F.length(text) + F.regexp_count(text, F.lit("[\\x{10000}-\\x{10FFFF}]")))
+
+
+def utf16_left(text: Column, units: int) -> Column:
+    """The first so many UTF-16 units; a pair that the cut would part is left out."""
+    head = F.left(text, F.lit(units))
+    size = lambda c: F.when(F.octet_length(c) == 4, 2).otherwise(1)
+    step = lambda s, c: F.struct((s["n"] + size(c)).alias("n"), (s["k"] + F.when(s["n"] + size(c) <= units, 1).otherwise(0)).alias("k"))
+    kept = F.aggregate(F.split(head, ""), F.struct(F.lit(0).alias("n"), F.lit(0).alias("k")), step, lambda s: s["k"])
+    return F.when(utf16_length(head) <= units, head).otherwise(F.left(head, kept))
 
 
 def first_line(text: Column) -> Column:
     """The first line that isn't blank, trimmed; over 200 characters it is cut and marked."""
     line = F.coalesce(F.get(F.filter(F.transform(F.split(text, "\r?\n"), trim), lambda x: x != ""), F.lit(0)), F.lit(""))
-    return F.when(F.length(line) > 200, F.concat(F.left(line, F.lit(200)), F.lit("..."))).otherwise(line)
+    return F.when(utf16_length(line) > 200, F.concat(utf16_left(line, 200), F.lit("..."))).otherwise(line)
 
 
 def embed_input(name: Column, description: Column, body: Column, limit: int = 8000) -> Column:
-    return F.left(F.concat_ws("\n", *(F.nullif(c, F.lit("")) for c in (name, description, body))), F.lit(limit))
+    """What is embedded of a note: its parts that aren't empty, a line each, cut to a limit."""
+    return utf16_left(F.concat_ws("\n", *(F.nullif(c, F.lit("")) for c in (name, description, body))), limit)
 
 
 def safe_pattern(pattern: str) -> bool:
@@ -74,14 +128,16 @@ def clean_control(text: Column) -> Column:
 
 
 def iso_dates(text: Column) -> Column:
-    """The calendar dates YYYY-MM-DD of a text; impossible ones are left out."""
-    found = F.regexp_extract_all(text, F.lit(r"(?<![0-9])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])"), F.lit(0))
+    """The calendar dates YYYY-MM-DD of a text that stand as words; impossible ones are left out."""
+    found = F.regexp_extract_all(text, F.lit(f"{_BEGIN}[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}{_END}"), F.lit(0))
     return F.filter(F.transform(found, lambda d: F.try_to_date(d, "yyyy-MM-dd")), lambda d: d.isNotNull())
 
 
 def urls(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(r"""https?://[^\s<>"'`)\]]+"""), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:!?]+$", "")))
+    """The http urls of a text, without repeats and without the punctuation that ends a sentence."""
+    found = F.regexp_extract_all(text, F.lit(rf"""{_BEGIN}https?://[^{WS[1:-1]}>"'`)\]]+"""), F.lit(0))
+    cut = F.transform(found, lambda u: F.regexp_replace(u, r"[.,!?;:)\]]+$", ""))
+    return F.array_distinct(F.filter(cut, lambda u: u != ""))
 
 
 #: Extensions that make a bare name a path.
@@ -94,13 +150,30 @@ def looks_like_path(span: Column) -> Column:
     return ~bad & (span.contains("/") | ext.isin(PATH_EXTENSIONS))
 
 
+#: A call in a text, and what may be looked up as a symbol.
+SYMBOL_CALL = r"^[A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*\(\)$"
+SYMBOL_VALUE = r"^[A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*(?:\(\))?$"
+
+
+def symbol_word(value: Column) -> Column:
+    """The word to look for: the last part of a dotted name, without call brackets."""
+    return F.element_at(F.split(F.regexp_replace(value, r"\(\)$", ""), r"\."), -1)
+
+
 def references(body: Column) -> Column:
     """Back-ticked spans that are paths or calls, as structs (kind, value), without repeats."""
     spans = F.transform(F.regexp_extract_all(body, F.lit("`([^`\n]+)`"), F.lit(1)), trim)
-    call = lambda s: s.rlike(r"^[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*\(\)$")
-    kind = lambda s: F.when(looks_like_path(s), "path").when(call(s), "symbol")
-    value = lambda s: F.when(call(s) & ~looks_like_path(s), F.regexp_replace(s, r"\(\)$", "")).otherwise(s)
-    return F.array_distinct(F.filter(F.transform(spans, lambda s: F.struct(kind(s).alias("kind"), value(s).alias("value"))), lambda r: r["kind"].isNotNull()))
+    kind = lambda s: F.when(looks_like_path(s), "path").when(s.rlike(SYMBOL_CALL), "symbol")
+    return F.array_distinct(F.filter(F.transform(spans, lambda s: F.struct(kind(s).alias("kind"), s.alias("value"))), lambda r: r["kind"].isNotNull()))
+
+
+def fixed(number: Column, digits: int = 2) -> Column:
+    return F.format_string(f"%.{digits}f", number.cast("double"))
+
+
+def sanitised(segment: Column) -> Column:
+    """A name as one segment of a path."""
+    return F.regexp_replace(segment, r"[^a-zA-Z0-9._-]+", "-")
 
 
 def edit_suggestion(word: Column, other: Column) -> Column:

@@ -22,8 +22,16 @@ MAX_AGE_DAYS = 90
 
 def exact_duplicates(notes: DataFrame) -> DataFrame:
     """(hash, n, first, ids): notes (id, body) whose bodies are equal but for case and white space; empty ones are left out."""
-    rows = notes.select("id", T.normal_hash(F.col("body")).alias("hash")).where("hash is not null")
-    return rows.groupBy("hash").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.array_sort(F.collect_list("id")).alias("ids")).where("n > 1")
+    rows = notes.select("id", T.body_hash(F.col("body")).alias("hash"))
+    groups = rows.groupBy("hash").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.array_sort(F.collect_list("id")).alias("ids"))
+    return groups.where((F.col("n") > 1) & (F.col("hash") != T.EMPTY_HASH))
+
+
+def exact_duplicate_members(notes: DataFrame) -> DataFrame:
+    """(id, hash, n, first): a row per note of a group, for groups of any size; counts are made in part before the shuffle."""
+    rows = notes.select("id", T.body_hash(F.col("body")).alias("hash"))
+    groups = rows.groupBy("hash").agg(F.count("*").alias("n"), F.min("id").alias("first")).where((F.col("n") > 1) & (F.col("hash") != T.EMPTY_HASH))
+    return rows.join(groups, "hash").select("id", "hash", "n", "first")
 
 
 def empty_bodies(notes: DataFrame) -> DataFrame:
@@ -173,7 +181,7 @@ def tag_proposals(notes: DataFrame, vocabulary: dict = C.VOCABULARY) -> DataFram
     ranked = F.array_sort(F.transform(F.filter(F.map_entries(scores), lambda e: e["value"] >= 3), lambda e: F.struct((-e["value"]).alias("s"), F.array_position(order, e["key"]).alias("o"), e["key"].alias("t"))))
     topics = F.transform(F.slice(ranked, 1, 2), lambda e: e["t"])
     whole = F.concat_ws("\n", "name", "description", "body")
-    signals = sum((F.when(whole.rlike(T.java(p, True)), 1).otherwise(0) for p in CRITICAL), F.lit(0))
+    signals = sum((F.when(T.matches(whole, p, True), 1).otherwise(0) for p in CRITICAL), F.lit(0))
     hints = F.array_distinct(F.transform(F.regexp_extract_all("body", F.lit(T.java(COMMAND_HINT)), F.lit(1)), T.trim))
     none = F.array().cast("array<string>")
     return notes.select("id", F.when(F.col("type") == "user", none).otherwise(topics).alias("topics"), F.when(F.col("type") == "feedback", F.when(signals >= 2, "critical").otherwise("normal")).alias("severity"), hints.alias("hints"))

@@ -47,7 +47,7 @@ def topics_of(text: Column, vocabulary: dict = VOCABULARY) -> Column:
 
 def topic_scores(name: Column, description: Column, body: Column, vocabulary: dict = VOCABULARY) -> Column:
     """A map from topic to 3 x hits in the name + 2 x in the description + 1 x in the body."""
-    hits = lambda c, ps: sum((F.coalesce(F.regexp_count(c, F.lit(T.java(p, i))), F.lit(0)) for p, i in ps), F.lit(0))
+    hits = lambda c, ps: sum((T.match_count(c, p, i) for p, i in ps), F.lit(0))
     return F.create_map(*(x for t, ps in vocabulary.items() for x in (F.lit(t), 3 * hits(name, ps) + 2 * hits(description, ps) + hits(body, ps))))
 
 
