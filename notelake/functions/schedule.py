@@ -1,7 +1,8 @@
-"""Cron expressions of five fields (DAT-07): the next tick after an instant, all fields having to fit."""
+"""Cron expressions of five fields (DAT-07): the next tick after an instant, all fields having to fit, on instants and on columns."""
 
 from __future__ import annotations
 
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column
@@ -54,9 +55,48 @@ def next_tick(expression: str, after: datetime) -> datetime:
     raise ValueError(f"no tick of {expression!r} within a year")
 
 
+def next_tick_of(ts: Column, expression: str) -> Column:
+    """The next tick after each instant, all five fields counting; null if there is none within a year."""
+    minutes, hours, days, months, weekdays = parse(expression)
+    of_day = sorted(60 * h + m for h in hours for m in minutes)
+    one_of = lambda c, values, whole: F.lit(True) if len(values) == whole else c.isin(values)
+    fits = lambda d: one_of(F.month(d), months, 12) & one_of(F.dayofmonth(d), days, 31) & one_of(F.dayofweek(d) - 1, weekdays, 7)
+    today = F.to_date(ts)
+    now = F.hour(ts) * 60 + F.minute(ts)
+    later = F.array_min(F.filter(F.lit(of_day), lambda m: m > now))
+    day = F.array_min(F.filter(F.sequence(F.date_add(today, 1), F.date_add(today, 366)), fits))
+    at = lambda d, m: F.timestamp_seconds(F.unix_timestamp(d.cast("timestamp")) + m * 60)
+    found = F.when(fits(today) & later.isNotNull(), at(today, later)).otherwise(at(day, F.lit(of_day[0])))
+    return F.when(found <= ts + F.expr(f"interval {SEARCHED_MINUTES} minutes"), found)
+
+
 def next_minute_tick(ts: Column, minutes: list[int]) -> Column:
     """The next tick of an expression that restricts minutes alone."""
-    hour, minute = F.date_trunc("hour", ts), F.minute(ts)
-    late = F.array_min(F.filter(F.array(*map(F.lit, minutes)), lambda m: m > minute))
-    to = F.coalesce(late, F.lit(60 + min(minutes)))
-    return F.timestamp_seconds(F.unix_timestamp(hour) + to * 60)
+    return next_tick_of(ts, f"{','.join(map(str, minutes))} * * * *")
+
+
+def run_on_schedule(expression: str | None, run, max_runs: int | None = None, now=datetime.now, sleep=time.sleep, escalation: type[Exception] | None = None) -> list:
+    """Run at once, then at each tick, one run after the other, until max_runs; without an expression, once.
+
+    An escalation is a run's result and raised in the end; any other error stops the loop.
+    """
+    results, raised = [], None
+    left = max_runs or (None if expression else 1)
+    if expression:
+        parse(expression)
+    while left is None or left > 0:
+        try:
+            results.append(run())
+        except Exception as e:
+            if escalation is None or not isinstance(e, escalation) or not expression:
+                raise
+            results.append({"status": "escalated", "notes": [str(e)]})
+            raised = e
+        left = None if left is None else left - 1
+        if not expression or left == 0:
+            break
+        at = now()
+        sleep(max(0.0, (next_tick(expression, at) - at).total_seconds()))
+    if raised:
+        raise raised
+    return results

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.functions import text as T
 from notelake.sources import corpus as C
+from notelake.sources import shared
 
-#: Floors of the semantic score by model, and what is taken for others.
-FLOORS = {"openai": 0.5, "ollama": 0.78, "bge-m3": 0.78}
-FALLBACK_FLOOR = 0.5
+#: Floors of the semantic score by provider, and by model where one was calibrated.
+FLOORS, MODEL_FLOORS = {"openai": 0.5, "ollama": 0.78}, {"bge-m3": 0.78}
 QUERY_BLOCK_BYTES = 64 << 20  # query vectors up to this size are broadcast; larger batches are run in blocks of it
+PATTERNS = 100_000  # distinct command patterns up to this number are broadcast to the commands
 
 
 @dataclass
@@ -35,13 +38,39 @@ class Weights:
         out.half_life_days = out.half_life_days or 30.0
         return out
 
+    @classmethod
+    def of_settings(cls, settings: dict[str, str], prefix: str = "NOTELAKE_BLEND_") -> "Weights":
+        """From texts such as environment variables; what is missing, blank or no number at least 0 is the default."""
+        names = {"topic_boost": "TOPIC_BOOST", "recency": "RECENCY_WEIGHT", "half_life_days": "RECENCY_HALFLIFE_DAYS", "type_weight": "TYPE_WEIGHT", "k": "CANDIDATE_K"}
+        return cls.of(**{k: v for k, n in names.items() if (v := strict_number(settings.get(prefix + n, ""))) is not None})
+
+
+def strict_number(text: str) -> float | None:
+    """A number that is the whole text; null otherwise."""
+    return float(text) if re.fullmatch(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", text.strip()) and np.isfinite(float(text)) else None
+
+
+def candidates(max_hits: int, k: float) -> int:
+    """How many similar notes are asked for: never fewer than are shown."""
+    return max(max_hits, int(k + 0.5))
+
 
-def floor_of(model: str | None, override: float | None = None) -> tuple[float, str]:
-    """The floor and where it comes from."""
-    if override is not None and np.isfinite(override):
+def floor_of(provider: str | None, model: str | None = None, override: float | None = None) -> tuple[float, str]:
+    """The least similarity that counts, and where it comes from: an override, the provider, a calibrated model, or a fallback."""
+    if override is not None and np.isfinite(override) and override >= 0:
         return override, "env"
-    name = (model or "").split("/")[-1].split(":")[0].lower()
-    return (FLOORS[name], "provider" if name in ("openai", "ollama") else "model") if name in FLOORS else (FALLBACK_FLOOR, "fallback")
+    if provider != "ollama":
+        return FLOORS["openai"], "provider"
+    name = (model or "").strip().lower().split(":")[0]
+    return (MODEL_FLOORS[name], "map") if name in MODEL_FLOORS else (FLOORS["ollama"], "fallback")
+
+
+def floor_hint(candidates: int, survivors: int, floor: float, source: str, model: str | None) -> str | None:
+    """What to tell when a floor that nobody calibrated has dropped all that was found."""
+    if source != "fallback" or not candidates or survivors:
+        return None
+    name = re.sub(r"[\x00-\x1f\x7f]", "", (model or "").strip()) or "unknown"
+    return f"the uncalibrated floor {floor} for model {name!r} dropped all {candidates} candidates"
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -55,14 +84,14 @@ def topk(queries: DataFrame, index: DataFrame, k: int, model: str | None = None)
     """(qid, id, sim01, rank): the k nearest of the index (id, embedding[, model]) for each query (qid, embedding).
 
     The similarity is (1 + cosine) / 2; ties go by id; zero vectors are left out; rows of another model are dropped after ranking.
-    Each task keeps k rows per query of its part of the index, so the shuffle is k x queries x tasks rows. Queries are taken in
-    blocks of a fixed size in bytes.
+    Each task keeps k rows per query of its part of the index, so the shuffle is k x queries x tasks rows. Queries come to the driver one
+    block of a fixed size in bytes after the other, each block costs a scan of the index, and at most one is held here.
     """
     spark = index.sparkSession
     cols = ["qid", "embedding"]
     rows = queries.select(*cols).where("embedding is not null").orderBy("qid").toLocalIterator()
-    out, block, held = None, [], 0
-    for r in [*_blocks(rows)]:
+    out = None
+    for r in _blocks(rows):
         found = _topk_block(index, r, k, model, spark)
         out = found if out is None else out.unionByName(found)
     if out is None:
@@ -128,19 +157,28 @@ def topic_gate(queries: DataFrame, notes: DataFrame, vocabulary: dict = C.VOCABU
     asked = queries.select("qid", F.explode(C.topics_of(F.col("prompt"), vocabulary)).alias("topic"))
     held = notes.select("id", F.posexplode(F.array_distinct("topics")).alias("ord", "topic"))
     both = asked.join(held, "topic").groupBy("qid", "id").agg(F.array_sort(F.collect_list(F.struct("ord", "topic"))).alias("t"))
-    return both.select("qid", "id", F.lit("topic").alias("gate"), F.lit(1.0).alias("score"), F.concat(F.lit("topics: "), F.array_join(F.col("t.topic"), ", ")).alias("reason"))
+    return both.select("qid", "id", F.lit("topic").alias("gate"), F.lit(1.0).alias("score"), F.concat(F.lit("topic match: "), F.array_join(F.col("t.topic"), ", ")).alias("reason"))
+
+
+def _runs(patterns: pd.Series) -> pd.Series:
+    """Whether patterns that came as data may run; one that doesn't compile would fail the whole query."""
+    return patterns.map(T.safe_pattern)
 
 
 def tool_gate(queries: DataFrame, notes: DataFrame) -> DataFrame:
-    """Notes triggered by a query's tool name, or, for the shell, by its command; patterns that don't compile are left out beforehand."""
-    tools = notes.select("id", F.explode("triggers.tools").alias("tool_name"))
-    named = queries.join(tools, "tool_name").select("qid", "id", F.concat(F.lit("tool: "), F.col("tool_name")).alias("reason"))
-    patterns = notes.where("triggers.command_pattern is not null").select(F.col("triggers.command_pattern").alias("p")).distinct().limit(100_001).collect()
-    good = [r["p"] for r in patterns if T.safe_pattern(r["p"])]
-    owned = notes.select("id", F.col("triggers.command_pattern").alias("p")).where(F.col("p").isin(good) if good else F.lit(False))
-    shell = queries.where("tool_name = 'Bash' and tool_command is not null")
-    by_command = shell.join(F.broadcast(owned) if len(good) <= 10_000 else owned, F.rlike(F.col("tool_command"), F.col("p"))).select("qid", "id", F.concat(F.lit("command matches "), F.col("p")).alias("reason"))
-    return named.unionByName(by_command).groupBy("qid", "id").agg(F.lit("tool").alias("gate"), F.lit(1.0).alias("score"), F.min("reason").alias("reason"))
+    """Notes triggered by a query's tool name, or else, for the shell, by its command; patterns that may not run are left out beforehand.
+
+    Commands meet the distinct patterns, not the notes that have them: those follow by an equi-join.
+    """
+    tools = notes.select("id", F.explode(F.array_distinct("triggers.tools")).alias("tool_name"))
+    named = queries.join(tools, "tool_name").select("qid", "id", F.concat(F.lit("tool match: "), F.col("tool_name")).alias("reason"), F.lit(0).alias("by"))
+    owned = notes.select("id", F.col("triggers.command_pattern").alias("p")).where(F.coalesce("p", F.lit("")) != "")
+    patterns = shared.written(owned.select("p").distinct().where(F.pandas_udf(_runs, "boolean")("p")), "patterns")
+    patterns = F.broadcast(patterns) if patterns.count() <= PATTERNS else patterns
+    shell = queries.where("tool_name = 'Bash' and tool_command is not null").select("qid", "tool_command")
+    found = shell.join(patterns, F.rlike(F.col("tool_command"), F.col("p"))).select("qid", "p").join(owned, "p")
+    by_command = found.select("qid", "id", F.concat(F.lit("command match: "), F.col("p")).alias("reason"), F.lit(1).alias("by"))
+    return named.unionByName(by_command).groupBy("qid", "id").agg(F.lit("tool").alias("gate"), F.lit(1.0).alias("score"), F.min_by("reason", F.struct("by", "reason")).alias("reason"))
 
 
 def dedupe_and_rank(hits: DataFrame, max_hits: int) -> DataFrame:
@@ -176,14 +214,18 @@ def blend(queries: DataFrame, notes: DataFrame, semantic: DataFrame, floor: floa
     """
     w = weights or Weights()
     sem = semantic.where(F.col("sim01") >= floor).select("qid", "id", "sim01")
-    topic = topic_gate(queries, notes, vocabulary).select("qid", "id", F.col("reason").alias("topic_reason"))
-    speaking = sem.select("qid").distinct()
-    both = sem.join(topic.join(speaking, "qid", "left_semi"), ["qid", "id"], "full_outer").join(notes.select("id", "type", "age_days", "load_ord"), "id")
+    speaking = shared.written(sem.select("qid").distinct(), "speaking")
+    topic = topic_gate(queries.join(speaking, "qid", "left_semi"), notes, vocabulary).select("qid", "id", F.col("reason").alias("topic_reason"))
+    both = sem.join(topic, ["qid", "id"], "full_outer").join(notes.select("id", "type", "age_days", "load_ord"), "id")
     score = F.coalesce("sim01", F.lit(0.0)) + F.when(F.col("topic_reason").isNotNull(), w.topic_boost).otherwise(0.0) + type_modifier(F.col("type"), w.type_weight) + recency_modifier(F.col("age_days"), w)
-    reason = F.concat_ws("; ", F.when(F.col("sim01").isNotNull(), F.format_string("semantic %.2f", "sim01")), "topic_reason")
+    reason = F.concat_ws("; ", F.when(F.col("sim01").isNotNull(), F.concat(F.lit("semantic match (score="), T.fixed(F.col("sim01")), F.lit(")"))), "topic_reason")
     rows = both.select("qid", "id", F.when(F.col("sim01").isNotNull(), "confidence").otherwise("topic").alias("gate"), score.alias("score"), reason.alias("reason"), F.struct(F.lit(0).alias("g"), "load_ord").alias("seq"))
-    silent = topic.join(speaking, "qid", "left_anti").join(notes.select("id", "load_ord"), "id")
-    rows = rows.unionByName(silent.select("qid", "id", F.lit("topic").alias("gate"), F.lit(1.0).alias("score"), F.col("topic_reason").alias("reason"), F.struct(F.lit(0).alias("g"), "load_ord").alias("seq")))
+    # A silent query's hits all score 1, so the first notes of each of its topics are all that can be shown.
+    quiet = queries.join(speaking, "qid", "left_anti")
+    first = F.row_number().over(Window.partitionBy("topic").orderBy("load_ord"))
+    held = notes.select("id", "load_ord", F.explode(F.array_distinct("topics")).alias("topic")).withColumn("n", first).where(F.col("n") <= max_hits).select("id").distinct()
+    silent = topic_gate(quiet, notes.join(held, "id", "left_semi"), vocabulary).join(notes.select("id", "load_ord"), "id")
+    rows = rows.unionByName(silent.select("qid", "id", F.lit("topic").alias("gate"), F.lit(1.0).alias("score"), "reason", F.struct(F.lit(0).alias("g"), "load_ord").alias("seq")))
     rows = rows.withColumn("is_tool", F.lit(False))
     if tools is not None:
         extra = tools.join(notes.select("id", "load_ord"), "id").select("qid", "id", "gate", "score", "reason", F.struct(F.lit(1).alias("g"), "load_ord").alias("seq"), F.lit(True).alias("is_tool"))
@@ -197,19 +239,35 @@ def blend(queries: DataFrame, notes: DataFrame, semantic: DataFrame, floor: floa
 
 def confidence_resolve(queries: DataFrame, semantic: DataFrame, max_hits: int = 3) -> DataFrame:
     """The older resolver: similar notes over a threshold that falls with the prompt's ambiguity."""
-    t = queries.select("qid", T.confidence_threshold(T.ambiguity(F.col("prompt"))).alias("threshold"))
+    t = queries.select("qid", T.ambiguity(F.col("prompt")).alias("ambiguity")).withColumn("threshold", T.confidence_threshold(F.col("ambiguity")))
+    reason = F.concat(F.lit("semantic match (ambiguity="), T.fixed(F.col("ambiguity")), F.lit(", threshold="), T.fixed(F.col("threshold")), F.lit(")"))
     rows = semantic.join(t, "qid").where("sim01 >= threshold")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim01"), "id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= max_hits).select("qid", "id", F.col("sim01").alias("score"), "rank")
+    return rows.withColumn("rank", rank).where(F.col("rank") <= max_hits).select("qid", "id", F.col("sim01").alias("score"), "rank", reason.alias("reason"))
+
+
+def render(hits: DataFrame, notes: DataFrame, title: str = "notelake", stale: DataFrame | None = None) -> DataFrame:
+    """(qid, context): the hits of a query as one text, each with its gate and score; a note that stale (id, reason) has is marked, never left out."""
+    rows = hits.join(notes.select("id", "name", "body"), "id")
+    rows = rows.join(stale.select("id", F.col("reason").alias("stale")), "id", "left") if stale is not None else rows.withColumn("stale", F.lit(None).cast("string"))
+    mark = F.concat(F.lit("> ⚠️ **stale:** "), F.col("stale"), F.lit("\n>\n> This memory references something that no longer exists. Verify before acting.\n\n"))
+    block = F.concat(F.lit("### "), "name", F.lit("  _("), "gate", F.lit(" · "), T.fixed(F.col("score")), F.lit(")_\n"), F.coalesce(mark, F.lit("")), T.trim(F.col("body")))
+    per = rows.select("qid", "rank", block.alias("block")).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("b"))
+    count = F.when(F.size("b") == 1, F.lit("1 relevant memory applies:")).otherwise(F.concat(F.size("b").cast("string"), F.lit(" relevant memories apply:")))
+    return per.select("qid", F.concat_ws("\n\n", F.concat(F.lit(f"**{title}** — "), count), F.array_join(F.col("b.block"), "\n\n")).alias("context"))
+
+
+def envelope(contexts: DataFrame, event: str) -> DataFrame:
+    """(qid, json): what a hook prints for each query with a context; queries without one print nothing, so have no row."""
+    inner = F.struct(F.lit(event).alias("hookEventName"), F.col("context").alias("additionalContext"))
+    return contexts.where("context <> ''").select("qid", F.to_json(F.struct(inner.alias("hookSpecificOutput"))).alias("json"))
 
 
-def render(hits: DataFrame, notes: DataFrame) -> DataFrame:
-    """(qid, context): the hits of a query as one text."""
-    block = F.concat(F.lit("### "), "name", F.lit("  _("), "gate", F.lit(" · "), F.format_string("%.2f", "score"), F.lit(")_\n\n"), "body")
-    rows = hits.join(notes.select("id", "name", "body"), "id").select("qid", "rank", block.alias("block"))
-    per = rows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("b"))
-    head = F.when(F.size("b") == 1, F.lit("1 relevant note")).otherwise(F.concat(F.size("b").cast("string"), F.lit(" relevant notes")))
-    return per.select("qid", F.concat_ws("\n\n", head, F.array_join(F.col("b.block"), "\n\n")).alias("context"))
+def requests(payloads: DataFrame) -> DataFrame:
+    """payloads (qid, payload), JSON texts, as queries (qid, prompt, cwd, tool_name, tool_command); over MAX_REQUEST bytes is an error, blank is no prompt."""
+    size = F.assert_true(F.octet_length("payload") <= C.MAX_REQUEST, F.lit(f"a payload exceeds {C.MAX_REQUEST} bytes"))
+    body = F.from_json(F.nullif(F.trim("payload"), F.lit("")), "prompt string, cwd string, tool_name string, tool_input struct<command:string>", {"mode": "FAILFAST"})
+    return payloads.withColumn("fine", size).withColumn("r", body).where("fine is null").select("qid", "r.prompt", "r.cwd", "r.tool_name", F.col("r.tool_input.command").alias("tool_command"))
 
 
 # ---------------------------------------------------------------- evaluation
@@ -239,5 +297,24 @@ def aggregate_metrics(metrics: DataFrame) -> DataFrame:
     )
 
 
+def evaluate(golden: DataFrame, notes: DataFrame, semantic: DataFrame, floor: float, **blend_options) -> dict[str, DataFrame]:
+    """A whole evaluation of prompts (qid, prompt, expect): per_prompt, aggregate, and unknown, the expected ids that no note has."""
+    hits = shared.written(blend(golden, notes, semantic, floor, **blend_options), "hits")
+    per = shared.written(prompt_metrics(golden, hits), "per_prompt")
+    return {"hits": hits, "per_prompt": per, "aggregate": aggregate_metrics(per), "unknown": unknown_ids(golden, notes)}
+
+
+def coverage(prompts: DataFrame, hits: DataFrame) -> DataFrame:
+    """Of labelled prompts (qid, must array, must_not array): how many got a hit, hits per prompt, and labels missed or wrongly met."""
+    got = hits.groupBy("qid").agg(F.collect_set("id").alias("got"))
+    kind = prompts.schema["must"].dataType.simpleString()
+    rows = prompts.join(got, "qid", "left").withColumn("got", F.coalesce("got", F.array().cast(kind)))
+    return rows.agg(
+        F.count("*").alias("prompts"), F.try_divide(F.count_if(F.size("got") > 0), F.count("*")).alias("match_rate"), F.avg(F.size("got")).alias("mean_hits"),
+        F.sum(F.size(F.array_except("must", "got"))).alias("missed"), F.sum(F.size("must")).alias("musts"),
+        F.sum(F.size(F.array_intersect("must_not", "got"))).alias("wrong"), F.sum(F.size("must_not")).alias("must_nots"),
+    )
+
+
 def unknown_ids(golden: DataFrame, notes: DataFrame) -> DataFrame:
     return golden.select(F.explode("expect").alias("id")).distinct().join(notes, "id", "left_anti")

@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notelake.functions import text as T
+from notelake.sources import shared
+
 QUEUE_LIMIT_HOURS = 24
 NOTE_FACTOR = 30
 
@@ -17,23 +20,28 @@ def has_marker(content: Column) -> Column:
     return F.coalesce(content.rlike(r"(^|\n)<<<<<<< "), F.lit(False))
 
 
+#: The strategies, and the marks around two versions that can't be merged.
+STRATEGIES = ["inline-markers", "local-wins", "remote-wins"]
+OPENER, DIVIDER, CLOSER = "<<<<<<< local", "=======", ">>>>>>> remote"
+
+
 def merge_text(base: Column, local: Column, remote: Column, strategy: Column | None = None) -> Column:
-    """struct(content, status, conflict) of three versions, null being absent."""
-    strategy = strategy if strategy is not None else F.lit("inline")
+    """struct(content, status, conflict) of three versions, null being absent. A winner that carries an opener from before is a conflict."""
+    strategy = strategy if strategy is not None else F.lit("inline-markers")
     size = F.length(base)
     mine, theirs = F.substring(local, size + 1, F.length(local)), F.substring(remote, size + 1, F.length(remote))
     appended = local.startswith(base) & remote.startswith(base)
     joined = F.when(mine.contains(theirs), local).when(theirs.contains(mine), remote).otherwise(F.concat(base, theirs, mine))
     none = lambda c: F.coalesce(c, F.lit(""))
-    block = F.concat(F.lit("<<<<<<< LOCAL\n"), none(local), F.lit("\n=======\n"), none(remote), F.lit("\n>>>>>>> REMOTE\n"))
+    block = F.concat_ws("\n", F.lit(OPENER), none(local), F.lit(DIVIDER), none(remote), F.lit(CLOSER))
     out = lambda c, s, x: F.struct(c.alias("content"), F.lit(s).alias("status"), x.alias("conflict"))
     return (
         F.when(local.eqNullSafe(remote), out(local, "unchanged", F.lit(False)))
         .when(local.eqNullSafe(base), out(remote, "remote", has_marker(remote)))
         .when(remote.eqNullSafe(base), out(local, "local", has_marker(local)))
         .when(F.coalesce(appended, F.lit(False)), out(joined, "merged", has_marker(joined)))
-        .when(strategy == "local-wins", out(local, "conflict", F.lit(True)))
-        .when(strategy == "remote-wins", out(remote, "conflict", F.lit(True)))
+        .when(strategy == "local-wins", out(local, "conflict", has_marker(local)))
+        .when(strategy == "remote-wins", out(remote, "conflict", has_marker(remote)))
         .otherwise(out(block, "conflict", F.lit(True)))
     )
 
@@ -48,13 +56,19 @@ def mapped(path: Column, config: list[dict]) -> Column:
     return reduce(lambda a, b: a | b, fits, F.lit(False)) & ~path.rlike(r"(^|/)\.\.?(/|$)|^/")
 
 
+def normal_path(path: Column) -> Column:
+    """A path in the remote's form: slashes forward, none at the ends; null if it is empty or leads upwards."""
+    out = F.regexp_replace(F.translate(path, "\\", "/"), "^/+|/+$", "")
+    return F.when((out != "") & ~out.startswith(".."), out)
+
+
 def local_path(path: Column, config: list[dict]) -> Column:
     """Where a remote path is kept: by the first entry that covers it; null if none does."""
     out = F.lit(None).cast("string")
     for c in reversed(config):
         dest, src = c["destination"].rstrip("/"), c["source"].rstrip("/")
         inside = F.lit(c["kind"] == "directory") & path.startswith(dest + "/")
-        out = F.when(path == c["destination"], F.lit(src)).when(inside, F.concat(F.lit(src), F.substring(path, len(dest) + 1, 100_000))).otherwise(out)
+        out = F.when(path == c["destination"], F.lit(src)).when(inside, F.concat(F.lit(src), F.substring(path, F.lit(len(dest) + 1), F.length(path)))).otherwise(out)
     return F.when(mapped(path, config), out)
 
 
@@ -64,19 +78,26 @@ def foreign(path: Column, config: list[dict], profile: str) -> Column:
     return reduce(lambda a, b: a | b, [path.startswith(d + "/") & (path != f"{d}/{profile}.json") for d in scoped], F.lit(False))
 
 
-def pull_plan(base: DataFrame, local: DataFrame, remote: DataFrame, config: list[dict] | None = None, strategy: str = "inline") -> DataFrame:
-    """(path, content, status, conflict, action) for every path of three file maps (path, content)."""
+def pull_plan(base: DataFrame, local: DataFrame, remote: DataFrame, config: list[dict] | None = None, strategy: str = "inline-markers") -> DataFrame:
+    """(path, content, status, conflict, action) for every path of three file maps (path, content). What the merge leaves as it is here
+    is none, whatever the merge was; an unmapped path is skipped before it is classified."""
     rows = _side(local, "l").join(_side(base, "b"), "path", "full").join(_side(remote, "r"), "path", "full")
     rows = rows.withColumn("m", merge_text(F.col("b"), F.col("l"), F.col("r"), F.lit(strategy)))
     unmapped = ~mapped(F.col("path"), config) if config is not None else F.lit(False)
     action = (
-        F.when(F.col("m.content").eqNullSafe(F.col("l")) & ~F.col("m.conflict"), "none").when(unmapped, "skipped").when(F.col("m.conflict"), "conflict")
+        F.when(F.col("m.content").eqNullSafe(F.col("l")), "none").when(unmapped, "skipped").when(F.col("m.conflict"), "conflict")
         .when(F.col("m.content").isNull(), "deleted").when(F.col("m.status") == "merged", "merged").otherwise("applied")
     )
     return rows.select("path", "m.content", "m.status", "m.conflict", action.alias("action"))
 
 
-def push_plan(base: DataFrame, local: DataFrame, remote: DataFrame, config: list[dict] | None = None, profile: str | None = None, strategy: str = "inline") -> DataFrame:
+def apply_pull(plan: DataFrame, local: DataFrame) -> DataFrame:
+    """The local map after a pull."""
+    done = plan.where("action not in ('none', 'skipped')")
+    return local.join(done, "path", "left_anti").select("path", "content").unionByName(done.where("content is not null").select("path", "content"))
+
+
+def push_plan(base: DataFrame, local: DataFrame, remote: DataFrame, config: list[dict] | None = None, profile: str | None = None, strategy: str = "inline-markers") -> DataFrame:
     """(path, content, status, conflict, action): only paths that the local map or the base has; unmapped and foreign base paths are left alone."""
     if config is not None:
         base = base.where(mapped(F.col("path"), config) & (~foreign(F.col("path"), config, profile) if profile else F.lit(True)))
@@ -92,10 +113,13 @@ def apply_push(plan: DataFrame, remote: DataFrame) -> DataFrame:
     return remote.join(done, "path", "left_anti").select("path", "content").unionByName(done.where("content is not null").select("path", "content"))
 
 
-def replay(queue: list[tuple[str, DataFrame, DataFrame]], remote: DataFrame, config: list[dict] | None = None, strategy: str = "inline") -> DataFrame:
-    """Push queued snapshots (id, local, base) in the order of their ids, each onto what the one before has left."""
+def replay(queue: list[tuple[str, DataFrame, DataFrame]], remote: DataFrame, config: list[dict] | None = None, strategy: str = "inline-markers") -> DataFrame:
+    """Push queued snapshots (id, local, base) in the order of their ids, each onto what the one before has left.
+
+    Each step's result is written, so the plan doesn't grow with the queue.
+    """
     for _, local, base in sorted(queue, key=lambda s: s[0]):
-        remote = apply_push(push_plan(base, local, remote, config, strategy=strategy), remote)
+        remote = shared.written(apply_push(push_plan(base, local, remote, config, strategy=strategy), remote), "replay")
     return remote
 
 
@@ -117,20 +141,55 @@ def restore(snapshots: DataFrame, commit: str, prefix: str | None = None) -> Dat
 
 
 def commit_message(changed: Column, deleted: Column) -> Column:
-    """The message for sets of changed and deleted paths."""
+    """The message for sets of changed and deleted paths: what is done to one, or how many and a line each."""
     paths = F.array_sort(F.array_union(changed, deleted))
-    many = F.concat(F.lit("sync: "), F.size(paths).cast("string"), F.lit(" files\n\n- "), F.array_join(paths, "\n- "))
-    return F.when(F.size(paths) == 0, "sync: no changes").when(F.size(paths) == 1, F.concat(F.lit("sync: "), F.get(paths, F.lit(0)))).otherwise(many)
+    verb = lambda p: F.when(F.array_contains(deleted, p), "remove ").otherwise("update ")
+    lines = F.array_join(F.transform(paths, lambda p: F.concat(F.lit("- "), verb(p), p)), "\n")
+    one = F.get(paths, F.lit(0))
+    many = F.concat(F.lit("update "), F.size(paths).cast("string"), F.lit(" memories\n\n"), lines)
+    return F.when(F.size(paths) == 0, "snapshot: noop").when(F.size(paths) == 1, F.concat(verb(one), one)).otherwise(many)
+
+
+ACTIONS = ["none", "skipped", "conflict", "deleted", "merged", "applied", "written"]
 
 
 def summary(plan: DataFrame) -> DataFrame:
-    names = ["none", "skipped", "conflict", "deleted", "merged", "applied", "written"]
-    return plan.agg(F.count("*").alias("total"), *(F.count_if(F.col("action") == n).alias(n) for n in names))
+    return plan.agg(F.count("*").alias("total"), *(F.count_if(F.col("action") == n).alias(n) for n in ACTIONS))
+
+
+def summary_line(counts: DataFrame, kind: str) -> DataFrame:
+    """summary() as one line: what was touched always, what was deleted or skipped if anything."""
+    touched = F.col("conflict") + F.col("deleted") + F.col("merged") + F.col("applied") + F.col("written")
+    some = lambda c, name: F.when(F.col(c) > 0, F.concat(F.lit(f"{name}="), F.col(c).cast("string")))
+    line = F.concat_ws(" ", F.lit(f"operation={kind}"), F.concat(F.lit("applied="), touched), F.concat(F.lit("merged="), "merged"), F.concat(F.lit("conflicts="), "conflict"), some("deleted", "deleted"), some("skipped", "skipped"))
+    return counts.select(line.alias("line"))
 
 
 def duration(seconds: Column) -> Column:
-    s = seconds.cast("long")
-    return F.when(s < 60, F.format_string("%ds", s)).when(s < 3600, F.format_string("%dm", F.floor(s / 60))).otherwise(F.format_string("%dh", F.floor(s / 3600)))
+    """Seconds, minutes or hours with one decimal."""
+    s = seconds.cast("double")
+    unit = lambda n, u: F.concat(T.fixed(s / n, 1), F.lit(u))
+    return F.when(s < 60, unit(1, "s")).when(s / 60 < 60, unit(60, "m")).otherwise(unit(3600, "h"))
+
+
+def execute(mode: str, pull, push, unavailable: type[Exception] = ConnectionError) -> dict:
+    """Run a mode: pull, push, or sync, which pulls and then pushes; if the remote can't be reached by the pull, the push queues.
+
+    pull() and push() give dicts with status and lists of paths; a sync's lists are the union of both, sorted.
+    """
+    if mode in ("pull", "push"):
+        return pull() if mode == "pull" else push()
+    if mode != "sync":
+        raise ValueError(f"no such mode: {mode!r}")
+    try:
+        first = pull()
+    except unavailable:
+        return push()
+    second = push()
+    states = {first["status"], second["status"]}
+    status = "dry-run" if "dry-run" in states else "queued" if second["status"] == "queued" else "applied"
+    lists = {k: sorted({*first.get(k, []), *second.get(k, [])}) for k in ("applied", "merged", "conflicts", "deleted", "skipped")}
+    return {"kind": "sync", "status": status, "queued": second.get("queued"), "notes": [*first.get("notes", []), *second.get("notes", [])]} | lists
 
 
 def remote_kind(url: Column) -> Column:

@@ -152,18 +152,11 @@ def tag_proposals(spark, sf_dir):
     return rows.select("id", F.array_join("topics", ",").alias("topics"), "severity")
 
 
-def conflicts(spark, sf_dir):
-    c = _t(spark, sf_dir, "conversations").where("turn < 2")
-    lead = F.when(F.col("turn") == 0, "ALWAYS ").otherwise("NEVER ")
-    notes = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.lit("feedback").alias("type"), F.concat(lead, "text").alias("body"), F.array(F.concat(F.lit("t"), F.col("conv_id").cast("string"))).alias("topics"))
-    return hygiene.conflicts(notes).select("a", "b", "topic", F.round("overlap", 6).alias("overlap"), "severity")
-
-
 def conflicts_all_turns(spark, sf_dir):
     c = _t(spark, sf_dir, "conversations")
     lead = F.when(F.col("turn") % 2 == 0, "ALWAYS ").otherwise("NEVER ")
     notes = c.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"), F.lit("feedback").alias("type"), F.concat(lead, "text").alias("body"), F.array(F.concat(F.lit("t"), F.col("conv_id").cast("string"))).alias("topics"))
-    return hygiene.conflicts(notes).select("a", "b", "topic", F.round("overlap", 6).alias("overlap"), "severity")
+    return hygiene.conflicts(notes, opposite_only=True).select("a", "b", "topic", F.round("overlap", 6).alias("overlap"), "severity")
 
 
 def index_changes(spark, sf_dir):
@@ -186,7 +179,7 @@ def iso_dates(spark, sf_dir):
 
 _NAMES = [
     exact_duplicates, near_duplicates, topics, knn, blend_resolve, confidence_resolve, evaluation, ambiguity, polarity, digest_by_type, digest_top, pull_plan,
-    push_summary, sessions, failure_streaks, next_ticks, tag_proposals, conflicts, conflicts_all_turns, index_changes, cache_eviction, iso_dates,
+    push_summary, sessions, failure_streaks, next_ticks, tag_proposals, conflicts_all_turns, index_changes, cache_eviction, iso_dates,
 ]
 
 
@@ -219,7 +212,7 @@ _MERGE = f"""d AS (SELECT 'notes/' || doc_id AS path, * FROM documents),
             WHEN starts_with(l, b) AND starts_with(r, b) THEN 'merged' ELSE 'conflict' END AS status FROM s),
     o AS (SELECT *, CASE status WHEN 'unchanged' THEN l WHEN 'remote' THEN r WHEN 'local' THEN l
             WHEN 'merged' THEN CASE WHEN contains(mine, theirs) THEN l WHEN contains(theirs, mine) THEN r ELSE b || theirs || mine END
-            ELSE '<<<<<<< LOCAL' || chr(10) || coalesce(l, '') || chr(10) || '=======' || chr(10) || coalesce(r, '') || chr(10) || '>>>>>>> REMOTE' || chr(10) END AS c,
+            ELSE '<<<<<<< local' || chr(10) || coalesce(l, '') || chr(10) || '=======' || chr(10) || coalesce(r, '') || chr(10) || '>>>>>>> remote' END AS c,
             status = 'conflict' AS conflict FROM m)"""
 
 
@@ -257,10 +250,6 @@ def oracle_sql():
         "failure_streaks": """WITH e AS (SELECT user_id AS key, ts, value >= 50 AS ok, sum(CASE WHEN value >= 50 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM events)
             SELECT key, min(ts) AS start, max(ts) AS last, count(*) AS failures FROM e WHERE NOT ok GROUP BY key, g""",
         "next_ticks": "SELECT event_id, date_trunc('hour', ts) + to_minutes(CASE WHEN minute(ts) < 5 THEN 5 WHEN minute(ts) < 25 THEN 25 WHEN minute(ts) < 45 THEN 45 ELSE 65 END) AS next FROM events",
-        "conflicts": r"""WITH n AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(left(CASE turn WHEN 0 THEN 'ALWAYS ' ELSE 'NEVER ' END || split_part(text, chr(10), 1), 200)), '[^a-z0-9\s'']', ' ', 'g'), '\s+'),
-                lambda w: length(w) >= 4 AND NOT w IN ('always', 'never'))) AS t FROM conversations WHERE turn < 2)
-            SELECT a.conv_id * 100 AS a, b.conv_id * 100 + 1 AS b, 't' || a.conv_id AS topic, round(len(list_intersect(a.t, b.t)) / greatest(1, len(list_distinct(a.t || b.t))), 6) AS overlap,
-                CASE WHEN len(list_intersect(a.t, b.t)) / greatest(1, len(list_distinct(a.t || b.t))) >= 0.15 THEN 'high' ELSE 'info' END AS severity FROM n a JOIN n b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1""",
         "conflicts_all_turns": r"""WITH n AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(left(CASE turn % 2 WHEN 0 THEN 'ALWAYS ' ELSE 'NEVER ' END || split_part(text, chr(10), 1), 200)), '[^a-z0-9\s'']', ' ', 'g'), '\s+'),
                 lambda w: length(w) >= 4 AND NOT w IN ('always', 'never'))) AS t FROM conversations),
             p AS (SELECT CAST(a.conv_id * 1000000 + least(a.turn, b.turn) AS BIGINT) AS a, CAST(a.conv_id * 1000000 + greatest(a.turn, b.turn) AS BIGINT) AS b, 't' || a.conv_id AS topic,

@@ -7,6 +7,8 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import shared
+
 SCHEMA_VERSION = 2
 CACHE_CAPACITY = 1000
 
@@ -48,16 +50,26 @@ def stale_count(index: DataFrame, model: str) -> DataFrame:
     return index.agg(F.count_if(~F.col("model").eqNullSafe(F.lit(model))).alias("stale"))
 
 
-def cache_get(cache: DataFrame, prompts: DataFrame, model: str) -> DataFrame:
-    """prompts (qid, prompt) with the cached embedding of the model, null if there is none."""
+def cache_open(cache: DataFrame, model: str) -> DataFrame:
+    """The cache without other models' rows."""
+    return cache.where(F.col("model") == model)
+
+
+def cache_get(cache: DataFrame, prompts: DataFrame, model: str, now: datetime.datetime | None = None):
+    """prompts (qid, prompt) with the cached embedding of the model, null if there is none; with now, also the cache with the rows that were hit touched."""
     keyed = prompts.withColumn("prompt_sha", F.sha2("prompt", 256))
-    return keyed.join(cache.where(F.col("model") == model).select("prompt_sha", "embedding"), "prompt_sha", "left").select("qid", "prompt", "embedding")
+    found = keyed.join(cache.where(F.col("model") == model).select("prompt_sha", "embedding"), "prompt_sha", "left").select("qid", "prompt", "embedding")
+    if now is None:
+        return found
+    hit = keyed.select("prompt_sha", F.lit(True).alias("hit")).distinct()
+    touched = cache.join(hit, "prompt_sha", "left").withColumn("accessed_at", F.when(F.col("hit") & (F.col("model") == model), F.lit(now).cast("timestamp")).otherwise(F.col("accessed_at")))
+    return found, touched.select(*cache.columns)
 
 
 def cache_put(cache: DataFrame, new: DataFrame, now: datetime.datetime, model: str, capacity: int = CACHE_CAPACITY) -> DataFrame:
     """The cache with new rows (prompt, embedding), without other models' rows, cut to the most recently used."""
-    rows = new.select(F.sha2("prompt", 256).alias("prompt_sha"), F.lit(model).alias("model"), "embedding", F.lit(now).alias("accessed_at")).dropDuplicates(["prompt_sha"])
-    whole = cache.where(F.col("model") == model).join(rows, "prompt_sha", "left_anti").select(*rows.columns).unionByName(rows)
+    rows = new.select(F.sha2("prompt", 256).alias("prompt_sha"), F.lit(model).alias("model"), "embedding", F.lit(now).cast("timestamp").alias("accessed_at")).dropDuplicates(["prompt_sha"])
+    whole = cache_open(cache, model).join(rows, "prompt_sha", "left_anti").select(*rows.columns).unionByName(rows)
     return whole.orderBy(F.desc("accessed_at"), "prompt_sha").limit(capacity)
 
 
@@ -74,14 +86,15 @@ def write(index: DataFrame, folder: str, provider: str, model: str, width: int |
 
 
 def manifest(spark: SparkSession, folder: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    return spark.read.parquet(f"{folder}/manifest").orderBy(F.desc("version")).first()
+    """(version, schema_version, provider, model, width) of the present index, or None."""
+    return spark.read.parquet(f"{folder}/manifest").orderBy(F.desc("version")).first() if shared.exists(spark, f"{folder}/manifest") else None
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
+def read(spark: SparkSession, folder: str, provider: str | None = None, model: str | None = None) -> DataFrame:
+    """The present index; another provider or model than its manifest names is an error, as their vectors can't be compared."""
     m = manifest(spark, folder)
     if not m:
         raise ValueError(f"no index in {folder}")
+    if (provider is not None and m["provider"] != provider) or (model is not None and m["model"] != model):
+        raise ValueError(f"the index holds vectors of {m['provider']}, {m['model']}: remove {folder} and build it anew")
     return migrate(spark.read.parquet(f"{folder}/v{m['version']}"))
