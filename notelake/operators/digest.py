@@ -35,3 +35,9 @@ def markdown(rows: DataFrame) -> DataFrame:
     line = F.concat(F.lit("- **"), "type", F.lit("** ("), F.format_string("%.2f", "importance"), F.lit("): "), "text")
     per = rows.groupBy("date").agg(F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("i"), "source", "line_no", line.alias("line")))).alias("l"))
     return per.select("date", F.concat(F.lit("## "), F.date_format("date", "yyyy-MM-dd"), F.lit("\n\n"), F.array_join(F.col("l.line"), "\n")).alias("text"))
+
+
+def counts_by_type(rows: DataFrame) -> DataFrame:
+    """(by_type): one map from type to count."""
+    per = rows.groupBy("type").agg(F.count("*").alias("n"))
+    return per.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("by_type"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,39 @@ def session_counts(events: DataFrame, gap: str, keys: list[str], watermark: str
     return rows.select(*keys, F.col("w.start").alias("start"), "last", "n")
 
 
+def _streak(threshold_s: float):
+    """Per key: the first failure of the unbroken run so far; a row each time a failure finds it older than the threshold."""
+
+    def run(key, frames, state):
+        first, out = (state.get[0] if state.exists else None), []
+        for frame in frames:
+            for ts, ok in sorted(zip(frame["ts"], frame["ok"])):
+                if ok:
+                    first = None
+                    continue
+                first = ts.value if first is None else first
+                if (ts.value - first) / 1e9 >= threshold_s:
+                    out.append((*key, pd.Timestamp(first, unit="ns"), ts, (ts.value - first) / 1e9))
+        if first is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((first,))
+        yield pd.DataFrame(out, columns=["key", "start", "ts", "age_seconds"])
+
+    return run
+
+
+def streak_alerts(events: DataFrame, threshold_s: float) -> DataFrame:
+    """(key, start, ts, age_seconds): on a stream of events (key, ts, ok), each failure that comes so long after the first of its unbroken run.
+
+    The state is one instant per key with a failure under way; a success drops it. Events of a key count in the order of their batches.
+    """
+    kind = events.schema["key"].dataType.simpleString()
+    rows = events.select("key", F.col("ts").cast("timestamp").alias("ts"), "ok")
+    return rows.groupBy("key").applyInPandasWithState(_streak(threshold_s), f"key {kind}, start timestamp, ts timestamp, age_seconds double", "first long", "append", "NoTimeout")
+
+
 def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str, per_batch=None):
     """Take all that a stream has now: into a memory table, or batch by batch into a function, one after the other."""
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
