@@ -323,10 +323,11 @@ def tag_proposals(notes: DataFrame, vocabulary: dict = C.VOCABULARY) -> DataFram
 def tag_plan(notes: DataFrame, proposals: DataFrame) -> DataFrame:
     """(id, add_topics, add_severity, skip): what tagging would add to scanned notes, never a field that a note already has."""
     p = proposals.select("id", F.col("topics").alias("new_topics"), F.col("severity").alias("new_severity"))
-    front, named = F.col("has_topics").isNotNull(), F.col("name").isNotNull() & F.col("own_type").isNotNull()
+    why = F.coalesce("reason", F.lit(""))
+    named = F.col("name").isNotNull() & F.col("own_type").isNotNull()
     add_t = named & ~F.col("has_topics") & (F.size("new_topics") > 0)
     add_s = named & ~F.col("has_severity") & F.col("new_severity").isNotNull()
-    skip = F.when(~front, "no frontmatter").when(~named, "frontmatter missing name/type").when(~add_t & ~add_s, "no new fields to add")
+    skip = F.when(why == C.NO_FRONT, "no frontmatter").when(why.startswith(C.NOT_YAML), "YAML parse error").when(~named, "frontmatter missing name/type").when(~add_t & ~add_s, "no new fields to add")
     some = lambda c, v: F.when(F.coalesce(c, F.lit(False)), F.col(v))
     return notes.join(p, "id").select("id", some(add_t, "new_topics").alias("add_topics"), some(add_s, "new_severity").alias("add_severity"), skip.alias("skip"))
 
@@ -381,7 +382,9 @@ def migration_plan(notes: DataFrame, rules: list[dict], vocabulary: dict = C.VOC
         .when(F.size(found) > 0, field("set", found, "vocabulary-pattern")).otherwise(field("missing", null_a, None))
     )
     created = F.when(T.trim(none("created")) != "", field("kept", F.col("created"), None)).otherwise(field("set", F.date_format("mtime", "yyyy-MM-dd"), "mtime (approx)"))
-    reason = F.when(F.col("reason").startswith("missing required field 'type'") | F.col("reason").startswith("unknown type"), None).otherwise(F.col("reason"))
+    # A list has no name for a reader; here it is no object to begin with.
+    listed = F.array_contains("validation_errors", "frontmatter is not a YAML mapping")
+    reason = F.when(listed, C.NOT_OBJECT).when(F.col("reason").startswith("missing required field 'type'") | F.col("reason").startswith("unknown type"), None).otherwise(F.col("reason"))
     reason = F.when(reason.isNull() & (T.trim(none("name")) == ""), "missing required field 'name'").otherwise(reason)
     rows = notes.select("id", "path", reason.alias("reason"), kind.alias("type"), topics.alias("topics"), created.alias("created"))
     rows = rows.withColumn("skipped", F.col("reason").isNotNull())

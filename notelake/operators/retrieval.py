@@ -88,14 +88,14 @@ def topk(queries: DataFrame, index: DataFrame, k: int, model: str | None = None)
     block of a fixed size in bytes after the other, each block costs a scan of the index, and at most one is held here.
     """
     spark = index.sparkSession
-    cols = ["qid", "embedding"]
-    rows = queries.select(*cols).where("embedding is not null").orderBy("qid").toLocalIterator()
+    qid = _id_type(queries, "qid")
+    rows = queries.select(F.col("qid").cast(qid[0]), "embedding").where("embedding is not null").orderBy("qid").toLocalIterator()
     out = None
     for r in _blocks(rows):
-        found = _topk_block(index, r, k, model, spark)
+        found = _topk_block(index, r, k, model, spark, qid)
         out = found if out is None else out.unionByName(found)
     if out is None:
-        return spark.createDataFrame([], "qid long, id long, sim01 double, rank int")
+        return spark.createDataFrame([], f"qid {qid[0]}, id {_id_type(index, 'id')[0]}, sim01 double, rank int")
     w = Window.partitionBy("qid").orderBy(F.desc("sim01"), "id")
     ranked = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     if model is not None:
@@ -120,33 +120,42 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
-def _topk_block(index: DataFrame, block, k: int, model, spark) -> DataFrame:
-    qids = np.array([q for q, _ in block], np.int64)
+def _id_type(df: DataFrame, c: str) -> tuple[str, pa.DataType]:
+    """Whole numbers are long, anything else is a string."""
+    whole = df.schema[c].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    return ("long", pa.int64()) if whole else ("string", pa.string())
+
+
+def _topk_block(index: DataFrame, block, k: int, model, spark, qid: tuple[str, pa.DataType]) -> DataFrame:
+    qids = [q for q, _ in block]
     matrix = spark.sparkContext.broadcast(_unit(np.array([e for _, e in block], np.float64)))
     has_model = "model" in index.columns
-    rows = index.select(F.col("id").cast("long"), F.col("embedding").cast("array<double>"), *([F.col("model")] if has_model else [F.lit(None).cast("string").alias("model")]))
+    kind, arrow = _id_type(index, "id")
+    rows = index.select(F.col("id").cast(kind), F.col("embedding").cast("array<double>"), *([F.col("model")] if has_model else [F.lit(None).cast("string").alias("model")]))
 
     def run(batches):
         q = matrix.value
-        best = [(np.empty(0), np.empty(0, np.int64), np.empty(0, object))] * len(q)
+        held = np.int64 if kind == "long" else object
+        best = [(np.empty(0), np.empty(0, held), np.empty(0, object))] * len(q)
         for batch in batches:
             vectors = batch.column(1).to_pylist()
             at = [i for i, v in enumerate(vectors) if v and len(v) == q.shape[1] and any(v)]
             if not at:
                 continue
             x = _unit(np.array([vectors[i] for i in at], np.float64))
-            ids = np.array(batch.column(0).to_pylist(), object)[at].astype(np.int64)
+            ids = np.array(batch.column(0).to_pylist(), object)[at].astype(held)
             models = np.array(batch.column(2).to_pylist(), object)[at]
             sims = np.maximum(0, (1 + x @ q.T) / 2)
             for j in range(len(q)):
                 s, i, m = np.append(best[j][0], sims[:, j]), np.append(best[j][1], ids), np.append(best[j][2], models)
-                keep = np.lexsort((i, -s))[:k]
+                keep = np.argsort(i, kind="stable")
+                keep = keep[np.argsort(-s[keep], kind="stable")][:k]
                 best[j] = s[keep], i[keep], m[keep]
-        parts = [(np.full(len(s), qid), i, s, m) for qid, (s, i, m) in zip(qids, best)]
-        cols = [np.concatenate(c) for c in zip(*parts)]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(list(cols[3]), pa.string())], names=["qid", "id", "sim01", "model"])
+        parts = [([one] * len(s), i.tolist(), s.tolist(), m.tolist()) for one, (s, i, m) in zip(qids, best)]
+        cols = [[v for p in c for v in p] for c in zip(*parts)]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], qid[1]), pa.array(cols[1], arrow), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.string())], names=["qid", "id", "sim01", "model"])
 
-    return rows.mapInArrow(run, "qid long, id long, sim01 double, model string")
+    return rows.mapInArrow(run, f"qid {qid[0]}, id {kind}, sim01 double, model string")
 
 
 # ---------------------------------------------------------------- gates

@@ -5,6 +5,8 @@ Documents stand for notes (a kind by language, an age by id), embeddings for the
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +14,12 @@ from notelake.functions import schedule
 from notelake.functions import text as T
 from notelake.operators import digest, hygiene, retrieval, sync
 from notelake.sources import corpus as C
-from notelake.sources import index
+from notelake.sources import index, shared
 from notelake.streaming import watch
 
-_FLOOR, _EVERY = 0.5, 50
+from . import corpora
+
+_EVERY = 50
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,7 +103,8 @@ def ambiguity(spark, sf_dir):
 
 def polarity(spark, sf_dir):
     line = T.first_line(F.concat(F.element_at(F.array(*map(F.lit, _DIRECTIVES)), (F.col("turn") % len(_DIRECTIVES) + 1).cast("int")), "text"))
-    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", T.polarity(line).alias("polarity"))
+    lines = shared.written(_t(spark, sf_dir, "conversations").select("conv_id", "turn", line.alias("line")), "lines")  # read once, looked at by many patterns
+    return lines.select("conv_id", "turn", T.polarity(F.col("line")).alias("polarity"))
 
 
 _DIRECTIVES = ["", "ALWAYS ", "never do ", "You must ", "Code is mandatory: never ", "avoid it, ", "You cannot "]
@@ -168,8 +173,13 @@ def index_changes(spark, sf_dir):
 
 
 def cache_eviction(spark, sf_dir):
+    """The ten prompts that were asked last, through the cache itself: each day's users ask, in order."""
     e = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("accessed_at"))
-    return e.orderBy(F.desc("accessed_at"), "user_id").limit(10)
+    held = e.select(F.sha2(F.col("user_id").cast("string"), 256).alias("prompt_sha"), F.lit("m").alias("model"), F.array(F.lit(0.0).cast("float")).alias("embedding"), "accessed_at")
+    last = e.agg(F.max("accessed_at")).first()[0]
+    none = e.limit(0).select(F.col("user_id").cast("string").alias("prompt"), F.array(F.lit(0.0).cast("float")).alias("embedding"))
+    kept = index.cache_put(held, none, last, "m", 10)
+    return e.join(kept.select("prompt_sha"), F.sha2(F.col("user_id").cast("string"), 256) == F.col("prompt_sha")).select("user_id", "accessed_at")
 
 
 def iso_dates(spark, sf_dir):
@@ -184,7 +194,7 @@ _NAMES = [
 
 
 def queries():
-    return {f.__name__: f for f in _NAMES}
+    return {f.__name__: f for f in _NAMES} | corpora.queries()
 
 
 _V = "SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings"
@@ -216,8 +226,35 @@ _MERGE = f"""d AS (SELECT 'notes/' || doc_id AS path, * FROM documents),
             status = 'conflict' AS conflict FROM m)"""
 
 
+#: Patterns with a look-ahead are searched for in texts without what it excludes.
+_ANY = lambda c, patterns: "(" + " OR ".join(f"regexp_matches({_without(c, p)}, '{'(?i)' if i else ''}{_plain(p)}')" for p, i in patterns) + ")"
+_SQUOTE = lambda p: p.replace("'", "''")
+
+
+def _plain(pattern: str) -> str:
+    return _SQUOTE(re.sub(r"\(\?![^)]*\)", "", pattern))
+
+
+def _without(column: str, pattern: str) -> str:
+    found = re.search(r"\(\?!([^)]*)\)", pattern)
+    return column if not found else f"regexp_replace({column}, '(?i)\\b{re.match(r'.b([A-Za-z]+)', pattern)[1]}{found[1]}', '', 'g')" if pattern.islower() else f"regexp_replace({column}, '\\b{re.match(r'.b([A-Za-z]+)', pattern)[1]}{found[1]}', '', 'g')"
+
+
+_POLARITY = rf"""WITH a AS (SELECT conv_id, turn, ['', 'ALWAYS ', 'never do ', 'You must ', 'Code is mandatory: never ', 'avoid it, ', 'You cannot '][turn % 7 + 1] || text AS body FROM conversations),
+    b AS (SELECT conv_id, turn, trim(regexp_extract(body, '^\s*([^\n]*)', 1)) AS l FROM a), c AS (SELECT conv_id, turn, CASE WHEN length(l) > 200 THEN left(l, 200) || '...' ELSE l END AS x FROM b),
+    d AS (SELECT *, array_to_string(list_slice(regexp_split_to_array(x, '\s+'), 1, 2), ' ') AS w FROM c), e AS (SELECT *, substr(x, length(w) + 1) AS rest FROM d),
+    f AS (SELECT conv_id, turn, {_ANY("x", T.ANYWHERE_POSITIVE)} AS p, {_ANY("x", T.ANYWHERE_NEGATIVE)} AS n, {_ANY("w", T.ANYWHERE_POSITIVE + T.LEADING_POSITIVE)} AS lp, {_ANY("w", T.ANYWHERE_NEGATIVE + T.LEADING_NEGATIVE)} AS ln,
+        {_ANY("rest", T.LEADING_POSITIVE)} AS rp, {_ANY("rest", T.LEADING_NEGATIVE)} AS rn FROM e)
+    SELECT conv_id, turn, CASE WHEN lp AND ln THEN 'mixed' WHEN lp THEN CASE WHEN n OR rn THEN 'mixed' ELSE 'positive' END WHEN ln THEN CASE WHEN p OR rp THEN 'mixed' ELSE 'negative' END
+        WHEN p AND n THEN 'mixed' WHEN p THEN 'positive' WHEN n THEN 'negative' END AS polarity FROM f"""
+_COUNTS = ", ".join(f"{{'s': -({' + '.join(f"len(regexp_extract_all(text, '(?i){p}'))" for p, _ in ps)}), 'o': {i}, 't': '{t}'}}" for i, (t, ps) in enumerate(_VOCABULARY.items()))
+_TAGS = f"""WITH s AS (SELECT doc_id AS id, {_KIND} AS type, list_sort(list_filter([{_COUNTS}], lambda x: x.s <= -3)) AS l, {" + ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN 1 ELSE 0 END" for p in hygiene.CRITICAL)} AS c FROM documents)
+    SELECT id, CASE WHEN type = 'user' THEN '' ELSE array_to_string(list_transform(list_slice(l, 1, 2), lambda x: x.t), ',') END AS topics, CASE WHEN type = 'feedback' THEN CASE WHEN c >= 2 THEN 'critical' ELSE 'normal' END END AS severity FROM s"""
+
+
 def oracle_sql():
-    return {
+    return corpora.oracle_sql() | {
+        "polarity": _POLARITY, "tag_proposals": _TAGS,
         "exact_duplicates": r"""SELECT hash, count(*) AS n, min(id) AS first, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM
             (SELECT doc_id AS id, sha256(b) AS hash FROM (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS b FROM documents) WHERE b <> '') GROUP BY hash HAVING count(*) > 1""",
         "near_duplicates": f"""WITH v AS ({_V}) SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.id < b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.4""",

@@ -174,7 +174,8 @@ def _front(front: pd.Series) -> pd.DataFrame:
             "strict": strict_faults(fm), "json": json.dumps(fm, default=str, ensure_ascii=False),
         }
 
-    return pd.DataFrame([row(x) for x in front], columns=_COLUMNS)
+    rows = [row(x) for x in front]
+    return pd.DataFrame([[r.get(c) for c in _COLUMNS] for r in rows], columns=_COLUMNS, dtype=object)
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -183,7 +184,7 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     at = shared.exists(spark, folder)
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder) if at else spark.createDataFrame([], schema)
     name = F.element_at(F.split("path", "/"), -1)
-    rows = raw.select("path", F.col("modificationTime").alias("mtime"), F.decode("content", F.lit("UTF-8")).alias("source"), name.alias("file")).where(name != INDEX_FILE)
+    rows = raw.select("path", F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("source"), name.alias("file")).where(name != INDEX_FILE)
     return parse_notes(rows)
 
 
@@ -248,7 +249,7 @@ def daily_logs(spark: SparkSession, folder: str, now: datetime.datetime, days_ba
     """(path, file, date, content, size, in_range, error) of files YYYY-MM-DD.md, newest first; a file with an impossible date has an error."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     file = F.element_at(F.split("path", "/"), -1)
-    rows = raw.select("path", file.alias("file"), F.decode("content", F.lit("UTF-8")).alias("content"), F.col("length").alias("size")).where(file.rlike(_LOG))
+    rows = raw.select("path", file.alias("file"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size")).where(file.rlike(_LOG))
     rows = rows.withColumn("date", F.try_to_date(F.substring("file", 1, 10), "yyyy-MM-dd"))
     rows = rows.withColumn("in_range", F.coalesce(F.col("date").cast("timestamp") >= F.lit(now - datetime.timedelta(days=days_back)), F.lit(False)))
     return rows.withColumn("error", F.when(F.col("date").isNull(), F.concat(F.lit("no such date: "), "file"))).orderBy(F.desc("date"), "path")
@@ -263,7 +264,7 @@ def tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of all files below a folder; names that begin with a dot are left out at any depth."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace("path", f"^(?:file:/*(?=/))?{re.escape(root.rstrip('/'))}/", "")
-    return raw.select(path.alias("path"), F.decode("content", F.lit("UTF-8")).alias("content")).where(~F.col("path").rlike(r"(^|/)\."))
+    return raw.select(path.alias("path"), F.decode("content", "UTF-8").alias("content")).where(~F.col("path").rlike(r"(^|/)\."))
 
 
 def workspace(spark: SparkSession, root: str, config: list[dict] | None = None, profile: str | None = None, warnings: list[str] | None = None) -> DataFrame:

@@ -16,7 +16,8 @@ def debounce(events: DataFrame, gap: str = GAP, keys: tuple[str, ...] = (), wate
     """
     if watermark:
         events = events.withWatermark("ts", watermark)
-    per_path = events.groupBy(F.session_window("ts", gap).alias("w"), *keys).agg(
+    # A stream has no sessions without a key, so one that is the same for all stands in.
+    per_path = events.withColumn("one", F.col("path").isNull() & F.col("path").isNotNull()).groupBy(F.session_window("ts", gap).alias("w"), "one", *keys).agg(
         F.min("ts").alias("start"), F.max("ts").alias("last"), F.collect_set(F.when(F.col("kind") == "unlink", F.col("path"))).alias("deleted"),
         F.collect_list(F.struct("ts", (F.col("kind") == "unlink").alias("gone"), "path")).alias("all"),
     )
