@@ -21,6 +21,16 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or LOCAL_SHARED).rstrip("/")
 
 
+BATCH_ROWS = 1_000  # of an Arrow batch, for texts of any kind: a batch of Spark's 10,000 is held several times over by a worker and its executor
+
+
+def bounded(spark: SparkSession) -> None:
+    """Keep Arrow batches small in this session, so that a task's memory doesn't depend on how long a corpus's texts are on average."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -35,6 +45,7 @@ class Scratch:
     roots: list[str] = []
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/notelake-{name}-{uuid.uuid4().hex}"
         Scratch.roots.append(self.root)

@@ -10,6 +10,7 @@ plan's entries are runs of equal sequences. Each piece finds its place by its ra
 from __future__ import annotations
 
 import bisect
+import functools
 import json
 import zlib
 
@@ -32,7 +33,8 @@ def byte_level_ranks(path: str) -> dict[bytes, int]:
     """The byte strings of a byte-level BPE tokenizer file, with their ids."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     chars = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-    model = json.load(open(path, encoding="utf-8"))
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
     special = {t["content"] for t in model.get("added_tokens", [])}
     return {bytes(chars[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in special}
 
@@ -51,8 +53,9 @@ def encoder(path: str):
     from tokenizers import Tokenizer
 
     fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=byte_level_ranks(path), special_tokens={})
-    slow = Tokenizer.from_file(path)
-    added = [t.content for t in slow.get_added_tokens_decoder().values()]
+    with open(path, encoding="utf-8") as f:
+        added = [t["content"] for t in json.load(f).get("added_tokens", [])]
+    slow = functools.cache(lambda: Tokenizer.from_file(path))  # few texts need it, and it takes as much memory as the rest
 
     def encode(text: str) -> list[int]:
         if not any(t in text for t in added):
@@ -61,7 +64,7 @@ def encoder(path: str):
             except BaseException as e:  # the engine's panics aren't Exceptions
                 if isinstance(e, (KeyboardInterrupt, SystemExit, GeneratorExit, MemoryError)):
                     raise
-        return slow.encode(text, add_special_tokens=False).ids
+        return slow().encode(text, add_special_tokens=False).ids
 
     return encode
 

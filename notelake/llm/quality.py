@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 TRAIN_ROWS = 20_000  # most labelled rows that the model is fitted on, those with the smallest hash of the id
 PAIRS = 60_000  # most preference pairs
 _SIGNS = [b for b in range(33, 127) if not chr(b).isalnum()]
@@ -95,6 +97,7 @@ def trained(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
 
     The labels with the smallest hash of the id are broadcast, so no text is shuffled; rows that repeat an id are cut to the bound as well.
     """
+    bounded(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).distinct()
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(train_rows)

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed value: an unknown character scores this much less than the worst piece
 REMEMBERED = 200_000  # counts of words that a worker keeps; it forgets them all when there would be more; one text's own come on top
@@ -86,4 +88,5 @@ def count_tokens(docs: DataFrame, vocabulary_file: str, text: str = "text", key:
             counts = [counter.text(x or "") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 
+    bounded(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
