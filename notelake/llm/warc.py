@@ -13,18 +13,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small
 
 CHUNK = 1 << 16
 LEAST = 100  # payloads of fewer bytes are never revisits
 SALTED, SALTS = 10_000, 1_000  # a payload's pages are dealt to a task each so many, to so many at most
+REVISITS = 200_000  # revisits up to this number (a hundred bytes each) are broadcast to the pages; beyond it they are joined
 HEAVY = 100_000  # payloads that so many pages share are few; beyond this number they are joined, not broadcast
 KIND = "archive int, record long, chunk int, data binary, digest string"
 _NAMES = ["archive", "record", "chunk", "data", "digest"]
 _TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.string()]
 
 
-def plan_records(pages: DataFrame) -> DataFrame:
+def plan_records(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(page_id, url, html, payload_bytes, payload_digest, refers_to): refers_to is null for responses.
 
     Digests are grouped without their payloads, with a partial count in each task; then only revisits, as pairs of page and digest, meet the
@@ -40,6 +41,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
     dealt = narrow.join(F.broadcast(heavy) if heavy.count() <= HEAVY else heavy, F.col("payload_digest") == F.col("d"), "left")
     dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.coalesce("of", F.lit(1))).cast("int"))
     again = dealt.join(firsts.drop("salts"), ["payload_digest", "salt"]).where("page_id <> first").select("page_id", "payload_digest", "first").distinct()
+    again = small((scratch or Scratch(pages.sparkSession, "warc")).save(again, "again"), REVISITS)  # so few that no payload is shuffled for them
     return rows.join(again, ["page_id", "payload_digest"], "left").withColumnRenamed("first", "refers_to")
 
 
@@ -229,4 +231,4 @@ def round_trip(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     null page_id are responses. An empty table gives no rows. Other columns aren't read.
     """
     scratch = scratch or Scratch(pages.sparkSession, "warc")
-    return read_archives(write_archives(plan_records(pages), scratch)).drop("url")
+    return read_archives(write_archives(plan_records(pages, scratch), scratch)).drop("url")
