@@ -13,23 +13,23 @@ COPIES = 2_000_000  # keys, a number each, up to this number are broadcast to dr
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs with _key, and (_key, id, h) of the texts whose id is null or has other texts too: those have a key of their own, below all
-    ids; all else has its id. Rows of one id and one text are one document and share a key."""
+    """(row, key) of docs, row holding all their columns, whatever their names, and (key, id, h) of the texts whose id is null or has other
+    texts too: those have a key of their own, below all ids; all else has its id. Rows of one id and one text are one document and share a key."""
     scratch = Scratch(docs.sparkSession, "keys")
-    docs = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_h", F.xxhash64("text"))
-    texts = docs.select("_id", "_h").distinct()
-    odd = texts.join(texts.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1 or _id is null").select(F.col("_id").alias("i")), F.col("_id").eqNullSafe(F.col("i")), "left_semi")
-    odd = scratch.save(odd.select(F.col("_id").alias("id"), F.col("_h").alias("h")), "odd")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("id", F.col("row.doc_id").cast("long")).withColumn("h", F.xxhash64("row.text"))
+    texts = rows.select("id", "h").distinct()
+    odd = texts.join(texts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select(F.col("id").alias("i")), F.col("id").eqNullSafe(F.col("i")), "left_semi")
+    odd = scratch.save(odd, "odd")
     if odd.isEmpty():
-        return docs.withColumn("_key", F.col("_id")).drop("_id", "_h"), odd.select(F.lit(0).cast("long").alias("_key"), "id", "h")
-    least = min(0, docs.agg(F.min("_id")).first()[0] or 0)
-    odd = scratch.save(odd.select((F.lit(least) - 1 - F.monotonically_increasing_id()).alias("_key"), "id", "h"), "keys")
-    docs = docs.join(odd.select(F.col("_key").alias("own"), "id", "h"), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_h") == F.col("h")), "left")
-    return docs.withColumn("_key", F.coalesce("own", "_id")).drop("_id", "_h", "own", "id", "h"), odd
+        return rows.select("row", F.col("id").alias("key")), odd.select(F.lit(0).cast("long").alias("key"), "id", "h")
+    least = min(0, rows.agg(F.min("id")).first()[0] or 0)
+    odd = scratch.save(odd.select((F.lit(least) - 1 - F.monotonically_increasing_id()).alias("key"), "id", "h"), "keys")
+    rows = rows.join(odd.select(F.col("key").alias("own"), F.col("id").alias("i"), F.col("h").alias("g")), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left")
+    return rows.select("row", F.coalesce("own", "id").alias("key")), odd
 
 
-def by_key(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("_key").alias("doc_id"), "text")
+def by_key(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,20 +43,21 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id; one without an id only if none has one.
 
-    Texts that share an id are documents of their own.
+    Texts that share an id are documents of their own; of rows that repeat an id and a text one stays. Null, empty and wordless texts are
+    copies of nothing and stay. An empty table gives none.
     """
     rows, odd = keyed(docs)
     scratch = Scratch(spark, "copies")
-    found = sigtree.similar_documents(by_key(rows)).select(F.col("doc_id").alias("_key"), "component_id")
-    found = scratch.save(found.groupBy("_key").agg(F.min("component_id").alias("component_id"), F.count("*").alias("many")).join(odd, "_key", "left"), "found")
-    id = F.when(F.col("h").isNull(), F.col("_key")).otherwise(F.col("id"))
-    kept = found.groupBy("component_id").agg(F.min_by("_key", F.struct(id.isNull(), id, "h")).alias("_key"))
-    gone = scratch.save(found.join(kept.select("_key"), "_key", "left_anti").select("_key"), "gone")
-    again = scratch.save(found.where("many > 1").join(gone, "_key", "left_anti").select("_key"), "again")  # rows that repeat an id and a text
+    found = sigtree.similar_documents(by_key(rows)).select(F.col("doc_id").alias("key"), "component_id")
+    found = scratch.save(found.groupBy("key").agg(F.min("component_id").alias("component_id"), F.count("*").alias("many")).join(odd, "key", "left"), "found")
+    id = F.when(F.col("h").isNull(), F.col("key")).otherwise(F.col("id"))
+    kept = found.groupBy("component_id").agg(F.min_by("key", F.struct(id.isNull(), id, "h")).alias("key"))
+    gone = scratch.save(found.join(kept.select("key"), "key", "left_anti").select("key"), "gone")
+    again = scratch.save(found.where("many > 1").join(gone, "key", "left_anti").select("key"), "again")  # rows that repeat an id and a text
     gone, again = small(gone, COPIES), small(again, COPIES)  # so that the texts that stay aren't shuffled
-    rows = rows.join(gone, "_key", "left_anti")
-    once = rows.join(again, "_key", "left_anti")
-    return once.unionByName(rows.join(again, "_key", "left_semi").dropDuplicates(["_key"])).select(*docs.columns)
+    rows = rows.join(gone, "key", "left_anti")
+    once = rows.join(again, "key", "left_anti")
+    return once.unionByName(rows.join(again, "key", "left_semi").dropDuplicates(["key"])).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +71,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents, in sequences of 2048 tokens."""
+    """The pieces of the documents, in sequences of 2048 tokens; repeated rows are packed each, null and empty texts as one token."""
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
 
 

@@ -104,9 +104,10 @@ def judged(docs: DataFrame, items: DataFrame, span: int = SPAN, scratch: Scratch
 def clean(docs: DataFrame, items: DataFrame, span: int = SPAN, scratch: Scratch | None = None) -> DataFrame:
     """The rows of docs, with all their columns, whose own text isn't contaminated."""
     scratch = scratch or Scratch(docs.sparkSession, "clean")
-    bad = judged(docs, items, span, scratch).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("h").alias("_bad_h")).distinct()
+    bad = judged(docs, items, span, scratch).where("contaminated").select("doc_id", "h").distinct()
     bad = small(scratch.save(bad, "bad"), BAD)
-    return docs.join(bad, docs.doc_id.cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs.text) == F.col("_bad_h")), "left_anti")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # no other column's name can clash
+    return rows.join(bad, F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("h")), "left_anti").select("row.*")
 
 
 def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, scratch: Scratch | None = None) -> DataFrame:

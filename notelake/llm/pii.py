@@ -222,7 +222,7 @@ def redact(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     kept = {c: of(c) for c in docs.columns} | {"text": new}
     if "n_chars" in kept:
         kept["n_chars"] = F.when(cuts.isNull(), of("n_chars")).otherwise(F.length(new).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*(e.alias(c) for c, e in kept.items()))
+    return joined.select(F.struct(*(e.alias(c) for c, e in kept.items())).alias("out")).select("out.*")
 
 
 def _end(cuts: Column, i: Column) -> Column:

@@ -489,6 +489,26 @@ def test_plans_of_many_pieces(length):
     assert plan.next == {i: int(n) for i, n in enumerate(counts) if n}
 
 
+def test_other_columns_and_nulls(spark):
+    """Tables of pages, vectors, labels and items with other columns, under names that the operators use inside, and with nulls everywhere."""
+    more = ", h int, first int, salt int, many int, same string, codes binary, valid int, label_ int, host string, html_ string, decisions string, rule string, verdict string, score int, rep int"
+    extra = (1, 2, 3, 4, "5", b"6", 7, 8, "9", "10", "11", "12", "13", 14, 15)
+    pages = [(1, "http://a.com/x", "<p>" + "x" * 200), (2, "http://b.com/x", "<p>" + "x" * 200), (None, None, None), (3, "", "")]
+    table = spark.createDataFrame([(*r, *extra) for r in pages], "page_id long, url string, html string" + more)
+    assert sorted((r["page_id"] or 0, r["refers_to"]) for r in warc.round_trip(table).collect()) == [(0, None), (1, None), (2, 1), (3, None)]
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in html_extract.main_text(table).collect()) == [(0, 0), (1, 200), (2, 200), (3, 0)]
+    assert {r["page_id"]: r["rule"] for r in url_filter.judge(table).collect()} == {1: "com/", 2: "com/", None: None, 3: None}
+    vectors = spark.createDataFrame([(i, v, k, *extra) for i, v, k in [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (3, None, None)]], "vec_id long, embedding array<float>, label int" + more)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.similar_vectors(vectors).collect()} == {1: (1, 1), 2: (1, 1), 3: (0, 3), None: (0, None)}
+    labels = spark.createDataFrame([(i, i % 2, 1, "x", 2, 3) for i in range(40)] + [(None, None, None, None, None, None)], "doc_id long, quality int, toxic int, text string, x int, h int")
+    rows = docs(spark, [(i, "fine words here " * 5 if i % 2 else "BAD!! WORDS## " * 5) for i in range(40)] + [(None, None)])
+    got = quality.score_documents(rows, labels).collect()
+    assert len(got) == 41 and all(r["predicted"] == r["doc_id"] % 2 for r in got if r["doc_id"] is not None)
+    items = spark.createDataFrame([(1, "one two three", 1, "w", 2), (None, "four five", 1, "w", 2), (None, None, None, None, None)], "item_id long, text string, h int, phrase string, n int")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontam.contamination(docs(spark, [(1, "one two three"), (2, "four five"), (None, None)]), items).collect()}
+    assert got == {1: (3, 1), 2: (2, 0), None: (0, 0)}
+
+
 def test_shingles():
     rows = ["", None, "a b", "A  b", "a b c d e f", " \n"]
     got = [s.tolist() for s in shingle_sets(rows)]

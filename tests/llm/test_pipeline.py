@@ -52,3 +52,26 @@ def test_null_and_reused_ids(spark):
     rows = [(None, item), (None, text("a")), (7, item), (7, text("b"))]
     kept = corpus_pipeline.decontamination(spark, spark.createDataFrame(rows, docs.schema), DIR).collect()
     assert {(r["doc_id"], r["text"]) for r in kept} == {(None, text("a")), (7, text("b"))}
+
+
+def test_odd_tables(spark):
+    """Nulls, empty texts, repeats and other columns with names that the stages use; and tables without rows."""
+    schema = "doc_id long, text string, row string, key long, h long, id int, component_id int, n_chars int"
+    words = "plain clean words that make up one more short text of this little corpus and nothing else".split()
+    rows = [(i, " ".join(f"{w}{i}" for w in words), "r", 1, 2, 3, 4, 5) for i in range(6)]
+    rows += [(7, None, None, None, None, None, None, None), (8, "", "r", 1, 2, 3, 4, 5), (None, rows[0][1], "x", 1, 2, 3, 4, 5), rows[1], (9, "mail me at a1@b2.org", "r", 1, 2, 3, 4, 5)]
+    docs, none = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, none, DIR).count() == 0
+        got = stage(spark, docs, DIR)
+        assert got.columns == docs.columns
+        got = sorted(map(tuple, got.collect()), key=str)
+        if name == "ngram_jaccard_join":
+            assert got == sorted([r for r in rows[:8] + rows[10:]], key=str)
+        if name == "decontamination":
+            assert got == sorted(rows, key=str)
+        if name == "personal_data":
+            assert got == sorted([*rows[:10], (9, "mail me at [EMAIL]", "r", 1, 2, 3, 4, 18)], key=str)
+    assert corpus_pipeline.STAGES[-1][1](spark, none, DIR).count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, DIR).collect()
+    assert len(packed) == len(rows) and sum(r["length"] for r in packed if r["doc_id"] in (7, 8)) == 2
