@@ -18,9 +18,13 @@ def folder(spark: SparkSession) -> str:
     return (found or LOCAL_FOLDER).rstrip("/")
 
 
+_PATHS: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read from Parquet."""
+    """The same rows, read from Parquet; the table stays until clean()."""
     path = f"{folder(df.sparkSession)}/notelake-{name}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -39,3 +43,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 def delete(spark: SparkSession, path: str) -> None:
     at, fs = path_of(spark, path)
     fs.delete(at, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the tables that this process has written so; results that aren't written yet can't be read after it."""
+    while _PATHS:
+        delete(spark, _PATHS.pop())

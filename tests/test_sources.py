@@ -233,6 +233,16 @@ def test_evaluate(spark, folder):
     assert "negative controls passed: 1 of 1 (100.0%)" in report.evaluation(r)
 
 
+def test_written_tables_are_cleaned(spark):
+    from notelake.sources import shared
+
+    df = shared.written(spark.range(3).toDF("n"), "t")
+    path = shared._PATHS[-1]
+    assert df.count() == 3 and shared.exists(spark, path)
+    shared.clean(spark)
+    assert not shared.exists(spark, path)
+
+
 def test_settings():
     w = retrieval.Weights.of_settings({"NOTELAKE_BLEND_TOPIC_BOOST": "0.5", "NOTELAKE_BLEND_RECENCY_HALFLIFE_DAYS": "0", "NOTELAKE_BLEND_TYPE_WEIGHT": "-1", "NOTELAKE_BLEND_CANDIDATE_K": "9x"})
     assert (w.topic_boost, w.half_life_days, w.type_weight, w.k) == (0.5, 30.0, 0.03, 5) and retrieval.candidates(5, 7.5) == 8 and retrieval.candidates(5, 2) == 5
