@@ -74,6 +74,18 @@ def small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], by: list[str], hot: int = 10_000) -> DataFrame:
+    """many joined to one, whose keys are unique and not null. A key of more than hot rows of many is split by those rows' columns `by`,
+    and its row of one goes to each part, so that no task gets all rows of a key. Give it written tables."""
+    parts = many.groupBy(*keys).agg(F.ceil(F.count("*") / hot).cast("int").alias("parts")).where("parts > 1")
+    if parts.isEmpty():
+        return many.join(one, keys)
+    parts = small(parts, 1_000_000)
+    split = many.join(parts, keys, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(*by), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    copies = one.join(parts, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
+    return split.join(copies, [*keys, "part"]).drop("part")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed_dedup, html_extract, packing, pii, quality, sigtree, token_count, url_filter, warc
+from . import decontam, embed_dedup, html_extract, kmeans_tree, packing, pii, quality, sigtree, token_count, url_filter, warc
 from .common import table
 
 
@@ -55,6 +55,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigtree.similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def term_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of two frequent words at most three words apart, per document: the index's other kind of match."""
     near = decontam.proximity(table(spark, sf_dir, "documents"), "the", "of", 3)
@@ -65,7 +69,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_url_filter, op3_quality_classifier, op4_personal_data, op5_token_counts, op6_html_extraction,
-        op7_decontamination, op8_warc, op9_best_fit_packing, op10_ngram_jaccard_join, term_proximity,
+        op7_decontamination, op8_warc, op9_best_fit_packing, op10_ngram_jaccard_join, op11_nearest_neighbours, term_proximity,
     )
 }
 
