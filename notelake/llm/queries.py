@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed_dedup, html_extract, kmeans_tree, packing, pii, quality, sigtree, token_count, url_filter, warc
+from . import decontam, embed_dedup, html_extract, kmeans_tree, packing, pii, pivot_negatives, quality, sigtree, token_count, url_filter, warc
 from .common import table
 
 
@@ -59,6 +59,11 @@ def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans_tree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return pivot_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def term_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of two frequent words at most three words apart, per document: the index's other kind of match."""
     near = decontam.proximity(table(spark, sf_dir, "documents"), "the", "of", 3)
@@ -69,7 +74,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_url_filter, op3_quality_classifier, op4_personal_data, op5_token_counts, op6_html_extraction,
-        op7_decontamination, op8_warc, op9_best_fit_packing, op10_ngram_jaccard_join, op11_nearest_neighbours, term_proximity,
+        op7_decontamination, op8_warc, op9_best_fit_packing, op10_ngram_jaccard_join, op11_nearest_neighbours, op13_hard_negatives, term_proximity,
     )
 }
 
@@ -90,6 +95,18 @@ ORACLE_SQL = {
         SELECT a.doc_id, count(*) AS n_near, CAST(min(least(a.pos, b.pos)) AS BIGINT) AS first_at
         FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.word = 'the' AND b.word = 'of' AND abs(a.pos - b.pos) BETWEEN 1 AND 3 GROUP BY a.doc_id
     """,
+    "op13_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0
+        ), p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+        SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER w AS INT) AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+        FROM p JOIN s ON p.a = s.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+        WINDOW w AS (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) QUALIFY row_number() OVER w <= 10
+    """,
     "op1_embedding_near_dedup": """
         WITH RECURSIVE v AS (
             SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, CAST(embedding AS VARCHAR) AS same FROM embeddings
