@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed_dedup, html_extract, kmeans_tree, packing, pii, pivot_negatives, quality, sigtree, token_count, url_filter, warc
+from . import conversations, decontam, embed_dedup, html_extract, kmeans_tree, packing, pii, pivot_negatives, quality, sigtree, token_count, url_filter, warc
 from .common import table
 
 
@@ -59,6 +59,11 @@ def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans_tree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damaged(rows), rows.select("conv_id"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return pivot_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
@@ -74,7 +79,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_url_filter, op3_quality_classifier, op4_personal_data, op5_token_counts, op6_html_extraction,
-        op7_decontamination, op8_warc, op9_best_fit_packing, op10_ngram_jaccard_join, op11_nearest_neighbours, op13_hard_negatives, term_proximity,
+        op7_decontamination, op8_warc, op9_best_fit_packing, op10_ngram_jaccard_join, op11_nearest_neighbours, op12_conversation_repair,
+        op13_hard_negatives, term_proximity,
     )
 }
 
