@@ -108,17 +108,6 @@ def embed_input(name: Column, description: Column, body: Column, limit: int = 80
     return utf16_left(F.concat_ws("\n", *(F.nullif(c, F.lit("")) for c in (name, description, body))), limit)
 
 
-def safe_pattern(pattern: str) -> bool:
-    """Whether a pattern supplied as data may run: not too long, no repeated group of a repetition, and it compiles."""
-    if len(pattern) > MAX_PATTERN or re.search(r"\([^)]*[+*][^)]*\)[+*?]", pattern):
-        return False
-    try:
-        re.compile(pattern)
-    except re.error:
-        return False
-    return True
-
-
 def keyword_pattern(name: str) -> str:
     return rf"(?<![A-Za-z0-9_]){re.escape(name)}(?![A-Za-z0-9_])"
 

@@ -6,7 +6,6 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,10 +14,11 @@ from notelake.functions import text as T
 from notelake.sources import corpus as C
 from notelake.sources import shared
 
+from . import patterns
+
 #: Floors of the semantic score by provider, and by model where one was calibrated.
 FLOORS, MODEL_FLOORS = {"openai": 0.5, "ollama": 0.78}, {"bge-m3": 0.78}
 QUERY_BLOCK_BYTES = 64 << 20  # query vectors up to this size are broadcast; larger batches are run in blocks of it
-PATTERNS = 100_000  # distinct command patterns up to this number are broadcast to the commands
 
 
 @dataclass
@@ -169,23 +169,15 @@ def topic_gate(queries: DataFrame, notes: DataFrame, vocabulary: dict = C.VOCABU
     return both.select("qid", "id", F.lit("topic").alias("gate"), F.lit(1.0).alias("score"), F.concat(F.lit("topic match: "), F.array_join(F.col("t.topic"), ", ")).alias("reason"))
 
 
-def _runs(patterns: pd.Series) -> pd.Series:
-    """Whether patterns that came as data may run; one that doesn't compile would fail the whole query."""
-    return patterns.map(T.safe_pattern)
-
-
 def tool_gate(queries: DataFrame, notes: DataFrame) -> DataFrame:
-    """Notes triggered by a query's tool name, or else, for the shell, by its command; patterns that may not run are left out beforehand.
+    """Notes triggered by a query's tool name, or else, for the shell, by its command; patterns that may not run trigger nothing.
 
-    Commands meet the distinct patterns, not the notes that have them: those follow by an equi-join.
+    Commands meet the distinct patterns that they can match, not the notes that have them: those follow by an equi-join.
     """
     tools = notes.select("id", F.explode(F.array_distinct("triggers.tools")).alias("tool_name"))
     named = queries.join(tools, "tool_name").select("qid", "id", F.concat(F.lit("tool match: "), F.col("tool_name")).alias("reason"), F.lit(0).alias("by"))
-    owned = notes.select("id", F.col("triggers.command_pattern").alias("p")).where(F.coalesce("p", F.lit("")) != "")
-    patterns = shared.written(owned.select("p").distinct().where(F.pandas_udf(_runs, "boolean")("p")), "patterns")
-    patterns = F.broadcast(patterns) if patterns.count() <= PATTERNS else patterns
-    shell = queries.where("tool_name = 'Bash' and tool_command is not null").select("qid", "tool_command")
-    found = shell.join(patterns, F.rlike(F.col("tool_command"), F.col("p"))).select("qid", "p").join(owned, "p")
+    owned = notes.select("id", F.col("triggers.command_pattern").alias("p"))
+    found = patterns.search(queries.where("tool_name = 'Bash'").select("qid", F.col("tool_command").alias("text")), owned.select("p")).join(owned, "p")
     by_command = found.select("qid", "id", F.concat(F.lit("command match: "), F.col("p")).alias("reason"), F.lit(1).alias("by"))
     return named.unionByName(by_command).groupBy("qid", "id").agg(F.lit("tool").alias("gate"), F.lit(1.0).alias("score"), F.min_by("reason", F.struct("by", "reason")).alias("reason"))
 

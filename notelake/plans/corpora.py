@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from notelake import api
 from notelake.functions import schedule
 from notelake.functions import text as T
-from notelake.operators import digest, hygiene, retrieval, sync
+from notelake.operators import digest, hygiene, patterns, retrieval, sync
 from notelake.sources import corpus as C
 from notelake.sources import index, shared
 from notelake.streaming import watch
@@ -267,6 +267,7 @@ def _triggered(spark, sf_dir) -> DataFrame:
     k = F.col("doc_id") % 50
     tools = F.when(k == 0, F.array(F.lit("Edit"))).when(k == 5, F.array(F.lit("Edit"), F.lit("Bash")))
     pattern = F.when(k == 1, r"git\s+push").when(k == 2, "force [13]$").when(k == 3, "(g+)+").when(k == 4, "[").when(k == 5, "git").when(k == 6, "")
+    pattern = pattern.when(k == 7, "(?P<x>git)").when(k == 8, r"(?<tool_1>g\w)t \k<tool_1>|(?<x>git)").when(k == 9, r"[^\D3]$").when(k == 10, "(?:pull|push) --f").when(k == 11, "git++").when(k == 12, "(?i)GIT")
     text = F.col("text")
     return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.struct(tools.alias("tools"), pattern.alias("command_pattern")).alias("triggers"), F.col("doc_id").alias("load_ord"), C.topics_of(text, _GATE_WORDS).alias("topics"))
 
@@ -280,11 +281,32 @@ def tool_hits(spark, sf_dir):
 
 
 _TOOLS = r"""q AS (SELECT conv_id * 1000 + turn AS qid, turn % 3 AS m, conv_id // 50 % 5 AS c, text AS prompt FROM conversations WHERE conv_id % 50 = 0), n AS (SELECT doc_id AS id, doc_id % 50 AS k, text FROM documents),
-    tool AS (SELECT qid, id, CASE WHEN k = 0 OR (k = 5 AND m = 1) THEN 'tool match: Edit' WHEN k = 5 THEN 'tool match: Bash' WHEN k = 1 THEN 'command match: git\s+push' ELSE 'command match: force [13]$' END AS reason FROM q JOIN n ON
-        (m = 1 AND k IN (0, 5)) OR (m = 0 AND (k IN (1, 5) OR (k = 2 AND c IN (1, 3)))))"""
+    tool AS (SELECT qid, id, CASE WHEN k = 0 OR (k = 5 AND m = 1) THEN 'tool match: Edit' WHEN k = 5 THEN 'tool match: Bash' WHEN k = 1 THEN 'command match: git\s+push' WHEN k = 2 THEN 'command match: force [13]$'
+        WHEN k = 8 THEN 'command match: (?<tool_1>g\w)t \k<tool_1>|(?<x>git)' WHEN k = 9 THEN 'command match: [^\D3]$' ELSE 'command match: (?:pull|push) --f' END AS reason FROM q JOIN n ON
+        (m = 1 AND k IN (0, 5)) OR (m = 0 AND (k IN (1, 5, 8, 10) OR (k = 2 AND c IN (1, 3)) OR (k = 9 AND c <> 3))))"""
 _TOOL_HITS = f"""WITH {_TOOLS} SELECT qid, id, 'tool' AS gate, CAST(1 AS DOUBLE) AS score, reason, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY id) AS rank FROM tool) WHERE rank <= 7"""
 
 
+def _found_patterns(spark, sf_dir) -> DataFrame:
+    """A pattern of each document's second and third word, if both are of ASCII letters, in one of four forms."""
+    w = F.split("text", "[ \n]")
+    a, b, k = F.get(w, 1), F.get(w, 2), F.col("doc_id") % 4
+    p = F.when(k == 0, F.concat(a, F.lit(" "), b)).when(k == 1, F.concat(a, F.lit("\\s+(?<next>"), b, F.lit(")"))).when(k == 2, F.concat(F.lit("(?:"), a, F.lit("|"), b, F.lit(")\\."))).otherwise(F.concat(F.lit("^"), a, F.lit(".*"), b, F.lit("?$")))
+    return _t(spark, sf_dir, "documents").where(a.rlike("^[A-Za-z]+$") & b.rlike("^[A-Za-z]+$")).select(p.alias("p"))
+
+
+def pattern_hits(spark, sf_dir):
+    """How many turns each of many patterns is found in."""
+    turns = _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text")
+    return patterns.search(turns, _found_patterns(spark, sf_dir)).groupBy("p").agg(F.count("*").alias("n"))
+
+
+_PATTERN_HITS = r"""WITH w AS (SELECT doc_id % 4 AS k, regexp_split_to_array(text, '[ \n]')[2] AS a, regexp_split_to_array(text, '[ \n]')[3] AS b FROM documents),
+    p AS (SELECT DISTINCT CASE k WHEN 0 THEN a || ' ' || b WHEN 1 THEN a || '\s+(?P<next>' || b || ')' WHEN 2 THEN '(?:' || a || '|' || b || ')\.' ELSE '^' || a || '.*' || b || '?$' END AS p FROM w
+        WHERE regexp_full_match(a, '[A-Za-z]+') AND regexp_full_match(b, '[A-Za-z]+'))
+    SELECT replace(p, '(?P<', '(?<') AS p, count(*) AS n FROM p JOIN conversations ON regexp_matches(text, p) GROUP BY ALL"""
+
+
 def resolve_all(spark, sf_dir):
     gate = lambda q, n: retrieval.topic_gate(q, n, _GATE_WORDS)
     return retrieval.resolve(_asked(spark, sf_dir), _triggered(spark, sf_dir), 5, gates=(gate, retrieval.tool_gate))
@@ -656,7 +678,7 @@ _DIGEST_DAYS = f"""WITH {_LOG_LINES} SELECT CAST(date AS DATE) AS date, sha256('
 
 _QUERIES = [
     notes_scan, schema_metrics, drift, drift_fixed, unknown_topics, migration, migration_summary, tag_plan, embed_inputs, empty_bodies, exact_members, stale_references, inline_stale, dead_links,
-    stale_dates, glued_dates, tool_hits, resolve_all, context_render, hook_requests, floors, conflict_pairs, merge_strategies, push_scoped, replay, path_mapping, commit_messages, pull_summary,
+    stale_dates, glued_dates, tool_hits, pattern_hits, resolve_all, context_render, hook_requests, floors, conflict_pairs, merge_strategies, push_scoped, replay, path_mapping, commit_messages, pull_summary,
     queue_ages, restore, remote_kinds, index_build, lru_cache, knn_of_model, stale_models, eval_per_prompt, eval_unknown, coverage, change_sessions, cron_ticks, digest_summary, digest_days,
 ]
 
@@ -672,7 +694,7 @@ def oracle_sql():
         "exact_members": r"""WITH h AS (SELECT doc_id AS id, sha256(b) AS hash FROM (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS b FROM documents) WHERE b <> ''), g AS (SELECT hash, count(*) AS n, min(id) AS first FROM h GROUP BY hash HAVING count(*) > 1)
             SELECT id, hash, n, first FROM h JOIN g USING (hash)""",
         "stale_references": f"{_REFS} SELECT * FROM r WHERE status IS NOT NULL", "inline_stale": _INLINE, "dead_links": _DEAD, "stale_dates": _STALE_DATES,
-        "glued_dates": "SELECT event_id AS id, CAST(CASE event_id % 5 WHEN 1 THEN 0 WHEN 3 THEN 2 ELSE 1 END AS BIGINT) AS n FROM events", "tool_hits": _TOOL_HITS, "resolve_all": _RESOLVE, "context_render": _RENDER, "hook_requests": _HOOK,
+        "glued_dates": "SELECT event_id AS id, CAST(CASE event_id % 5 WHEN 1 THEN 0 WHEN 3 THEN 2 ELSE 1 END AS BIGINT) AS n FROM events", "tool_hits": _TOOL_HITS, "pattern_hits": _PATTERN_HITS, "resolve_all": _RESOLVE, "context_render": _RENDER, "hook_requests": _HOOK,
         "floors": _FLOORS, "conflict_pairs": _PAIRS, "merge_strategies": _MERGES, "push_scoped": _PUSH_SCOPED, "replay": _REPLAY, "path_mapping": _PATHS, "commit_messages": _COMMITS, "pull_summary": _PULL_SUMMARY, "queue_ages": _QUEUE_AGES,
         "restore": "SELECT 'notes/13/' || doc_id AS path, sha256(text) AS content FROM documents WHERE doc_id % 5 = 3 AND doc_id % 20 = 13", "remote_kinds": _KINDS, "index_build": _BUILD, "lru_cache": _LRU, "knn_of_model": _KNN_MODEL,
         "stale_models": _STALE_MODELS, "eval_per_prompt": _EVAL, "eval_unknown": _EVAL_UNKNOWN, "coverage": _COVERAGE, "change_sessions": _SESSIONS, "cron_ticks": _CRON, "digest_summary": _DIGEST_SUMMARY, "digest_days": _DIGEST_DAYS,

@@ -13,6 +13,7 @@ import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notelake.functions import patterns as P
 from notelake.functions import text as T
 
 from . import shared
@@ -78,7 +79,7 @@ def load_vocabulary(path: str | None, strict: bool = False) -> Vocabulary:
                 raise ValueError(f"bad description: {r!r}")
             if name in out:
                 raise ValueError(f"duplicate topic: {name}")
-            out[name] = [(p if T.safe_pattern(p) else T.keyword_pattern(name), True) for p in patterns] or [(T.keyword_pattern(name), True)]
+            out[name] = [(p if P.may_run(p) else T.keyword_pattern(name), True) for p in patterns] or [(T.keyword_pattern(name), True)]
         return Vocabulary(out, "custom")
     except (ValueError, yaml.YAMLError) as e:
         if strict:
