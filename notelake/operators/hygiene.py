@@ -8,9 +8,7 @@ import re
 import uuid
 from pathlib import Path
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 import yaml
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,9 +17,8 @@ from notelake.functions import text as T
 from notelake.sources import corpus as C
 from notelake.sources import shared
 
-from . import retrieval
+from . import retrieval, sphere
 
-BLOCK = 2048
 MAX_LINES, MAX_DESCRIPTION = 200, 150
 JACCARD_FLOOR, COSINE_FLOOR = 0.15, 0.85
 MAX_AGE_DAYS = 90
@@ -46,35 +43,8 @@ def empty_bodies(notes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """(a, b, similarity) of vectors (id, embedding) with cosine >= threshold, a < b: an exact join of the table's blocks with one another.
-
-    Blocks of vectors meet pairwise, so each is sent to every block pair it belongs to, and one task multiplies two blocks.
-    """
-    rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e")).where("e is not null and size(e) > 0")
-    n = max(1, -(-rows.count() // BLOCK))
-    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    rows = rows.select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "e")
-
-    def compare(table: pa.Table) -> pa.Table:
-        side, ids = table.column("side").to_numpy(), table.column("id").to_numpy()
-        e = table.column("e").to_pylist()
-        out = [np.empty((0, 3))]
-        for size in {len(v) for v in e}:
-            at = np.array([i for i, v in enumerate(e) if len(v) == size])
-            u = retrieval._unit(np.array([e[i] for i in at]))
-            p, q = (side[at] == 0), (side[at] == 1)
-            within = not (side == 1).any()
-            q = p if within else q
-            s = u[p] @ u[q].T
-            i, j = np.nonzero(s >= threshold)
-            a, b = ids[at][p][i], ids[at][q][j]
-            ok = a < b if within else a != b
-            out.append(np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok], s[i, j][ok]], 1))
-        found = np.concatenate(out)
-        return pa.table({"a": found[:, 0].astype(np.int64), "b": found[:, 1].astype(np.int64), "similarity": found[:, 2]})
-
-    return rows.groupBy("x", "y").applyInArrow(compare, "a long, b long, similarity double")
+    """(a, b, similarity) of vectors (id, embedding) with cosine >= threshold, a < b: exact, each vector dealt to the cells that can hold its like."""
+    return sphere.near_pairs(vectors, threshold)
 
 
 def near_report(notes: DataFrame, index: DataFrame | None, model: str | None, threshold: float = 0.95, problem: str | None = None) -> dict:

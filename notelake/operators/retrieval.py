@@ -6,7 +6,6 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,11 +13,10 @@ from notelake.functions import text as T
 from notelake.sources import corpus as C
 from notelake.sources import shared
 
-from . import patterns
+from . import patterns, sphere
 
 #: Floors of the semantic score by provider, and by model where one was calibrated.
 FLOORS, MODEL_FLOORS = {"openai": 0.5, "ollama": 0.78}, {"bge-m3": 0.78}
-QUERY_BLOCK_BYTES = 64 << 20  # query vectors up to this size are broadcast; larger batches are run in blocks of it
 
 
 @dataclass
@@ -84,78 +82,14 @@ def topk(queries: DataFrame, index: DataFrame, k: int, model: str | None = None)
     """(qid, id, sim01, rank): the k nearest of the index (id, embedding[, model]) for each query (qid, embedding).
 
     The similarity is (1 + cosine) / 2; ties go by id; zero vectors are left out; rows of another model are dropped after ranking.
-    Each task keeps k rows per query of its part of the index, so the shuffle is k x queries x tasks rows. Queries come to the driver one
-    block of a fixed size in bytes after the other, each block costs a scan of the index, and at most one is held here.
+    Both sides are dealt out by pivots (see sphere), whatever their sizes.
     """
-    spark = index.sparkSession
-    qid = _id_type(queries, "qid")
-    rows = queries.select(F.col("qid").cast(qid[0]), "embedding").where("embedding is not null").orderBy("qid").toLocalIterator()
-    out = None
-    for r in _blocks(rows):
-        found = _topk_block(index, r, k, model, spark, qid)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], f"qid {qid[0]}, id {_id_type(index, 'id')[0]}, sim01 double, rank int")
-    w = Window.partitionBy("qid").orderBy(F.desc("sim01"), "id")
-    ranked = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if "model" not in index.columns:
+        index = index.withColumn("model", F.lit(None).cast("string"))
+    found = sphere.nearest(queries, index.select("id", F.col("model").cast("string").alias("model"), "embedding"), k)
     if model is not None:
-        ranked = ranked.where(F.col("model") == model)
-    return ranked.select("qid", "id", "sim01", "rank")
-
-
-def _blocks(rows):
-    block, held = [], 0
-    for r in rows:
-        block.append((r["qid"], r["embedding"]))
-        held += 8 * len(r["embedding"])
-        if held > QUERY_BLOCK_BYTES:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(n > 0, n, 1)
-
-
-def _id_type(df: DataFrame, c: str) -> tuple[str, pa.DataType]:
-    """Whole numbers are long, anything else is a string."""
-    whole = df.schema[c].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
-    return ("long", pa.int64()) if whole else ("string", pa.string())
-
-
-def _topk_block(index: DataFrame, block, k: int, model, spark, qid: tuple[str, pa.DataType]) -> DataFrame:
-    qids = [q for q, _ in block]
-    matrix = spark.sparkContext.broadcast(_unit(np.array([e for _, e in block], np.float64)))
-    has_model = "model" in index.columns
-    kind, arrow = _id_type(index, "id")
-    rows = index.select(F.col("id").cast(kind), F.col("embedding").cast("array<double>"), *([F.col("model")] if has_model else [F.lit(None).cast("string").alias("model")]))
-
-    def run(batches):
-        q = matrix.value
-        held = np.int64 if kind == "long" else object
-        best = [(np.empty(0), np.empty(0, held), np.empty(0, object))] * len(q)
-        for batch in batches:
-            vectors = batch.column(1).to_pylist()
-            at = [i for i, v in enumerate(vectors) if v and len(v) == q.shape[1] and any(v)]
-            if not at:
-                continue
-            x = _unit(np.array([vectors[i] for i in at], np.float64))
-            ids = np.array(batch.column(0).to_pylist(), object)[at].astype(held)
-            models = np.array(batch.column(2).to_pylist(), object)[at]
-            sims = np.maximum(0, (1 + x @ q.T) / 2)
-            for j in range(len(q)):
-                s, i, m = np.append(best[j][0], sims[:, j]), np.append(best[j][1], ids), np.append(best[j][2], models)
-                keep = np.argsort(i, kind="stable")
-                keep = keep[np.argsort(-s[keep], kind="stable")][:k]
-                best[j] = s[keep], i[keep], m[keep]
-        parts = [([one] * len(s), i.tolist(), s.tolist(), m.tolist()) for one, (s, i, m) in zip(qids, best)]
-        cols = [[v for p in c for v in p] for c in zip(*parts)]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], qid[1]), pa.array(cols[1], arrow), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.string())], names=["qid", "id", "sim01", "model"])
-
-    return rows.mapInArrow(run, f"qid {qid[0]}, id {kind}, sim01 double, model string")
+        found = found.where(F.col("model") == model)
+    return found.select("qid", "id", F.greatest(F.lit(0.0), (1 + F.col("cosine")) / 2).alias("sim01"), "rank")
 
 
 # ---------------------------------------------------------------- gates

@@ -72,6 +72,12 @@ def knn(spark, sf_dir):
     return retrieval.topk(e.where(F.col("id") % _EVERY == 0).withColumnRenamed("id", "qid"), e, 5).select("qid", "id", F.round("sim01", 6).alias("sim01"), "rank")
 
 
+def knn_join(spark, sf_dir):
+    """Each vector's nearest, itself among them."""
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return retrieval.topk(e.withColumnRenamed("id", "qid"), e, 4).select("qid", "id", F.round("sim01", 6).alias("sim01"), "rank")
+
+
 def blend_resolve(spark, sf_dir):
     """The flagship: similar notes, topics, recency and type in one score, five notes for each query."""
     queries = _queries(spark, sf_dir)
@@ -188,7 +194,7 @@ def iso_dates(spark, sf_dir):
 
 
 _NAMES = [
-    exact_duplicates, near_duplicates, topics, knn, blend_resolve, confidence_resolve, evaluation, ambiguity, polarity, digest_by_type, digest_top, pull_plan,
+    exact_duplicates, near_duplicates, topics, knn, knn_join, blend_resolve, confidence_resolve, evaluation, ambiguity, polarity, digest_by_type, digest_top, pull_plan,
     push_summary, sessions, failure_streaks, next_ticks, tag_proposals, conflicts_all_turns, index_changes, cache_eviction, iso_dates,
 ]
 
@@ -261,6 +267,8 @@ def oracle_sql():
         "topics": f"SELECT doc_id AS id, array_to_string({_sql_topics('text')}, ',') AS topics FROM documents",
         "knn": f"""WITH v AS ({_V}) SELECT qid, id, round(s, 6) AS sim01, CAST(rank AS INTEGER) AS rank FROM (SELECT q.id AS qid, v.id, greatest(0, (1 + list_cosine_similarity(q.e, v.e)) / 2) AS s,
             row_number() OVER (PARTITION BY q.id ORDER BY greatest(0, (1 + list_cosine_similarity(q.e, v.e)) / 2) DESC, v.id) AS rank FROM v q, v WHERE q.id % {_EVERY} = 0) WHERE rank <= 5""",
+        "knn_join": f"""WITH v AS ({_V}), s AS (SELECT q.id AS qid, v.id, greatest(0, (1 + list_cosine_similarity(q.e, v.e)) / 2) AS s FROM v q, v)
+            SELECT qid, id, round(s, 6) AS sim01, CAST(row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 4""",
         "blend_resolve": f"""WITH {_KNN}, n AS (SELECT doc_id AS id, {_sql_topics('text')} AS t, {_KIND} AS type, doc_id % 90 AS age FROM documents),
             sem AS (SELECT qid, id, s FROM k WHERE s >= 0.6), asked AS (SELECT qid, {_sql_topics('prompt')} AS t FROM q),
             topic AS (SELECT qid, n.id FROM asked JOIN n ON list_has_any(asked.t, n.t)), speak AS (SELECT DISTINCT qid FROM sem),
