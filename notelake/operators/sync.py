@@ -203,3 +203,13 @@ def streaks(events: DataFrame) -> DataFrame:
     rows = events.withColumn("island", F.sum(F.col("ok").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.where("not ok").groupBy("key", "island").agg(F.min("ts").alias("start"), F.max("ts").alias("last"), F.count("*").alias("failures"))
     return rows.drop("island")
+
+
+def overdue(events: DataFrame, limit_s: float, now: Column) -> DataFrame:
+    """(key, start, ts): unbroken runs of failures of events (key, ts, ok) that had lasted limit_s at ts, by a success or by now; seq breaks
+    ties. A stream tells the same by timers: streaming.stateful.overdue."""
+    w = Window.partitionBy("key").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = events.withColumn("island", F.sum(F.col("ok").cast("int")).over(w)).withColumn("island", F.col("island") - F.col("ok").cast("int"))
+    runs = rows.groupBy("key", "island").agg(F.min(F.when(~F.col("ok"), F.col("ts"))).alias("start"), F.min(F.when(F.col("ok"), F.col("ts"))).alias("end")).where("start is not null")
+    lasted = F.unix_micros(F.coalesce("end", now)) - F.unix_micros("start")
+    return runs.where(lasted >= int(limit_s * 1e6)).select("key", "start", F.timestamp_micros(F.unix_micros("start") + int(limit_s * 1e6)).alias("ts"))

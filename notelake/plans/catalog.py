@@ -153,6 +153,12 @@ def failure_streaks(spark, sf_dir):
     return sync.streaks(e)
 
 
+def overdue_failures(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), (F.col("value") >= 20).alias("ok"))
+    now = e.agg(F.max("ts")).first()[0]
+    return sync.overdue(e, 86_400, F.lit(now))
+
+
 def next_ticks(spark, sf_dir):
     ticks = schedule.parse("5/20 * * * *")[0]
     return _t(spark, sf_dir, "events").select("event_id", schedule.next_minute_tick(F.col("ts"), ticks).alias("next"))
@@ -195,7 +201,7 @@ def iso_dates(spark, sf_dir):
 
 _NAMES = [
     exact_duplicates, near_duplicates, topics, knn, knn_join, blend_resolve, confidence_resolve, evaluation, ambiguity, polarity, digest_by_type, digest_top, pull_plan,
-    push_summary, sessions, failure_streaks, next_ticks, tag_proposals, conflicts_all_turns, index_changes, cache_eviction, iso_dates,
+    push_summary, sessions, failure_streaks, overdue_failures, next_ticks, tag_proposals, conflicts_all_turns, index_changes, cache_eviction, iso_dates,
 ]
 
 
@@ -294,6 +300,9 @@ def oracle_sql():
             s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS g FROM e) SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, g""",
         "failure_streaks": """WITH e AS (SELECT user_id AS key, ts, value >= 50 AS ok, sum(CASE WHEN value >= 50 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM events)
             SELECT key, min(ts) AS start, max(ts) AS last, count(*) AS failures FROM e WHERE NOT ok GROUP BY key, g""",
+        "overdue_failures": """WITH e AS (SELECT user_id AS key, ts, value >= 20 AS ok, sum(CASE WHEN value >= 20 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g,
+                min(CASE WHEN value >= 20 THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS till FROM events)
+            SELECT key, min(ts) AS start, min(ts) + INTERVAL 1 DAY AS ts FROM e WHERE NOT ok GROUP BY key, g HAVING coalesce(min(till), (SELECT max(ts) FROM events)) - min(ts) >= INTERVAL 1 DAY""",
         "next_ticks": "SELECT event_id, date_trunc('hour', ts) + to_minutes(CASE WHEN minute(ts) < 5 THEN 5 WHEN minute(ts) < 25 THEN 25 WHEN minute(ts) < 45 THEN 45 ELSE 65 END) AS next FROM events",
         "conflicts_all_turns": r"""WITH n AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(left(CASE turn % 2 WHEN 0 THEN 'ALWAYS ' ELSE 'NEVER ' END || split_part(text, chr(10), 1), 200)), '[^a-z0-9\s'']', ' ', 'g'), '\s+'),
                 lambda w: length(w) >= 4 AND NOT w IN ('always', 'never'))) AS t FROM conversations),

@@ -3,27 +3,40 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import stateful
+
 GAP = "5 seconds"
 
 
 def debounce(events: DataFrame, gap: str = GAP, keys: tuple[str, ...] = (), watermark: str | None = None) -> DataFrame:
     """(keys, start, last, changed, deleted) of events (ts, path, kind): a session ends when its gap passes quietly.
 
-    A path whose last event isn't its removal is changed; a path that was removed at any time is deleted, even if it came back.
+    A path whose last event isn't its removal is changed; a path that was removed at any time is deleted, even if it came back. Events without
+    a time or a path count for no path. On a stream a watermark is needed, and the state is one entry per path of an open session. On a table,
+    events are first put together by path and stretches of the gap, in part before they are shuffled: however many a key has, only its
+    stretches are put in order.
     """
-    if watermark:
-        events = events.withWatermark("ts", watermark)
-    # A stream has no sessions without a key, so one that is the same for all stands in.
-    per_path = events.withColumn("one", F.col("path").isNull() & F.col("path").isNotNull()).groupBy(F.session_window("ts", gap).alias("w"), "one", *keys).agg(
-        F.min("ts").alias("start"), F.max("ts").alias("last"), F.collect_set(F.when(F.col("kind") == "unlink", F.col("path"))).alias("deleted"),
-        F.collect_list(F.struct("ts", (F.col("kind") == "unlink").alias("gone"), "path")).alias("all"),
-    )
-    ordered = F.array_sort("all")
-    still = F.filter(F.array_distinct(F.transform(ordered, lambda e: e["path"])), lambda p: ~F.element_at(F.filter(ordered, lambda e: e["path"] == p), -1)["gone"])
-    return per_path.select(*keys, "start", "last", F.array_sort(still).alias("changed"), F.array_sort("deleted").alias("deleted"))
+    keys = tuple(keys)
+    gap_us = int(events.sparkSession.sql(f"SELECT unix_micros(timestamp_seconds(0) + interval {gap})").first()[0])
+    if events.isStreaming:
+        return stateful.sessions(events.withWatermark("ts", watermark) if watermark else events, gap_us, keys)
+    us, gone = F.unix_micros(F.col("ts").cast("timestamp")), F.coalesce(F.col("kind") == "unlink", F.lit(False))
+    rows = events.where("ts is not null").select(*keys, us.alias("us"), "path", gone.alias("gone")).withColumn("stretch", F.floor(F.col("us") / gap_us))
+    # Two events of one stretch are never further apart than the gap.
+    each = rows.groupBy(*keys, "stretch", "path").agg(F.min("us").alias("start"), F.max(F.struct("us", "gone")).alias("end"), F.bool_or("gone").alias("ever"))
+    each = each.groupBy(*keys, "stretch").agg(F.min("start").alias("start"), F.max("end.us").alias("last"), F.collect_list(F.struct("path", "end", "ever")).alias("paths"))
+    order = Window.partitionBy(*keys).orderBy("stretch")
+    new = F.coalesce(F.col("start") - F.lag("last").over(order) > gap_us, F.lit(True)).cast("int")
+    each = each.withColumn("new", new).withColumn("session", F.sum("new").over(order))
+    each = each.select(*keys, "session", "start", "last", F.explode("paths").alias("p")).groupBy(*keys, "session", "p.path").agg(
+        F.min("start").alias("start"), F.max("last").alias("last"), F.max("p.end").alias("end"), F.bool_or("p.ever").alias("ever")
+    )
+    named = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("path"))))
+    out = each.groupBy(*keys, "session").agg(F.min("start").alias("start"), F.max("last").alias("last"), named(~F.col("end.gone")).alias("changed"), named(F.col("ever")).alias("deleted"))
+    return out.select(*keys, F.timestamp_micros("start").alias("start"), F.timestamp_micros("last").alias("last"), "changed", "deleted")
 
 
 def session_counts(events: DataFrame, gap: str, keys: list[str], watermark: str | None = None) -> DataFrame:

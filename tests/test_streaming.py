@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from notelake.functions import schedule
-from notelake.streaming import watch
+from notelake.operators import sync
+from notelake.streaming import stateful, watch
 
 AT = lambda s: datetime.datetime(2026, 1, 1) + datetime.timedelta(seconds=s)
 
@@ -28,6 +29,57 @@ def test_debounce(spark, tmp_path):
     assert seen(spark.table("sessions").where("start < '2026-01-01 01:00:00'")) == want
 
 
+def test_debounce_out_of_order_with_keys(spark, tmp_path):
+    """Sessions that late events join to one; the stream's rows are the table's, and those of sorting all events."""
+    schema = "who string, ts timestamp, path string, kind string"
+    batches = [
+        [("x", AT(0), "a", "add"), ("x", AT(9), "b", "add"), ("y", AT(1), "a", "unlink"), ("x", AT(0), "n", None)],
+        [("x", AT(5), "a", "unlink"), ("x", AT(14), "c", "change"), ("y", AT(1), "a", "add")],  # 0..14 is one session of x, its middle came late
+        [("x", AT(40), "a", "add"), ("y", AT(39), None, "unlink"), ("x", AT(36), "z", "unlink"), ("x", AT(36), "z", "add")],
+        [("x", AT(90_000), "e", "add"), ("y", AT(90_000), "e", "add")],
+    ]
+    rows = lambda df: sorted((r["who"], r["start"], r["last"], tuple(r["changed"]), tuple(r["deleted"])) for r in df.collect())
+    want = [
+        ("x", AT(0), AT(14), ("b", "c", "n"), ("a",)), ("x", AT(36), AT(40), ("a",), ("z",)), ("x", AT(90_000), AT(90_000), ("e",), ()), ("y", AT(1), AT(1), (), ("a",)),
+        ("y", AT(39), AT(39), (), ()), ("y", AT(90_000), AT(90_000), ("e",), ()),
+    ]
+    assert rows(watch.debounce(spark.createDataFrame(sum(batches, []), schema), keys=("who",))) == want
+    source = stream(spark, tmp_path, schema, *batches)
+    watch.run_once(watch.debounce(source, keys=("who",), watermark="60 seconds"), "joined", "append", f"{tmp_path}/check")
+    assert rows(spark.table("joined")) == [r for r in want if r[1] < AT(80_000)]  # the last ones are still open
+
+
+def test_debounce_state_is_of_paths(spark, tmp_path):
+    """Many events on few paths: the state has a row per path, and the rows are the table's."""
+    events = spark.range(1_000_000).select((F.lit(AT(0)) + F.make_dt_interval(secs=F.col("id") / 1000)).alias("ts"), F.concat(F.lit("p"), F.col("id") % 10).alias("path"), F.when(F.col("id") % 77 == 3, "unlink").otherwise("add").alias("kind"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/in/b0")
+    spark.createDataFrame([(AT(100_000), "end", "add")], events.schema).coalesce(1).write.parquet(f"{tmp_path}/in/b1")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    q = watch.run_once(watch.debounce(source, watermark="1 second"), "many", "append", f"{tmp_path}/check")
+    assert 10 <= max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) < 60
+    rows = lambda df: [(r["start"], r["last"], r["changed"], r["deleted"]) for r in df.collect()]
+    assert rows(spark.table("many")) == rows(watch.debounce(events)) and len(rows(spark.table("many"))) == 1
+
+
+def test_overdue(spark, tmp_path):
+    """A key that falls silent while it fails is told of; so is one whose success comes too late; events out of order are put in order."""
+    schema = "key string, ts timestamp, ok boolean"
+    batches = [
+        [("quiet", AT(0), False), ("late", AT(0), False), ("fine", AT(0), False), ("odd", AT(50), True), (None, AT(0), False)],
+        [("late", AT(130), True), ("fine", AT(99), True), ("odd", AT(20), False), ("odd", AT(60), False), ("late", AT(140), False)],
+        [("other", AT(700), True)],
+        [("other", AT(1100), False)],
+    ]
+    want = {("quiet", AT(0), AT(100)), ("late", AT(0), AT(100)), ("late", AT(140), AT(240)), ("odd", AT(60), AT(160))}
+    source = stream(spark, tmp_path, schema, *batches)
+    watch.run_once(stateful.overdue(source, 100, "200 seconds"), "overdue", "append", f"{tmp_path}/check")
+    got = spark.table("overdue").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    table = spark.createDataFrame(sum(batches, []), schema).where("key is not null").withColumn("seq", F.lit(0))
+    assert {tuple(r) for r in sync.overdue(table, 100, F.lit(AT(900))).collect()} == want
+    assert {(r["key"], r["start"]) for r in sync.streaks(table).collect()} >= {(k, s) for k, s, _ in want}
+
+
 def test_streak_alerts(spark, tmp_path):
     schema = "key string, ts timestamp, ok boolean"
     first = [("a", AT(0), False), ("a", AT(50), False), ("b", AT(0), False), ("b", AT(10), True)]
