@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import datetime
-import json
 import re
 import uuid
 from pathlib import Path
 
-import pandas as pd
-import yaml
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notelake.functions import frontmatter
 from notelake.functions import text as T
 from notelake.sources import corpus as C
 from notelake.sources import shared
@@ -302,29 +300,21 @@ def tag_plan(notes: DataFrame, proposals: DataFrame) -> DataFrame:
     return notes.join(p, "id").select("id", some(add_t, "new_topics").alias("add_topics"), some(add_s, "new_severity").alias("add_severity"), skip.alias("skip"))
 
 
-def _rendered(json_: pd.Series, added: pd.Series) -> pd.Series:
-    """YAML of a frontmatter (JSON) with added fields (JSON) after its own."""
-    def one(a, b):
-        fields = {**json.loads(a or "{}"), **{k: v for k, v in json.loads(b).items() if v is not None}}
-        return yaml.safe_dump(fields, sort_keys=False, allow_unicode=True, width=1 << 20).rstrip("\n")
-
-    return pd.Series([one(a, b) for a, b in zip(json_, added)])
-
-
-def _file(text: Column, body: Column, crlf: Column, gap: str) -> Column:
-    """A note's file: frontmatter between its marks and the body, with the ends of line that the note has."""
-    eol = F.when(crlf, "\r\n").otherwise("\n")
-    lines = F.when(crlf, F.replace(text, F.lit("\n"), F.lit("\r\n"))).otherwise(text)
-    return F.concat(F.lit("---"), eol, lines, eol, F.lit("---"), eol, F.when(F.lit(gap == "blank"), eol).otherwise(F.lit("")), body)
+def _edited(changes: Column, comments: dict[str, str] | None = None) -> Column:
+    """A scanned note's source with keys of its frontmatter set; what stands before and after the frontmatter is as it was."""
+    before = F.length(F.regexp_extract("source", r"\A---\r?\n", 0))
+    after = F.substring(F.col("source"), before + F.length("front") + 1, F.length("source"))
+    return F.concat(F.left("source", before), frontmatter.with_keys(F.col("front"), F.to_json(changes, {"ignoreNullFields": "true"}), comments), after)
 
 
 def tag_apply(notes: DataFrame, plan: DataFrame) -> DataFrame:
-    """(id, path, content): the files that tagging rewrites; notes are scan()'s."""
+    """(id, path, content): the files that tagging rewrites; notes are scan()'s. A blank line stands between frontmatter and body."""
     rows = notes.join(plan.where("skip is null").select("id", "add_topics", "add_severity"), "id")
-    added = F.to_json(F.struct(F.col("add_topics").alias("topics"), F.col("add_severity").alias("severity")))
-    text = F.pandas_udf(_rendered, "string")("fm_json", added)
+    text = _edited(F.struct(F.col("add_topics").alias("topics"), F.col("add_severity").alias("severity")))
+    eol = F.when(F.col("source").contains("\r\n"), "\r\n").otherwise("\n")
     body = F.regexp_replace("raw_body", r"\A\r?\n", "")
-    return rows.select("id", "path", _file(text, body, F.col("crlf"), "blank").alias("content"))
+    head = F.regexp_replace(F.left(text, F.length(text) - F.length("raw_body")), r"(?:\r?\n)?\z", "")
+    return rows.select("id", "path", F.concat(head, eol, eol, body).alias("content"))
 
 
 def mapped_topics(id_: Column, rules: list[dict]) -> Column:
@@ -378,9 +368,8 @@ def migration_apply(notes: DataFrame, plan: DataFrame) -> DataFrame:
     """(id, path, content): the files that the migration rewrites; a creation date taken from a file's time says so."""
     value = lambda c: F.when(F.col(f"{c}.action") == "set", F.col(f"{c}.value"))
     rows = notes.join(plan.where("changed").select("id", "type", "topics", "created").withColumnsRenamed({"type": "t", "topics": "o", "created": "c"}), "id")
-    text = F.pandas_udf(_rendered, "string")("fm_json", F.to_json(F.struct(value("t").alias("type"), value("o").alias("topics"), value("c").alias("created"))))
-    text = F.when(F.col("c.action") == "set", F.regexp_replace(text, r"(?m)^created: '?([0-9-]+)'?$", "created: $1 # approx (mtime)")).otherwise(text)
-    return rows.select("id", "path", _file(text, F.col("raw_body"), F.col("crlf"), "").alias("content"))
+    text = _edited(F.struct(value("t").alias("type"), value("o").alias("topics"), value("c").alias("created")), {"created": "approx (mtime)"})
+    return rows.select("id", "path", text.alias("content"))
 
 
 def write_files(files: DataFrame, keep: str = "path") -> int:
@@ -404,7 +393,7 @@ def write_files(files: DataFrame, keep: str = "path") -> int:
 
 def consolidate(notes: DataFrame, inventory: DataFrame, symbols: DataFrame, now: datetime.datetime, index: DataFrame | None = None, model: str | None = None, threshold: float = 0.95) -> dict:
     """The report over scanned notes, read once: exact groups, empty bodies, near duplicates (or why not), stale references and dates, schema metrics."""
-    scanned = shared.written(notes, "scanned")
+    scanned = shared.written(notes.drop("source", "front"), "scanned")
     loaded = scanned.where("ok")
     refs, dates = stale_references(loaded, inventory, symbols, scan_body=False), stale_dates(loaded, now)
     return {

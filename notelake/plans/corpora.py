@@ -140,6 +140,27 @@ _MIGRATION = f"""{_MIG} SELECT id, skipped, CASE k WHEN 5 THEN 'missing required
     CASE WHEN skipped OR k = 3 THEN NULL ELSE 'mtime (approx)' END AS created_source FROM x"""
 
 
+def migrated_files(spark, sf_dir):
+    """Notes with comments, quotes, flow style and either end of line, rewritten: what isn't set keeps its bytes."""
+    i, k = F.col("doc_id").cast("string"), F.col("doc_id") % 3
+    fronts = [
+        F.concat(F.lit("---\nname: 'note "), i, F.lit("'  # kept\ntype: ''   # none yet\nmetadata: &m\n  type: user # inner\n  topics: [t,   u]\nagain: *m\n# end\n---\n")),
+        F.concat(F.lit("---\r\nname: note "), i, F.lit("\r\ndescription: >\r\n  folded\r\n  lines\r\ntopics: []  # to come\r\ncreated: \"\"\r\nmetadata: {type: project, topics: [z]}\r\n---\r\n\r\n")),
+        F.concat(F.lit("---\n{name: note "), i, F.lit(", type: reference, topics: [one],   x: {y: [1, 2]}}\n---\n")),
+    ]
+    file = F.concat(F.lit("n"), i, F.lit(".md"))
+    rows = _t(spark, sf_dir, "documents").select(F.concat(F.lit("/c/"), file).alias("path"), F.timestamp_seconds(F.lit(1_767_225_600) + F.col("doc_id") * 3600).alias("mtime"), F.concat(F.get(F.array(*fronts), k.cast("int")), "text").alias("source"), file.alias("file"))
+    notes = C.parse_notes(rows)
+    return hygiene.migration_apply(notes, hygiene.migration_plan(notes, [])).select("id", "path", F.sha2("content", 256).alias("content"))
+
+
+_MIGRATED = r"""WITH d AS (SELECT 'n' || doc_id AS id, doc_id AS i, doc_id % 3 AS k, text, strftime(TIMESTAMP '2026-01-01' + to_hours(CAST(doc_id AS INTEGER)), '%Y-%m-%d') AS day FROM documents WHERE text IS NOT NULL)
+    SELECT id, '/c/' || id || '.md' AS path, sha256(CASE k
+        WHEN 0 THEN E'---\nname: \'note ' || i || E'\'  # kept\ntype: user   # none yet\nmetadata: &m\n  type: user # inner\n  topics: [t,   u]\nagain: *m\n# end\ntopics:\n  - t\n  - u\ncreated: ' || day || E' # approx (mtime)\n---\n'
+        WHEN 1 THEN E'---\r\nname: note ' || i || E'\r\ndescription: >\r\n  folded\r\n  lines\r\ntopics: [z]  # to come\r\ncreated: ' || day || E' # approx (mtime)\r\nmetadata: {type: project, topics: [z]}\r\ntype: project\r\n---\r\n\r\n'
+        ELSE E'---\n{name: note ' || i || ', type: reference, topics: [one],   x: {y: [1, 2]}, created: ' || day || E'}\n---\n' END || text) AS content FROM d"""
+
+
 def migration_summary(spark, sf_dir):
     return hygiene.migration_summary(hygiene.migration_plan(_notes(spark, sf_dir), _RULES, {"none": [(r"\bnosuchword\b", True)]}))
 
@@ -677,7 +698,7 @@ _DIGEST_DAYS = f"""WITH {_LOG_LINES} SELECT CAST(date AS DATE) AS date, sha256('
 
 
 _QUERIES = [
-    notes_scan, schema_metrics, drift, drift_fixed, unknown_topics, migration, migration_summary, tag_plan, embed_inputs, empty_bodies, exact_members, stale_references, inline_stale, dead_links,
+    notes_scan, schema_metrics, drift, drift_fixed, unknown_topics, migration, migrated_files, migration_summary, tag_plan, embed_inputs, empty_bodies, exact_members, stale_references, inline_stale, dead_links,
     stale_dates, glued_dates, tool_hits, pattern_hits, resolve_all, context_render, hook_requests, floors, conflict_pairs, merge_strategies, push_scoped, replay, path_mapping, commit_messages, pull_summary,
     queue_ages, restore, remote_kinds, index_build, lru_cache, knn_of_model, stale_models, eval_per_prompt, eval_unknown, coverage, change_sessions, cron_ticks, digest_summary, digest_days,
 ]
@@ -689,7 +710,7 @@ def queries():
 
 def oracle_sql():
     return {
-        "notes_scan": _NOTES_SCAN, "schema_metrics": _SCHEMA, "drift": _DRIFT, "drift_fixed": _DRIFT_FIXED, "unknown_topics": _UNKNOWN, "migration": _MIGRATION, "migration_summary": _MIG_SUMMARY,
+        "notes_scan": _NOTES_SCAN, "schema_metrics": _SCHEMA, "drift": _DRIFT, "drift_fixed": _DRIFT_FIXED, "unknown_topics": _UNKNOWN, "migration": _MIGRATION, "migrated_files": _MIGRATED, "migration_summary": _MIG_SUMMARY,
         "tag_plan": _TAG_PLAN, "embed_inputs": _EMBED_INPUTS, "empty_bodies": "SELECT doc_id AS id FROM documents WHERE doc_id % 9 = 4 OR trim(regexp_replace(text, '\\s+', '', 'g')) = ''",
         "exact_members": r"""WITH h AS (SELECT doc_id AS id, sha256(b) AS hash FROM (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS b FROM documents) WHERE b <> ''), g AS (SELECT hash, count(*) AS n, min(id) AS first FROM h GROUP BY hash HAVING count(*) > 1)
             SELECT id, hash, n, first FROM h JOIN g USING (hash)""",

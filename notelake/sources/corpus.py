@@ -116,7 +116,7 @@ def load_mapping(path: str) -> list[dict]:
 NO_FRONT, NOT_YAML, NOT_OBJECT = "no YAML frontmatter delimiter (`---`) found", "YAML parse error: ", "frontmatter is not a YAML object"
 _NOTE = """status string, name string, description string, type string, type_json string, meta_type string, topics array<string>, topics_shape string,
     own_topics array<string>, own_shape string, meta_topics array<string>, severity string, has_topics boolean, has_severity boolean, tools array<string>,
-    command_pattern string, verify array<struct<kind:string,value:string,repoRoot:string,whole:boolean>>, created string, updated_at string, strict array<string>, json string"""
+    command_pattern string, verify array<struct<kind:string,value:string,repoRoot:string,whole:boolean>>, created string, updated_at string, strict array<string>"""
 _COLUMNS = [c.split()[0] for c in re.split(r",(?![^<]*>)", _NOTE)]
 
 
@@ -172,7 +172,7 @@ def _front(front: pd.Series) -> pd.DataFrame:
             "meta_topics": hoist if isinstance(hoist, list) and hoist and all(isinstance(t, str) for t in hoist) else None, "severity": s(fm.get("severity")),
             "has_topics": "topics" in fm, "has_severity": "severity" in fm, "tools": strings(trig.get("tools")), "command_pattern": s(trig.get("command_pattern")),
             "verify": list(map(entry, fm["verify"])) if isinstance(fm.get("verify"), list) else None, "created": text(fm.get("created")), "updated_at": text(fm.get("updatedAt")),
-            "strict": strict_faults(fm), "json": json.dumps(fm, default=str, ensure_ascii=False),
+            "strict": strict_faults(fm),
         }
 
     rows = [row(x) for x in front]
@@ -207,7 +207,7 @@ def parse_notes(rows: DataFrame) -> DataFrame:
     return rows.select(
         F.regexp_replace("file", r"\.md$", "").alias("id"), "path", "mtime", "file", F.col("file").alias("load_ord"), kind.alias("type"), F.col("fm.type").alias("own_type"),
         *(F.col(f"fm.{c}").alias(c) for c in kept), F.struct(F.col("fm.tools").alias("tools"), F.col("fm.command_pattern").alias("command_pattern")).alias("triggers"),
-        F.col("fm.strict").alias("validation_errors"), T.trim(body).alias("body"), body.alias("raw_body"), F.col("fm.json").alias("fm_json"), F.col("source").contains("\r\n").alias("crlf"),
+        F.col("fm.strict").alias("validation_errors"), T.trim(body).alias("body"), body.alias("raw_body"), F.when(has, F.regexp_extract("source", _FRONT, 1)).alias("front"), "source",
         reason.isNull().alias("ok"), reason.alias("reason"),
     )
 
@@ -236,7 +236,7 @@ def index_links(lines: DataFrame) -> DataFrame:
     """(line_no, link_no, title, target, hook) of lines (line_no, line): every [title](file.md), the hook being what follows it on the line."""
     link = rf"\[([^\]]+)\]\(([^){T.WS[1:-1]}]+?\.md)\)"
     found = lambda g: F.regexp_extract_all("line", F.lit(link), F.lit(g))
-    after = lambda i: F.array_join(F.zip_with(F.slice(found(0), i + 2, 10_000), F.slice(F.split("line", link, -1), i + 3, 10_000), lambda a, b: F.concat(a, b)), "")
+    after = lambda i: F.array_join(F.zip_with(F.slice(found(0), i + 2, F.size(found(0)) + 1), F.slice(F.split("line", link, -1), i + 3, F.size(found(0)) + 1), lambda a, b: F.concat(a, b)), "")
     hooks = F.transform(found(0), lambda x, i: F.concat(F.get(F.split("line", link, -1), i + 1), after(i)))
     pairs = F.arrays_zip(found(1).alias("title"), found(2).alias("target"), hooks.alias("hook"))
     hook = T.trim(F.regexp_replace("p.hook", rf"^[{T.WS[1:-1]}—–:-]+", ""))

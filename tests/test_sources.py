@@ -67,7 +67,7 @@ def test_tagging_and_migration_write_files(spark, folder):
     plan = hygiene.migration_plan(notes, [{"id": "copy", "prefix": None, "topics": ["workflow"]}])
     out = hygiene.migration_apply(notes, plan)
     text = {r["id"]: r["content"] for r in out.collect()}
-    assert "type: project" in text["legacy"] and "# approx (mtime)" in text["legacy"] and "topics:\n- workflow" in text["copy"]
+    assert "type: project" in text["legacy"] and "# approx (mtime)" in text["legacy"] and "topics:\n  - workflow" in text["copy"]
     assert hygiene.write_files(out) == 4
     again = hygiene.migration_plan(C.scan(spark, str(folder)), [])
     assert hygiene.migration_summary(again).first().asDict() | {"total": 6} == {"total": 6, "changed": 0, "unchanged": 4, "skipped": 2, "untagged": 0, "missing_type": 0, "bad_shape": 0}
