@@ -165,10 +165,6 @@ def sanitised(segment: Column) -> Column:
     return F.regexp_replace(segment, r"[^a-zA-Z0-9._-]+", "-")
 
 
-def edit_suggestion(word: Column, other: Column) -> Column:
-    return F.levenshtein(F.lower(word), F.lower(other))
-
-
 # ---------------------------------------------------------------- ambiguity of a prompt
 
 #: Fixed values of the ambiguity score.

@@ -15,7 +15,7 @@ from notelake.functions import text as T
 from notelake.sources import corpus as C
 from notelake.sources import shared
 
-from . import retrieval, sphere
+from . import edits, retrieval, sphere
 
 MAX_LINES, MAX_DESCRIPTION = 200, 150
 JACCARD_FLOOR, COSINE_FLOOR = 0.15, 0.85
@@ -76,15 +76,18 @@ def schema_metrics(notes: DataFrame, lists: bool = False) -> DataFrame:
     )
 
 
-def unknown_topics(notes: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(id, topic, suggestion): topics that the vocabulary hasn't, with the nearest within two edits, the first of equals; topics that are
-    no list are one hit, without a suggestion."""
+def unknown_topics(notes: DataFrame, vocabulary: list[str] | DataFrame) -> DataFrame:
+    """(id, topic, suggestion): topics that the vocabulary, a list or a table (ord, word), hasn't, with the nearest within two edits, the
+    first of equals; topics that are no list are one hit, without a suggestion."""
+    if not isinstance(vocabulary, DataFrame):
+        vocabulary = notes.sparkSession.createDataFrame(list(enumerate(vocabulary)), "ord long, word string")
     shape = F.col("topics_shape") if "topics_shape" in notes.columns else F.lit("list")
     rows = notes.withColumn("shape", shape)
     odd = rows.where(F.col("shape").startswith("<")).select("id", F.col("shape").alias("topic"), F.lit(None).cast("string").alias("suggestion"))
-    each = rows.where(~F.col("shape").startswith("<")).select("id", F.explode("topics").alias("topic")).where(~F.col("topic").isin(vocabulary))
-    near = F.array_min(F.array(*(F.struct(T.edit_suggestion(F.col("topic"), F.lit(v)).alias("d"), F.lit(i).alias("i"), F.lit(v).alias("v")) for i, v in enumerate(vocabulary))))
-    return each.select("id", "topic", F.when(near["d"] <= 2, near["v"]).alias("suggestion")).unionByName(odd)
+    each = rows.where(~F.col("shape").startswith("<")).select("id", F.explode("topics").alias("topic")).where("topic is not null")
+    each = each.join(vocabulary.select(F.col("word").alias("topic")).distinct(), "topic", "left_anti")
+    near = edits.nearest(each.select(F.col("topic").alias("word")), vocabulary).select(F.col("word").alias("topic"), F.col("near").alias("suggestion"))
+    return each.join(near, "topic", "left").select("id", "topic", "suggestion").unionByName(odd)
 
 
 def directives(notes: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.functions import text as T
-from notelake.sources import shared
 
 QUEUE_LIMIT_HOURS = 24
 NOTE_FACTOR = 30
@@ -114,13 +113,28 @@ def apply_push(plan: DataFrame, remote: DataFrame) -> DataFrame:
 
 
 def replay(queue: list[tuple[str, DataFrame, DataFrame]], remote: DataFrame, config: list[dict] | None = None, strategy: str = "inline-markers") -> DataFrame:
-    """Push queued snapshots (id, local, base) in the order of their ids, each onto what the one before has left.
+    """Push queued snapshots (id, local, base) in the order of their ids, each onto what the one before has left."""
+    entry = lambda id, side, df: df.select(F.lit(id).alias("snapshot_id"), F.lit(side).alias("side"), "path", "content")
+    parts = [entry(id, side, df) for id, local, base in queue for side, df in (("local", local), ("base", base))]
+    return replay_table(reduce(DataFrame.unionByName, parts), remote, config, strategy) if parts else remote
 
-    Each step's result is written, so the plan doesn't grow with the queue.
+
+def replay_table(entries: DataFrame, remote: DataFrame, config: list[dict] | None = None, strategy: str = "inline-markers") -> DataFrame:
+    """The remote map after all snapshots of a queue (snapshot_id, side local or base, path, content) are pushed in the order of their ids.
+
+    A push looks at a path alone, so a path's versions are put in order and folded by the merge: the whole queue costs one shuffle, by path,
+    and a path holds at most two texts a snapshot. A snapshot that has a path on neither side leaves it as it is, as do unmapped bases.
     """
-    for _, local, base in sorted(queue, key=lambda s: s[0]):
-        remote = shared.written(apply_push(push_plan(base, local, remote, config, strategy=strategy), remote), "replay")
-    return remote
+    if config is not None:
+        entries = entries.where((F.col("side") == "local") | mapped(F.col("path"), config))
+    rows = entries.select("path", F.col("snapshot_id").cast("string").alias("snapshot_id"), "side", "content").unionByName(remote.select("path", F.lit(None).cast("string").alias("snapshot_id"), F.lit("remote").alias("side"), "content"))
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("content"))).alias(side)
+    # Dealt out by path, rows are grouped by path and snapshot, and then by path, where they stand.
+    pairs = rows.where("content is not null").repartition("path").groupBy("path", "snapshot_id").agg(of("base"), of("local"), of("remote"))
+    step = F.when(F.col("snapshot_id").isNotNull(), F.struct("snapshot_id", "base", "local"))
+    steps = pairs.groupBy("path").agg(F.max("remote").alias("remote"), F.array_sort(F.collect_list(step)).alias("steps"))
+    last = F.aggregate("steps", F.col("remote"), lambda r, s: merge_text(s["base"], s["local"], r, F.lit(strategy))["content"])
+    return steps.select("path", last.alias("content")).where("content is not null")
 
 
 def queue_age(manifests: DataFrame, now: datetime.datetime, limit_hours: float | None = QUEUE_LIMIT_HOURS) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from notelake import api
 from notelake.functions import schedule
 from notelake.functions import text as T
-from notelake.operators import digest, hygiene, patterns, retrieval, sync
+from notelake.operators import digest, edits, hygiene, patterns, retrieval, sync, trees
 from notelake.sources import corpus as C
 from notelake.sources import index, shared
 from notelake.streaming import watch
@@ -424,7 +424,7 @@ _CONFIG = [
 def _files(spark, sf_dir, keep, suffix) -> DataFrame:
     d = _t(spark, sf_dir, "documents").where(keep)
     path = F.when(F.col("doc_id") % 10 == 9, F.concat(F.lit("own/p"), F.col("doc_id") % 50, F.lit(".json"))).otherwise(F.concat(F.lit("notes/"), F.floor(F.col("doc_id") / 10), F.lit("/"), "doc_id", F.lit(".md")))
-    return d.select(path.alias("path"), F.concat(F.left("text", F.lit(40)), suffix).alias("content"), "doc_id").groupBy("path").agg(F.min_by("content", "doc_id").alias("content"))
+    return d.select(path.alias("path"), F.concat("text", suffix).alias("content"), "doc_id").groupBy("path").agg(F.min_by("content", "doc_id").alias("content"))
 
 
 def _queue(spark, sf_dir):
@@ -447,7 +447,7 @@ def replay(spark, sf_dir):
 
 
 _PATHED = "(SELECT *, CASE WHEN doc_id % 10 = 9 THEN 'own/p' || doc_id % 50 || '.json' ELSE 'notes/' || doc_id // 10 || '/' || doc_id || '.md' END AS path FROM documents)"
-_FILE_SQL = lambda name, keep, n: f"{name} AS (SELECT path, arg_min(left(text, 40) || {f"CASE WHEN doc_id % {n} = 1 THEN '+{n}' ELSE '' END" if n else "''"}, doc_id) AS c FROM {_PATHED} WHERE {keep} GROUP BY path)"
+_FILE_SQL = lambda name, keep, n: f"{name} AS (SELECT path, arg_min(text || {f"CASE WHEN doc_id % {n} = 1 THEN '+{n}' ELSE '' END" if n else "''"}, doc_id) AS c FROM {_PATHED} WHERE {keep} GROUP BY path)"
 _QUEUE_SQL = ", ".join([_FILE_SQL("base0", "doc_id % 11 <> 5", 0), _FILE_SQL("first0", "doc_id % 13 <> 6", 3), _FILE_SQL("second0", "doc_id % 7 <> 2", 4), _FILE_SQL("remote0", "doc_id % 17 <> 7", 5)])
 
 
@@ -468,6 +468,35 @@ _REPLAY = f"""WITH {_QUEUE_SQL}, {_push_sql("p", "base0", "first0", "remote0")},
     SELECT path, sha256(c) AS content FROM remote2"""
 
 
+def tree_difference(spark, sf_dir):
+    """What two commits of the documents differ in."""
+    i = F.col("doc_id")
+    path = F.concat_ws("/", F.lit("notes"), F.floor(i / 100).cast("string"), F.floor(i / 10).cast("string"), F.concat(i.cast("string"), F.lit(".md")))
+    d = _t(spark, sf_dir, "documents").select("doc_id", path.alias("path"), F.col("text").alias("content"))
+    before = d.where("doc_id % 100 <> 5 and floor(doc_id / 100) <> 3")
+    after = d.where("doc_id % 200 <> 6").withColumn("content", F.when(i % 300 == 7, F.concat("content", F.lit("+"))).otherwise(F.col("content")))
+    return trees.difference(*(trees.build(x, shared.place(spark, "tree")) for x in (before, after)))
+
+
+_TREES = """WITH d AS (SELECT *, 'notes/' || doc_id // 100 || '/' || doc_id // 10 || '/' || doc_id || '.md' AS path FROM documents),
+    a AS (SELECT path, text FROM d WHERE doc_id % 100 <> 5 AND doc_id // 100 <> 3), b AS (SELECT path, CASE WHEN doc_id % 300 = 7 THEN text || '+' ELSE text END AS text FROM d WHERE doc_id % 200 <> 6)
+    SELECT path, CASE WHEN a.text IS NULL THEN 'added' WHEN b.text IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (path) WHERE a.text IS DISTINCT FROM b.text"""
+
+
+def word_suggestions(spark, sf_dir):
+    """For each word of the turns the nearest of the documents' words, their second ones, in the order of the alphabet."""
+    word = lambda t, n: _t(spark, sf_dir, t).select(F.get(F.split("text", "[ \\n]"), n).alias("word")).where(F.col("word").rlike("^[A-Za-z]+$")).distinct()
+    known = word("documents", 1)
+    known = known.select(F.concat(F.lower("word"), F.lit(" "), "word").alias("ord"), "word")
+    return edits.nearest(_t(spark, sf_dir, "conversations").select(F.explode(F.split("text", "[ \\n]")).alias("word")).where(F.col("word").rlike("^[A-Za-z]+$")), known)
+
+
+_SUGGESTIONS = r"""WITH w AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(text, '[ \n]')) AS word FROM conversations) WHERE regexp_full_match(word, '[A-Za-z]+')),
+    v AS (SELECT DISTINCT regexp_split_to_array(text, '[ \n]')[2] AS near FROM documents WHERE regexp_full_match(regexp_split_to_array(text, '[ \n]')[2], '[A-Za-z]+')),
+    m AS (SELECT word, near, CAST(levenshtein(lower(word), lower(near)) AS INTEGER) AS distance FROM w, v)
+    SELECT word, near, distance FROM m WHERE distance <= 2 QUALIFY row_number() OVER (PARTITION BY word ORDER BY distance, lower(near) || ' ' || near) = 1"""
+
+
 def path_mapping(spark, sf_dir):
     i = F.col("doc_id")
     forms = [F.concat(F.lit("notes/1/"), i), F.concat(F.lit("/notes\\1\\"), i, F.lit("/")), F.lit("../up"), F.lit("notes/20/200.md"), F.concat(F.lit("own/p"), i % 50, F.lit(".json")), F.concat(F.lit("notes/2/.hidden/"), i), F.lit("notes/1/../x"), F.lit("")]
@@ -699,7 +728,7 @@ _DIGEST_DAYS = f"""WITH {_LOG_LINES} SELECT CAST(date AS DATE) AS date, sha256('
 
 _QUERIES = [
     notes_scan, schema_metrics, drift, drift_fixed, unknown_topics, migration, migrated_files, migration_summary, tag_plan, embed_inputs, empty_bodies, exact_members, stale_references, inline_stale, dead_links,
-    stale_dates, glued_dates, tool_hits, pattern_hits, resolve_all, context_render, hook_requests, floors, conflict_pairs, merge_strategies, push_scoped, replay, path_mapping, commit_messages, pull_summary,
+    stale_dates, glued_dates, tool_hits, pattern_hits, resolve_all, context_render, hook_requests, floors, conflict_pairs, merge_strategies, push_scoped, replay, tree_difference, word_suggestions, path_mapping, commit_messages, pull_summary,
     queue_ages, restore, remote_kinds, index_build, lru_cache, knn_of_model, stale_models, eval_per_prompt, eval_unknown, coverage, change_sessions, cron_ticks, digest_summary, digest_days,
 ]
 
@@ -716,7 +745,7 @@ def oracle_sql():
             SELECT id, hash, n, first FROM h JOIN g USING (hash)""",
         "stale_references": f"{_REFS} SELECT * FROM r WHERE status IS NOT NULL", "inline_stale": _INLINE, "dead_links": _DEAD, "stale_dates": _STALE_DATES,
         "glued_dates": "SELECT event_id AS id, CAST(CASE event_id % 5 WHEN 1 THEN 0 WHEN 3 THEN 2 ELSE 1 END AS BIGINT) AS n FROM events", "tool_hits": _TOOL_HITS, "pattern_hits": _PATTERN_HITS, "resolve_all": _RESOLVE, "context_render": _RENDER, "hook_requests": _HOOK,
-        "floors": _FLOORS, "conflict_pairs": _PAIRS, "merge_strategies": _MERGES, "push_scoped": _PUSH_SCOPED, "replay": _REPLAY, "path_mapping": _PATHS, "commit_messages": _COMMITS, "pull_summary": _PULL_SUMMARY, "queue_ages": _QUEUE_AGES,
+        "floors": _FLOORS, "conflict_pairs": _PAIRS, "merge_strategies": _MERGES, "push_scoped": _PUSH_SCOPED, "replay": _REPLAY, "tree_difference": _TREES, "word_suggestions": _SUGGESTIONS, "path_mapping": _PATHS, "commit_messages": _COMMITS, "pull_summary": _PULL_SUMMARY, "queue_ages": _QUEUE_AGES,
         "restore": "SELECT 'notes/13/' || doc_id AS path, sha256(text) AS content FROM documents WHERE doc_id % 5 = 3 AND doc_id % 20 = 13", "remote_kinds": _KINDS, "index_build": _BUILD, "lru_cache": _LRU, "knn_of_model": _KNN_MODEL,
         "stale_models": _STALE_MODELS, "eval_per_prompt": _EVAL, "eval_unknown": _EVAL_UNKNOWN, "coverage": _COVERAGE, "change_sessions": _SESSIONS, "cron_ticks": _CRON, "digest_summary": _DIGEST_SUMMARY, "digest_days": _DIGEST_DAYS,
     }

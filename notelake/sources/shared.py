@@ -21,10 +21,16 @@ def folder(spark: SparkSession) -> str:
 _PATHS: list[str] = []
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for what stays until clean()."""
+    path = f"{folder(spark)}/notelake-{name}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read from Parquet; the table stays until clean()."""
-    path = f"{folder(df.sparkSession)}/notelake-{name}-{uuid.uuid4().hex}"
-    _PATHS.append(path)
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
