@@ -50,10 +50,11 @@ SHAPED = _WORDS("div section article td ul ol dl table blockquote") | MAIN  # ne
 CLOSES_P = _WORDS("address article aside blockquote details dialog div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul")
 SAME = {"li": _WORDS("li"), "dt": _WORDS("dt dd"), "dd": _WORDS("dt dd"), "tr": _WORDS("tr td th"), "td": _WORDS("td th"), "th": _WORDS("td th"), "option": _WORDS("option")}
 SCOPE = {"li": _WORDS("ul ol menu"), "dt": _WORDS("dl"), "dd": _WORDS("dl"), "tr": _WORDS("table"), "td": _WORDS("table tr"), "th": _WORDS("table tr")}
-#: Words of classes and ids: of furniture, and of an article. A block of text is furniture by a whole name only, another element by the first or last part of one.
+#: Words of classes and ids: of furniture, and of an article. A name tells of furniture only if all its parts do, but for words that say nothing (PLACES).
 NOISE = _WORDS("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar widget widgets menu nav navbar navigation
     breadcrumb breadcrumbs footer masthead cookie cookies consent notice popup modal newsletter subscribe signup login share sharing social
     related recommended comment comments commentlist disqus replies respond pagination pager toolbar hidden""")
+PLACES = _WORDS("site page global main content list box block area wrapper wrap container section panel inner outer left right top bottom primary secondary bar item links posts articles stories form button buttons text")
 HEADER = _WORDS("header")
 CONTENT = _WORDS("post entry article story content hentry")
 _NOT = _WORDS("no has with without not main content")  # names that begin so tell of something else
@@ -81,8 +82,10 @@ def role_of(tag: str, attrs: str) -> tuple[str, str]:
             if tag in ("html", "body", "main"):
                 continue
             for parts in names:
-                hints = {"".join(parts)} if tag in LEAVES or tag in LAYOUT else {"".join(parts), parts[0], parts[-1]} if parts and parts[0] not in _NOT else set()
-                mark = "!" if hints & NOISE else mark
+                whole = {"".join(parts)}
+                hints = whole if tag in LEAVES or tag in LAYOUT else {*whole, parts[0], parts[-1]} if parts and parts[0] not in _NOT else set()
+                noise = whole & NOISE if tag in LEAVES or tag in LAYOUT or not hints else whole & NOISE or (NOISE & set(parts) and all(p in NOISE or p in PLACES for p in parts))
+                mark = "!" if noise else mark
                 mark = "~" if hints & HEADER and not mark else "+" if hints & CONTENT and not mark and tag not in LEAVES else mark
         if mark == "!":
             break

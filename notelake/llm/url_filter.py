@@ -16,14 +16,13 @@ from pyspark.sql import functions as F
 
 BUCKETS = 16_384
 SIZES = (3, 4)
-ROUNDS = 150  # by which no score changes in the second digit
-RIDGE = 0.0003
+ROUNDS = 200  # by which no score changes in the second digit
+RIDGE = 0.0001
 
 #: Fixed values of the query's contract.
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
-#: The small labelled table: names of sites that a reader would keep, and of others. Each becomes a url, with the same prefixes,
-#: domains and paths for both labels, so that only the names tell them apart.
+#: The small labelled table: names of sites that a reader would keep, and of others. Each becomes a url.
 KEPT_SITES = """
     wiki garden news docs library recipes weather museum forum university travel hardware medicine school orchestra software cinema
     town science census radio farm dictionary seminar history nation theatre mathematics printing bakery railway harbour mountain
@@ -36,24 +35,24 @@ KEPT_SITES = """
     forestry agriculture market grocer butcher florist tailor plumber electrician mechanic engineer developer tutorial manual
     reference glossary encyclopedia magazine newspaper journal bulletin archive podcast television studio theatre-group
     """.split()
-BLOCKED_SITES = """
-    discount-pharmacy casino-bonus hot-singles win-money viagra poker-jackpot xxx-videos replica-watches payday-loans free-ringtones
-    weight-loss-pills online-casino adult-cams cheap-meds lottery-win slots-casino crack-keygen bitcoin-doubler porn-tube fake-rolex
-    betting-tips pills-online rich-quick escort-girls ad-server tracking-ads spam-mailer sports-bets link-farm spam-blog popup-ads
-    adult-dating free-spins bets-win click-tracker nude-chat cheap-viagra content-farm casino-online poker-online jackpot-slots
-    free-casino adult-videos sex-cams porn-videos xxx-tube nude-girls webcam-girls cheap-cialis diet-pills cheap-pills-shop
-    free-money quick-loans payday-cash fast-cash earn-money win-prizes free-prizes lottery-winner bonus-bets betting-odds bets-online
-    ads-network ad-tracker click-ads banner-ads track-clicks spam-list spam-links seo-spam link-spam farm-links fake-watches
-    replica-bags cracked-software keygen-download warez torrent-crack serial-keys bitcoin-casino crypto-doubler forex-robot
-    """.split()
+#: What is sold or done on sites that a reader would not keep, and the words around it: a blocked name has one of each.
+_GOODS = """casino poker slots roulette lottery betting viagra cialis porn xxx nude escort webcam replica rolex warez keygen crack payday loans
+    forex bitcoin backlinks popups spamming adserver adult pills bets ads spam""".split()
+_AROUND = "online best cheap free fast hot bonus direct vip deals".split()
+BLOCKED_SITES = [f"{a}-{g}" if (i + k) % 2 else f"{g}-{a}" for i, g in enumerate(_GOODS) for k in range(5) for a in (_AROUND[(3 * i + 2 * k + k // 5) % len(_AROUND)],)]
+
+#: Prefix, domain and path of urls: most are the same for both labels, some only one has.
+_FORMS = [("", "com", "/en/1204.html"), ("www.", "net", "/fr/88"), ("m.", "org", "/index"), ("blog.", "com", "/de/7/"), ("", "org", "/es/301.html")]
+_KEPT_FORMS = [("", "org", "/about/history.html"), ("docs.", "com", "/archive/2019/notes")]
+_BLOCKED_FORMS = [("", "com", "/offer/claim-now"), ("www.", "net", "/click/redirect/win")]
 
 
-def labelled(sites: list[str]) -> list[str]:
-    forms = [("", "com", "/en/1204.html"), ("www.", "net", "/fr/88"), ("m.", "org", "/index"), ("blog.", "com", "/de/7/"), ("", "org", "/es/301.html")]
-    return [f"{p}{site}.example.{d}{path}" for i, site in enumerate(sites) for p, d, path in (forms[i % 5],)]
+def labelled(sites: list[str], own: list[tuple[str, str, str]]) -> list[str]:
+    forms = _FORMS + own
+    return [f"{p}{site}.example.{d}{path}" for i, site in enumerate(sites) for p, d, path in (forms[i % len(forms)],)]
 
 
-ALLOWED, BLOCKED = labelled(KEPT_SITES), labelled(BLOCKED_SITES)
+ALLOWED, BLOCKED = labelled(KEPT_SITES, _KEPT_FORMS), labelled(BLOCKED_SITES, _BLOCKED_FORMS)
 
 
 def parse(url: Column) -> tuple[Column, Column]:
@@ -76,11 +75,10 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def grams(text: Column) -> Column:
-    """Buckets of a text's character n-grams, with repeats; every digit counts as 0."""
+    """Buckets of a text's character n-grams, with repeats; every digit counts as 0. A pattern that looks ahead finds them in one pass."""
     text = F.regexp_replace(text, "[0-9]", "0")
-    bucket = lambda n: lambda i: F.pmod(F.xxhash64(F.substring(text, i, F.lit(n))), F.lit(BUCKETS))
-    every = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), bucket(n))).otherwise(F.array().cast("array<bigint>")) for n in SIZES]
-    return F.concat(*every)
+    found = F.concat(*(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}})).")) for n in SIZES))
+    return F.transform(found, lambda g: F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int"))
 
 
 @dataclass
@@ -137,12 +135,9 @@ def fit(spark: SparkSession, allowed=ALLOWED, blocked=BLOCKED, rounds: int = ROU
 def score(text: Column, model: Model) -> Column:
     """The probability that a url, host and path joined, is to be blocked."""
     weights, rarity = _numbers(model.weights), _numbers(model.rarity)
-    sums = F.aggregate(
-        grams(text), F.struct(F.lit(0.0).alias("z"), F.lit(0.0).alias("q")),
-        lambda s, b: F.struct((s["z"] + F.get(weights, b.cast("int"))).alias("z"), (s["q"] + F.get(rarity, b.cast("int"))).alias("q")),
-    )
-    z = F.coalesce(F.try_divide(sums["z"], F.sqrt(sums["q"])), F.lit(0.0)) + F.lit(model.bias)
-    return 1 / (1 + F.exp(-z))
+    total = lambda bs, numbers: F.aggregate(bs, F.lit(0.0), lambda s, b: s + F.get(numbers, b))
+    margin = F.transform(F.array(grams(text)), lambda bs: F.try_divide(total(bs, weights), F.sqrt(total(bs, rarity))))  # in an array, so that the n-grams are made once
+    return 1 / (1 + F.exp(-F.coalesce(F.get(margin, F.lit(0)), F.lit(0.0)) - F.lit(model.bias)))
 
 
 def judge(pages: DataFrame, rules=RULES, allowed=ALLOWED, blocked=BLOCKED) -> DataFrame:
