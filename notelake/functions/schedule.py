@@ -70,6 +70,69 @@ def next_tick_of(ts: Column, expression: str) -> Column:
     return F.when(found <= ts + F.expr(f"interval {SEARCHED_MINUTES} minutes"), found)
 
 
+_PART = r"^(\*|[0-9]{1,9}(?:-[0-9]{1,9})?)(?:/([0-9]{1,9}))?$"
+
+
+def _bit(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
+
+
+def _has(mask: Column, n: Column) -> Column:
+    return mask.bitwiseAND(_bit(n)) != 0
+
+
+def _lowest(mask: Column, least: Column) -> Column:
+    """The lowest number of a mask that is at least so large; null if there is none."""
+    above = mask.bitwiseAND(F.bitwise_not(_bit(least) - 1))
+    return F.when(above != 0, F.bit_count(above.bitwiseAND(-above) - 1))
+
+
+def mask(field: Column, low: int, high: int) -> Column:
+    """A bit for each number that a cron field allows; null if it isn't a field of that range."""
+
+    def part(p):
+        number = lambda c: c.try_cast("int")
+        span, step = F.regexp_extract(p, _PART, 1), number(F.regexp_extract(p, _PART, 2))
+        a, b = number(F.split_part(span, F.lit("-"), F.lit(1))), number(F.split_part(span, F.lit("-"), F.lit(2)))
+        first = F.when(span == "*", low).otherwise(a)
+        last = F.when(span == "*", high).when(span.contains("-"), b).when(step.isNotNull(), high).otherwise(a)
+        fine = p.rlike(_PART) & (first >= low) & (last <= high) & (first <= last) & (F.coalesce(step, F.lit(1)) >= 1)
+        return F.when(fine, F.aggregate(F.sequence(first, last, F.coalesce(step, F.lit(1))), F.lit(0).cast("long"), lambda s, i: s.bitwiseOR(_bit(i))))
+
+    parts = F.transform(F.split(field, ",", -1), part)
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+
+
+def masks(expression: Column) -> Column:
+    """struct(minute, hour, day, month, weekday) of masks of a cron text; null if it isn't one."""
+    fields = F.split(F.btrim(expression, F.lit(" \t\n\x0b\x0c\r")), r"[ \t\n\x0B\f\r]+", -1)
+    each = [mask(F.get(fields, i), low, high).alias(name) for i, (name, low, high) in enumerate(_RANGES)]
+    whole = F.struct(*each)
+    return F.when((F.size(fields) == 5) & F.forall(F.array(*(whole[name] for name, _, _ in _RANGES)), lambda m: m.isNotNull()), whole)
+
+
+def next_tick_by(ts: Column, expression: Column) -> Column:
+    """The next tick after each instant by each row's own expression; null if it isn't one, or ticks at no minute within a year.
+
+    A text becomes five masks, and the next minute, hour and day are the lowest bits above the instant's own; days are looked through by the
+    week, then by the year.
+    """
+
+    def tick(m, at):
+        hour, minute, today = F.hour(at), F.minute(at), F.to_date(at)
+        fits = lambda d: _has(m["month"], F.month(d)) & _has(m["day"], F.dayofmonth(d)) & _has(m["weekday"], F.dayofweek(d) - 1)
+        first = _lowest(m["minute"], F.lit(0))
+        this_hour = F.when(_has(m["hour"], hour), _lowest(m["minute"], minute + 1))
+        of_day = F.coalesce(hour * 60 + this_hour, _lowest(m["hour"], hour + 1) * 60 + first)
+        days = lambda a, z: F.array_min(F.filter(F.sequence(F.date_add(today, a), F.date_add(today, z)), fits))
+        later = F.coalesce(days(1, 8), days(9, 366))
+        instant = lambda d, minutes: F.timestamp_seconds(F.unix_timestamp(d.cast("timestamp")) + minutes * 60)
+        return F.when(fits(today) & of_day.isNotNull(), instant(today, of_day)).otherwise(instant(later, _lowest(m["hour"], F.lit(0)) * 60 + first))
+
+    found = F.get(F.transform(F.array(F.struct(masks(expression).alias("m"), ts.cast("timestamp").alias("at"))), lambda x: F.when(x["m"].isNotNull(), tick(x["m"], x["at"]))), F.lit(0))
+    return F.when(found <= ts + F.expr(f"interval {SEARCHED_MINUTES} minutes"), found)
+
+
 def next_minute_tick(ts: Column, minutes: list[int]) -> Column:
     """The next tick of an expression that restricts minutes alone."""
     return next_tick_of(ts, f"{','.join(map(str, minutes))} * * * *")

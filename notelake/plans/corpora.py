@@ -682,6 +682,23 @@ _SESSIONS = """WITH e AS (SELECT *, 'p' || event_id % 4 AS path, value < 30 AS g
     SELECT user_id, min(a) AS start, max(z) AS last, coalesce(string_agg(path, ',' ORDER BY path) FILTER (NOT ended), '') AS changed, coalesce(string_agg(path, ',' ORDER BY path) FILTER (ever), '') AS deleted FROM p GROUP BY user_id, g"""
 
 
+_CRONS = ["*/15 * * * *", "5 4 * * *", "0 0 1 * *", "30 8 * * 1", "0 0 30 2 *", "*/0 * * * *", "7,37 */6 * * *", None]
+
+
+def cron_by_row(spark, sf_dir):
+    """The next tick of each event's own expression."""
+    e = _t(spark, sf_dir, "events").withColumn("cron", F.get(F.array(*map(F.lit, _CRONS)), (F.col("event_id") % 8).cast("int")))
+    return e.select("event_id", "cron", schedule.next_tick_by(F.col("ts"), F.col("cron")).alias("next"))
+
+
+_CRON_BY_ROW = """SELECT event_id, CASE event_id % 8 WHEN 0 THEN '*/15 * * * *' WHEN 1 THEN '5 4 * * *' WHEN 2 THEN '0 0 1 * *' WHEN 3 THEN '30 8 * * 1' WHEN 4 THEN '0 0 30 2 *' WHEN 5 THEN '*/0 * * * *' WHEN 6 THEN '7,37 */6 * * *' END AS cron,
+    CASE event_id % 8 WHEN 0 THEN time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE
+        WHEN 1 THEN time_bucket(INTERVAL 1 DAY, date_trunc('minute', ts) - INTERVAL 245 MINUTE) + INTERVAL 1 DAY + INTERVAL 245 MINUTE
+        WHEN 2 THEN date_trunc('month', ts) + INTERVAL 1 MONTH
+        WHEN 3 THEN time_bucket(INTERVAL 7 DAY, date_trunc('minute', ts) - INTERVAL 510 MINUTE, TIMESTAMP '2024-01-01') + INTERVAL 7 DAY + INTERVAL 510 MINUTE
+        WHEN 6 THEN (SELECT min(t) FROM (SELECT date_trunc('day', ts) + to_hours(CAST(h * 6 AS INTEGER)) + to_minutes(CAST(m AS INTEGER)) AS t FROM range(0, 5) r(h), (VALUES (7), (37)) v(m)) WHERE t > ts AND t > date_trunc('minute', ts)) END AS next FROM events"""
+
+
 def cron_ticks(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", schedule.next_tick_of(F.col("ts"), "15,45 8-18/4 1-20 */2 1-5").alias("next"))
 
@@ -729,7 +746,7 @@ _DIGEST_DAYS = f"""WITH {_LOG_LINES} SELECT CAST(date AS DATE) AS date, sha256('
 _QUERIES = [
     notes_scan, schema_metrics, drift, drift_fixed, unknown_topics, migration, migrated_files, migration_summary, tag_plan, embed_inputs, empty_bodies, exact_members, stale_references, inline_stale, dead_links,
     stale_dates, glued_dates, tool_hits, pattern_hits, resolve_all, context_render, hook_requests, floors, conflict_pairs, merge_strategies, push_scoped, replay, tree_difference, word_suggestions, path_mapping, commit_messages, pull_summary,
-    queue_ages, restore, remote_kinds, index_build, lru_cache, knn_of_model, stale_models, eval_per_prompt, eval_unknown, coverage, change_sessions, cron_ticks, digest_summary, digest_days,
+    queue_ages, restore, remote_kinds, index_build, lru_cache, knn_of_model, stale_models, eval_per_prompt, eval_unknown, coverage, change_sessions, cron_ticks, cron_by_row, digest_summary, digest_days,
 ]
 
 
@@ -747,5 +764,5 @@ def oracle_sql():
         "glued_dates": "SELECT event_id AS id, CAST(CASE event_id % 5 WHEN 1 THEN 0 WHEN 3 THEN 2 ELSE 1 END AS BIGINT) AS n FROM events", "tool_hits": _TOOL_HITS, "pattern_hits": _PATTERN_HITS, "resolve_all": _RESOLVE, "context_render": _RENDER, "hook_requests": _HOOK,
         "floors": _FLOORS, "conflict_pairs": _PAIRS, "merge_strategies": _MERGES, "push_scoped": _PUSH_SCOPED, "replay": _REPLAY, "tree_difference": _TREES, "word_suggestions": _SUGGESTIONS, "path_mapping": _PATHS, "commit_messages": _COMMITS, "pull_summary": _PULL_SUMMARY, "queue_ages": _QUEUE_AGES,
         "restore": "SELECT 'notes/13/' || doc_id AS path, sha256(text) AS content FROM documents WHERE doc_id % 5 = 3 AND doc_id % 20 = 13", "remote_kinds": _KINDS, "index_build": _BUILD, "lru_cache": _LRU, "knn_of_model": _KNN_MODEL,
-        "stale_models": _STALE_MODELS, "eval_per_prompt": _EVAL, "eval_unknown": _EVAL_UNKNOWN, "coverage": _COVERAGE, "change_sessions": _SESSIONS, "cron_ticks": _CRON, "digest_summary": _DIGEST_SUMMARY, "digest_days": _DIGEST_DAYS,
+        "stale_models": _STALE_MODELS, "eval_per_prompt": _EVAL, "eval_unknown": _EVAL_UNKNOWN, "coverage": _COVERAGE, "change_sessions": _SESSIONS, "cron_ticks": _CRON, "cron_by_row": _CRON_BY_ROW, "digest_summary": _DIGEST_SUMMARY, "digest_days": _DIGEST_DAYS,
     }

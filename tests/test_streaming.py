@@ -114,6 +114,24 @@ def test_schedule(spark):
                 assert r["next"] is None
 
 
+def test_schedule_by_row(spark):
+    """Each row's own expression, against the instants' search; texts that are no expression have no tick."""
+    import random
+
+    rng = random.Random(6)
+    good = ["*/15 * * * *", "30 8 1 * 1", "5 4-10/3 * 2,5 *", "0 0 30 2 *", "59 23 31 12 *", "0 0 29 2 *", "5/7 20/10 * * 0", " 1  2 3\t4 * ", "0-59 0-23 1-31 1-12 0-6", "0,0,5-6 * * * *", "0 12 * * 6"]
+    bad = ["* * * *", "60 * * * *", "*/0 * * * *", "5-1 * * * *", "x * * * *", "* * * * 7", "", "1, * * * *", "* * 0 * *", "* * * * * *", "-1 * * * *", "1-2-3 * * * *", "99999999999 * * * *", "*/x * * * *", None]
+    rows = [(e, datetime.datetime(2023, 1, 1) + datetime.timedelta(seconds=rng.randrange(4 * 365 * 86_400))) for e in good + bad for _ in range(12)]
+    rows += [(e, datetime.datetime(2024, 2, 28, 23, 59)) for e in good] + [("* * * * *", None)]
+    got = spark.createDataFrame(rows, "e string, ts timestamp").select("e", "ts", schedule.next_tick_by(F.col("ts"), F.col("e")).alias("next")).collect()
+    for e, ts, found in got:
+        try:
+            want = schedule.next_tick(e, ts)
+        except (ValueError, AttributeError):
+            want = None
+        assert found == want, (e, ts)
+
+
 def test_run_on_schedule():
     slept, now = [], [datetime.datetime(2026, 1, 1, 0, 0, 30)]
 
