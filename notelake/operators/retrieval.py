@@ -63,6 +63,18 @@ def floor_of(provider: str | None, model: str | None = None, override: float | N
     return (MODEL_FLOORS[name], "map") if name in MODEL_FLOORS else (FLOORS["ollama"], "fallback")
 
 
+def floor_by(provider: Column, model: Column, override: Column) -> Column:
+    """floor_of() of columns: struct(floor, source)."""
+    out = lambda floor, source: F.struct(floor.cast("double").alias("floor"), F.lit(source).alias("source"))
+    name = F.split_part(F.lower(F.trim(F.coalesce(model, F.lit("")))), F.lit(":"), F.lit(1))
+    known = F.coalesce(*(F.when(name == m, F.lit(f)) for m, f in MODEL_FLOORS.items()))
+    fine = F.coalesce((override >= 0) & (override < float("inf")), F.lit(False))
+    return (
+        F.when(fine, out(override, "env")).when(~F.coalesce(provider == "ollama", F.lit(False)), out(F.lit(FLOORS["openai"]), "provider"))
+        .when(known.isNotNull(), out(known, "map")).otherwise(out(F.lit(FLOORS["ollama"]), "fallback"))
+    )
+
+
 def floor_hint(candidates: int, survivors: int, floor: float, source: str, model: str | None) -> str | None:
     """What to tell when a floor that nobody calibrated has dropped all that was found."""
     if source != "fallback" or not candidates or survivors:

@@ -364,12 +364,20 @@ _HOOK = "SELECT conv_id * 1000 + turn AS qid, sha256(CASE WHEN turn % 5 = 4 THEN
 
 
 def floors(spark, sf_dir):
-    asked = [("openai", "text-embedding-3-small", None), ("ollama", "bge-m3:latest", None), ("ollama", " BGE-M3 ", None), ("ollama", "nomic-embed-text", None), ("ollama", "bge-m3", 0.6), ("ollama", "bge-m3", -1.0), (None, None, None)]
-    rows = [(i, *retrieval.floor_of(*a)) for i, a in enumerate(asked)]
-    return spark.createDataFrame(rows, "n int, floor double, source string").coalesce(1)
+    """How many vectors of each provider and model reach the floor that holds for them with their nearest of every fiftieth one."""
+    k = F.col("qid") % 7
+    provider = F.when(k == 0, "openai").when(k < 6, "ollama")
+    model = F.when(k == 0, "text-embedding-3-small").when(k == 1, "bge-m3:latest").when(k == 2, " BGE-M3 ").when(k == 3, "nomic-embed-text").when(k < 6, "bge-m3")
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    near = retrieval.topk(e.withColumnRenamed("id", "qid"), e.where("id % 50 = 0"), 2).groupBy("qid").agg(F.min("sim01").alias("sim01"))
+    rows = near.select("qid", "sim01", retrieval.floor_by(provider, model, F.when(k == 4, 0.6).when(k == 5, -1.0)).alias("f"))
+    return rows.groupBy((F.col("qid") % 7).alias("n"), "f.floor", "f.source").agg(F.count("*").alias("vectors"), F.count_if(F.col("sim01") >= F.col("f.floor")).alias("reached"))
 
 
-_FLOORS = "SELECT * FROM (VALUES (0, CAST(0.5 AS DOUBLE), 'provider'), (1, 0.78, 'map'), (2, 0.78, 'map'), (3, 0.78, 'fallback'), (4, 0.6, 'env'), (5, 0.78, 'map'), (6, 0.5, 'provider')) t(n, floor, source)"
+_FLOORS = f"""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.id AS qid, greatest(0, (1 + list_cosine_similarity(q.e, v.e)) / 2) AS s FROM v q JOIN v ON v.id % 50 = 0),
+    n AS (SELECT qid, min(s) AS s FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC) <= 2) GROUP BY qid),
+    f AS (SELECT * FROM (VALUES (0, CAST(0.5 AS DOUBLE), 'provider'), (1, 0.78, 'map'), (2, 0.78, 'map'), (3, 0.78, 'fallback'), (4, 0.6, 'env'), (5, 0.78, 'map'), (6, 0.5, 'provider')) t(n, floor, source))
+    SELECT CAST(f.n AS BIGINT) AS n, floor, source, count(*) AS vectors, count(*) FILTER (s >= floor) AS reached FROM n JOIN f ON n.qid % 7 = f.n GROUP BY ALL"""
 
 
 # ---------------------------------------------------------------- conflicts
@@ -396,24 +404,22 @@ _PAIRS = rf"""WITH n AS (SELECT conv_id, turn, turn % 4 AS p, list_distinct(list
 
 
 def merge_strategies(spark, sf_dir):
-    """Every combination of the three versions under every strategy."""
-    versions = ["", "a", "a\nb", "a\nb\nc", "a\n<<<<<<< local\nx", None]
-    d = _t(spark, sf_dir, "region").select(F.lit(versions).alias("v")).limit(1)
-    pick = lambda name: F.posexplode("v").alias(f"{name}_n", name)
-    rows = d.select("v", pick("base")).select("v", "base_n", "base", pick("local")).select("v", "base_n", "base", "local_n", "local", pick("remote"))
-    rows = rows.select("base_n", "base", "local_n", "local", "remote_n", "remote", F.explode(F.lit(sync.STRATEGIES)).alias("strategy"))
+    """Each document's text in three versions, of all combinations, merged under the strategies in turn."""
+    i, pick = F.col("doc_id"), lambda n: F.get(F.array(*versions), n.cast("int"))
+    versions = [F.lit(""), F.col("text"), F.concat("text", F.lit("\nb")), F.concat("text", F.lit("\nb\nc")), F.concat("text", F.lit("\n<<<<<<< local\nx")), F.lit(None).cast("string")]
+    step = lambda n: F.floor(i / n)
+    rows = _t(spark, sf_dir, "documents").select("doc_id", pick(i % 6).alias("base"), pick(step(6) % 6).alias("local"), pick(step(36) % 6).alias("remote"), F.get(F.lit(sync.STRATEGIES), (step(7) % 3).cast("int")).alias("strategy"))
     m = rows.withColumn("m", sync.merge_text(F.col("base"), F.col("local"), F.col("remote"), F.col("strategy")))
-    return m.select("base_n", "local_n", "remote_n", "strategy", "m.content", "m.status", "m.conflict")
+    return m.select("doc_id", "strategy", F.sha2("m.content", 256).alias("content"), "m.status", "m.conflict")
 
 
-_VERSIONS = "(SELECT * FROM (VALUES (0, ''), (1, 'a'), (2, 'a' || chr(10) || 'b'), (3, 'a' || chr(10) || 'b' || chr(10) || 'c'), (4, 'a' || chr(10) || '<<<<<<< local' || chr(10) || 'x'), (5, NULL)) t(n, c))"
-_MERGES = f"""WITH x AS (SELECT CAST(b.n AS INTEGER) AS base_n, CAST(l.n AS INTEGER) AS local_n, CAST(r.n AS INTEGER) AS remote_n, b.c AS b, l.c AS l, r.c AS r, s.s AS strategy
-        FROM {_VERSIONS} b, {_VERSIONS} l, {_VERSIONS} r, (SELECT unnest(['inline-markers', 'local-wins', 'remote-wins']) AS s) s),
+_VERSION = lambda n: f"CASE {n} % 6 WHEN 0 THEN '' WHEN 1 THEN text WHEN 2 THEN text || chr(10) || 'b' WHEN 3 THEN text || chr(10) || 'b' || chr(10) || 'c' WHEN 4 THEN text || chr(10) || '<<<<<<< local' || chr(10) || 'x' END"
+_MERGES = f"""WITH x AS (SELECT doc_id, {_VERSION("doc_id")} AS b, {_VERSION("(doc_id // 6)")} AS l, {_VERSION("(doc_id // 36)")} AS r, ['inline-markers', 'local-wins', 'remote-wins'][1 + CAST(doc_id // 7 % 3 AS INTEGER)] AS strategy FROM documents),
     y AS (SELECT *, CASE WHEN l IS NOT DISTINCT FROM r THEN 'unchanged' WHEN l IS NOT DISTINCT FROM b THEN 'remote' WHEN r IS NOT DISTINCT FROM b THEN 'local' WHEN starts_with(l, b) AND starts_with(r, b) THEN 'merged' ELSE 'conflict' END AS status,
         substr(l, length(b) + 1) AS mine, substr(r, length(b) + 1) AS theirs FROM x),
     z AS (SELECT *, CASE status WHEN 'unchanged' THEN l WHEN 'remote' THEN r WHEN 'local' THEN l WHEN 'merged' THEN CASE WHEN contains(mine, theirs) THEN l WHEN contains(theirs, mine) THEN r ELSE b || theirs || mine END
         ELSE CASE strategy WHEN 'local-wins' THEN l WHEN 'remote-wins' THEN r ELSE '<<<<<<< local' || chr(10) || coalesce(l, '') || chr(10) || '=======' || chr(10) || coalesce(r, '') || chr(10) || '>>>>>>> remote' END END AS content FROM y)
-    SELECT base_n, local_n, remote_n, strategy, content, status, CASE status WHEN 'unchanged' THEN false ELSE coalesce(contains(content, '<<<<<<< '), false) END AS conflict FROM z"""
+    SELECT doc_id, strategy, sha256(content) AS content, status, CASE status WHEN 'unchanged' THEN false ELSE coalesce(contains(content, '<<<<<<< '), false) END AS conflict FROM z"""
 
 _CONFIG = [
     {"source": "mine", "destination": "notes/1", "kind": "directory"}, {"source": "one.md", "destination": "notes/20/200.md", "kind": "file"},
@@ -562,11 +568,16 @@ def restore(spark, sf_dir):
 
 
 def remote_kinds(spark, sf_dir):
-    forms = F.lit(["git@h.org:a/b.git", "ssh://h/x", "/srv/repo", "file:///srv", "./rel", "https://h.org/x", "C:/x", "user@host:path"])
-    return _t(spark, sf_dir, "region").limit(1).select(F.explode(forms).alias("url")).select("url", sync.remote_kind(F.col("url")).alias("kind"))
+    """Remotes made of the pages' urls in eight forms."""
+    at, k = F.regexp_replace("url", "^[a-z]+://", ""), F.col("page_id") % 8
+    forms = [F.concat(F.lit("git@"), F.regexp_replace(at, "/", ":")), F.concat(F.lit("ssh://"), at), F.concat(F.lit("/srv/"), at), F.concat(F.lit("file:///"), at), F.concat(F.lit("./"), at), F.col("url"), F.concat(F.lit("C:/"), at), F.concat(F.lit("../"), at)]
+    rows = _t(spark, sf_dir, "pages").select("page_id", F.get(F.array(*forms), k.cast("int")).alias("url"))
+    return rows.select("page_id", "url", sync.remote_kind(F.col("url")).alias("kind"))
 
 
-_KINDS = "SELECT * FROM (VALUES ('git@h.org:a/b.git', 'ssh'), ('ssh://h/x', 'ssh'), ('/srv/repo', 'local'), ('file:///srv', 'local'), ('./rel', 'local'), ('https://h.org/x', 'unsupported'), ('C:/x', 'unsupported'), ('user@host:path', 'ssh')) t(url, kind)"
+_KINDS = """WITH x AS (SELECT page_id, page_id % 8 AS k, url, regexp_replace(url, '^[a-z]+://', '') AS rest FROM pages)
+    SELECT page_id, CASE k WHEN 0 THEN 'git@' || replace(rest, '/', ':') WHEN 1 THEN 'ssh://' || rest WHEN 2 THEN '/srv/' || rest WHEN 3 THEN 'file:///' || rest WHEN 4 THEN './' || rest WHEN 5 THEN url WHEN 6 THEN 'C:/' || rest ELSE '../' || rest END AS url,
+        CASE WHEN k IN (0, 1) THEN 'ssh' WHEN k IN (2, 3, 4, 7) THEN 'local' ELSE 'unsupported' END AS kind FROM x"""
 
 
 # ---------------------------------------------------------------- index, cache, evaluation
