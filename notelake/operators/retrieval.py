@@ -115,6 +115,14 @@ def topic_gate(queries: DataFrame, notes: DataFrame, vocabulary: dict = C.VOCABU
     return both.select("qid", "id", F.lit("topic").alias("gate"), F.lit(1.0).alias("score"), F.concat(F.lit("topic match: "), F.array_join(F.col("t.topic"), ", ")).alias("reason"))
 
 
+def shared_topics(pairs: DataFrame, queries: DataFrame, notes: DataFrame, vocabulary: dict = C.VOCABULARY) -> DataFrame:
+    """(qid, id, topic_reason) of those pairs (qid, id) whose note has a topic of the prompt, as topic_gate tells it."""
+    asked = queries.select("qid", C.topics_of(F.col("prompt"), vocabulary).alias("asked"))
+    both = pairs.join(asked, "qid").join(notes.select("id", F.array_distinct("topics").alias("topics")), "id")
+    met = both.withColumn("met", F.filter("topics", lambda t: F.array_contains("asked", t))).where("size(met) > 0")
+    return met.select("qid", "id", F.concat(F.lit("topic match: "), F.array_join("met", ", ")).alias("topic_reason"))
+
+
 def tool_gate(queries: DataFrame, notes: DataFrame) -> DataFrame:
     """Notes triggered by a query's tool name, or else, for the shell, by its command; patterns that may not run trigger nothing.
 
@@ -161,17 +169,27 @@ def blend(queries: DataFrame, notes: DataFrame, semantic: DataFrame, floor: floa
     """
     w = weights or Weights()
     sem = semantic.where(F.col("sim01") >= floor).select("qid", "id", "sim01")
-    speaking = shared.written(sem.select("qid").distinct(), "speaking")
-    topic = topic_gate(queries.join(speaking, "qid", "left_semi"), notes, vocabulary).select("qid", "id", F.col("reason").alias("topic_reason"))
-    both = sem.join(topic, ["qid", "id"], "full_outer").join(notes.select("id", "type", "age_days", "load_ord"), "id")
+    speaking = shared.written(sem.groupBy("qid").agg(F.count("*").alias("n")), "speaking")
+    most = max_hits + (speaking.agg(F.max("n")).first()[0] or 0)
     score = F.coalesce("sim01", F.lit(0.0)) + F.when(F.col("topic_reason").isNotNull(), w.topic_boost).otherwise(0.0) + type_modifier(F.col("type"), w.type_weight) + recency_modifier(F.col("age_days"), w)
+    # Without similarity a note's score is its own, so of each topic only the best can be shown beside a query's similar notes.
+    alone = notes.withColumns({"sim01": F.lit(None).cast("double"), "topic_reason": F.lit("")}).select("id", "load_ord", score.alias("score"), F.explode(F.array_distinct("topics")).alias("topic"))
+    best = alone.withColumn("n", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("score"), "load_ord"))).where(F.col("n") <= most).select("id").distinct()
+    asked = queries.join(speaking.select("qid"), "qid", "left_semi")
+    given = sem.select("qid", "id") if tools is None else sem.select("qid", "id").union(tools.select("qid", "id"))
+    topic = topic_gate(asked, notes.join(best, "id", "left_semi"), vocabulary).select("qid", "id", F.col("reason").alias("topic_reason"))
+    topic = topic.union(shared_topics(given.distinct(), asked, notes, vocabulary)).distinct()
+    both = sem.join(topic, ["qid", "id"], "full_outer").join(notes.select("id", "type", "age_days", "load_ord"), "id")
     reason = F.concat_ws("; ", F.when(F.col("sim01").isNotNull(), F.concat(F.lit("semantic match (score="), T.fixed(F.col("sim01")), F.lit(")"))), "topic_reason")
     rows = both.select("qid", "id", F.when(F.col("sim01").isNotNull(), "confidence").otherwise("topic").alias("gate"), score.alias("score"), reason.alias("reason"), F.struct(F.lit(0).alias("g"), "load_ord").alias("seq"))
     # A silent query's hits all score 1, so the first notes of each of its topics are all that can be shown.
-    quiet = queries.join(speaking, "qid", "left_anti")
+    quiet = queries.join(speaking.select("qid"), "qid", "left_anti")
     first = F.row_number().over(Window.partitionBy("topic").orderBy("load_ord"))
     held = notes.select("id", "load_ord", F.explode(F.array_distinct("topics")).alias("topic")).withColumn("n", first).where(F.col("n") <= max_hits).select("id").distinct()
-    silent = topic_gate(quiet, notes.join(held, "id", "left_semi"), vocabulary).join(notes.select("id", "load_ord"), "id")
+    silent = topic_gate(quiet, notes.join(held, "id", "left_semi"), vocabulary).select("qid", "id", "reason")
+    if tools is not None:  # a tool's note keeps the place that its topics give it
+        silent = silent.union(shared_topics(tools.select("qid", "id").distinct(), quiet, notes, vocabulary)).distinct()
+    silent = silent.join(notes.select("id", "load_ord"), "id")
     rows = rows.unionByName(silent.select("qid", "id", F.lit("topic").alias("gate"), F.lit(1.0).alias("score"), "reason", F.struct(F.lit(0).alias("g"), "load_ord").alias("seq")))
     rows = rows.withColumn("is_tool", F.lit(False))
     if tools is not None:
