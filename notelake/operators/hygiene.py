@@ -167,8 +167,8 @@ def stale_references(notes: DataFrame, inventory: DataFrame, symbols: DataFrame,
     root could be searched), or malformed: an entry without a value, one that is no entry, or a symbol that is no identifier. Flags
     aren't looked at. A relative path that leads out of its root is missing.
     """
-    roots = roots if roots is not None else [r["root"] for r in inventory.select("root").distinct().orderBy("root").collect()]
     searchable = roots if searchable is None else searchable
+    some = bool(searchable) if searchable is not None else not inventory.where("root is not null").isEmpty()
     declared = notes.where("size(verify) > 0").select("id", F.explode("verify").alias("r"))
     whole = F.col("r.whole") if "whole" in notes.schema["verify"].dataType.elementType.names else F.lit(True)
     declared = shared.written(declared.select("id", whole.alias("whole"), "r.kind", "r.value"), "declared")
@@ -188,8 +188,11 @@ def stale_references(notes: DataFrame, inventory: DataFrame, symbols: DataFrame,
     word = refs.where("kind = 'symbol'")
     odd = word.where(~F.col("value").rlike(T.SYMBOL_VALUE)).select("id", "kind", "value", "source", F.lit("malformed").alias("status"))
     fine = word.where(F.col("value").rlike(T.SYMBOL_VALUE)).withColumn("word", T.symbol_word(F.col("value")))
-    held = symbols.where(F.col("root").isin(searchable) if searchable else F.lit(False)).select("word").distinct()
-    status = F.lit("no-matches" if searchable else "skipped")
+    if searchable is None:
+        held = symbols.join(inventory.select("root").distinct(), "root", "left_semi").select("word").distinct()
+    else:
+        held = symbols.where(F.col("root").isin(searchable) if searchable else F.lit(False)).select("word").distinct()
+    status = F.lit("no-matches" if some else "skipped")
     lost = fine.join(held, "word", "left_anti").select("id", "kind", "value", "source", status.alias("status"))
     return bad.unionByName(gone).unionByName(odd).unionByName(lost)
 
@@ -205,6 +208,15 @@ def stale_report(references: DataFrame, dates: DataFrame, checked: int, scanned:
     )
 
 
+def stale_by_note(references: DataFrame, dates: DataFrame) -> DataFrame:
+    """(id, stale, possibly_stale, skipped, hits): the hits of each note that has any, of stale_references() and stale_dates(), as structs
+    (status, kind, value, source, age_days) in order; a note is stale if any of its references is missing, matches nothing or is malformed."""
+    refs = references.select("id", F.struct("status", "kind", "value", "source", F.lit(None).cast("int").alias("age_days")).alias("hit"))
+    old = dates.select("id", F.struct(F.lit("possibly-stale").alias("status"), F.lit("date").alias("kind"), F.col("newest").cast("string").alias("value"), F.lit("date").alias("source"), F.col("age_days").cast("int").alias("age_days")).alias("hit"))
+    of = lambda *names: F.count_if(F.col("hit.status").isin(*names))
+    return refs.unionByName(old).groupBy("id").agg(of("missing", "no-matches", "malformed").alias("stale"), of("possibly-stale").alias("possibly_stale"), of("skipped").alias("skipped"), F.array_sort(F.collect_list("hit")).alias("hits"))
+
+
 def inline_stale(notes: DataFrame, inventory: DataFrame, root: str = ".") -> DataFrame:
     """(id, reason) of notes with a declared path that isn't there, in its own root or in the given one; symbols and flags aren't looked at."""
     refs = notes.where("size(verify) > 0").select("id", F.posexplode("verify").alias("n", "r")).where("r.kind = 'path' and r.value is not null")
@@ -367,6 +379,17 @@ def migration_summary(plan: DataFrame) -> DataFrame:
     )
 
 
+def migration_lists(plan: DataFrame) -> DataFrame:
+    """(list, id): the notes of a plan that changed, that were skipped, and that need a hand: untagged, without a type, with topics of a wrong shape."""
+    ok = ~F.col("skipped")
+    lists = {
+        "changed": F.col("changed"), "skipped": F.col("skipped"), "untagged": ok & (F.col("topics.action") == "missing"), "missing-type": ok & (F.col("type.action") == "missing"),
+        "bad-shape": ok & F.coalesce(F.col("topics.source") == "invalid-shape", F.lit(False)),
+    }
+    named = F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in lists.items())))
+    return plan.select(F.explode(named).alias("list"), "id")
+
+
 def migration_apply(notes: DataFrame, plan: DataFrame) -> DataFrame:
     """(id, path, content): the files that the migration rewrites; a creation date taken from a file's time says so."""
     value = lambda c: F.when(F.col(f"{c}.action") == "set", F.col(f"{c}.value"))

@@ -140,6 +140,14 @@ _MIGRATION = f"""{_MIG} SELECT id, skipped, CASE k WHEN 5 THEN 'missing required
     CASE WHEN skipped OR k = 3 THEN NULL ELSE 'mtime (approx)' END AS created_source FROM x"""
 
 
+def migration_lists(spark, sf_dir):
+    return hygiene.migration_lists(hygiene.migration_plan(_notes(spark, sf_dir), _RULES, {"none": [(r"\bnosuchword\b", True)]}))
+
+
+_MIG_LISTS = f"""{_MIG}, l AS (SELECT id, unnest(['changed', 'skipped', 'untagged', 'missing-type', 'bad-shape']) AS list, unnest([NOT skipped, skipped, NOT skipped AND k NOT IN (0, 1, 3, 11) AND mapped IS NULL, NOT skipped AND k NOT IN (0, 1, 2, 3, 6, 11), k = 11]) AS is_in FROM x)
+    SELECT list, id FROM l WHERE is_in"""
+
+
 def migrated_files(spark, sf_dir):
     """Notes with comments, quotes, flow style and either end of line, rewritten: what isn't set keeps its bytes."""
     i, k = F.col("doc_id").cast("string"), F.col("doc_id") % 3
@@ -231,6 +239,20 @@ _REFS = """WITH x AS (SELECT doc_id AS id, doc_id % 8 AS k FROM documents),
         UNION ALL SELECT id, 'symbol', 'run' || id % 6 || '()', 'body-regex', CASE WHEN id % 6 >= 3 THEN 'no-matches' END FROM x WHERE k IN (2, 3, 4))"""
 
 
+def stale_by_note(spark, sf_dir):
+    refs = hygiene.stale_references(_referring(spark, sf_dir), *_inventory(spark))
+    dates = _t(spark, sf_dir, "documents").where("doc_id % 6 = 1").select(F.col("doc_id").alias("id"), F.date_add(F.lit(datetime.date(2026, 1, 1)), F.col("doc_id").cast("int") % 50).alias("newest"), (F.col("doc_id") % 50 + 100).cast("int").alias("age_days"))
+    out = hygiene.stale_by_note(refs, dates)
+    line = F.array_join(F.transform("hits", lambda h: F.concat_ws(" ", h["status"], h["kind"], h["value"], h["source"], h["age_days"].cast("string"))), "; ")
+    return out.select("id", "stale", "possibly_stale", "skipped", line.alias("hits"))
+
+
+_STALE_BY_NOTE = f"""{_REFS}, h AS (SELECT id, status, kind, value, source, NULL AS age FROM r WHERE status IS NOT NULL UNION ALL
+        SELECT doc_id, 'possibly-stale', 'date', CAST(DATE '2026-01-01' + CAST(doc_id % 50 AS INTEGER) AS VARCHAR), 'date', doc_id % 50 + 100 FROM documents WHERE doc_id % 6 = 1)
+    SELECT id, count(*) FILTER (status IN ('missing', 'no-matches', 'malformed')) AS stale, count(*) FILTER (status = 'possibly-stale') AS possibly_stale, count(*) FILTER (status = 'skipped') AS skipped,
+        string_agg(concat_ws(' ', status, kind, value, source, age), '; ' ORDER BY status, kind, value, source) AS hits FROM h GROUP BY id"""
+
+
 def inline_stale(spark, sf_dir):
     known = _inventory(spark)[0].where("root = 'r1'")
     return hygiene.inline_stale(_referring(spark, sf_dir), known, "r1")
@@ -309,11 +331,11 @@ _TOOL_HITS = f"""WITH {_TOOLS} SELECT qid, id, 'tool' AS gate, CAST(1 AS DOUBLE)
 
 
 def _found_patterns(spark, sf_dir) -> DataFrame:
-    """A pattern of each document's second and third word, if both are of ASCII letters, in one of four forms."""
+    """A pattern of each benchmark item's second and third word, if both are of ASCII letters, in one of four forms."""
     w = F.split("text", "[ \n]")
-    a, b, k = F.get(w, 1), F.get(w, 2), F.col("doc_id") % 4
+    a, b, k = F.get(w, 1), F.get(w, 2), F.length("text") % 4
     p = F.when(k == 0, F.concat(a, F.lit(" "), b)).when(k == 1, F.concat(a, F.lit("\\s+(?<next>"), b, F.lit(")"))).when(k == 2, F.concat(F.lit("(?:"), a, F.lit("|"), b, F.lit(")\\."))).otherwise(F.concat(F.lit("^"), a, F.lit(".*"), b, F.lit("?$")))
-    return _t(spark, sf_dir, "documents").where(a.rlike("^[A-Za-z]+$") & b.rlike("^[A-Za-z]+$")).select(p.alias("p"))
+    return _t(spark, sf_dir, "benchmark").where(a.rlike("^[A-Za-z]+$") & b.rlike("^[A-Za-z]+$")).select(p.alias("p"))
 
 
 def pattern_hits(spark, sf_dir):
@@ -322,7 +344,7 @@ def pattern_hits(spark, sf_dir):
     return patterns.search(turns, _found_patterns(spark, sf_dir)).groupBy("p").agg(F.count("*").alias("n"))
 
 
-_PATTERN_HITS = r"""WITH w AS (SELECT doc_id % 4 AS k, regexp_split_to_array(text, '[ \n]')[2] AS a, regexp_split_to_array(text, '[ \n]')[3] AS b FROM documents),
+_PATTERN_HITS = r"""WITH w AS (SELECT length(text) % 4 AS k, regexp_split_to_array(text, '[ \n]')[2] AS a, regexp_split_to_array(text, '[ \n]')[3] AS b FROM benchmark),
     p AS (SELECT DISTINCT CASE k WHEN 0 THEN a || ' ' || b WHEN 1 THEN a || '\s+(?P<next>' || b || ')' WHEN 2 THEN '(?:' || a || '|' || b || ')\.' ELSE '^' || a || '.*' || b || '?$' END AS p FROM w
         WHERE regexp_full_match(a, '[A-Za-z]+') AND regexp_full_match(b, '[A-Za-z]+'))
     SELECT replace(p, '(?P<', '(?<') AS p, count(*) AS n FROM p JOIN conversations ON regexp_matches(text, p) GROUP BY ALL"""
@@ -755,7 +777,7 @@ _DIGEST_DAYS = f"""WITH {_LOG_LINES} SELECT CAST(date AS DATE) AS date, sha256('
 
 
 _QUERIES = [
-    notes_scan, schema_metrics, drift, drift_fixed, unknown_topics, migration, migrated_files, migration_summary, tag_plan, embed_inputs, empty_bodies, exact_members, stale_references, inline_stale, dead_links,
+    notes_scan, schema_metrics, drift, drift_fixed, unknown_topics, migration, migration_lists, migrated_files, migration_summary, tag_plan, embed_inputs, empty_bodies, exact_members, stale_references, stale_by_note, inline_stale, dead_links,
     stale_dates, glued_dates, tool_hits, pattern_hits, resolve_all, context_render, hook_requests, floors, conflict_pairs, merge_strategies, push_scoped, replay, tree_difference, word_suggestions, path_mapping, commit_messages, pull_summary,
     queue_ages, restore, remote_kinds, index_build, lru_cache, knn_of_model, stale_models, eval_per_prompt, eval_unknown, coverage, change_sessions, cron_ticks, cron_by_row, digest_summary, digest_days,
 ]
@@ -767,7 +789,7 @@ def queries():
 
 def oracle_sql():
     return {
-        "notes_scan": _NOTES_SCAN, "schema_metrics": _SCHEMA, "drift": _DRIFT, "drift_fixed": _DRIFT_FIXED, "unknown_topics": _UNKNOWN, "migration": _MIGRATION, "migrated_files": _MIGRATED, "migration_summary": _MIG_SUMMARY,
+        "notes_scan": _NOTES_SCAN, "schema_metrics": _SCHEMA, "drift": _DRIFT, "drift_fixed": _DRIFT_FIXED, "unknown_topics": _UNKNOWN, "migration": _MIGRATION, "migrated_files": _MIGRATED, "migration_lists": _MIG_LISTS, "stale_by_note": _STALE_BY_NOTE, "migration_summary": _MIG_SUMMARY,
         "tag_plan": _TAG_PLAN, "embed_inputs": _EMBED_INPUTS, "empty_bodies": "SELECT doc_id AS id FROM documents WHERE doc_id % 9 = 4 OR trim(regexp_replace(text, '\\s+', '', 'g')) = ''",
         "exact_members": r"""WITH h AS (SELECT doc_id AS id, sha256(b) AS hash FROM (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS b FROM documents) WHERE b <> ''), g AS (SELECT hash, count(*) AS n, min(id) AS first FROM h GROUP BY hash HAVING count(*) > 1)
             SELECT id, hash, n, first FROM h JOIN g USING (hash)""",
