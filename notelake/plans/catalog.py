@@ -18,6 +18,7 @@ from notelake.sources import index, shared
 from notelake.streaming import watch
 
 from . import corpora
+from . import values as V
 
 _EVERY = 50
 
@@ -221,8 +222,8 @@ _AMBIGUITY = r"""greatest(0.0, least(1.0, 0.5 + CASE WHEN regexp_matches(text, '
 _LINES = """lines AS (SELECT doc_id AS source, i - 1 AS line_no, regexp_replace(regexp_replace(l[i], '^\\s+', ''), '\\s+$', '') AS text FROM
     (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
     kept AS (SELECT *, least(1.0, 0.3 + {imp}) AS importance, {kind} AS type FROM lines WHERE length(text) >= 10 AND NOT starts_with(text, '#') AND NOT starts_with(text, '---'))""".format(
-    imp=" + ".join([f"CASE WHEN contains(text, '{m}') THEN {by} ELSE 0 END" for ms, by in T.IMPORTANCE for m in ms] + ["CASE WHEN length(text) > 100 THEN 0.1 ELSE 0 END", "CASE WHEN length(text) > 200 THEN 0.1 ELSE 0 END"]),
-    kind="CASE " + " ".join(f"WHEN {' OR '.join(f"contains(lower(text), '{m.lower()}')" for m in ms)} THEN '{k}'" for k, ms in T.LINE_TYPES.items()) + " ELSE 'insight' END",
+    imp=" + ".join([f"CASE WHEN contains(text, '{m}') THEN {by} ELSE 0 END" for ms, by in V.IMPORTANCE for m in ms] + ["CASE WHEN length(text) > 100 THEN 0.1 ELSE 0 END", "CASE WHEN length(text) > 200 THEN 0.1 ELSE 0 END"]),
+    kind="CASE " + " ".join(f"WHEN {' OR '.join(f"contains(lower(text), '{m.lower()}')" for m in ms)} THEN '{k}'" for k, ms in V.LINE_TYPES.items()) + " ELSE 'insight' END",
 )
 _EDIT = lambda n: f"CASE WHEN doc_id % {n} = 1 THEN text || chr(10) || 'added {n}' WHEN doc_id % {n} = 2 THEN 'new {n}' ELSE text END"
 _MERGE = f"""d AS (SELECT 'notes/' || doc_id AS path, * FROM documents),
@@ -255,12 +256,12 @@ def _without(column: str, pattern: str) -> str:
 _POLARITY = rf"""WITH a AS (SELECT conv_id, turn, ['', 'ALWAYS ', 'never do ', 'You must ', 'Code is mandatory: never ', 'avoid it, ', 'You cannot '][turn % 7 + 1] || text AS body FROM conversations),
     b AS (SELECT conv_id, turn, trim(regexp_extract(body, '^\s*([^\n]*)', 1)) AS l FROM a), c AS (SELECT conv_id, turn, CASE WHEN length(l) > 200 THEN left(l, 200) || '...' ELSE l END AS x FROM b),
     d AS (SELECT *, array_to_string(list_slice(regexp_split_to_array(x, '\s+'), 1, 2), ' ') AS w FROM c), e AS (SELECT *, substr(x, length(w) + 1) AS rest FROM d),
-    f AS (SELECT conv_id, turn, {_ANY("x", T.ANYWHERE_POSITIVE)} AS p, {_ANY("x", T.ANYWHERE_NEGATIVE)} AS n, {_ANY("w", T.ANYWHERE_POSITIVE + T.LEADING_POSITIVE)} AS lp, {_ANY("w", T.ANYWHERE_NEGATIVE + T.LEADING_NEGATIVE)} AS ln,
-        {_ANY("rest", T.LEADING_POSITIVE)} AS rp, {_ANY("rest", T.LEADING_NEGATIVE)} AS rn FROM e)
+    f AS (SELECT conv_id, turn, {_ANY("x", V.POSITIVE)} AS p, {_ANY("x", V.NEGATIVE)} AS n, {_ANY("w", V.POSITIVE + V.LEADING_POSITIVE)} AS lp, {_ANY("w", V.NEGATIVE + V.LEADING_NEGATIVE)} AS ln,
+        {_ANY("rest", V.LEADING_POSITIVE)} AS rp, {_ANY("rest", V.LEADING_NEGATIVE)} AS rn FROM e)
     SELECT conv_id, turn, CASE WHEN lp AND ln THEN 'mixed' WHEN lp THEN CASE WHEN n OR rn THEN 'mixed' ELSE 'positive' END WHEN ln THEN CASE WHEN p OR rp THEN 'mixed' ELSE 'negative' END
         WHEN p AND n THEN 'mixed' WHEN p THEN 'positive' WHEN n THEN 'negative' END AS polarity FROM f"""
 _COUNTS = ", ".join(f"{{'s': -({' + '.join(f"len(regexp_extract_all(text, '(?i){p}'))" for p, _ in ps)}), 'o': {i}, 't': '{t}'}}" for i, (t, ps) in enumerate(_VOCABULARY.items()))
-_TAGS = f"""WITH s AS (SELECT doc_id AS id, {_KIND} AS type, list_sort(list_filter([{_COUNTS}], lambda x: x.s <= -3)) AS l, {" + ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN 1 ELSE 0 END" for p in hygiene.CRITICAL)} AS c FROM documents)
+_TAGS = f"""WITH s AS (SELECT doc_id AS id, {_KIND} AS type, list_sort(list_filter([{_COUNTS}], lambda x: x.s <= -3)) AS l, {" + ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN 1 ELSE 0 END" for p in V.CRITICAL)} AS c FROM documents)
     SELECT id, CASE WHEN type = 'user' THEN '' ELSE array_to_string(list_transform(list_slice(l, 1, 2), lambda x: x.t), ',') END AS topics, CASE WHEN type = 'feedback' THEN CASE WHEN c >= 2 THEN 'critical' ELSE 'normal' END END AS severity FROM s"""
 
 

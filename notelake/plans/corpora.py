@@ -19,6 +19,8 @@ from notelake.sources import corpus as C
 from notelake.sources import index, shared
 from notelake.streaming import watch
 
+from . import values as V
+
 NOW = datetime.datetime(2026, 6, 1)
 _WORDS = {"named": [(r"\bnote\b", True)]}
 _RULES = [{"id": "n14", "prefix": None, "topics": ["one"]}, {"id": None, "prefix": "n1", "topics": ["mapped", "more"]}]
@@ -185,7 +187,7 @@ def tag_plan(spark, sf_dir):
 
 #: 'note' in the name scores 3, so every note but a user's is proposed that topic.
 _TAG_PLAN = f"""{_K} SELECT id, CASE WHEN k = 6 THEN 'named' END AS add_topics,
-    CASE WHEN k IN (0, 11) THEN CASE WHEN {" + ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN 1 ELSE 0 END" for p in hygiene.CRITICAL)} >= 2 THEN 'critical' ELSE 'normal' END END AS add_severity,
+    CASE WHEN k IN (0, 11) THEN CASE WHEN {" + ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN 1 ELSE 0 END" for p in V.CRITICAL)} >= 2 THEN 'critical' ELSE 'normal' END END AS add_severity,
     CASE WHEN k = 7 THEN 'no frontmatter' WHEN k = 8 THEN 'YAML parse error' WHEN k IN (1, 2, 4, 5, 9, 10) THEN 'frontmatter missing name/type' WHEN k = 3 THEN 'no new fields to add' END AS skip FROM n"""
 
 
@@ -752,8 +754,8 @@ def _logs(spark, sf_dir):
 _LOG_LINES = """l AS (SELECT doc_id AS source, DATE '2026-01-01' + CAST(doc_id % 5 AS INTEGER) AS date, i - 1 AS line_no, regexp_replace(regexp_replace(l[i], '^\\s+', ''), '\\s+$', '') AS text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM
         (SELECT doc_id, string_split(CASE doc_id % 3 WHEN 0 THEN 'DECISION: we will ' WHEN 1 THEN '✅ completed and IMPORTANT ' ELSE 'TODO need to consider ' END || text, chr(10)) AS l FROM documents))),
     k AS (SELECT *, least(1.0, CAST(0.3 AS DOUBLE) + {imp}) AS importance, {kind} AS type FROM l WHERE length(text) >= 10 AND NOT starts_with(text, '#') AND NOT starts_with(text, '---'))""".format(
-    imp=" + ".join([f"CASE WHEN contains(text, '{m}') THEN CAST({by} AS DOUBLE) ELSE 0 END" for ms, by in T.IMPORTANCE for m in ms] + [f"CASE WHEN length(text) > {n} THEN CAST(0.1 AS DOUBLE) ELSE 0 END" for n in (100, 200)]),
-    kind="CASE " + " ".join(f"WHEN {' OR '.join(f"contains(lower(text), '{m.lower()}')" for m in ms)} THEN '{k}'" for k, ms in T.LINE_TYPES.items()) + " ELSE 'insight' END",
+    imp=" + ".join([f"CASE WHEN contains(text, '{m}') THEN CAST({by} AS DOUBLE) ELSE 0 END" for ms, by in V.IMPORTANCE for m in ms] + [f"CASE WHEN length(text) > {n} THEN CAST(0.1 AS DOUBLE) ELSE 0 END" for n in (100, 200)]),
+    kind="CASE " + " ".join(f"WHEN {' OR '.join(f"contains(lower(text), '{m.lower()}')" for m in ms)} THEN '{k}'" for k, ms in V.LINE_TYPES.items()) + " ELSE 'insight' END",
 )
 
 
