@@ -6,7 +6,9 @@ executors can load. hashing_embedder() needs none: it is deterministic and offli
 
 from __future__ import annotations
 
+import concurrent.futures
 import datetime
+import time
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -65,6 +67,33 @@ def hashing_embedder(width: int = 256) -> Embedder:
     return embed
 
 
+def in_order(answer: list) -> list:
+    """Vectors in the order of their texts: an answer of {index, embedding} objects, or of vectors that are in order already."""
+    if not answer or not isinstance(answer[0], dict):
+        return answer
+    if sorted(a["index"] for a in answer) != list(range(len(answer))):
+        raise ValueError("the embedder's answer has indices twice or none for a text")
+    return [a["embedding"] for a in sorted(answer, key=lambda a: a["index"])]
+
+
+def patient(embedder: Embedder, timeout_s: float, retries: int = 0, pause_s: float = 0.5) -> Embedder:
+    """An embedder that is asked again, after a pause that doubles, when it fails or takes too long; the last failure is raised."""
+
+    def ask(texts: list[str]) -> list:
+        for n in range(retries + 1):
+            pool = concurrent.futures.ThreadPoolExecutor(1)
+            try:
+                return pool.submit(embedder, texts).result(timeout_s)
+            except Exception:
+                if n == retries:
+                    raise
+                time.sleep(pause_s * 2**n)
+            finally:
+                pool.shutdown(wait=False)
+
+    return ask
+
+
 def embed_with(texts: DataFrame, embedder: Embedder) -> DataFrame:
     """(id, embedding) of (id, text), BATCH texts at a time. A malformed answer, of another length than was asked for, is an error."""
     kind = texts.schema["id"].dataType.simpleString()
@@ -74,7 +103,7 @@ def embed_with(texts: DataFrame, embedder: Embedder) -> DataFrame:
             ids, values = batch.column("id"), [t or "" for t in batch.column("text").to_pylist()]
             for at in range(0, len(values), BATCH):
                 asked = values[at : at + BATCH]
-                got = embedder(asked)
+                got = in_order(embedder(asked))
                 if len(got) != len(asked):
                     raise ValueError(f"the embedder gave {len(got)} vectors for {len(asked)} texts")
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(asked)), pa.array(got, pa.list_(pa.float32()))], names=["id", "embedding"])
