@@ -65,7 +65,7 @@ class Cells:
 
     def __init__(self, pivots: np.ndarray):
         self.pivots = pivots
-        self.apart = np.linalg.norm(pivots[:, None] - pivots[None], axis=2) if len(pivots) <= 64 else None
+        self.apart = np.stack([np.linalg.norm(pivots - p, axis=1) for p in pivots])
 
     def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         c = x @ self.pivots.T
@@ -102,7 +102,7 @@ class Cells:
         """How near each row can be to any member of each cell, at least."""
         c = x @ self.pivots.T
         own = c.argmax(1)
-        apart = np.linalg.norm(self.pivots[own][:, None] - self.pivots[None], axis=2) if self.apart is None else self.apart[own]
+        apart = self.apart[own]
         midway = np.arcsin(np.clip((c[np.arange(len(x)), own][:, None] - c) / np.where(apart > 0, apart, np.inf), 0, 1))
         return np.maximum(np.maximum(_angles(c) - self.radius, midway), 0)
 
