@@ -7,7 +7,8 @@ nodes whose largest possible overlap can't reach what the smallest sizes need. W
 
 Components of links are found in two steps, so that a group of near copies costs links in proportion to its size, not to
 its square: first the members of a tree are compared with its smallest document; then the trees are traversed for pairs of
-documents that are in different components, whose nodes can then be dropped whole if all their documents are in one.
+documents that are in different components, whose nodes can then be dropped whole if all their documents are in one. Pairs that
+a traversal leaves aren't rows of any table: the documents that they reach meet again with their sets, in the same small groups.
 
 Shingles are compared as 64-bit hashes of their words' 64-bit hashes: two texts of n shingles count one too many in common with a
 chance of about n * n / 2**64, less than one in 10**10 for texts of 40,000 words.
@@ -24,13 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, shingle_sets, small
+from .common import Scratch, components, local_components, shingle_sets, small
 
 SKETCH_BITS = 20  # buckets of the token counts that order tokens; any number gives the same links
 SLICES = 16
 BLOCK = 512  # members of a tree; larger groups become several trees, traversed in pairs
 FANOUT = 8
 WANTED = 1_000_000  # documents to compare whose ids are broadcast; beyond it all texts are joined
+UNIT_TOKENS = 1 << 23  # of the sets that are compared in one place, 64 MB; more are dealt out in parts
 LISTED = 256  # a document in more trees than this may return a pair from several of them
 
 
@@ -259,29 +261,106 @@ def group_pairs(side, rep, cluster, n, sigs, tree=None, lists=None):
     return np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
 
 
-def _tree_pairs(batches):
-    """Over rows sorted by (tree, s1, s2): the candidate pairs of each group. A group has 2 * BLOCK rows or so."""
-
-    def done(rows):
-        t = pa.Table.from_batches(rows)
-        col = lambda c: t.column(c).to_numpy()
-        pairs = group_pairs(col("side"), col("rep"), col("cluster"), col("n"), t.column("sig").to_pylist(), int(col("tree")[0]), t.column("trees").to_pylist())
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
-
+def _runs(batches, keys: list[str]):
+    """Of batches of rows sorted by some columns, each run of equal ones as one table."""
     rows, key = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "s1", "s2")], 1)
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        at = [tuple(r.values()) for r in batch.select(keys).to_pylist()]
+        cuts = [0, *(i for i in range(1, len(at)) if at[i] != at[i - 1]), len(at)]
         for lo, hi in zip(cuts, cuts[1:]):
-            if rows and tuple(keys[lo]) != key:
-                yield done(rows)
+            if rows and at[lo] != key:
+                yield pa.Table.from_batches(rows)
                 rows = []
-            key = tuple(keys[lo])
+            key = at[lo]
             rows.append(batch.slice(lo, hi - lo))
     if rows:
-        yield done(rows)
+        yield pa.Table.from_batches(rows)
+
+
+def _pairs_of(t: pa.Table, sigs: list[bytes], n: np.ndarray) -> np.ndarray:
+    col = lambda c: t.column(c).to_numpy()
+    return group_pairs(col("side"), col("rep"), col("cluster"), n, sigs, int(col("tree")[0]), t.column("trees").to_pylist())
+
+
+def units(pairs: np.ndarray, rep: np.ndarray, side: np.ndarray, n: np.ndarray, most: int = UNIT_TOKENS):
+    """(unit, side, row) for the members of a group that candidate pairs reach, which are compared exactly where they meet again.
+
+    A unit is a component of the pairs, so a group's units have no more rows than the group, however many pairs it has. One of more tokens than
+    `most` is dealt out to pairs of parts of half as many.
+    """
+    nodes, at = np.unique(pairs, return_inverse=True)
+    at = at.reshape(-1, 2)
+    root = local_components(len(nodes), at[:, 0], at[:, 1])
+    member = np.flatnonzero(np.isin(rep, nodes))
+    own = root[np.searchsorted(nodes, rep[member])]
+    two = bool((side == 1).any())
+    for r in np.unique(own):
+        rows = member[own == r]
+        if n[rows].sum() <= most:
+            yield from ((f"{r}", int(side[i]), int(i)) for i in rows)
+            continue
+        parts = []  # of each side by itself: (side, rows)
+        for s in (0, 1):
+            mine = rows[side[rows] == s]
+            place = (np.cumsum(n[mine]) - n[mine]) // max(1, most // 2)
+            parts += [(s, mine[place == p]) for p in np.unique(place)]
+        for x, (s, first) in enumerate(parts):
+            for y, (s2, second) in enumerate(parts[x:], x):
+                if two and s == s2:
+                    continue
+                yield from ((f"{r}-{x}-{y}", 0, int(i)) for i in first)
+                if x != y:
+                    yield from ((f"{r}-{x}-{y}", 1, int(i)) for i in second)
+
+
+def _met(batches):
+    """Over rows sorted by (tree, s1, s2): the units of each group. A group has 2 * BLOCK rows or so."""
+    for t in _runs(batches, ["tree", "s1", "s2"]):
+        col = lambda c: t.column(c).to_numpy()
+        pairs = _pairs_of(t, t.column("sig").to_pylist(), col("n"))
+        tree, s1, s2 = (int(col(c)[0]) for c in ("tree", "s1", "s2"))
+        found = list(units(pairs, col("rep"), col("side"), col("n"))) if len(pairs) else []
+        at = np.array([i for _, _, i in found], np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([f"{tree}-{s1}-{s2}-{u}" for u, _, _ in found], pa.string()), pa.array([tree] * len(found), pa.int64()), pa.array([s for _, s, _ in found], pa.int32()), pa.array(col("rep")[at]), pa.array(col("cluster")[at])],
+            names=["unit", "tree", "side", "rep", "cluster"],
+        )
+
+
+def _unit_links(k):
+    def run(batches):
+        for t in _runs(batches, ["unit"]):
+            links = _forest_of(t, list(shingle_sets(t.column("text").to_pylist(), k)))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _forest_of(t: pa.Table, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the links of a unit, compared by their sets."""
+    pairs = _pairs_of(t, [signature(s) for s in sets], np.array([len(s) for s in sets]))
+    place = {r: i for i, r in enumerate(t.column("rep").to_pylist())}
+    root = dict(zip(place, t.column("cluster").to_pylist()))  # of documents and of their clusters
+    root |= {c: c for c in set(root.values())}
+
+    def top(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    links = []
+    for a, b in pairs.tolist():
+        x, y = top(a), top(b)
+        if x == y:  # another link has joined them
+            continue
+        r, s = sets[place[a]], sets[place[b]]
+        both = len(np.intersect1d(r, s, assume_unique=True))
+        if 7 * both >= 3 * (len(r) + len(s)):
+            root[max(x, y)] = min(x, y)
+            links.append((a, b))
+    return links
 
 
 # ---------------------------------------------------------------- exact comparison
@@ -343,6 +422,24 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, scrat
 # ---------------------------------------------------------------- the join
 
 
+def _tree_links(rows: DataFrame, held: DataFrame, docs: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """Links between the members of trees, rows (tree, s1, s2, side, rep, cluster, n, sig, trees), enough of them for the components.
+
+    What bitmaps leave possible in a group of near copies grows as its square, so pairs never become rows: the members that such pairs reach do,
+    and meet again with their texts, which a shuffle can compress, as it can't their sets.
+    """
+    keys = ["tree", "s1", "s2"]
+    met = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_met, "unit string, tree long, side int, rep long, cluster long")
+    met = scratch.save(met, "tree_met")
+    ids = scratch.save(met.select(F.col("rep").alias("doc_id")).distinct(), "tree_ids")
+    texts = scratch.save(docs.select("doc_id", "text").join(small(ids, WANTED), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "tree_texts")
+    whole = met.join(held.select("rep", "trees"), "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    whole = whole.select("unit", "tree", "side", "rep", "cluster", "trees", "text")
+    links = scratch.save(whole.repartition("unit").sortWithinPartitions("unit").mapInArrow(_unit_links(k), "a long, b long"), "tree_links")
+    scratch.drop("tree_met", "tree_ids", "tree_texts")
+    return links
+
+
 def _clean(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -397,8 +494,7 @@ def similar_documents(docs: DataFrame, k: int = 5, scratch: Scratch | None = Non
     rest = rest.withColumn("blocks", blocks).withColumn("own", own)
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("tree", F.least("own", "other").alias("s1"), F.greatest("own", "other").alias("s2"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "rep", "cluster", "n", "sig", "trees")
-    pairs = rest.repartition("tree", "s1", "s2").sortWithinPartitions("tree", "s1", "s2").mapInArrow(_tree_pairs, "a long, b long").distinct()
-    more = _verified(pairs, nodes, docs, k, scratch, "tree")
+    more = _tree_links(rest, held, docs, k, scratch)
     found = components(links.union(more), scratch, "all")
     by_doc = rows.join(classes, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), "set_id")
     out = by_doc.join(found, by_doc.set_id == found.node, "left")

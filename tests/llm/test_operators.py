@@ -66,6 +66,53 @@ def test_jaccard_join(spark):
             assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), find(r["doc_id"]))
 
 
+def test_many_nearly_linked_texts_make_no_row_per_pair(spark, monkeypatch):
+    """Some 100 texts of which each two are a little below the threshold: the tables' rows go with the texts, not with their pairs."""
+    base = [f"w{i}" for i in range(400)]
+    rng, rows = np.random.default_rng(3), []
+    for d in range(100):
+        words = list(base)
+        for at in range(int(rng.integers(60)), 400, 60):
+            words[at] = f"own{d}x{at}"
+        rows.append((d, " ".join(words)))
+    rows += [(200 + d, rows[d][1] + " more") for d in range(0, 100, 9)]
+    sizes, save = {}, sigtree.Scratch.save
+
+    def saved(self, df, name):
+        out = save(self, df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(sigtree.Scratch, "save", saved)
+    got = {r["doc_id"]: r["component_id"] for r in sigtree.similar_documents(docs(spark, rows)).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+    for a in sorted(sets):  # a, smaller, is named by its root already
+        for b in sorted(sets):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = {i: x if r == y else r for i, r in root.items()}
+    assert got == root
+    assert {n: c for n, c in sizes.items() if n.startswith("tree") and c > 10 * len(rows)} == {}
+
+
+def test_units_of_a_group_meet_all_its_pairs():
+    rng = np.random.default_rng(4)
+    rep, n = np.arange(40) * 3, rng.integers(1, 50, 40)
+    for side in (np.zeros(40, int), rng.integers(0, 2, 40)):
+        ok = [(i, j) for i in range(40) for j in range(i) if (side[i] != side[j]) == side.any() and (i + j) % 5 == 0]
+        pairs = np.array([(rep[j], rep[i]) for i, j in ok])
+        for most in (10**6, 100, 1):
+            met, by = set(), {}
+            for unit, s, row in sigtree.units(pairs, rep, side, n, most):
+                by.setdefault(unit, []).append((s, row))
+            for rows in by.values():
+                two = any(s for s, _ in rows)
+                met |= {tuple(sorted((rep[i], rep[j]))) for s, i in rows for t, j in rows if i != j and (s != t) == two}
+                assert len(rows) <= 2 or n[[i for _, i in rows]].sum() <= most + 100
+            assert {tuple(p) for p in pairs.tolist()} <= met
+
+
 def test_traversal_loses_no_link():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in rng.integers(1, 300, 60)]
