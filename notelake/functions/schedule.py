@@ -5,9 +5,11 @@ from __future__ import annotations
 import time
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notelake.sources import shared
+
 SEARCHED_MINUTES = 525_600
 _RANGES = [("minute", 0, 59), ("hour", 0, 23), ("day", 1, 31), ("month", 1, 12), ("weekday", 0, 6)]
 
@@ -111,6 +113,26 @@ def masks(expression: Column) -> Column:
     return F.when((F.size(fields) == 5) & F.forall(F.array(*(whole[name] for name, _, _ in _RANGES)), lambda m: m.isNotNull()), whole)
 
 
+def _fits(m: Column, d: Column) -> Column:
+    return _has(m["month"], F.month(d)) & _has(m["day"], F.dayofmonth(d)) & _has(m["weekday"], F.dayofweek(d) - 1)
+
+
+def _later(m: Column, today: Column) -> Column:
+    """The first day of a year after today that the masks allow."""
+    days = lambda a, z: F.array_min(F.filter(F.sequence(F.date_add(today, a), F.date_add(today, z)), lambda d: _fits(m, d)))
+    return F.coalesce(days(1, 8), days(9, 366))
+
+
+def _tick(m: Column, at: Column, fits: Column, later: Column) -> Column:
+    """The next tick after an instant by its masks, given whether its day fits and the next day that does."""
+    hour, minute = F.hour(at), F.minute(at)
+    first = _lowest(m["minute"], F.lit(0))
+    this_hour = F.when(_has(m["hour"], hour), _lowest(m["minute"], minute + 1))
+    of_day = F.coalesce(hour * 60 + this_hour, _lowest(m["hour"], hour + 1) * 60 + first)
+    instant = lambda d, minutes: F.timestamp_seconds(F.unix_timestamp(d.cast("timestamp")) + minutes * 60)
+    return F.when(fits & of_day.isNotNull(), instant(F.to_date(at), of_day)).otherwise(instant(later, _lowest(m["hour"], F.lit(0)) * 60 + first))
+
+
 def next_tick_by(ts: Column, expression: Column) -> Column:
     """The next tick after each instant by each row's own expression; null if it isn't one, or ticks at no minute within a year.
 
@@ -119,20 +141,32 @@ def next_tick_by(ts: Column, expression: Column) -> Column:
     """
 
     def tick(m, at):
-        hour, minute, today = F.hour(at), F.minute(at), F.to_date(at)
-        fits = lambda d: _has(m["month"], F.month(d)) & _has(m["day"], F.dayofmonth(d)) & _has(m["weekday"], F.dayofweek(d) - 1)
-        first = _lowest(m["minute"], F.lit(0))
-        this_hour = F.when(_has(m["hour"], hour), _lowest(m["minute"], minute + 1))
-        of_day = F.coalesce(hour * 60 + this_hour, _lowest(m["hour"], hour + 1) * 60 + first)
-        days = lambda a, z: F.array_min(F.filter(F.sequence(F.date_add(today, a), F.date_add(today, z)), fits))
-        later = F.coalesce(days(1, 8), days(9, 366))
-        instant = lambda d, minutes: F.timestamp_seconds(F.unix_timestamp(d.cast("timestamp")) + minutes * 60)
-        return F.when(fits(today) & of_day.isNotNull(), instant(today, of_day)).otherwise(instant(later, _lowest(m["hour"], F.lit(0)) * 60 + first))
+        today = F.to_date(at)
+        return _tick(m, at, _fits(m, today), _later(m, today))
 
     found = F.get(F.transform(F.array(F.struct(masks(expression).alias("m"), ts.cast("timestamp").alias("at"))), lambda x: F.when(x["m"].isNotNull(), tick(x["m"], x["at"]))), F.lit(0))
     return F.when(found <= ts + F.expr(f"interval {SEARCHED_MINUTES} minutes"), found)
 
 
+DAYS = 1_000_000  # pairs of an expression and a day that are broadcast; beyond it rows are shuffled by both
+
+
+def next_ticks(rows: DataFrame, ts: str, expression: str, name: str) -> DataFrame:
+    """Rows with next_tick_by() of two of their columns as a further one. Each expression is read once and each of its days looked up once, however
+    many rows have them; a row then costs a few bit operations."""
+    held = rows.select(F.col(expression).alias("_cron"), F.to_date(F.col(ts).cast("timestamp")).alias("_day")).where("_cron is not null and _day is not null").distinct()
+    held = shared.written(held, "days")
+    read = shared.written(held.select("_cron").distinct().select("_cron", masks(F.col("_cron")).alias("_m")).where("_m is not null"), "crons")
+    small = lambda df: F.broadcast(df) if df.count() <= DAYS else df
+    days = held.join(small(read), "_cron").select("_cron", "_day", "_m", _fits(F.col("_m"), F.col("_day")).alias("_fits"), _later(F.col("_m"), F.col("_day")).alias("_later"))
+    days = shared.written(days, "ticks")
+    at = F.col(ts).cast("timestamp")
+    met = rows.join(small(days), (F.col(expression) == F.col("_cron")) & (F.to_date(at) == F.col("_day")), "left")
+    found = F.when(F.col("_m").isNotNull(), _tick(F.col("_m"), at, F.col("_fits"), F.col("_later")))
+    found = F.when(found <= F.col(ts) + F.expr(f"interval {SEARCHED_MINUTES} minutes"), found)
+    return met.withColumn(name, found).drop("_cron", "_day", "_m", "_fits", "_later")
+
+
 def next_minute_tick(ts: Column, minutes: list[int]) -> Column:
     """The next tick of an expression that restricts minutes alone."""
     return next_tick_of(ts, f"{','.join(map(str, minutes))} * * * *")
