@@ -238,8 +238,12 @@ def dead_links(notes: DataFrame, url_status: DataFrame) -> DataFrame:
 
 
 def drift(notes: DataFrame, lines: DataFrame) -> DataFrame:
-    """(kind_ord, kind, subject, fixable): the seven kinds of drift between scanned notes (with validation_errors) and an index document's lines."""
-    links = C.index_links(lines)
+    """(kind_ord, kind, subject, fixable): the seven kinds of drift between scanned notes (with validation_errors) and an index document's lines.
+
+    Five kinds read the notes and three the links, so both are parsed once and written.
+    """
+    links = shared.written(C.index_links(lines).select("line_no", "link_no", "target"), "links")
+    notes = shared.written(notes.select("file", "name", "description", "validation_errors"), "notes")
     valid = F.size("validation_errors") == 0
     kind = lambda n, name, df, subject, fixable=F.lit(False): df.select(F.lit(n).alias("kind_ord"), F.lit(name).alias("kind"), subject.cast("string").alias("subject"), fixable.alias("fixable"))
     again = links.withColumn("n", F.row_number().over(Window.partitionBy("target").orderBy("line_no", "link_no"))).where("n > 1")
