@@ -31,7 +31,7 @@ def exact_duplicates(notes: DataFrame) -> DataFrame:
 
 def exact_duplicate_members(notes: DataFrame) -> DataFrame:
     """(id, hash, n, first): a row per note of a group, for groups of any size; counts are made in part before the shuffle."""
-    rows = notes.select("id", T.body_hash(F.col("body")).alias("hash"))
+    rows = shared.written(notes.select("id", T.body_hash(F.col("body")).alias("hash")), "hashes")  # texts are read once
     groups = rows.groupBy("hash").agg(F.count("*").alias("n"), F.min("id").alias("first")).where((F.col("n") > 1) & (F.col("hash") != T.EMPTY_HASH))
     return rows.join(groups, "hash").select("id", "hash", "n", "first")
 
