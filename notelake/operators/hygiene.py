@@ -345,8 +345,11 @@ def mapped_topics(id_: Column, rules: list[dict]) -> Column:
     return out
 
 
-def migration_plan(notes: DataFrame, rules: list[dict], vocabulary: dict = C.VOCABULARY) -> DataFrame:
-    """(id, path, skipped, reason, changed, type, topics, created) of scanned notes: each field kept, set (with its source) or missing."""
+def migration_plan(notes: DataFrame, rules: list[dict], vocabulary: dict = C.VOCABULARY, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, path, skipped, reason, changed, type, topics, created) of scanned notes: each field kept, set (with its source) or missing.
+
+    keep names further columns of the notes to carry along; with source and front, migrated() needs no join.
+    """
     field = lambda action, value, source: F.struct(F.lit(action).alias("action"), value.alias("value"), F.lit(source).cast("string").alias("source"))
     null_s, null_a = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
     none = lambda c: F.coalesce(F.col(c), F.lit(""))
@@ -365,12 +368,12 @@ def migration_plan(notes: DataFrame, rules: list[dict], vocabulary: dict = C.VOC
     listed = F.array_contains("validation_errors", "frontmatter is not a YAML mapping")
     reason = F.when(listed, C.NOT_OBJECT).when(F.col("reason").startswith("missing required field 'type'") | F.col("reason").startswith("unknown type"), None).otherwise(F.col("reason"))
     reason = F.when(reason.isNull() & (T.trim(none("name")) == ""), "missing required field 'name'").otherwise(reason)
-    rows = notes.select("id", "path", reason.alias("reason"), kind.alias("type"), topics.alias("topics"), created.alias("created"))
+    rows = notes.select("id", "path", reason.alias("reason"), kind.alias("type"), topics.alias("topics"), created.alias("created"), *keep)
     rows = rows.withColumn("skipped", F.col("reason").isNotNull())
     for c, null in (("type", null_s), ("topics", null_a), ("created", null_s)):
         rows = rows.withColumn(c, F.when(F.col("skipped"), field("missing", null, None)).otherwise(F.col(c)))
     changed = ~F.col("skipped") & ((F.col("type.action") == "set") | (F.col("topics.action") == "set") | (F.col("created.action") == "set"))
-    return rows.select("id", "path", "skipped", "reason", changed.alias("changed"), "type", "topics", "created")
+    return rows.select("id", "path", "skipped", "reason", changed.alias("changed"), "type", "topics", "created", *keep)
 
 
 def migration_summary(plan: DataFrame) -> DataFrame:
@@ -394,12 +397,16 @@ def migration_lists(plan: DataFrame) -> DataFrame:
     return plan.select(F.explode(named).alias("list"), "id")
 
 
-def migration_apply(notes: DataFrame, plan: DataFrame) -> DataFrame:
-    """(id, path, content): the files that the migration rewrites; a creation date taken from a file's time says so."""
+def migrated(plan: DataFrame) -> DataFrame:
+    """(id, path, content): the files that a plan which keeps source and front rewrites; a creation date taken from a file's time says so."""
     value = lambda c: F.when(F.col(f"{c}.action") == "set", F.col(f"{c}.value"))
-    rows = notes.join(plan.where("changed").select("id", "type", "topics", "created").withColumnsRenamed({"type": "t", "topics": "o", "created": "c"}), "id")
-    text = _edited(F.struct(value("t").alias("type"), value("o").alias("topics"), value("c").alias("created")), {"created": "approx (mtime)"})
-    return rows.select("id", "path", text.alias("content"))
+    text = _edited(F.struct(*(value(c).alias(c) for c in ("type", "topics", "created"))), {"created": "approx (mtime)"})
+    return plan.where("changed").select("id", "path", text.alias("content"))
+
+
+def migration_apply(notes: DataFrame, plan: DataFrame) -> DataFrame:
+    """migrated() of a plan without the notes' texts."""
+    return migrated(plan.drop("path").join(notes.select("id", "path", "source", "front"), "id"))
 
 
 def write_files(files: DataFrame, keep: str = "path") -> int:

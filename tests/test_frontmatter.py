@@ -78,3 +78,36 @@ def test_files_keep_their_bytes(spark):
     tagged = {r["id"]: r["content"] for r in hygiene.tag_apply(notes, plan).collect()}
     assert tagged["n1"] == "---\r\n" + fronts["n1"][1] + "\r\ntopics:\r\n  - new\r\nseverity: high\r\n---\r\n\r\nbody\r\n"
     assert tagged["n3"] == "---\nname: three\ntype: user\ntopics: [new]\ncreated: 2020-01-01\nseverity: high\n---\n\n"
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["a: [x, y]", "a: {b: [c]}\r\nd: 2020-01-02", "x: {y:[1]}", "{a: b?c}", "{a: ?b}", "a: !\nb: 1", "a: >#\n", "a: [unclosed", "- a", "", "ä: «é»", "a: \u2028", "a: |\n  t\n\nb: 1", "[" * 99, "- " * 60 + "x", "a: &m {b: c}\nd: *m", "a: x\ta: y"],
+)
+def test_both_parsers_give_the_same(text, monkeypatch):
+    def all_of():
+        try:
+            return repr(Y.loaded(text)), Y.edited(text, {"new": ["k", "- l"]})
+        except yaml.YAMLError as e:
+            return str(e)
+
+    fast = all_of()
+    monkeypatch.setattr(Y, "_FAST", None)
+    assert fast == all_of()
+
+
+def test_deep_nesting_is_left_to_the_parser_that_raises():
+    for text in ("[" * 100_000, "- " * 100_000, "\n".join(" " * i + "a:" for i in range(2_000))):
+        assert not Y._fast(text)
+        with pytest.raises((yaml.YAMLError, RecursionError)):
+            Y.loaded(text)
+
+
+def test_a_filter_on_what_is_parsed_does_not_parse_again(spark):
+    rows = spark.range(3).selectExpr("concat('/x/', id, '.md') path", "timestamp'2026-01-02' mtime", "concat('---\nname: ', id, '\ntype: user\n---\nbody') source", "concat(id, '.md') file")
+    notes = C.parse_notes(rows)
+    for df in (hygiene.migrated(hygiene.migration_plan(notes, [], keep=("source", "front"))), notes.where("ok").select("id", "type")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("_front(") == 1 and "Join [" not in plan
+    one = {tuple(r) for r in hygiene.migrated(hygiene.migration_plan(notes, [], keep=("source", "front"))).collect()}
+    assert one == {tuple(r) for r in hygiene.migration_apply(notes, hygiene.migration_plan(notes, [])).collect()} and len(one) == 3
