@@ -2,21 +2,29 @@
 
 Vectors of length 1 lie in cells, each with the pivot that is nearest. Of a cell its pivot and its radius are known, so the triangle
 inequality on the sphere says how near a vector can be to any of its members; so does the plane midway between two pivots. Cells are dealt
-to bins of a bounded number of rows. A query first meets its own cell's rows; the k-th best of them bounds the second round, which goes to
-the other cells that can hold anything nearer. The driver sees pivots and a number or two per cell, never a query.
+to eight bins, more only where a bin's vectors would take more than WIDE bytes, and so are the queries of a bin: where nothing can be excluded
+a vector is shuffled some eight times, whatever the number of rows, until N vectors take more than 8 x WIDE; from there on N / WIDE times. A
+query first meets its own cell's rows; the k-th best of them bounds the second round, which goes to the other cells that can hold anything
+nearer. The driver sees pivots and a number or two per cell and bin, never a query.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.sources import shared
 
-BIN = 8192  # rows that meet queries at once
-QUERIES = 4096  # queries that meet a bin at once
+BIN = 8192  # rows that are one cell, undivided
+QUERIES = 4096  # queries that aren't parted any more
+BLOCKS = 8  # bins of a table, and parts of a bin's queries, while they are no larger than WIDE
+WIDE = 1 << 25  # bytes of the vectors of a bin, or of a part of its queries, at most
+HELD = 1 << 20  # cosines or angles that a task holds at once, at most, and pairs that it gives at once, about
 PIVOTS = 1024  # at most; about the square root of the rows
 SLACK = 1e-7  # of angles: the rounding of an arc cosine near 1
 
@@ -33,8 +41,12 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column) -> np.ndarray:
-    raw = column.to_pylist()
-    return np.frombuffer(b"".join(raw)).reshape(len(raw), -1)
+    parts = []
+    for c in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if len(c):
+            at = np.frombuffer(c.buffers()[1], np.int64 if pa.types.is_large_binary(c.type) else np.int32)[c.offset : c.offset + len(c) + 1]
+            parts.append(np.frombuffer(c.buffers()[2], np.uint8)[at[0] : at[-1]].copy().view(np.float64).reshape(len(c), -1))
+    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros((0, 0))
 
 
 def _angles(cosines: np.ndarray) -> np.ndarray:
@@ -60,6 +72,13 @@ def _ready(rows: DataFrame, name: str) -> DataFrame:
     return shared.written(rows.mapInArrow(_units, schema), name)
 
 
+def _blocks(batch: pa.RecordBatch, width: int):
+    """A batch by some rows at a time, so that so many numbers for each stay within HELD."""
+    step = max(1, HELD // 4 // max(1, width))
+    for lo in range(0, batch.num_rows, step):
+        yield batch.slice(lo, step)
+
+
 class Cells:
     """Pivots, and of each cell the radius, the number of rows, and the bins that hold them."""
 
@@ -86,18 +105,12 @@ class Cells:
                 at += int(self.parts[c])
             else:
                 held += int(self.rows[c])
+        edges = [*np.flatnonzero(np.diff(self.first, prepend=-1)).tolist(), n]
+        self.spans = [(int(self.first[lo]), lo, hi, int(self.parts[lo:hi].max())) for lo, hi in zip(edges, edges[1:])]  # bin, its cells, how many bins they fill
 
     def bin_of(self, cell: np.ndarray, u: np.ndarray) -> np.ndarray:
         return self.first[cell] + np.minimum((u * self.parts[cell]).astype(np.int64), self.parts[cell] - 1)
 
-    def bins(self, cells: np.ndarray):
-        """(bin, its cells among these) of all bins with rows of these cells."""
-        first = self.first[cells]
-        for b in np.unique(first).tolist():
-            here = cells[first == b]
-            for k in range(int(self.parts[here].max())):
-                yield b + k, here[self.parts[here] > k]
-
     def least_angles(self, x: np.ndarray) -> np.ndarray:
         """How near each row can be to any member of each cell, at least."""
         c = x @ self.pivots.T
@@ -122,15 +135,15 @@ def _partition(rows: DataFrame, size: int, n: int, name: str):
     held = spark.sparkContext.broadcast(cells)
 
     def deal(batches):
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in _blocks(whole, wanted):
                 cell, angle = held.value.of(_matrix(batch.column("v")))
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(angle), *batch.columns], names=["cell", "angle", *batch.schema.names])
 
     schema = "cell int, angle double, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     table = shared.written(rows.mapInArrow(deal, schema), name)
     known = table.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect()  # PIVOTS rows at most
-    cells.fill({r["cell"]: r["n"] for r in known}, {r["cell"]: r["r"] for r in known}, BIN)
+    cells.fill({r["cell"]: r["n"] for r in known}, {r["cell"]: r["r"] for r in known}, max(1, min(-(-n // BLOCKS), WIDE // (8 * size))))
     held = spark.sparkContext.broadcast(cells)
 
     def bin(batches):
@@ -141,57 +154,107 @@ def _partition(rows: DataFrame, size: int, n: int, name: str):
     return held, table.mapInArrow(bin, f"bin long, {schema}")
 
 
-def _visits(held, own: bool, reach=None):
-    """The rows of a batch once per bin that they go to, with the cells there: the nearest cell that has rows, or all others within the
-    column bound of an angle (null: any)."""
+def _fitting(cells: Cells, batch: pa.RecordBatch, reach: str) -> tuple[np.ndarray, np.ndarray]:
+    """(fits, home): whether each row of a batch goes to each cell, and the cell that it is nearest to, of those that have rows. reach: own, that
+    cell; others, all others within the column bound of an angle (null: any); later, those from the row's own column cell on."""
+    x = _matrix(batch.column("v"))
+    if reach == "later":
+        home = batch.column("cell").to_numpy()
+    else:
+        home = np.where(cells.rows > 0, x @ cells.pivots.T, -2).argmax(1)
+    if reach == "own":
+        fits = np.zeros((len(x), len(cells.pivots)), bool)
+        fits[np.arange(len(x)), home] = True
+        return fits, home
+    bound = np.nan_to_num(batch.column("bound").to_numpy(zero_copy_only=False), nan=np.inf)
+    fits = (cells.least_angles(x) <= bound[:, None] + SLACK) & (cells.rows > 0)
+    if reach == "later":
+        return fits & (np.arange(len(cells.pivots)) >= home[:, None]), home
+    fits[np.arange(len(x)), home] = False
+    return fits, home
+
+
+def _counted(held, reach: str):
+    """How many rows go to each bin."""
+
+    def run(batches):
+        cells, n = held.value, {}
+        for whole in batches:
+            for batch in _blocks(whole, len(cells.pivots)):
+                fits, _ = _fitting(cells, batch, reach)
+                for b, lo, hi, many in cells.spans:
+                    some = int(fits[:, lo:hi].any(1).sum())
+                    for k in range(many if some else 0):
+                        n[b + k] = n.get(b + k, 0) + some
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], names=["bin", "n"])
+
+    return run
+
+
+def _visits(held, reach: str, parts: dict[int, int]):
+    """The rows of a batch once per bin that they go to, with the part of its visits and the cells there, as bits; no bits are all cells."""
 
     def run(batches):
         cells = held.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column("v"))
-            near = np.where(cells.rows > 0, x @ cells.pivots.T, -2)
-            home = near.argmax(1)
-            if own:
-                lists = [home[i : i + 1] for i in range(len(x))]
-            else:
-                bound = np.nan_to_num(batch.column("bound").to_numpy(zero_copy_only=False), nan=np.inf)
-                fits = (cells.least_angles(x) <= bound[:, None] + SLACK) & (cells.rows > 0)
-                if reach is None:
-                    fits[np.arange(len(x)), home] = False
-                lists = [np.flatnonzero(f) for f in fits]
-            at, bins, which = [], [], []
-            for i, some in enumerate(lists):
-                for b, here in cells.bins(some) if len(some) else ():
-                    at.append(i), bins.append(b), which.append(here.astype(np.int32).tobytes())
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int64()), pa.array(which, pa.binary()), *(c.take(take) for c in batch.columns)], names=["bin", "cells", *batch.schema.names])
+        for whole in batches:
+            for batch in _blocks(whole, len(cells.pivots)):
+                fits, home = _fitting(cells, batch, reach)
+                u, rest = batch.column("u").to_numpy(), [c for c in batch.schema.names if c not in ("cell", "u")]
+                for b, lo, hi, many in cells.spans:
+                    i = np.flatnonzero(fits[:, lo:hi].any(1))
+                    if not len(i):
+                        continue
+                    some = fits[i, lo:hi]
+                    every = (some == (cells.rows[lo:hi] > 0)).all(1)
+                    bits = pa.array([b"" if e else p.tobytes() for e, p in zip(every, np.packbits(some, axis=1))], pa.binary())
+                    kept = [batch.column(c).take(pa.array(i)) for c in rest]
+                    for k in range(many):
+                        part = np.minimum((u[i] * parts[b + k]).astype(np.int32), parts[b + k] - 1)
+                        made = [pa.array(np.full(len(i), b + k)), pa.array(part, pa.int32()), bits, pa.array(home[i], pa.int32())]
+                        yield pa.RecordBatch.from_arrays([*made, *kept], names=["bin", "part", "cells", "cell", *rest])
 
     return run
 
 
-def _meet(visitors: DataFrame, run, table: DataFrame, answer, schema: str) -> DataFrame:
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in visitors.schema.fields)
-    visits = shared.written(visitors.mapInArrow(run, f"bin long, cells binary, {fields}"), "visits")
-    counts = shared.written(visits.groupBy("bin").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")), "counts")
-    dealt = visits.join(counts, "bin").withColumn("part", F.least((F.col("u") * F.col("parts")).cast("int"), F.col("parts") - 1)).drop("parts")
-    rows = table.join(counts, "bin").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    n = int(visitors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt, rows = (d.repartition(n, "bin", "part") for d in (dealt, rows))
-    return dealt.groupBy("bin", "part").cogroup(rows.groupBy("bin", "part")).applyInArrow(answer, schema)
+def _meet(visitors: DataFrame, held, size: int, reach: str, table: DataFrame, answer, schema: str) -> DataFrame:
+    """What answer gives for each bin's rows and each part of the visitors (..., u, v[, cell, bound]) that go there."""
+    spark = visitors.sparkSession
+    n = visitors.mapInArrow(_counted(held, reach), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()  # a row a bin
+    most = lambda k: max(1, min(max(QUERIES, -(-k // BLOCKS)), WIDE // (8 * size)))
+    parts = {r["bin"]: -(-r["n"] // most(r["n"])) for r in n}
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in visitors.schema.fields if f.name not in ("cell", "u"))
+    visits = visitors.mapInArrow(_visits(held, reach, parts), f"bin long, part int, cells binary, cell int, {fields}")
+    many = spark.createDataFrame(list(parts.items()), "bin long, parts int")
+    rows = table.drop("u", "angle").join(F.broadcast(many), "bin").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    met = visits.withColumn("row", F.lit(False)).unionByName(rows.withColumn("row", F.lit(True)), allowMissingColumns=True)
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4 * sum(parts.values()), 4096))
+    return met.repartition(groups, "bin", "part").groupBy("bin", "part").applyInArrow(answer, schema)
+
+
+def _sides(batches) -> tuple[pa.Table, pa.Table]:
+    """The visits and the rows of a group."""
+    visits, rows = [], []
+    for b in batches:
+        visits.append(b.filter(pc.invert(b.column("row"))))
+        rows.append(b.filter(b.column("row")))
+    return pa.Table.from_batches(visits), pa.Table.from_batches(rows)
 
 
-def _cosines(visits: pa.Table, rows: pa.Table):
-    """(place, x, y, cosines) of some visits at a time with the rows; -2 where a visit doesn't go to a row's cell."""
-    x, y, cell = _matrix(visits.column("v")), _matrix(rows.column("v")), rows.column("cell").to_numpy()
-    seen = [np.frombuffer(b, np.int32) for b in visits.column("cells").to_pylist()]
-    for lo in range(0, len(x), 512):
-        some = x[lo : lo + 512]
-        sees = np.zeros((len(some), int(cell.max()) + 1), bool)
-        for i, cells in enumerate(seen[lo : lo + 512]):
-            sees[i, cells[cells < sees.shape[1]]] = True
-        yield lo, some, y, np.where(sees[:, cell], some @ y.T, -2.0)
+def _cosines(visits: pa.Table, rows: pa.Table, x: np.ndarray, y: np.ndarray, span: tuple[int, int]):
+    """(visits, cosines with all rows) of some visits at a time; -2 where a visit doesn't go to a row's cell. span: the cells of the bin."""
+    cell, bits = rows.column("cell").to_numpy() - span[0], visits.column("cells")
+    step = max(1, min(512, HELD // len(y)))
+    for lo in range(0, len(x), step):
+        c = x[lo : lo + step] @ y.T
+        some = bits.slice(lo, step).to_pylist()
+        for i in (i for i, b in enumerate(some) if b):
+            sees = np.unpackbits(np.frombuffer(some[i], np.uint8), count=span[1] - span[0]).astype(bool)
+            c[i, ~sees[cell]] = -2.0
+        yield np.arange(lo, lo + len(c)), c
+
+
+def _span(cells: Cells, b: int) -> tuple[int, int]:
+    return next((lo, hi) for first, lo, hi, many in cells.spans if first <= b < first + many)
 
 
 def _exact(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -203,33 +266,57 @@ def _exact(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nda
     return out
 
 
-def _nearest_in(k: int):
-    def answer(visits: pa.Table, rows: pa.Table) -> pa.Table:
-        at, to, cosines = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
-        if visits.num_rows and rows.num_rows:
-            ids = rows.column("id").to_numpy()
-            rank = np.empty(len(ids), np.int64)
-            rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-            for lo, x, y, c in _cosines(visits, rows):
-                least = np.partition(c, c.shape[1] - k, axis=1)[:, -k] - 1e-12 if c.shape[1] > k else np.full(len(c), -2.0)
-                i, j = np.nonzero((c >= least[:, None]) & (c > -1.5))
-                s = _exact(x, y, i, j)
-                order = np.lexsort((rank[j], -s, i))
-                i, j, s = i[order], j[order], s[order]
-                first = np.arange(len(i)) - np.searchsorted(i, i) < k
-                at.append(i[first] + lo), to.append(j[first]), cosines.append(s[first])
-        at, to, cosines = (pa.array(np.concatenate(c)) for c in (at, to, cosines))
-        return pa.table({"qid": visits.column("qid").take(at), "id": rows.column("id").take(to), "model": rows.column("model").take(to), "cosine": cosines})
+def _nearest_in(held, k: int, own: bool):
+    def answer(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        visits, rows = _sides(batches)
+        if not visits.num_rows or not rows.num_rows:
+            return
+        x, y, ids = _matrix(visits.column("v")), _matrix(rows.column("v")), rows.column("id").to_numpy()
+        rank = np.empty(len(ids), np.int64)
+        rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+        if own:  # by cell
+            asks, holds = visits.column("cell").to_numpy(), rows.column("cell").to_numpy()
+            cases = ((np.flatnonzero(asks == c), np.flatnonzero(holds == c)) for c in np.unique(asks))
+            met = ((i[lo : lo + 512], j, x[i[lo : lo + 512]] @ y[j].T) for i, js in cases for j in (js,) for lo in range(0, len(i), 512) if len(j))
+            least = np.full(len(x), -2.0)
+        else:
+            every = np.arange(len(y))
+            met = ((i, every, c) for i, c in _cosines(visits, rows, x, y, _span(held.value, key[0].as_py())))
+            least = np.nan_to_num(np.cos(visits.column("bound").to_numpy()) - 1e-9, nan=-2.0)
+        found, many = [], 0
+        for i, j, c in met:
+            floor = least[i]
+            blind = np.flatnonzero(floor < -1.5)
+            if len(blind) and len(j) > k:
+                floor[blind] = np.partition(c[blind], len(j) - k, axis=1)[:, -k] - 1e-12
+            a, b = np.nonzero((c >= floor[:, None]) & (c > -1.5))
+            s = _exact(x, y, i[a], j[b])
+            order = np.lexsort((rank[j[b]], -s, a))
+            a, b, s = a[order], b[order], s[order]
+            first = np.arange(len(a)) - np.searchsorted(a, a) < k
+            found.append((i[a[first]], j[b[first]], s[first]))
+            many += int(first.sum())
+            if many > HELD // 16:
+                yield _answered(visits, rows, found)
+                found, many = [], 0
+        if found:
+            yield _answered(visits, rows, found)
 
     return answer
 
 
+def _answered(visits: pa.Table, rows: pa.Table, found: list) -> pa.RecordBatch:
+    at, to, cosines = (pa.array(np.concatenate(c)) for c in zip(*found))
+    flat = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+    return pa.RecordBatch.from_arrays([flat(visits.column("qid").take(at)), flat(rows.column("id").take(to)), flat(rows.column("model").take(to)), cosines], names=["qid", "id", "model", "cosine"])
+
+
 def nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """(qid, id, model, cosine, rank): the k rows of index (id, model, embedding) of the largest cosine with each query (qid, embedding), ties by id.
 
     Exact. Vectors that are null, empty or hold a null or non-finite component are left out, zero vectors of the index too; a zero query has
-    cosine 0 with all. Vectors of different lengths aren't compared. Queries are shuffled once per bin of BIN index rows that they can't
-    exclude, the index twice (times one per QUERIES queries of a bin), and k rows a query and bin come back.
+    cosine 0 with all. Vectors of different lengths aren't compared. Queries are shuffled once per bin that they can't exclude, the index
+    once in each round for each part of a bin's queries, and k rows a query and bin come back.
     """
     (kind, _), (qkind, _) = id_type(index, "id"), id_type(queries, "qid")
     held = _ready(index.select(F.col("id").cast(kind).alias("id"), "model", "embedding"), "sphere-index").where(F.col("v") != F.expr("cast(repeat('\\0', size * 8) as binary)"))
@@ -241,7 +328,7 @@ def nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     for size, n in held.groupBy("size").count().toLocalIterator():
         some, all_ = asked.where(F.col("size") == size).drop("size"), held.where(F.col("size") == size).drop("size")
         cells, table = _partition(all_, size, n, "sphere-cells")
-        near = best(_meet(some, _visits(cells, True), table, _nearest_in(k), schema))
+        near = best(_meet(some, cells, size, "own", table, _nearest_in(cells, k, True), schema))
         if len(cells.value.pivots) == 1:
             out = near.drop("rank") if out is None else out.union(near.drop("rank"))
             continue
@@ -249,39 +336,49 @@ def nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
         bound = near.where(f"rank = {k}").select("qid", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cosine")))).alias("bound"))
         zero = F.col("v") == F.expr(f"cast(repeat('\\0', {size * 8}) as binary)")
         rest = some.join(bound, "qid", "left").withColumn("bound", F.when(~zero, F.col("bound")))
-        found = near.drop("rank").union(_meet(rest, _visits(cells, False), table, _nearest_in(k), schema))
+        found = near.drop("rank").union(_meet(rest, cells, size, "others", table, _nearest_in(cells, k, False), schema))
         out = found if out is None else out.union(found)
     if out is None:
         return queries.sparkSession.createDataFrame([], f"{schema}, rank int")
     return best(out)
 
 
-def _pairs_in(threshold: float):
-    def answer(visits: pa.Table, rows: pa.Table) -> pa.Table:
-        at, to, cosines = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
-        if visits.num_rows and rows.num_rows:
-            a, b = visits.column("id").to_numpy(), rows.column("id").to_numpy()
-            for lo, x, y, c in _cosines(visits, rows):
-                i, j = np.nonzero(c >= threshold - 1e-9)
-                i, j = (k[a[i + lo] < b[j]] for k in (i, j))
-                s = _exact(x, y, i, j)
-                keep = s >= threshold
-                at.append(i[keep] + lo), to.append(j[keep]), cosines.append(s[keep])
-        at, to, cosines = (pa.array(np.concatenate(c)) for c in (at, to, cosines))
-        return pa.table({"a": visits.column("id").take(at), "b": rows.column("id").take(to), "similarity": cosines})
+def _pairs_in(held, threshold: float):
+    def answer(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        visits, rows = _sides(batches)
+        if not visits.num_rows or not rows.num_rows:
+            return
+        x, y = _matrix(visits.column("v")), _matrix(rows.column("v"))
+        (a, at), (b, to) = ((t.column("id").to_numpy(), t.column("cell").to_numpy()) for t in (visits, rows))
+        found, many = [], 0
+        for lo, c in _cosines(visits, rows, x, y, _span(held.value, key[0].as_py())):
+            i, j = np.nonzero(c >= threshold - 1e-9)
+            i = i + lo[0]
+            keep = (at[i] != to[j]) | (a[i] < b[j])  # within a cell both meet each other
+            i, j = i[keep], j[keep]
+            s = _exact(x, y, i, j)
+            keep = s >= threshold
+            i, j, s = i[keep], j[keep], s[keep]
+            found.append((np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), s))
+            many += len(s)
+            if many > HELD // 16:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in zip(*found)], names=["a", "b", "similarity"])
+                found, many = [], 0
+        if many:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in zip(*found)], names=["a", "b", "similarity"])
 
     return answer
 
 
 def near_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity): pairs of vectors (id, embedding) with cosine >= threshold, a < b, exact. The smaller id goes to the cells that can
-    hold the other; a vector is shuffled once per bin that it can't exclude. Vectors that are null, empty, zero or not finite pair with nothing."""
+    """(a, b, similarity): pairs of vectors (id, embedding) with cosine >= threshold, a < b, exact. Of two cells the first one's vectors go to
+    the other; a vector is shuffled once per bin that it can't exclude. Vectors that are null, empty, zero or not finite pair with nothing."""
     rows = _ready(vectors.select(F.col("id").cast("long").alias("id"), "embedding"), "sphere-vectors").where(F.col("v") != F.expr("cast(repeat('\\0', size * 8) as binary)"))
     out = None
     for size, n in rows.groupBy("size").count().toLocalIterator():
         some = rows.where(F.col("size") == size).drop("size")
         cells, table = _partition(some, size, n, "sphere-cells")
-        bounded = some.withColumn("bound", F.lit(float(np.arccos(max(-1.0, min(1.0, threshold))))))
-        found = _meet(bounded, _visits(cells, False, reach="all"), table, _pairs_in(threshold), "a long, b long, similarity double")
+        bounded = table.select("id", "cell", "u", "v", F.lit(float(np.arccos(max(-1.0, min(1.0, threshold))))).alias("bound"))
+        found = _meet(bounded, cells, size, "later", table, _pairs_in(cells, threshold), "a long, b long, similarity double")
         out = found if out is None else out.union(found)
     return out if out is not None else vectors.sparkSession.createDataFrame([], "a long, b long, similarity double")

@@ -78,3 +78,21 @@ def test_nothing(spark):
     one = spark.createDataFrame([(1, [1.0, 0.0])], "id long, embedding array<double>")
     assert retrieval.topk(one.withColumnRenamed("id", "qid"), spark.createDataFrame([(5, [1.0])], one.schema), 3).collect() == []
     assert [tuple(r) for r in retrieval.topk(one.withColumnRenamed("id", "qid"), one, 3).select("qid", "id", F.round("sim01", 9), "rank").collect()] == [(1, 1, 1.0, 1)]
+
+
+def test_vectors_are_shuffled_by_blocks_and_held_by_slices(spark, monkeypatch):
+    """However many rows: about eight bins and eight parts, batches no larger than HELD allows, and pairs given as they are found."""
+    rng = np.random.default_rng(3)
+    x = sphere.unit(rng.standard_normal((1200, 16)))
+    monkeypatch.setattr(sphere, "BIN", 100)
+    monkeypatch.setattr(sphere, "QUERIES", 10)
+    monkeypatch.setattr(sphere, "HELD", 4096)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>").repartition(2)
+    ready = sphere._ready(rows, "t").drop("size")
+    cells, table = sphere._partition(ready, 16, 1200, "c")
+    assert len({b + k for b, _, _, n in cells.value.spans for k in range(n)}) <= 2 * sphere.BLOCKS
+    batch = ready.limit(1000).toArrow().combine_chunks().to_batches()[0].append_column("bound", __import__("pyarrow").array(np.full(1000, np.nan)))
+    out = list(sphere._visits(cells, "others", dict.fromkeys(range(99), 3))(iter([batch])))
+    assert max(b.num_rows for b in out) <= sphere.HELD // 4 // len(cells.value.pivots) and sum(b.num_rows for b in out) > 1000 * 7
+    got = {(r["a"], r["b"]) for r in sphere.near_pairs(rows, 0.3).collect()}
+    assert got == {(i, j) for i, j in np.argwhere(np.triu(x @ x.T >= 0.3, 1)).tolist()}
