@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notelake.functions import text as T
+from notelake.sources import shared
 
 MAX_INSIGHTS = 50
+PIECE = 1 << 17  # characters of a section that are compressed together
 
 
 def insights(logs: DataFrame) -> DataFrame:
@@ -30,13 +37,68 @@ def by_type(rows: DataFrame) -> DataFrame:
     return rows.groupBy("type").agg(F.count("*").alias("n"), F.avg("importance").alias("mean_importance"))
 
 
+def _line() -> F.Column:
+    return F.concat(F.lit("- **"), "type", F.lit("** ("), F.format_string("%.2f", "importance"), F.lit("): "), "text")
+
+
 def markdown(rows: DataFrame) -> DataFrame:
-    """(date, text): a digest's section for each day."""
-    line = F.concat(F.lit("- **"), "type", F.lit("** ("), F.format_string("%.2f", "importance"), F.lit("): "), "text")
-    per = rows.groupBy("date").agg(F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("i"), "source", "line_no", line.alias("line")))).alias("l"))
+    """(date, text): a digest's section for each day, which must fit in a row; section_hashes() is for days of any size."""
+    per = rows.groupBy("date").agg(F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("i"), "source", "line_no", _line().alias("line")))).alias("l"))
     return per.select("date", F.concat(F.lit("## "), F.date_format("date", "yyyy-MM-dd"), F.lit("\n\n"), F.array_join(F.col("l.line"), "\n")).alias("text"))
 
 
+def _pieces(batches):
+    """Sorted lines (date, line) as compressed pieces of sections, in order."""
+    at, n, held, size, date = TaskContext.get().partitionId(), 0, [], 0, None
+    names = ["date", "at", "n", "piece"]
+
+    def piece():
+        packed = zlib.compress("\n".join(held).encode(), 1)
+        return pa.RecordBatch.from_arrays([pa.array([date], pa.date32()), pa.array([at], pa.int32()), pa.array([n]), pa.array([packed], pa.binary())], names=names)
+
+    for batch in batches:
+        for d, line in zip(batch.column("date").to_pylist(), batch.column("line").to_pylist()):
+            if held and (d != date or size > PIECE):
+                yield piece()
+                n, held, size = n + 1, [], 0
+            date = d
+            held.append(line)
+            size += len(line)
+    if held:
+        yield piece()
+
+
+def _hashed(batches):
+    """The SHA-256 of each section of sorted pieces, carried from piece to piece."""
+    date, run = None, None
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([date], pa.date32()), pa.array([date and run.hexdigest()], pa.string())], names=["date", "sha256"])
+
+    for batch in batches:
+        for d, packed in zip(batch.column("date").to_pylist(), batch.column("piece")):
+            if run is not None and d == date:
+                run.update(b"\n")
+            else:
+                if run is not None:
+                    yield row()
+                date, run = d, hashlib.sha256(f"## {d}\n\n".encode())
+            run.update(zlib.decompress(packed.as_py()))
+    if run is not None:
+        yield row()
+
+
+def section_hashes(rows: DataFrame) -> DataFrame:
+    """(date, sha256): the hash of markdown()'s text. All days' lines are sorted together over all tasks and packed in pieces; one task reads the
+    packed pieces of a day, as a hash is a chain, and holds some of them at a time."""
+    lines = shared.written(rows.select("date", (-F.col("importance")).alias("i"), "source", "line_no", _line().alias("line")), "digest-lines")
+    order = ["date", "i", "source", "line_no"]
+    n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pieces = lines.repartitionByRange(n, *order).sortWithinPartitions(*order).select("date", "line").mapInArrow(_pieces, "date date, at int, n long, piece binary")
+    pieces = shared.written(pieces, "digest-pieces")
+    return pieces.repartitionByRange(n, "date").sortWithinPartitions("date", "at", "n").select("date", "piece").mapInArrow(_hashed, "date date, sha256 string")
+
+
 def counts_by_type(rows: DataFrame) -> DataFrame:
     """(by_type): one map from type to count."""
     per = rows.groupBy("type").agg(F.count("*").alias("n"))

@@ -276,3 +276,16 @@ def test_cache_is_touched(spark):
         retrieval.requests(spark.createDataFrame([(1, "x" * (C.MAX_REQUEST + 1))], "qid long, payload string")).collect()
     out = retrieval.envelope(spark.createDataFrame([(1, "c"), (2, "")], "qid long, context string"), "UserPromptSubmit").collect()
     assert len(out) == 1 and out[0]["json"] == '{"hookSpecificOutput":{"hookEventName":"UserPromptSubmit","additionalContext":"c"}}'
+
+
+def test_section_hashes_are_those_of_the_sections(spark, monkeypatch):
+    from notelake.operators import digest
+
+    monkeypatch.setattr(digest, "PIECE", 40)
+    logs = [(i, [datetime.date(2026, 1, 1 + i % 3), None][i % 8 == 7], "\n".join(f"DECISION: we will do {i} {k} ünd more" if k % 3 else "some plain line of words" for k in range(i % 6))) for i in range(60)]
+    rows = digest.insights(spark.createDataFrame(logs, "source long, date date, content string"))
+    want = {tuple(r) for r in digest.markdown(rows).select("date", F.sha2("text", 256)).collect()}
+    hashes = digest.section_hashes(rows)
+    assert {tuple(r) for r in hashes.collect()} == want and len(want) == 4
+    assert "collect_list" not in hashes._jdf.queryExecution().executedPlan().toString()
+    assert digest.section_hashes(rows.where("false")).collect() == []
